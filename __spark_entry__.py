@@ -185,7 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vertex_bbox": lambda s, d: geometry.bbox(wh.embedding_shapes(s, d)),
         "project_vertices": lambda s, d: geometry.vertices(_projected(s, d)),
         "feature_centroid": lambda s, d: geometry.centroids(_projected(s, d)).select(
-            "name", F.round("center_x", 6).alias("center_x"), F.round("center_y", 6).alias("center_y")
+            "name", F.round("center_x", 8).alias("center_x"), F.round("center_y", 8).alias("center_y")
         ),
         "feature_path": lambda s, d: geometry.feature_paths(_projected(s, d)).select(
             "name", "path", labels.shorten(F.col("entity"), 7, 5).alias("label")
@@ -265,7 +265,7 @@ CP = "cp AS (SELECT category, period, sum(total)::BIGINT AS total FROM p GROUP B
 CELLS = "cells AS (SELECT entity, category, period, sum(total)::BIGINT AS total FROM p GROUP BY ALL)"
 RANKED = """ranked AS (
   SELECT entity, sum(total)::BIGINT AS total,
-         row_number() OVER (ORDER BY sum(total) DESC, entity)::INTEGER AS rank FROM p GROUP BY entity)"""
+         row_number() OVER (ORDER BY sum(total) DESC, entity)::BIGINT AS rank FROM p GROUP BY entity)"""
 
 TREND = f"""tr AS (
   SELECT entity, min(period) AS first_period, arg_min(total, period) AS first_total,
@@ -622,7 +622,7 @@ def oracle_sql() -> dict[str, str]:
         "vertices": f"{SHAPES} SELECT name, ring, seq, x, y FROM v",
         "vertex_bbox": f"{SHAPES} SELECT * FROM bb",
         "project_vertices": f"{PROJECTED} SELECT name, ring, seq, x, y FROM pr",
-        "feature_centroid": f"""{PROJECTED} SELECT name, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y
+        "feature_centroid": f"""{PROJECTED} SELECT name, round(avg(x), 8) AS center_x, round(avg(y), 8) AS center_y
             FROM pr GROUP BY name""",
         "feature_path": f"""{PROJECTED} SELECT name,
             'M' || string_agg(x::VARCHAR || ',' || y::VARCHAR, ' L' ORDER BY seq) || 'Z' AS path,

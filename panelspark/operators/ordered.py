@@ -31,9 +31,15 @@ def ordered_index(
         .agg(F.array_sort(F.collect_list("_key")).alias("s"))
         .select("s")
     )
-    placed = keyed.withColumn("_splits", splitters.scalar()).withColumn(
-        "_bucket", F.expr("size(filter(_splits, s -> s < _key))")
-    ).drop("_splits")
+    # The one-element transform evaluates the key once per row. The coalesce makes
+    # the bucket non-null, else the join below would add a null check that the
+    # optimizer evaluates on the rows underneath the caller's aggregate.
+    bucket = F.expr("transform(array(_key), k -> size(filter(_splits, s -> s < k)))[0]")
+    placed = (
+        keyed.withColumn("_splits", splitters.scalar())
+        .withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
+        .drop("_splits")
+    )
     # At most `buckets` rows, so both the window and the broadcast are bounded.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (

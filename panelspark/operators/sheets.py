@@ -5,12 +5,13 @@ Input is a raw-cell table ``(path, row_idx, cells array<string>)``; see
 """
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark import presets
-from panelspark.functions.labels import is_aggregate_name
+from panelspark.functions.labels import is_aggregate_name, map_value
 from panelspark.functions.numeric import strip, to_number
 
 
@@ -24,15 +25,16 @@ def file_type(name: Column, words: Sequence = presets.FILE_WORDS) -> Column:
     out = None
     for needed, kind in words:
         hit = F.lit(True)
-        for w in needed:
-            hit = hit & letters.rlike(w)
+        for word in needed:
+            variants = [letters.contains(v) for v in word.split("|")]
+            hit = hit & reduce(lambda a, b: a | b, variants)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out
 
 
 def path_period(path: Column, pattern: str = presets.YEAR_PATTERN) -> Column:
     """First year in the path, NULL when there is none."""
-    return F.regexp_extract(path, pattern, 1).try_cast("int")
+    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).try_cast("int")
 
 
 def classify_files(
@@ -41,15 +43,17 @@ def classify_files(
     words: Sequence = presets.FILE_WORDS,
 ) -> DataFrame:
     """Add file_name, period, file_type, category and value column to a table with ``path``."""
-    kind = F.col("file_type")
-    category, column = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for key, (label, index) in rules.items():
-        category = F.when(kind == key, label).otherwise(category)
-        column = F.when(kind == key, F.lit(index)).otherwise(column)
+    labels = {kind: label for kind, (label, _) in rules.items()}
+    columns = [F.lit(x) for kind, (_, index) in rules.items() for x in (kind, index)]
     return (
         paths.withColumn("file_name", file_name(F.col("path")))
         .withColumns({"period": path_period(F.col("path")), "file_type": file_type(F.col("file_name"), words)})
-        .withColumns({"category": category, "value_col": column})
+        .withColumns(
+            {
+                "category": map_value(F.col("file_type"), labels),
+                "value_col": F.try_element_at(F.create_map(*columns), "file_type"),
+            }
+        )
     )
 
 
@@ -58,12 +62,11 @@ def _cell(i: int) -> Column:
 
 
 def is_section_header(cell: Column, section: str) -> Column:
-    """The section's name alone, or after ``State:`` with the usual spacings of the colon."""
-    v = F.lower(strip(cell))
+    """For a trimmed, lower-cased cell: the section's name alone, or after ``state:`` with the usual spacings."""
     name, word = section.lower(), presets.SECTION_WORD
-    closed = F.replace(F.replace(v, F.lit(" : "), F.lit(":")), F.lit(" :"), F.lit(":"))
+    closed = F.replace(F.replace(cell, F.lit(" : "), F.lit(":")), F.lit(" :"), F.lit(":"))
     return F.coalesce(
-        (closed == f"{word}:{name}") | v.isin(name, f"{word}: {name}", f"{word} : {name}"), F.lit(False)
+        (closed == f"{word}:{name}") | cell.isin(name, f"{word}: {name}", f"{word} : {name}"), F.lit(False)
     )
 
 
@@ -82,48 +85,49 @@ def section_starts(raw_cells: DataFrame, section: str) -> DataFrame:
     one falls back to the name anywhere in the first three.
     """
     name = section.lower()
-    strict = is_section_header(_cell(1), section) | is_section_header(_cell(2), section)
-    loose = F.exists(
-        F.slice("cells", 1, 3), lambda c: F.coalesce(F.lower(c).contains(name), F.lit(False))
-    )
+    # Only rows that name the section can be headers; for all others the test ends here.
+    heads = F.slice("cells", 1, 3)
+    loose = F.exists(heads, lambda c: F.coalesce(F.lower(c).contains(name), F.lit(False)))
+    strict = F.exists(F.slice("cells", 1, 2), lambda c: is_section_header(F.lower(strip(c)), section))
     return (
-        raw_cells.groupBy("path")
-        .agg(
-            F.min(F.when(strict, F.col("row_idx"))).alias("_strict"),
-            F.min(F.when(loose, F.col("row_idx"))).alias("_loose"),
-            F.max(F.size("cells")).alias("width"),
+        raw_cells.select("path", "row_idx", F.size("cells").alias("_size"), loose.alias("_named"), "cells")
+        .select(
+            "path",
+            "_size",
+            F.when(F.col("_named"), F.col("row_idx")).alias("_loose"),
+            F.when(F.col("_named") & strict, F.col("row_idx")).alias("_strict"),
         )
+        .groupBy("path")
+        .agg(F.min("_strict").alias("_strict"), F.min("_loose").alias("_loose"), F.max("_size").alias("width"))
         .select("path", F.coalesce("_strict", "_loose").alias("start"), "width")
         .filter(F.col("start").isNotNull())
     )
 
 
-def section_rows(raw_cells: DataFrame, section: str, max_rows: int = presets.SECTION_ROWS) -> DataFrame:
-    """Rows of the section: after its header, before the next one, at most ``max_rows``.
+def section_rows(raw_cells: DataFrame, starts: DataFrame, max_rows: int = presets.SECTION_ROWS) -> DataFrame:
+    """Rows of each file's section: after its header, before the next one, at most ``max_rows``.
 
     Row numbers are cut into blocks as long as a section can be. A section then
     lies in two blocks at most, so its rows are found by an equi-join on
     (file, block): one file holding a large part of all rows spreads over as
     many keys as it has blocks. The end is found among the at most ``max_rows``
-    joined rows.
+    joined rows. Columns of ``starts`` are carried along.
     """
-    block = F.floor(F.col("row_idx") / max_rows)
-    starts = section_starts(raw_cells, section).withColumn(
-        "_block",
-        F.explode(
-            F.sequence(F.floor((F.col("start") + 1) / max_rows), F.floor((F.col("start") + max_rows) / max_rows))
-        ),
-    )
+
+    def block(row):
+        return F.floor(row / max_rows)
+
+    blocks = F.sequence(block(F.col("start") + 1), block(F.col("start") + max_rows))
     near = (
-        raw_cells.withColumn("_block", block)
-        .join(starts, ["path", "_block"])
+        raw_cells.select("path", "row_idx", "cells", block(F.col("row_idx")).alias("_block"))
+        .join(starts.withColumn("_block", F.explode(blocks)), ["path", "_block"])
         .filter((F.col("row_idx") > F.col("start")) & (F.col("row_idx") <= F.col("start") + max_rows))
     )
     stop = F.min(F.when(is_next_header(_cell(1)), F.col("row_idx"))).over(Window.partitionBy("path"))
     return (
         near.withColumn("_stop", stop)
         .filter(F.col("_stop").isNull() | (F.col("row_idx") < F.col("_stop")))
-        .select("path", "row_idx", "cells", "width")
+        .drop("_stop", "_block", "start")
     )
 
 
@@ -150,14 +154,16 @@ def extract_sections(
 ) -> DataFrame:
     """Panel rows of one section out of every classified file, with the file's path.
 
-    Files without a year or a known type are left out before any shuffle. Values
-    must be finite numbers not below zero and are truncated.
+    Files are classified once each, after their headers were found, and those
+    without a year or a known type are left out. Values must be finite numbers
+    not below zero and are truncated.
     """
-    known = classify_files(raw_cells.select("path", "row_idx", "cells"), rules, words).filter(
+    starts = classify_files(section_starts(raw_cells, section), rules, words).filter(
         F.col("period").isNotNull() & F.col("category").isNotNull()
     )
-    rows = section_rows(known.select("path", "row_idx", "cells"), section, max_rows).filter(is_entity_row())
-    valued = classify_files(rows, rules, words).withColumn("_value", to_number(value_cell()))
+    wanted = starts.select("path", "start", "width", "period", "category", "value_col")
+    rows = section_rows(raw_cells, wanted, max_rows).filter(is_entity_row())
+    valued = rows.withColumn("_value", to_number(value_cell()))
     return valued.filter((F.col("_value") >= 0) & (F.col("_value") < F.lit(9.2e18))).select(
         "path",
         _cell(2).alias("entity"),

@@ -154,33 +154,34 @@ def supplier_sheets(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("sheets/"), folder_name, F.lit("/"), F.element_at(kinds, F.col("n_regionkey") + 1),
         F.lit("_"), F.translate(stem, "0123456789", "abcdefghij"), F.lit(".csv"),
     )
-    first_row = (F.substring("o_orderpriority", 1, 1).cast("bigint") - 1) * 27
+    first = (F.substring("o_orderpriority", 1, 1).cast("bigint") - 1) * 27
     blank = F.array_repeat(F.lit("0"), 18)
-    base = named.select(
-        path.alias("path"), first_row.alias("first"), "o_orderpriority", "nation", "n_name", "qty", "n"
-    )
-    body = base.select(
-        "path",
-        (F.col("first") + 1 + F.col("nation")).alias("row_idx"),
-        F.concat(
-            F.array(F.concat((F.col("nation") + 1).cast("string"), F.lit(".")), F.col("n_name")),
+
+    def sheet_row(offset, *cells):
+        return F.struct((F.col("first") + offset).alias("row_idx"), F.concat(*cells).alias("cells"))
+
+    # A section has at most one row per nation, so it is put together as one array.
+    sections = (
+        named.select(path.alias("path"), first.alias("first"), "o_orderpriority", "nation", "n_name", "qty", "n")
+        .groupBy("path", "first", "o_orderpriority")
+        .agg(F.sum("qty").alias("qty"), F.collect_list(F.struct("nation", "n_name", "qty", "n")).alias("nations"))
+    )
+    header = sheet_row(F.lit(0), F.array(F.concat(F.lit("State : "), "o_orderpriority")))
+    total = sheet_row(
+        F.lit(26), F.array(F.lit("26"), F.lit("Total District(s)")), blank, F.array(F.col("qty").cast("string"))
+    )
+    body = F.transform(
+        "nations",
+        lambda r: sheet_row(
+            r["nation"] + 1,
+            F.array(F.concat((r["nation"] + 1).cast("string"), F.lit(".")), r["n_name"]),
             blank,
             # A nation with a single line has no usable value.
-            F.array(F.when(F.col("n") == 1, "NA").otherwise(F.concat(F.col("qty").cast("string"), F.lit(".0")))),
-        ).alias("cells"),
-    )
-    sections = base.groupBy("path", "first", "o_orderpriority").agg(F.sum("qty").alias("qty"))
-    headers = sections.select(
-        "path", F.col("first").alias("row_idx"), F.array(F.concat(F.lit("State : "), "o_orderpriority")).alias("cells")
-    )
-    totals = sections.select(
-        "path",
-        (F.col("first") + 26).alias("row_idx"),
-        F.concat(F.array(F.lit("26"), F.lit("Total District(s)")), blank, F.array(F.col("qty").cast("string"))).alias(
-            "cells"
+            F.array(F.when(r["n"] == 1, "NA").otherwise(F.concat(r["qty"].cast("string"), F.lit(".0")))),
         ),
     )
-    return union_sources(body, headers, totals)
+    rows = sections.select("path", F.explode(F.concat(F.array(header), body, F.array(total))).alias("r"))
+    return rows.select("path", "r.row_idx", "r.cells")
 
 
 def embedding_shapes(spark: SparkSession, folder: str) -> DataFrame:
