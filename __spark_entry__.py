@@ -28,6 +28,7 @@ from panelspark.operators import (
     trends,
 )
 from panelspark.plans import pipeline
+from panelspark.plans.lineage import materialise
 from panelspark.plans import warehouse as wh
 
 # Tree counts of the registered model comparison. The library's defaults are the
@@ -50,21 +51,29 @@ def entry(spark: SparkSession) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
+def _lagged(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.lag_features(pipeline.panel_cells(wh.supplier_panel(spark, d)), cells=True)
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(_lagged(spark, d))
+
+
 def _naive(spark: SparkSession, d: str) -> DataFrame:
     """Next-period rows scored with their latest total plus half the last change."""
-    nf = forecast.next_period_features(forecast.lag_features(wh.supplier_panel(spark, d)))
+    nf = forecast.next_period_features(_features(spark, d))
     return forecast.score_next(nf.withColumn("prediction", (F.col("lag1") * 3 - F.col("lag2")) / 2))
 
 
 def _ols(spark: SparkSession, d: str) -> DataFrame:
-    features = forecast.lag_features(wh.supplier_panel(spark, d))
+    features = _features(spark, d)
     train, _ = forecast.temporal_split(features)
     model = forecast.fit_models(train, {"linear_regression": {}})["linear_regression"]
     return forecast.forecast(model, forecast.next_period_features(features))
 
 
 def _temporal_split(spark: SparkSession, d: str) -> DataFrame:
-    train, test = forecast.temporal_split(forecast.lag_features(wh.supplier_panel(spark, d)))
+    train, test = forecast.temporal_split(_features(spark, d))
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return both.groupBy("part", "period").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"), F.sum("lag1").cast("bigint").alias("lag1_sum")
@@ -119,7 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ranking_bars": lambda s, d: rankings.ranking_bars(rankings.entity_ranking(master(s, d))),
         "signature_top5": lambda s, d: rankings.signature_categories(master(s, d)),
         "supplier_signature": lambda s, d: rankings.signature_categories(supplier(s, d), k=3),
-        "signature_summary": lambda s, d: rankings.signature_summary(rankings.signature_categories(master(s, d))),
+        "signature_summary": lambda s, d: rankings.signature_summary(rankings.top_categories(master(s, d))),
         "concentration": lambda s, d: rankings.concentration(supplier(s, d)),
         "worst_entity": lambda s, d: rankings.worst_entity(master(s, d)),
         "peak_best_period": lambda s, d: rankings.peak_best(supplier(s, d)),
@@ -168,11 +177,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "period_maps_json": lambda s, d: marts.to_json_rows(marts.period_maps(supplier(s, d))),
         "choropleth": lambda s, d: marts.choropleth(master(s, d), "5-LOW", wh.embedding_shapes(s, d)),
         # forecast
-        "lag_features": lambda s, d: forecast.lag_features(supplier(s, d)),
+        "lag_features": _lagged,
         "temporal_split": _temporal_split,
-        "forecast_features": lambda s, d: forecast.next_period_features(forecast.lag_features(supplier(s, d))),
+        "forecast_features": lambda s, d: forecast.next_period_features(_features(s, d)),
         "naive_metrics": lambda s, d: forecast.regression_metrics(
-            forecast.lag_features(supplier(s, d)).withColumn("prediction", F.col("lag1"))
+            _lagged(s, d).withColumn("prediction", F.col("lag1"))
         ),
         "naive_forecast": _naive,
         "forecast_by_entity": lambda s, d: marts.forecast_by_entity(_naive(s, d)),

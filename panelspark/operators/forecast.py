@@ -60,7 +60,9 @@ def lag_features(
 
     The first period of each pair has no lag and is left out; further lags that
     are missing take the value of the first. Codes and offsets count the whole
-    panel, including what is left out.
+    panel, including what is left out. The grain is read several times (series,
+    first period, codes): pass materialised cells with ``cells=True`` unless the
+    panel is cheap to read.
     """
     grain = df if cells else cube(df, [entity, category, period], total)
     grain = grain.select(

@@ -9,7 +9,7 @@ from panelspark import presets
 from panelspark.functions.labels import map_value
 from panelspark.functions.numeric import round_scaled
 from panelspark.operators.ordered import top_k_per_group, top_n
-from panelspark.operators.panel import cube, wide_matrix
+from panelspark.operators.panel import cube, panel_ends, wide_matrix
 from panelspark.operators.report_cards import report_cards
 
 
@@ -52,16 +52,23 @@ def kpis(
     )
 
 
-def in_latest_period(df: DataFrame, period: str = "period") -> DataFrame:
-    last = df.agg(F.max(period)).scalar()
-    return df.withColumn("_last", last).filter(F.col(period) == F.col("_last")).drop("_last")
-
-
 def latest_top(
     df: DataFrame, k: int = 10, category: str = "category", period: str = "period", total: str = "total"
 ) -> DataFrame:
-    """Largest categories of the latest period."""
-    return top_n(cube(in_latest_period(df, period), [category], total), total, k, [category])
+    """Largest categories of the latest period.
+
+    Sums come first and the latest period is picked by a conditional sum: a filter
+    on it would be pushed below the sums, to a second scan of the panel.
+    """
+    cells = cube(df, [category, period], total)
+    _, last = panel_ends(cells, period, total)
+    latest = (
+        cells.withColumn("_last", last)
+        .groupBy(category)
+        .agg(F.sum(F.when(F.col(period) == F.col("_last"), F.col(total))).alias(total))
+        .filter(F.col(total).isNotNull())
+    )
+    return top_n(latest, total, k, [category])
 
 
 def period_maps(
@@ -106,12 +113,14 @@ def entity_profile(
     All nested parts are bounded by the number of periods or by ``k``. Year-on-year
     rows of an entity stay a table of their own (``changes.yoy_changes``).
     """
-    tops = top_category_arrays(df, k, entity, category, total)
-    cards = report_cards(df, entity=entity, period=period, total=total).select(
+    # The null check is the one the joins imply; stated here, all parts share one cube.
+    cells = cube(df.filter(F.col(entity).isNotNull()), [entity, category, period], total)
+    tops = top_category_arrays(cells, k, entity, category, total)
+    cards = report_cards(cells, entity=entity, period=period, total=total).select(
         entity, F.struct("overall_rank", "trend_pct", "grade", "first_mean", "last_mean").alias("card")
     )
     return (
-        period_maps(df, entity, period, total)
+        period_maps(cells, entity, period, total)
         .join(tops, entity)
         .join(cards, entity, "left")
         .withColumn("signature", F.slice("top_categories", 1, signature_k))
@@ -159,11 +168,17 @@ def category_top_series(
     period: str = "period",
     total: str = "total",
 ) -> DataFrame:
-    """Series of the ``k`` largest entities of a category: semi-join of the cube with its own top-k."""
-    cells = cube(df.filter(F.col(category) == which), [entity, period], total)
+    """Series of the ``k`` largest entities of a category: the cube joined with its own top-k.
+
+    The top-k names are unique, so an inner join is a semi-join here. A literal
+    semi-join would be pushed below the cube's sum and scan the panel twice.
+    """
+    # The null check is the one the join implies; stated here, both sides scan alike and share it.
+    chosen = df.filter((F.col(category) == which) & F.col(entity).isNotNull())
+    cells = cube(chosen, [entity, period], total)
     best = top_n(cube(cells, [entity], total), total, k, [entity]).select(entity)
     # The right side has at most k rows.
-    return cells.join(F.broadcast(best), entity, "left_semi").select(period, entity, total)
+    return cells.join(F.broadcast(best), entity).select(period, entity, total)
 
 
 def compare_entities(

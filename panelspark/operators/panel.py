@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark import presets
@@ -61,6 +61,19 @@ def cube(df: DataFrame, keys: Sequence[str], total: str = "total") -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(total).alias(total))
 
 
+def panel_ends(cells: DataFrame, period: str = "period", total: str = "total") -> tuple[Column, Column]:
+    """First and last period of a cube as scalar subqueries.
+
+    Taking the total along keeps the subqueries on the same columns as the cube
+    itself, so they reuse its shuffle; the bare period would be a second scan.
+    """
+    ends = F.struct(period, total)
+    return (
+        cells.agg(F.min(ends).alias("e")).select(F.col("e")[period]).scalar(),
+        cells.agg(F.max(ends).alias("e")).select(F.col("e")[period]).scalar(),
+    )
+
+
 def wide_matrix(
     df: DataFrame,
     rows: Sequence[str],

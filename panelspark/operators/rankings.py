@@ -24,6 +24,13 @@ def ranking_bars(ranking: DataFrame, width: int = 25, entity: str = "entity", to
     )
 
 
+def top_categories(
+    df: DataFrame, k: int = 5, entity: str = "entity", category: str = "category", total: str = "total"
+) -> DataFrame:
+    """The ``k`` largest categories of every entity."""
+    return top_k_per_group(cube(df, [entity, category], total), [entity], total, [category], k)
+
+
 def signature_categories(
     df: DataFrame, k: int = 5, entity: str = "entity", category: str = "category", total: str = "total"
 ) -> DataFrame:
@@ -43,11 +50,11 @@ def signature_categories(
 
 
 def signature_summary(
-    signature: DataFrame, entity: str = "entity", category: str = "category", total: str = "total"
+    top: DataFrame, entity: str = "entity", category: str = "category", total: str = "total"
 ) -> DataFrame:
-    """One line per entity: ``name (1,234) | name (567)``. At most k entries per entity."""
+    """One line per entity of its top categories: ``name (1,234) | name (567)``. At most k entries per entity."""
     item = F.struct("rank", F.concat(F.col(category), F.lit(" ("), F.format_number(total, 0), F.lit(")")).alias("t"))
-    return signature.groupBy(entity).agg(
+    return top.groupBy(entity).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), " | ").alias("summary")
     )
 

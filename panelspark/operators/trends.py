@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark import presets
 from panelspark.functions.labels import direction
 from panelspark.functions.numeric import pct_change_guarded, pct_change_null, round_exact
-from panelspark.operators.panel import cube, wide_matrix
+from panelspark.operators.panel import cube, panel_ends, wide_matrix
 
 
 def period_trend(
@@ -58,8 +58,7 @@ def category_trend(
     panel's first period. Of equal peaks the earliest counts.
     """
     cells = cube(df, [category, period], total)
-    first = cells.agg(F.min(period)).scalar()
-    last = cells.agg(F.max(period)).scalar()
+    first, last = panel_ends(cells, period, total)
     zero = F.lit(0).cast("bigint")
     return (
         cells.withColumns({"_first": first, "_last": last})

@@ -1,23 +1,35 @@
-"""Cutting lineage with reliable checkpoints."""
+"""Materialising small intermediate tables that several jobs read."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_SETTING = "spark.checkpoint.dir"
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Survives the loss of executors. Only a local master without that setting, as
-    in tests, gets a temporary folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master without that setting, as in tests, gets a temporary one.
+    """
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="panelspark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and read them back.
+
+    Cuts the lineage and survives the loss of executors. Unlike a cached or
+    checkpointed frame, what is read back is columnar, prunes and filters at the
+    scan, and has a known size for join planning.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="panelspark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from panelspark import presets
 from panelspark.operators import changes, forecast, groups, intensity, marts, rankings, report_cards, sheets, trends
 from panelspark.operators.panel import clean_panel, cube
-from panelspark.plans.lineage import cut_lineage
+from panelspark.plans.lineage import materialise
 from panelspark.sources.sinks import write_csv, write_json_rows
 
 
@@ -19,7 +19,7 @@ def build_panel(raw_cells: DataFrame, section: str, *others: DataFrame, **sheet_
 
 def panel_cells(panel: DataFrame) -> DataFrame:
     """The panel at its grain, materialised once: all analyses below read this small table."""
-    return cut_lineage(cube(panel, ["entity", "category", "period"]))
+    return materialise(cube(panel, ["entity", "category", "period"]))
 
 
 def analyses(
@@ -99,17 +99,18 @@ def write_analyses(results: Mapping[str, DataFrame], root: str) -> None:
 
 
 def run_forecast(
-    panel: DataFrame, params: Mapping[str, Mapping] | None = None, cells: bool = False
+    panel: DataFrame, params: Mapping[str, Mapping] | None = None, cells: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Features, fit, comparison, choice, forecast, roll-ups and model record.
 
-    The features are checkpointed: the fits read them many times. Models and
+    Cells and features are materialised: the codes and the fits read them many times. Models and
     their metrics (one row each) are all the driver sees.
     """
-    features = cut_lineage(forecast.lag_features(panel, cells=cells))
+    grain = panel_cells(panel) if cells is None else cells
+    features = materialise(forecast.lag_features(grain, cells=True))
     train, test = forecast.temporal_split(features)
     models = forecast.fit_models(train, params)
-    metrics = cut_lineage(forecast.evaluate(models, test))
+    metrics = materialise(forecast.evaluate(models, test))
     name, model = forecast.select_best(models, metrics)
     predicted = forecast.forecast(model, forecast.next_period_features(features))
     return {
