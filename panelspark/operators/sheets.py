@@ -41,13 +41,14 @@ def classify_files(
     paths: DataFrame,
     rules: Mapping[str, tuple[str, int]] = presets.FILE_RULES,
     words: Sequence = presets.FILE_WORDS,
+    path: str = "path",
 ) -> DataFrame:
-    """Add file_name, period, file_type, category and value column to a table with ``path``."""
+    """Add file_name, period, file_type, category and value column to a table of paths."""
     labels = {kind: label for kind, (label, _) in rules.items()}
     columns = [F.lit(x) for kind, (_, index) in rules.items() for x in (kind, index)]
     return (
-        paths.withColumn("file_name", file_name(F.col("path")))
-        .withColumns({"period": path_period(F.col("path")), "file_type": file_type(F.col("file_name"), words)})
+        paths.withColumn("file_name", file_name(F.col(path)))
+        .withColumns({"period": path_period(F.col(path)), "file_type": file_type(F.col("file_name"), words)})
         .withColumns(
             {
                 "category": map_value(F.col("file_type"), labels),
@@ -158,7 +159,11 @@ def extract_sections(
     without a year or a known type are left out. Values must be finite numbers
     not below zero and are truncated.
     """
-    starts = classify_files(section_starts(raw_cells, section), rules, words).filter(
+    # Classifying a copy of the path that depends on the found start keeps this at one
+    # evaluation per file; on the path itself, the filter would be pushed below the
+    # grouping and across the join, and run on every raw row.
+    found = section_starts(raw_cells, section).withColumn("_file", F.when(F.col("start") >= 0, F.col("path")))
+    starts = classify_files(found, rules, words, path="_file").filter(
         F.col("period").isNotNull() & F.col("category").isNotNull()
     )
     wanted = starts.select("path", "start", "width", "period", "category", "value_col")
