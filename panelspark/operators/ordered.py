@@ -6,12 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Splitters are searched in two steps of about this many comparisons each.
+_STEP = 32
+
+
+def _bucket_count(df: DataFrame) -> int:
+    """Twice the session's shuffle partitions, within bounds: enough ranges for all tasks."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(_STEP, min(_STEP * _STEP, 2 * partitions))
+
+
 def ordered_index(
     df: DataFrame,
     desc: str | None = None,
     asc: Sequence[str] = (),
     name: str = "rank",
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add the 1-based global position by ``desc`` (numeric, descending) then ``asc``.
 
@@ -22,6 +32,7 @@ def ordered_index(
     splitters only balance the work, they do not affect the result. Sorting on
     the whole key splits runs of equal ``desc`` values too.
     """
+    buckets = buckets or _bucket_count(df)
     fields = ([(-F.col(desc)).alias("d")] if desc else []) + [F.col(c).alias(f"a{i}") for i, c in enumerate(asc)]
     keyed = df.withColumn("_key", F.struct(*fields))
     splitters = (
@@ -29,12 +40,15 @@ def ordered_index(
         .orderBy("_h")
         .limit(buckets - 1)
         .agg(F.array_sort(F.collect_list("_key")).alias("s"))
-        .select("s")
+        .select(F.struct("s", F.expr(f"filter(s, (k, i) -> i % {_STEP} = 0)").alias("heads")))
     )
-    # The one-element transform evaluates the key once per row. The coalesce makes
-    # the bucket non-null, else the join below would add a null check that the
+    # Number of splitters below the key: first among every 32nd, then in that one's
+    # stretch. The one-element transform evaluates the key once per row. The coalesce
+    # makes the bucket non-null, else the join below would add a null check that the
     # optimizer evaluates on the rows underneath the caller's aggregate.
-    bucket = F.expr("transform(array(_key), k -> size(filter(_splits, s -> s < k)))[0]")
+    stretch = f"greatest(size(filter(_splits.heads, h -> h < k)) - 1, 0) * {_STEP}"
+    below = f"size(filter(slice(_splits.s, f + 1, {_STEP}), s -> s < k))"
+    bucket = F.expr(f"transform(array(_key), k -> transform(array({stretch}), f -> f + {below})[0])[0]")
     placed = (
         keyed.withColumn("_splits", splitters.scalar())
         .withColumn("_bucket", F.coalesce(bucket, F.lit(0)))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from panelspark.operators.ordered import ordered_index, sort_nulls_last, top_k_per_group, top_n
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 256])
+@pytest.mark.parametrize("buckets", [2, 7, 33, 100, 256, None])
 def test_index_equals_sorting(spark, buckets):
-    rng = random.Random(buckets)
+    rng = random.Random(buckets or 1)
     # A third of the rows share one value, so the order among them hangs on the name.
     rows = [(f"k{i:05d}", 0 if rng.random() < 0.34 else rng.randint(0, 50)) for i in range(2000)]
     df = spark.createDataFrame(rows, "name string, v bigint").repartition(5)
