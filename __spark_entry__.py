@@ -7,6 +7,7 @@ plain SQL, written independently of how the library computes them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,11 @@ from panelspark.operators import (
     trends,
 )
 from panelspark.plans import pipeline
-from panelspark.plans.lineage import materialise
 from panelspark.plans import warehouse as wh
+from panelspark.plans.lineage import materialise, shared_folder
+from panelspark.schema import PANEL
+from panelspark.sources import readers, sinks
+from panelspark.sources.raw_cells import read_raw_cells
 
 # Tree counts of the registered model comparison. The library's defaults are the
 # published 200; the comparison here is about the plan, not the model quality.
@@ -72,6 +76,93 @@ def _ols(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast(model, forecast.next_period_features(features))
 
 
+def _ols_metrics(spark: SparkSession, d: str) -> DataFrame:
+    train, test = forecast.temporal_split(_features(spark, d))
+    return forecast.evaluate(forecast.fit_models(train, {"linear_regression": {}}), test).drop("rmse_exact")
+
+
+def _model_card(spark: SparkSession, d: str) -> DataFrame:
+    """The record of a run with the linear model, as JSON."""
+    out = pipeline.run_forecast(wh.supplier_panel(spark, d), {"linear_regression": {}})
+    return marts.to_json_rows(out["model_card"], key="best_model")
+
+
+def _importance(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.run_forecast(wh.supplier_panel(spark, d), {"random_forest": {"numTrees": 20}})["importance"]
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/panelspark-{name}-{uuid.uuid4().hex}"
+
+
+def _csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "csv")
+    sinks.write_csv(wh.order_panel(spark, d), path)
+    return readers.read_csv(spark, path)
+
+
+def _json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "json")
+    sinks.write_json_rows(wh.order_panel(spark, d), path)
+    return spark.read.schema(PANEL).json(path)
+
+
+def _partitioned_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Written by source and period, read back for one source: other folders are not read."""
+    path = _scratch(spark, "panel")
+    sinks.write_panel(wh.master_panel(spark, d), path)
+    back = spark.read.parquet(path).filter((F.col("source") == "lines") & (F.col("period") >= 1999))
+    return panel.cube(back, ["entity", "period"])
+
+
+def _tolerant_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "dirty")
+    sinks.write_csv(wh.dirty_orders(spark, d), path)
+    return readers.read_tolerant(spark, path)
+
+
+def _optional_input(spark: SparkSession, d: str) -> DataFrame:
+    missing = readers.read_optional(spark, f"{d}/no_such_table.parquet", fmt="parquet")
+    return panel.union_sources(wh.order_panel(spark, d), missing)
+
+
+def _second_source(spark: SparkSession, d: str) -> DataFrame:
+    """A source under other names, of which one section is taken."""
+    path = _scratch(spark, "second")
+    regions = wh.table(spark, d, "nation").join(
+        wh.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    named = wh.order_panel(spark, d).join(regions, F.col("entity") == F.col("n_name"))
+    foreign = {"entity": "District", "period": "Year", "category": "Crime_Type", "total": "Cases_Reported"}
+    sinks.write_csv(named.select("r_name", *foreign, "source").withColumnsRenamed({**foreign, "r_name": "State"}), path)
+    source = readers.read_source(spark, path, presets.SECOND_SOURCE_COLUMNS, "second", where={"State": "ASIA"})
+    return panel.clean_panel(source)
+
+
+def _raw_text_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Delimited text read back as numbered rows of cells."""
+    path = _scratch(spark, "text")
+    line = F.concat("entity", F.lit(',"'), "category", F.lit(', ""quoted""",'), "period", F.lit(","), "total")
+    wh.supplier_panel(spark, d).select(line).write.text(path)
+    rows = read_raw_cells(spark, path)
+    per_file = rows.groupBy("path").agg((F.max("row_idx") + 1 - F.count_distinct("row_idx")).alias("gaps"))
+    return rows.join(per_file, "path").select(
+        *[F.element_at("cells", i + 1).alias(c) for i, c in enumerate(("entity", "category", "period", "total"))], "gaps"
+    )
+
+
+def _geojson_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes written as GeoJSON features, one per line, and read back."""
+    path = _scratch(spark, "geo")
+    points = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    wh.embedding_shapes(spark, d).select(
+        F.lit("Feature").alias("type"),
+        F.struct(F.col("name").alias("Dist_Name")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), points.alias("coordinates")).alias("geometry"),
+    ).write.json(path)
+    return geometry.vertices(geometry.shapes(readers.read_geojson(spark, path, one_per_line=True)))
+
+
 def _temporal_split(spark: SparkSession, d: str) -> DataFrame:
     train, test = forecast.temporal_split(_features(spark, d))
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -108,6 +199,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rename_entities": lambda s, d: panel.cube(
             panel.rename_entities(master(s, d), {"NATION_1": "NATION_2", "NATION_7": "Seventh"}), ["entity"]
         ),
+        # sources and sinks
+        "csv_round_trip": _csv_round_trip,
+        "json_round_trip": _json_round_trip,
+        "partitioned_panel": _partitioned_panel,
+        "tolerant_scan": _tolerant_scan,
+        "optional_input": _optional_input,
+        "second_source": _second_source,
+        "raw_text_cells": _raw_text_cells,
+        "geojson_vertices": _geojson_vertices,
         # trends
         "period_trend": lambda s, d: trends.period_trend(master(s, d)),
         "period_trend_by_source": lambda s, d: trends.period_trend(master(s, d), by=["source"]),
@@ -188,6 +288,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_compare": lambda s, d: marts.forecast_compare(_naive(s, d)),
         "forecast_by_category": lambda s, d: marts.forecast_by_category(_naive(s, d)),
         "ols_forecast": _ols,
+        "ols_metrics": _ols_metrics,
+        "model_card": _model_card,
+        "feature_importance": _importance,
         "model_compare": lambda s, d: pipeline.run_forecast(supplier(s, d), SMALL_MODELS)["metrics"],
         # shapes
         "vertices": lambda s, d: geometry.vertices(wh.embedding_shapes(s, d)),
@@ -374,23 +477,22 @@ def _scored(prediction: str, source: str) -> str:
 NAIVE = f"{SUPPLIER}, {CELLS}, {FEATURE_ROWS}, {NEXT_ROWS}, {_scored('(lag1 * 3 - lag2) / 2', 'nf')}"
 
 
-def _least_squares() -> str:
+def _least_squares(scored: str, actual: str) -> str:
     """Least squares by orthogonalising one feature after the other on the training rows.
 
     Each feature loses its projections on the earlier ones; the target's
     projection on what is left gives that feature's part of every prediction.
     """
     names = list(forecast.FEATURES)
+    qs = ", ".join(f"{n} AS q{i}" for i, n in enumerate(names))
+    keep = "fit, y, actual, entity, category, period, prev"
     parts = [
-        f"train AS (SELECT * FROM fe WHERE period <= (SELECT max(period) FROM fe) - 2)",
-        "s0 AS (SELECT true AS fit, total::DOUBLE AS y, entity, category, period, lag1, "
-        + ", ".join(f"{n} AS q{i}" for i, n in enumerate(names) if n != "lag1")
-        + f", lag1 AS q{names.index('lag1')} FROM train UNION ALL BY NAME "
-        + "SELECT false AS fit, NULL::DOUBLE AS y, entity, category, period, lag1, "
-        + ", ".join(f"{n} AS q{i}" for i, n in enumerate(names) if n != "lag1")
-        + f", lag1 AS q{names.index('lag1')} FROM nf)",
+        "train AS (SELECT * FROM fe WHERE period <= (SELECT max(period) FROM fe) - 2)",
+        "test AS (SELECT * FROM fe WHERE period > (SELECT max(period) FROM fe) - 2)",
+        f"""s0 AS (SELECT true AS fit, total::DOUBLE AS y, total AS actual, entity, category, period, lag1 AS prev, {qs} FROM train
+            UNION ALL SELECT false, NULL, {actual}, entity, category, period, lag1, {qs} FROM {scored})""",
         "m AS (SELECT avg(y) AS y, " + ", ".join(f"avg(q{i}) AS q{i}" for i in range(len(names))) + " FROM s0 WHERE fit)",
-        "t0 AS (SELECT fit, s0.y - m.y AS y, entity, category, period, lag1, "
+        "t0 AS (SELECT fit, s0.y - m.y AS y, actual, entity, category, period, prev, "
         + ", ".join(f"s0.q{i} - m.q{i} AS q{i}" for i in range(len(names)))
         + ", m.y AS yhat FROM s0, m)",
     ]
@@ -402,11 +504,11 @@ def _least_squares() -> str:
             + f" FROM t{i} WHERE fit)"
         )
         parts.append(
-            f"t{i + 1} AS (SELECT fit, y, entity, category, period, lag1, yhat + b * q{i} AS yhat"
+            f"t{i + 1} AS (SELECT {keep}, yhat + b * q{i} AS yhat"
             + "".join(f", q{j} - r{j} * q{i} AS q{j}" for j in later)
             + f" FROM t{i}, c{i})"
         )
-    parts.append(f"fitted AS (SELECT * FROM t{len(names)} WHERE NOT fit)")
+    parts.append(f"fitted AS (SELECT *, prev AS lag1 FROM t{len(names)} WHERE NOT fit)")
     return ", ".join(parts)
 
 
@@ -465,6 +567,20 @@ def oracle_sql() -> dict[str, str]:
         "category_value_counts": f'{SUPPLIER} SELECT category, count(*)::BIGINT AS "count" FROM p GROUP BY 1',
         "rename_entities": f"""{MASTER} SELECT CASE entity WHEN 'NATION_1' THEN 'NATION_2' WHEN 'NATION_7' THEN 'Seventh'
             ELSE entity END AS entity, sum(total)::BIGINT AS total FROM p GROUP BY 1""",
+        "csv_round_trip": ORDERS,
+        "json_round_trip": ORDERS,
+        "optional_input": ORDERS,
+        "partitioned_panel": f"""{ONLY_LINES} SELECT entity, period, sum(total)::BIGINT AS total FROM p
+            WHERE period >= 1999 GROUP BY 1, 2""",
+        "tolerant_scan": f"""SELECT entity, period, category, total FROM ({ORDERS})
+            WHERE category NOT IN ('BUILDING', 'FURNITURE')
+            UNION ALL SELECT 'Total District(s) ' || category, period, category, sum(total)::BIGINT FROM ({ORDERS})
+            GROUP BY category, period""",
+        "second_source": f"""SELECT entity, category, period, total, 'second' AS source FROM ({ORDERS})
+            WHERE entity IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')""",
+        "raw_text_cells": f"""{SUPPLIER} SELECT entity, category || ', "quoted"' AS category, period::VARCHAR AS period,
+            total::VARCHAR AS total, 0::BIGINT AS gaps FROM p""",
+        "geojson_vertices": f"{SHAPES} SELECT name, ring, seq, x, y FROM v",
         "period_trend": f"""{MASTER}, y AS (SELECT period, sum(total)::BIGINT AS total FROM p GROUP BY 1)
             SELECT period, total, total - lag(total) OVER (ORDER BY period) AS change,
                    {_nullable('lag(total) OVER (ORDER BY period)', 'total', 2)} AS change_pct FROM y""",
@@ -626,8 +742,11 @@ def oracle_sql() -> dict[str, str]:
         "forecast_by_category": f"""{NAIVE} SELECT category, sum(actual)::BIGINT AS actual, sum(predicted)::BIGINT AS predicted,
             {_near('sum(round_even(change_pct * 10, 0)::BIGINT)::DOUBLE / 10.0::DOUBLE / count(change_pct)', 1)} AS avg_change
             FROM pred GROUP BY 1""",
-        "ols_forecast": f"""{SUPPLIER}, {CELLS}, {FEATURE_ROWS}, {NEXT_ROWS}, {_least_squares()},
+        "ols_forecast": f"""{SUPPLIER}, {CELLS}, {FEATURE_ROWS}, {NEXT_ROWS}, {_least_squares('nf', 'NULL')},
             {_scored('yhat', 'fitted')} SELECT * FROM pred""",
+        "ols_metrics": f"""{SUPPLIER}, {CELLS}, {FEATURE_ROWS}, {NEXT_ROWS}, {_least_squares('test', 'total')}
+            SELECT 'linear_regression' AS model, {_METRICS}
+            FROM (SELECT actual AS total, greatest(yhat, 0) AS prediction FROM fitted)""",
         "vertices": f"{SHAPES} SELECT name, ring, seq, x, y FROM v",
         "vertex_bbox": f"{SHAPES} SELECT * FROM bb",
         "project_vertices": f"{PROJECTED} SELECT name, ring, seq, x, y FROM pr",

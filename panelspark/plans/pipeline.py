@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from panelspark import presets
 from panelspark.operators import changes, forecast, groups, intensity, marts, rankings, report_cards, sheets, trends
+from panelspark.operators.ordered import sort_nulls_last
 from panelspark.operators.panel import clean_panel, cube
 from panelspark.plans.lineage import materialise
 from panelspark.sources.sinks import write_csv, write_json_rows
@@ -89,13 +90,17 @@ OUTPUT_ORDER: Mapping[str, Sequence[str]] = {
 }
 
 
-def write_analyses(results: Mapping[str, DataFrame], root: str) -> None:
-    """Every analysis as a CSV folder under ``root``, sorted for reading."""
-    from panelspark.operators.ordered import sort_nulls_last
+def published(name: str, df: DataFrame) -> DataFrame:
+    """A result under its published column names; columns that have none keep theirs."""
+    return marts.label_columns(df, presets.OUTPUT_COLUMNS.get(name, {}))
+
 
+def write_analyses(results: Mapping[str, DataFrame], root: str, rename: bool = True) -> None:
+    """Every analysis as a CSV folder under ``root``, sorted for reading."""
     for name, df in results.items():
         keys = OUTPUT_ORDER.get(name)
-        write_csv(sort_nulls_last(df, *keys) if keys else df, f"{root.rstrip('/')}/{name}")
+        ordered = sort_nulls_last(df, *keys) if keys else df
+        write_csv(published(name, ordered) if rename else ordered, f"{root.rstrip('/')}/{name}")
 
 
 def run_forecast(
@@ -127,7 +132,8 @@ def run_forecast(
 def write_forecast(results: Mapping[str, DataFrame], root: str) -> None:
     """Predictions as CSV, the model record as JSON."""
     root = root.rstrip("/")
-    write_csv(results["predictions"], f"{root}/predictions", ["entity", "category"])
+    ordered = results["predictions"].orderBy("entity", "category")
+    write_csv(published("predictions", ordered), f"{root}/predictions")
     write_json_rows(results["model_card"], f"{root}/model_card")
 
 

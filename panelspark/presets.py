@@ -130,3 +130,101 @@ DIVISIONS = {
     "Saharanpur": ["Saharanpur"],
     "Varanasi": ["Bhadohi", "Chandauli", "Ghazipur", "Jaunpur", "Varanasi"],
 }
+
+# Published column names of the written analyses.
+OUTPUT_COLUMNS = {
+    "period_trend": {
+        "period": "Year",
+        "total": "Total_Crimes",
+        "change": "YoY_Change",
+        "change_pct": "YoY_Change_pct",
+    },
+    "category_trend": {
+        "category": "Crime_Type",
+        "direction": "Direction",
+        "change_pct": "Change_pct",
+        "peak_period": "Peak_year",
+        "peak_total": "Peak_value",
+    },
+    "period_category_matrix": {"period": "Year"},
+    "entity_ranking": {"entity": "District", "total": "Total_All_Years", "rank": "Rank"},
+    "entity_period_matrix": {"entity": "District"},
+    "entity_trend": {
+        "entity": "District",
+        "change_pct": "Change_pct",
+        "rises": "Years_rising",
+        "falls": "Years_falling",
+        "trend": "Trend",
+    },
+    "signature_categories": {
+        "entity": "District",
+        "rank": "Rank",
+        "category": "Crime_Type",
+        "total": "Total_Cases",
+        "share_pct": "Pct_of_District_Total",
+    },
+    "intensity_scores": {
+        "period": "Year",
+        "entity": "District",
+        "total": "Total",
+        "intensity": "Intensity_Score",
+    },
+    "risk_levels": {
+        "entity": "District",
+        "avg_intensity": "Avg_Intensity_Score",
+        "risk_level": "Risk_Level",
+    },
+    "yoy_changes": {
+        "entity": "District",
+        "category": "Crime_Type",
+        "period": "Year",
+        "total": "Total",
+        "prev_total": "Prev_Year_Total",
+        "change": "YoY_Change",
+        "change_pct": "YoY_Pct",
+    },
+    "report_cards": {
+        "entity": "District",
+        "overall_rank": "Overall_Rank",
+        "total": "Total_All_Years",
+        "trend_pct": "Recent_Trend_pct",
+        "grade": "Grade",
+        "first_mean": "First3yr_avg",
+        "last_mean": "Last3yr_avg",
+    },
+    "concentration": {
+        "category": "Crime_Type",
+        "top5_pct": "Top5_districts_pct",
+        "top10_pct": "Top10_districts_pct",
+        "worst_entity": "Worst_district",
+        "worst_entity_pct": "Worst_district_pct",
+    },
+    "compare_periods": {"category": "Crime_Type", "change_pct": "Change_pct"},
+    "group_rollup": {"group": "Division", "period": "Year", "total": "Total"},
+    "group_totals": {"group": "Division", "total": "Total"},
+    "peak_best": {
+        "entity": "District",
+        "peak_period": "Peak_year",
+        "peak_total": "Peak_total",
+        "best_period": "Best_year",
+        "best_total": "Best_total",
+        "peak_best_ratio": "Worst_Best_ratio",
+    },
+    "predictions": {
+        "entity": "District",
+        "category": "Crime_Type",
+        "change": "Change_cases",
+        "change_pct": "Change_pct",
+    },
+}
+
+# Columns of the second source; the periods compared; the regime cut-off.
+SECOND_SOURCE_COLUMNS = {
+    "District": "entity",
+    "Year": "period",
+    "Crime_Type": "category",
+    "Cases_Reported": "total",
+}
+SECOND_SOURCE_SECTION_COLUMN = "State"
+COMPARED_PERIODS = (2019, 2020)
+REGIME_CUTOFF = 2016

@@ -103,7 +103,7 @@ def test_written_analyses(spark, tmp_path, panel_of):
     out = pipeline.analyses(df, pipeline.default_lookup(spark), (2019, 2020), 2017, cells=pipeline.panel_cells(df))
     pipeline.write_analyses({n: out[n] for n in ("entity_ranking", "report_cards", "compare_periods")}, str(tmp_path))
     back = spark.read.option("header", True).csv(str(tmp_path / "entity_ranking"))
-    assert back.columns == ["entity", "total", "rank"] and [r["rank"] for r in back.collect()] == ["1", "2", "3"]
+    assert back.columns == ["District", "Total_All_Years", "Rank"] and [r["Rank"] for r in back.collect()] == ["1", "2", "3"]
 
 
 def test_geojson(spark, tmp_path):
@@ -140,3 +140,30 @@ def test_materialised_tables_live_in_the_named_folder(spark):
     assert len(set(folder.glob("panelspark-*")) - before) == 1
     scan = df.select("id").filter("id > 3")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in scan
+
+
+def test_job_end_to_end(spark, tmp_path):
+    from panelspark.plans import job
+
+    for year in range(2016, 2023):
+        folder = tmp_path / "sheets" / str(year)
+        folder.mkdir(parents=True)
+        for n, name in enumerate(("IPC", "SLL")):
+            body = "".join(f"{i},d{i},{year - 2000 + i * 7 + n}\n" for i in range(1, 6))
+            (folder / f"{name}.csv").write_text(f"State: Bihar,,\n1,Patna,3\nState: Uttar Pradesh,,\n{body},Total,99\n")
+    (tmp_path / "second.csv").write_text(
+        "State,District,Year,Crime_Type,Cases_Reported\n"
+        + "".join(f"Uttar Pradesh,d{i},{y},Theft,{i * 3 + y % 5}\nBihar,Patna,{y},Theft,1\n" for i in range(1, 4) for y in range(2014, 2023))
+    )
+    out = tmp_path / "out"
+    argv = ["--sheets", str(tmp_path / "sheets"), "--section", "Uttar Pradesh", "--second", str(tmp_path / "second.csv"),
+            "--out", str(out), "--trees", "5"]
+    job.run(spark, job.parse(argv))
+    panel = spark.read.parquet(str(out / "panel"))
+    assert panel.count() == 7 * 2 * 5 + 3 * 9
+    cards = spark.read.option("header", True).csv(str(out / "analysis" / "report_cards"))
+    assert cards.count() == 5 and "Recent_Trend_pct" in cards.columns
+    predictions = spark.read.option("header", True).csv(str(out / "model" / "predictions"))
+    assert predictions.count() == 13 and "Change_cases" in predictions.columns
+    audit = spark.read.option("header", True).csv(str(out / "audit"))
+    assert {r.status for r in audit.collect()} == {"OK"} and audit.count() == 14
