@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import clamp_count, pct_change_guarded, round_scaled
@@ -123,41 +123,48 @@ def fit_models(
     return out
 
 
-def non_negative(prediction: str = "prediction"):
+def non_negative(prediction: str = "prediction") -> Column:
     return F.greatest(F.lit(0.0), F.col(prediction))
 
 
-def regression_metrics(pred: DataFrame, label: str = "total", prediction: str = "prediction") -> DataFrame:
-    """One row: rows, MAE, RMSE, R2 of the predictions, in one aggregate."""
-    err = F.col(label) - F.col(prediction)
-    return pred.agg(
-        F.count(F.lit(1)).alias("rows"),
+def _metric_columns(label: str, prediction: Column) -> list[Column]:
+    err = F.col(label) - prediction
+    squares = F.sum(err * err)
+    n = F.count(F.lit(1))
+    return [
+        n.alias("rows"),
         round_scaled(F.avg(F.abs(err)), 2).alias("mae"),
         round_scaled(F.sqrt(F.avg(err * err)), 2).alias("rmse"),
-        round_scaled(
-            F.lit(1.0) - F.try_divide(F.sum(err * err), F.var_pop(label) * F.count(F.lit(1))), 4
-        ).alias("r2"),
-    )
+        round_scaled(F.lit(1.0) - F.try_divide(squares, F.var_pop(label) * n), 4).alias("r2"),
+    ]
+
+
+def regression_metrics(pred: DataFrame, label: str = "total", prediction: str = "prediction") -> DataFrame:
+    """One row: rows, MAE, RMSE, R2 of the predictions, in one aggregate."""
+    return pred.agg(*_metric_columns(label, F.col(prediction)))
 
 
 def evaluate(models: Mapping[str, PipelineModel], test: DataFrame, label: str = "total") -> DataFrame:
-    """Metrics of every model on the test rows, predictions cut off at zero. One row per model."""
-    scored = None
+    """Metrics of every model on the test rows, predictions cut off at zero. One row per model.
+
+    All models score in the same pass: the features are assembled once and each
+    model adds its own prediction column. ``rmse_exact`` is not rounded.
+    """
+    scored = next(iter(models.values())).stages[0].transform(test)
+    rows = []
     for name, model in models.items():
-        one = model.transform(test).select(
-            F.lit(name).alias("model"), label, non_negative().alias("prediction")
+        fitted = model.stages[-1]
+        scored = fitted.copy({fitted.predictionCol: f"_{name}"}).transform(scored)
+        prediction = non_negative(f"_{name}")
+        err = F.col(label) - prediction
+        rows.append(
+            F.struct(
+                F.lit(name).alias("model"),
+                *_metric_columns(label, prediction),
+                F.sqrt(F.avg(err * err)).alias("rmse_exact"),
+            )
         )
-        scored = one if scored is None else scored.unionByName(one)
-    err = F.col(label) - F.col("prediction")
-    return scored.groupBy("model").agg(
-        F.count(F.lit(1)).alias("rows"),
-        round_scaled(F.avg(F.abs(err)), 2).alias("mae"),
-        round_scaled(F.sqrt(F.avg(err * err)), 2).alias("rmse"),
-        round_scaled(
-            F.lit(1.0) - F.try_divide(F.sum(err * err), F.var_pop(label) * F.count(F.lit(1))), 4
-        ).alias("r2"),
-        F.sqrt(F.avg(err * err)).alias("rmse_exact"),
-    )
+    return scored.agg(F.array(*rows).alias("m")).select(F.explode("m").alias("m")).select("m.*")
 
 
 def select_best(models: Mapping[str, PipelineModel], metrics: DataFrame) -> tuple[str, PipelineModel]:

@@ -84,12 +84,15 @@ def wide_matrix(
     """One row per ``rows`` key, one column per value of ``columns``, gaps filled with 0.
 
     Conditional sums need one shuffle, on the row key. Pass ``values`` where they
-    are known; otherwise they are looked up first (they become column names, so
-    there are few).
+    are known; otherwise they are looked up first. They become columns, so more
+    than the session's limit for pivots is an error.
     """
     if values is None:
-        found = df.select(columns).distinct().orderBy(columns).collect()
-        values = [r[0] for r in found if r[0] is not None]
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        found = df.select(columns).dropna().distinct().orderBy(columns).limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{columns} has more than {most} values, too many for columns")
+        values = [r[0] for r in found]
     zero = F.lit(0).cast("bigint")
     cells = [
         F.coalesce(F.sum(F.when(F.col(columns) == F.lit(v), F.col(total))), zero).alias(str(v)) for v in values

@@ -140,9 +140,11 @@ def supplier_sheets(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("l_suppkey", "year", "o_orderpriority", "nation")
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty"), F.count(F.lit(1)).alias("n"))
     )
-    named = (
-        sums.join(nations, F.col("nation") == F.col("n_nationkey"))
-        .drop("n_nationkey", "n_regionkey")
+    # A section has at most one row per nation, so it is put together as one array.
+    sections = (
+        sums.join(nations.drop("n_regionkey"), F.col("nation") == F.col("n_nationkey"))
+        .groupBy("l_suppkey", "year", "o_orderpriority")
+        .agg(F.sum("qty").alias("qty"), F.collect_list(F.struct("nation", "n_name", "qty", "n")).alias("nations"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nations.select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
     )
@@ -162,12 +164,6 @@ def supplier_sheets(spark: SparkSession, folder: str) -> DataFrame:
     def sheet_row(offset, *cells):
         return F.struct((F.col("first") + offset).alias("row_idx"), F.concat(*cells).alias("cells"))
 
-    # A section has at most one row per nation, so it is put together as one array.
-    sections = (
-        named.select(path.alias("path"), first.alias("first"), "o_orderpriority", "nation", "n_name", "qty", "n")
-        .groupBy("path", "first", "o_orderpriority")
-        .agg(F.sum("qty").alias("qty"), F.collect_list(F.struct("nation", "n_name", "qty", "n")).alias("nations"))
-    )
     header = sheet_row(F.lit(0), F.array(F.concat(F.lit("State : "), "o_orderpriority")))
     total = sheet_row(
         F.lit(26), F.array(F.lit("26"), F.lit("Total District(s)")), blank, F.array(F.col("qty").cast("string"))
@@ -182,7 +178,8 @@ def supplier_sheets(spark: SparkSession, folder: str) -> DataFrame:
             F.array(F.when(r["n"] == 1, "NA").otherwise(F.concat(r["qty"].cast("string"), F.lit(".0")))),
         ),
     )
-    rows = sections.select("path", F.explode(F.concat(F.array(header), body, F.array(total))).alias("r"))
+    placed = sections.select(path.alias("path"), first.alias("first"), "o_orderpriority", "qty", "nations")
+    rows = placed.select("path", F.explode(F.concat(F.array(header), body, F.array(total))).alias("r"))
     return rows.select("path", "r.row_idx", "r.cells")
 
 
