@@ -35,6 +35,19 @@ from panelspark.schema import PANEL
 from panelspark.sources import readers, sinks
 from panelspark.sources.raw_cells import read_raw_cells
 
+try:
+    from panelspark.llm import registry as llm
+except ModuleNotFoundError as error:  # the subpackage may be left out
+    if not (error.name or "").startswith("panelspark.llm"):
+        raise
+    llm = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as error:
+    if error.name != "corpus_pipeline" and not (error.name or "").startswith("panelspark.llm"):
+        raise
+    corpus_pipeline = None
+
 # Tree counts of the registered model comparison. The library's defaults are the
 # published 200; the comparison here is about the plan, not the model quality.
 SMALL_MODELS = {
@@ -189,6 +202,13 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return panel_queries() | (llm.queries() if llm else {}) | (
+        {"pipeline": corpus_pipeline.run} if llm and corpus_pipeline else {}
+    )
+
+
+def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of the panel library, without those of its ``llm`` subpackage."""
     master, supplier = wh.master_panel, wh.supplier_panel
     return {
         # panel building
@@ -556,6 +576,13 @@ _YEARLY_JSON = "'{' || string_agg('\"' || period || '\":' || total, ',' ORDER BY
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = panel_oracle_sql() | (llm.oracle_sql() if llm else {})
+    if llm and corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
+
+
+def panel_oracle_sql() -> dict[str, str]:
     return {
         "clean_panel": f"""
             SELECT entity, category, period, CASE WHEN category = 'BUILDING' THEN 0 ELSE total END::BIGINT AS total, source

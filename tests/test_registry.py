@@ -29,10 +29,10 @@ def normal(value):
     return "nan" if isinstance(value, float) and math.isnan(value) else repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.panel_oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
-    df = registry.queries()[name](spark, FOLDER)
-    sql = registry.oracle_sql()[name]
+    df = registry.panel_queries()[name](spark, FOLDER)
+    sql = registry.panel_oracle_sql()[name]
     relation = duck.sql(sql)
     columns = sorted(df.columns)
     assert columns == sorted(relation.columns)
@@ -47,7 +47,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_only_fits_lack_an_oracle():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == ROWS_ONLY
+    assert set(registry.panel_queries()) - set(registry.panel_oracle_sql()) == ROWS_ONLY
 
 
 def test_entry(spark):
@@ -78,7 +78,7 @@ def executed_scans(spark, column):
 )
 def test_facts_are_scanned_once_and_pruned(spark, name):
     """Analyses that use a cube several times still read the fact table once."""
-    registry.queries()[name](spark, FOLDER).collect()
+    registry.panel_queries()[name](spark, FOLDER).collect()
     scans = executed_scans(spark, "l_orderkey")
     assert len(scans) == 1
     assert "l_extendedprice" not in scans[0][1] and "l_shipdate" not in scans[0][1]
