@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelspark.plans.lineage import shared_folder
 
@@ -72,17 +73,59 @@ def _byte_lengths(column: pa.Array) -> list:
     return pc.binary_length(column).to_pylist()
 
 
-def map_arrow(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """``mapInArrow``, with this package on the workers' path where it is installed at the same place.
+def importable(spark: SparkSession) -> None:
+    """Put this package on the workers' path where it is installed at the same place.
 
     On a cluster where it is not, ship it with ``--py-files``.
     """
-    environment = df.sparkSession.sparkContext.environment
+    environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, *paths]))
+
+
+def map_arrow(df: DataFrame, make: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with a function of this package that turns an iterator of batches into batches."""
+    importable(df.sparkSession)
     return df.mapInArrow(make, schema)
 
 
+def constant_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table of given values, marked for broadcast."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return F.broadcast(spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The runs of rows with equal keys, each as one table, of batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            run = tuple(values[:, start].tolist())
+            if held and run != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = run
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def matching(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is (``left_semi``) or is not (``left_anti``) in the one column of a table.
+
+    The column gets a name that ``docs`` does not have, so that any columns may come along.
+    """
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    return docs.join(small_side(keys.toDF(name)), key == F.col(name), how)

@@ -3,14 +3,15 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelspark.llm import minhash
-from panelspark.llm.common import read
+from panelspark.llm import bpe, decontaminate, licenses, minhash, quality, sharding, tokens, topk, toxicity, warc
+from panelspark.llm.common import Scratch, read
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _shingle_sql(table: str, key: str) -> str:
+def _shingle_sql(table: str, key: str, lower: str = _LOWER) -> str:
     """Distinct (key, shingle) rows of a table with a text."""
     return f"""
   SELECT DISTINCT id, unnest(CASE
@@ -18,7 +19,7 @@ def _shingle_sql(table: str, key: str) -> str:
            WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
            ELSE []::VARCHAR[] END) AS s
   FROM (SELECT {key} AS id,
-               list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+               list_filter(regexp_split_to_array({lower}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
         FROM {table} WHERE text IS NOT NULL)"""
 
 
@@ -41,12 +42,117 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
        doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
 FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN low ON low.a = doc_id"""
 
+SQL_OP2 = f"""
+WITH d AS ({_shingle_sql('documents', 'doc_id', 'lower(text)')}),
+i AS ({_shingle_sql('benchmark', 'item_id', 'lower(text)')}),
+n AS (SELECT id, count(*) AS q FROM i GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(q)::BIGINT AS n_item_shingles, count(*)::BIGINT AS n_contained,
+       count(*)::DOUBLE / any_value(q)::DOUBLE AS containment
+FROM d JOIN i ON d.s = i.s JOIN n ON n.id = i.id GROUP BY d.id, i.id HAVING 100 * count(*) >= 75 * any_value(q)"""
+
+SQL_OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER w::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5"""
+
+SQL_OP9 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
+r AS (SELECT d, n, max(page_id) AS response FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN response IS DISTINCT FROM page_id AND response IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN response IS DISTINCT FROM page_id THEN response END::BIGINT AS refers_to
+FROM p LEFT JOIN r ON r.d = p.d AND r.n = p.n"""
+
+
+def _licence_sql() -> str:
+    vectors, idf, other, _ = licenses.template_vectors()
+
+    def rows(values: list[tuple]) -> str:
+        return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in row) + ")" for row in values)
+
+    words = "list_filter(regexp_split_to_array(lower(unit), '[^a-z0-9]+'), lambda w: w <> '')"
+    return f"""
+WITH t(licence, template, word, t) AS (VALUES {rows(vectors)}),
+idf(word, idf) AS (VALUES {rows(sorted(idf.items()))}),
+f AS (SELECT doc_id, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), doc_id::VARCHAR) AS path, text FROM documents),
+u AS (
+  SELECT DISTINCT path, whole, {words} AS ws FROM (
+    SELECT path, false AS whole, unnest(regexp_split_to_array(text, '\r?\n')) AS unit FROM f
+    UNION ALL SELECT path, true, text FROM f)),
+tf AS (SELECT path, whole, ws, word, count(*) AS tf FROM (SELECT path, whole, ws, unnest(ws) AS word FROM u) GROUP BY ALL),
+w AS (SELECT path, whole, ws, tf.word, tf * coalesce(idf, {other!r}::DOUBLE) AS w FROM tf LEFT JOIN idf ON idf.word = tf.word),
+norms AS (SELECT path, whole, ws, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dots AS (SELECT path, whole, ws, licence, template, sum(w * t) AS dot FROM w JOIN t ON t.word = w.word GROUP BY ALL),
+s AS (
+  SELECT path, whole, licence, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, whole, ws)
+  WHERE round(dot / norm, 6) >= {licenses.THRESHOLD}),
+own AS (
+  SELECT path, arg_min(licence, (-score, licence)) AS licence, max(score) AS score, bool_or(whole) AS whole FROM s GROUP BY path),
+dir AS (
+  SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_min(licence, (-score, path)) AS from_dir,
+         arg_min(path, (-score, path)) AS licence_path
+  FROM own WHERE whole GROUP BY 1),
+near AS (
+  SELECT path, from_dir, licence_path FROM f JOIN dir ON starts_with(path, CASE WHEN dir = '' THEN '' ELSE dir || '/' END)
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(dir) DESC) = 1)
+SELECT doc_id, coalesce(own.licence, from_dir) AS licence,
+       CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN from_dir IS NOT NULL THEN 'inherited' ELSE 'none' END AS found,
+       score, CASE WHEN own.licence IS NULL THEN near.licence_path END AS licence_path
+FROM f LEFT JOIN own USING (path) LEFT JOIN near USING (path)"""
+
+
+def _licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(licenses.document_files(read(spark, folder, "documents")))
+    doc_id = F.element_at(F.split("path", "/"), -1).cast("bigint")
+    return found.select(doc_id.alias("doc_id"), "licence", "found", "score", "licence_path")
+
+
+def _pages_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = Scratch(spark, "archives").path("warc")
+    warc.write_warc(read(spark, folder, "pages"), path)
+    return warc.archive_index(spark, path)
+
+
+def _token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("files")
+    tokens.write_tokens(read(spark, folder, "documents"), tokenizer(), path)
+    rows = tokens.read_tokens(spark, path)
+    return tokens.global_starts(tokens.checksums(rows), rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": lambda s, d: minhash.near_duplicates(read(s, d, "documents")),
+        "op2_contaminated": lambda s, d: decontaminate.contaminated(read(s, d, "documents"), read(s, d, "benchmark")),
+        "op3_bpe_round_trip": lambda s, d: bpe.round_trip_digests(read(s, d, "documents"), tokenizer()),
+        "op4_quality_sample": lambda s, d: quality.quality(read(s, d, "documents"), read(s, d, "labels")).drop("draw"),
+        "op5_exact_top_k": lambda s, d: topk.exact_top_k(read(s, d, "embeddings"), F.col("vec_id") % 50 == 0),
+        "op6_toxicity": lambda s, d: toxicity.toxicity(read(s, d, "documents"), read(s, d, "labels")),
+        "op7_licences": _licences,
+        "op8_kd_shards": lambda s, d: sharding.kd_shards(read(s, d, "documents")),
+        "op9_warc_round_trip": _pages_round_trip,
+        "op10_token_files": _token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": SQL_OP1}
+    return {
+        "op1_near_duplicates": SQL_OP1,
+        "op2_contaminated": SQL_OP2,
+        "op5_exact_top_k": SQL_OP5,
+        "op7_licences": _licence_sql(),
+        "op9_warc_round_trip": SQL_OP9,
+    }
