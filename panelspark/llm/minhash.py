@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Scratch, map_arrow, small_side, text_slices
+from panelspark.llm.common import Scratch, map_arrow, matching, runs, small_side, text_slices
 from panelspark.llm.components import components
 from panelspark.llm.shingles import mix, shingle_sets
 
@@ -15,10 +15,12 @@ SLOTS = 128
 BANDS = 32
 _ROWS = SLOTS // BANDS
 # A pair of similarity 0.75 agrees in 96 of 128 slots on average with a standard deviation
-# of at most 4.9; one in ten million agrees in fewer than this many.
-MIN_AGREE = 70
+# of at most 4.9; three in a million agree in fewer than this many.
+MIN_AGREE = 74
 # Members of a bucket that one group compares, and so the bound of its memory.
 BLOCK = 1024
+# Hosts, and guests, of a unit that compares full sets.
+UNIT = 512
 _U = np.uint64
 _FRACTION_BITS = 25
 
@@ -131,69 +133,64 @@ def screen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_arrow(both, _agreeing, "a bigint, b bigint")
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The full sets of the documents with the given ids, as a table."""
+    ids = scratch.table(ids, "ids")
+    wanted = docs.select(F.col("doc_id").cast("bigint"), "text").join(small_side(ids), "doc_id", "left_semi")
+    return scratch.table(shingle_table(wanted), "sets")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs of a table whose full sets have 100 * intersection >= 75 * union, as a table."""
-    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    wanted = docs.select(F.col("doc_id").cast("bigint"), "text").join(small_side(ids), "doc_id", "left_semi")
-    sets = scratch.table(shingle_table(wanted), "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, scratch)
     a = sets.withColumnsRenamed({"doc_id": "a", "shingles": "s_a"})
     b = sets.withColumnsRenamed({"doc_id": "b", "shingles": "s_b"})
     common = F.size(F.array_intersect("s_a", "s_b"))
     links = pairs.join(a, "a").join(b, "b").withColumn("common", common)
     links = links.filter(F.col("common") * 100 >= (F.size("s_a") + F.size("s_b") - F.col("common")) * 75)
     out = scratch.table(links.select("a", "b").distinct(), "links")
-    scratch.drop(ids, sets)
+    scratch.drop(sets)
     return out
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different groups that may be similar, within runs of one (key, left, right)."""
-    held: list[pa.RecordBatch] = []
-    current = None
+def _near_members(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
+    """What members of different groups may be similar, within runs of one (key, left, right).
 
-    def close() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        left, right = current[1], current[2]
+    With ``best_only``, each member with the partner whose signature agrees most; else the
+    pairs of groups that have any such members.
+    """
+    for (_, left, right), table in runs(batches, ["key", "left", "right"]):
         rep, label, n, block = (table.column(c).to_numpy() for c in ("rep", "label", "n", "block"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
-        rows = np.flatnonzero(block == left)
         columns = np.flatnonzero(block == right)
-        for i in rows.tolist():
+        found: list[tuple[int, int, int]] = []
+        groups: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(block == left).tolist():
             others = columns if left != right else columns[columns > i]
             low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
             others = others[(label[others] != label[i]) & (high * 75 <= low * 100)]
-            if not len(others):
+            agree = (sig[others] == sig[i]).sum(axis=1)
+            near = agree >= MIN_AGREE
+            if not near.any():
                 continue
-            near = others[(sig[others] == sig[i]).sum(axis=1) >= MIN_AGREE]
-            if len(near):
-                ends = np.minimum(rep[near], rep[i]), np.maximum(rep[near], rep[i])
-                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
-
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("key", "left", "right")])
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for start, stop in zip(cuts, cuts[1:]):
-            if stop == start:
-                continue
-            run = tuple(keys[:, start].tolist())
-            if held and run != current:
-                yield from close()
-                held.clear()
-            current = run
-            held.append(batch.slice(start, stop - start))
-    if held:
-        yield from close()
-
-
-def _bucket_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The screened pairs of members of one bucket that do not yet share a group.
-
-    Buckets that hold one group only, as those of many copies of a text do, are left out.
-    The rest are compared block by block, so that a large bucket is shared by many tasks.
+            if best_only:
+                best = int(agree.argmax())
+                found += [(int(rep[i]), int(rep[others[best]]), int(agree[best]))]
+            else:
+                groups.update((min(int(label[i]), x), max(int(label[i]), x)) for x in np.unique(label[others[near]]).tolist())
+        found = found or [(a, b, 0) for a, b in groups]
+        a, b, agree = zip(*found) if found else ((), (), ())
+        columns_ = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns_, names=["a", "b", "agree"])
+
+
+def _near(named: DataFrame, classes: DataFrame, scratch: Scratch, best_only: bool) -> DataFrame:
+    """Pairs of members of one bucket that do not yet share a group: each member's best, or their groups.
+
+    ``named`` has the buckets' members with the label of their group. Buckets that hold one group only,
+    as those of many copies of a text do, are left out. The rest are compared
+    by signature, block by block, so that a large bucket is shared by many tasks.
     """
-    named = members.join(labels.withColumnsRenamed({"node": "rep", "label": "known"}), "rep", "left").withColumn(
-        "label", F.coalesce("known", "rep")
-    )
     mixed = (
         named.groupBy("key")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
@@ -201,15 +198,87 @@ def _bucket_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, scr
         .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     )
     placed = (
-        named.select("key", "rep", "label")
-        .join(scratch.table(mixed, "mixed"), "key")
+        named.join(scratch.table(mixed, "mixed"), "key")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "rep", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+        .withColumn("left", F.least("block", "other"))
+        .withColumn("right", F.greatest("block", "other"))
+        .select("key", "left", "right", "block", "label", "rep")
         .join(classes.select("rep", "n", "sig"), "rep")
     )
     dealt = placed.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return map_arrow(dealt, _cross_pairs, "a bigint, b bigint").distinct()
+    pairs = map_arrow(dealt, lambda it: _near_members(it, best_only), "a bigint, b bigint, agree int")
+    if best_only:
+        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
+    return scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+
+
+def _links_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links between hosts and guests of each unit, by their full sets."""
+    for _, table in runs(batches, ["home", "host_block", "guest_block"]):
+        rep, label, guest = (np.asarray(table.column(c)) for c in ("rep", "label", "is_guest"))
+        sets = [x.values.to_numpy() for x in table.column("shingles")]
+        sizes = np.array([len(s) for s in sets])
+        hosts = np.flatnonzero(~guest)
+        a, b = [], []
+        if len(hosts):
+            values = np.concatenate([sets[h] for h in hosts])
+            order = np.argsort(values, kind="stable")
+            owner = np.repeat(np.arange(len(hosts)), sizes[hosts])[order]
+            values = values[order]
+            for g in np.flatnonzero(guest).tolist():
+                low, high = (np.searchsorted(values, sets[g], side) for side in ("left", "right"))
+                spans = high - low
+                at = np.repeat(high - np.cumsum(spans), spans) + np.arange(spans.sum())
+                common = np.bincount(owner[at], minlength=len(hosts))
+                linked = (common * 100 >= (sizes[hosts] + sizes[g] - common) * 75) & (label[hosts] != label[g])
+                a += np.minimum(rep[hosts[linked]], rep[g]).tolist()
+                b += np.maximum(rep[hosts[linked]], rep[g]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _links_between(groups: DataFrame, members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """All links between the members of pairs of groups, as a table.
+
+    The larger group of a pair is the home of the other's members. Hosts and guests of a home are cut into blocks,
+    and each pair of blocks is a unit of bounded size that compares full sets; only links leave it. So a
+    set is sent once per unit, not once per pair.
+    """
+    sizes = scratch.table(members.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    size_a, size_b = (sizes.withColumnsRenamed({"label": c, "size": f"size_{c}"}) for c in ("a", "b"))
+    a_hosts = F.col("size_a") >= F.col("size_b")
+    paired = groups.join(size_a, "a").join(size_b, "b").select(
+        F.when(a_hosts, F.col("a")).otherwise(F.col("b")).alias("home"),
+        F.when(a_hosts, F.col("b")).otherwise(F.col("a")).alias("label"),
+        F.greatest("size_a", "size_b").alias("hosts"),
+    )
+    guests = scratch.table(paired.join(members, "label").select("home", "hosts", "label", "rep"), "guests")
+    homes = guests.groupBy("home").agg(
+        F.ceil(F.max("hosts") / UNIT).cast("int").alias("host_blocks"), F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("guest_blocks")
+    )
+    homes = scratch.table(homes, "homes")
+
+    def dealt(rows: DataFrame, own: str, other: str, is_guest: bool) -> DataFrame:
+        block = F.pmod(F.xxhash64("rep"), F.col(f"{own}_blocks")).cast("int")
+        rows = rows.withColumn(f"{own}_block", block)
+        rows = rows.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+        return rows.select("home", "host_block", "guest_block", "label", "rep", F.lit(is_guest).alias("is_guest"))
+
+    hosted = members.withColumn("home", F.col("label")).join(homes, "home")
+    visiting = guests.drop("hosts").join(homes, "home")
+    units = scratch.table(dealt(hosted, "host", "guest", False).union(dealt(visiting, "guest", "host", True)), "units")
+    sets = _sets_of(units.select(F.col("rep").alias("doc_id")).distinct(), docs, scratch)
+    key = ["home", "host_block", "guest_block"]
+    rows = units.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(*key).sortWithinPartitions(*key)
+    out = scratch.table(map_arrow(rows, _links_within, "a bigint, b bigint").distinct(), "links")
+    scratch.drop(sets, guests, units)
+    return out
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the label of their group; those without a link are groups of their own."""
+    known = labels.withColumnsRenamed({"node": "rep", "label": "known"})
+    return members.join(known, "rep", "left").withColumn("label", F.coalesce("known", "rep")).drop("known")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -223,8 +292,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. Classes meet in buckets of equal bands. Each class is tested against the hub of the
        bucket that it shares most bands with, which joins groups of near copies by
        as many tests as they have members.
-    3. Buckets that still hold several groups are compared pair by pair in blocks, by
-       size and signature. No bucket, and no number of partners, is capped.
+    3. In buckets that still hold several groups, size and signature screen members of different
+       groups in blocks. Each class is tested against its best partner; of the groups that then still may
+       be linked, all members are compared in units of bounded size.
+       No bucket, and no number of partners, is capped.
     4. Every link is confirmed on the full sets; large-star and small-star steps find the groups.
 
     A similarity of 0.75 shares no band with probability 5e-6. Texts that are NULL or
@@ -260,9 +331,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     first = verify(scratch.table(screen(spokes, classes), "spokes"), docs, scratch)
     labels = components(first, scratch)
-    rest = scratch.table(_bucket_pairs(members.select("key", "rep"), labels, classes, scratch), "rest")
-    links = first.unionByName(verify(rest, docs, scratch))
+    buckets = members.select("key", "rep")
+    second = verify(_near(_labelled(buckets, labels), classes, scratch, best_only=True), docs, scratch)
+    links = first.unionByName(second)
     labels = components(links, scratch)
+    groups = _near(_labelled(buckets, labels), classes, scratch, best_only=False)
+    last = _links_between(groups, _labelled(buckets.select("rep").distinct(), labels), docs, scratch)
+    labels = components(links.unionByName(last), scratch)
+    scratch.drop(members)
     named = classes.select("f1", "f2", "n", "rep").join(
         labels.withColumnsRenamed({"node": "rep", "label": "known"}), "rep", "left"
     )
@@ -287,9 +363,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "kept")
     kept = near_duplicates(docs).filter("kept and doc_id is not null")
     kept = scratch.table(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")), "kept")
-    repeated = small_side(kept.filter("_times > 1").select(F.col("doc_id").alias("_id")))
-    once = docs.join(small_side(kept.select(F.col("doc_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_semi")
-    if kept.filter("_times > 1").limit(1).count():
-        again = once.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-        once = once.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(again)
+    repeated = scratch.table(kept.filter("_times > 1").select("doc_id"), "repeated")
+    once = matching(docs, F.col("doc_id"), kept.select("doc_id"), "left_semi")
+    if repeated.limit(1).count():
+        again = matching(once, F.col("doc_id"), repeated, "left_semi").dropDuplicates(["doc_id"])
+        once = matching(once, F.col("doc_id"), repeated, "left_anti").unionByName(again)
     return once.unionByName(docs.filter("doc_id is null"))
