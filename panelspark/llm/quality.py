@@ -16,6 +16,8 @@ BUCKETS = 1 << 16
 TARGET = 20_000
 FITTED = 5_000
 SMOOTHING = 1.0
+# Features without evidence that every text has besides its own, so that few features decide little.
+NEUTRAL = 8
 # How many times the log odds count against the Gumbel noise of one draw.
 SHARPNESS = 8.0
 _U = np.uint64
@@ -39,10 +41,10 @@ class Model:
     fit: tuple | None = None
 
     def weigh(self, tokens: np.ndarray) -> tuple[float, float]:
-        """The importance weight's logarithm, and the same per feature."""
+        """The importance weight's logarithm, and the same per feature, ``NEUTRAL`` ones included."""
         found = features(tokens)
         total = float(self.ratios[found].sum())
-        return total, total / max(len(found), 1)
+        return total, total / (len(found) + NEUTRAL)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

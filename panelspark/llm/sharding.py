@@ -187,13 +187,13 @@ def number_slots(placed: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """Write the documents, with all their columns, into one folder per shard."""
+    """Write the documents, with all their columns, into one folder per shard; a column of that name gives way."""
+    docs = docs.drop("shard")
     scratch = Scratch(docs.sparkSession, "shards")
     narrow = scratch.table(metadata(docs), "metadata")
     keyed = scratch.table(_keys(narrow), "keys")
     shard = build_tree(keyed, shards).shard()
-    places = keyed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), shard.alias("shard")).distinct()
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))).drop("_id", "_crc").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    places = keyed.select("doc_id", "text_crc32", shard.alias("shard")).distinct()
+    crc = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    placed = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"]) & (crc == places["text_crc32"]))
+    placed.select(*[docs[c] for c in docs.columns], places["shard"]).write.partitionBy("shard").parquet(path)

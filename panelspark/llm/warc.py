@@ -1,6 +1,6 @@
 """WARC archives of pages, written and read as rows of bounded size.
 
-A payload longer than ``CHUNK_BYTES`` is a run of rows, one per chunk, named by record and
+A payload longer than a chunk is a run of rows, one per chunk, named by record and
 chunk number; in the archive they are the segments of one record. Spark's text source
 and sink move the bytes, so archives lie wherever Spark can read and write, large
 files are split among tasks, and no task holds more of a payload than a chunk beside its input row.
@@ -51,7 +51,7 @@ def revisits(facts: DataFrame) -> DataFrame:
     return shared.select("payload_digest", "payload_bytes", "response")
 
 
-def chunk_ends(payload: memoryview, size: int = CHUNK_BYTES) -> list[int]:
+def chunk_ends(payload: memoryview, size: int) -> list[int]:
     """Where the chunks of a payload end: every ``size`` bytes, and within whatever looks like a record's first line."""
     ends, start, seen = [], 0, 0
     data = payload.obj
@@ -66,7 +66,7 @@ def chunk_ends(payload: memoryview, size: int = CHUNK_BYTES) -> list[int]:
     return ends or [0]
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """One row per record or segment: its header and its block, without the line end that the sink adds."""
     task, count, out, size = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
@@ -75,7 +75,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page, url, payload, length, digest, response = (c[i].as_py() for c in columns)
             revisit = response is not None and response != page
             view = memoryview(b"" if revisit else payload)
-            ends = chunk_ends(view)
+            ends = chunk_ends(view, chunk_bytes)
             record = f"{task:08x}{count:012x}"
             count += 1
             start = 0
@@ -112,7 +112,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
+def write_warc(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write one record per row of ``page_id, url, html`` into archives under ``path``.
 
     The payload is the html in UTF-8 (NULL: empty). Of records with equal payloads of at least
@@ -123,7 +123,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
     facts = payload_facts(pages)
     shared = scratch.table(revisits(facts), "shared")
     rows = facts.join(small_side(shared), ["payload_digest", "payload_bytes"], "left")
-    lines = map_arrow(rows, _records, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = map_arrow(rows, lambda it: _records(it, chunk_bytes), "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n").text(path)
 
 
