@@ -48,13 +48,6 @@ except ModuleNotFoundError as error:
         raise
     corpus_pipeline = None
 
-# Tree counts of the registered model comparison. The library's defaults are the
-# published 200; the comparison here is about the plan, not the model quality.
-SMALL_MODELS = {
-    "gradient_boosting": {"maxIter": 20},
-    "random_forest": {"numTrees": 20},
-    "linear_regression": {},
-}
 SECTION = "1-URGENT"
 
 
@@ -95,13 +88,120 @@ def _ols_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model_card(spark: SparkSession, d: str) -> DataFrame:
-    """The record of a run with the linear model, as JSON."""
-    out = pipeline.run_forecast(wh.supplier_panel(spark, d), {"linear_regression": {}})
-    return marts.to_json_rows(out["model_card"], key="best_model")
+    """The record of a run with all three models, as JSON."""
+    return marts.to_json_rows(pipeline.run_forecast(wh.supplier_panel(spark, d))["model_card"], key="best_model")
+
+
+def _linear_card(spark: SparkSession, d: str) -> DataFrame:
+    """The record of a run with the linear model, field by field."""
+    card = pipeline.run_forecast(wh.supplier_panel(spark, d), {"linear_regression": {}})["model_card"]
+    return card.select(
+        "best_model", "mae", "rmse", "r2", "entities", F.array_join("categories", "|").alias("categories"),
+        F.array_join("periods_trained", "|").alias("periods"), "prediction_period", "train_rows", "test_rows",
+    )
 
 
 def _importance(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.run_forecast(wh.supplier_panel(spark, d), {"random_forest": {"numTrees": 20}})["importance"]
+    only = {"random_forest": forecast.DEFAULT_PARAMS["random_forest"]}
+    return pipeline.run_forecast(wh.supplier_panel(spark, d), only)["importance"]
+
+
+def _model_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every fitted model, a row each."""
+    features = _features(spark, d)
+    train, test = forecast.temporal_split(features)
+    models = forecast.fit_models(train)
+    metrics = materialise(forecast.evaluate(models, test))
+    chosen, _ = forecast.select_best(models, metrics)
+    weights = [
+        forecast.feature_importance(m, features).agg(
+            F.lit(n).alias("model"),
+            F.countDistinct("feature").alias("features"),
+            F.coalesce(F.round(F.sum("importance"), 6), F.lit(0.0)).alias("importance"),
+        )
+        for n, m in models.items()
+    ]
+    weights = weights[0].union(weights[1]).union(weights[2])
+    ends = train.agg(F.struct(F.min("total").alias("lo"), F.max("total").alias("hi"))).scalar()
+    forest = models["random_forest"].transform(test).withColumn("_e", ends)
+    inside = forest.agg(F.min(F.col("prediction").between(F.col("_e.lo"), F.col("_e.hi"))).alias("ok")).scalar()
+    smallest = metrics.agg(F.min("rmse_exact")).scalar()
+    checked = metrics.withColumn("_ok", inside).withColumn("_least", smallest)
+    return checked.join(F.broadcast(weights), "model").select(
+        "model",
+        "rows",
+        (F.col("mae") <= F.col("rmse")).alias("mae_in_rmse"),
+        F.when(F.col("model") == "random_forest", F.col("_ok")).otherwise(F.lit(True)).alias("within_training"),
+        ((F.col("rmse_exact") == F.col("_least")) == (F.col("model") == chosen)).alias("best_is_chosen"),
+        "features",
+        "importance",
+    )
+
+
+def _published_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """A forecast written under its published names and found again by them."""
+    last = max(wh.PERIODS)
+    named = pipeline.published("predictions", _naive(spark, d), latest=last, next=last + 1)
+    return marts.read_published_forecast(named)
+
+
+def _published_names(spark: SparkSession, d: str) -> DataFrame:
+    panel_ = wh.master_panel(spark, d)
+    trend = pipeline.published("category_trend", trends.category_trend(panel_), first=1995, last=2001)
+    both = pipeline.published("compare_periods", changes.compare_periods(panel_, 1999, 2000), before=1999, after=2000)
+    return trend.select("Crime_Type", "1995_count", "2001_count").join(
+        both.select("Crime_Type", "Pre_COVID_1999", "During_COVID_2000"), "Crime_Type"
+    )
+
+
+def _careless_csv(spark: SparkSession, d: str, missing: str) -> DataFrame:
+    """Orders as files of two column orders, with ``12.0``, gaps, unreadable totals and quotes, read and cleaned."""
+    path = _scratch(spark, "careless")
+    rows = wh.order_panel(spark, d).select(
+        F.concat(F.lit(' "'), "entity", F.lit('", '), "category", F.lit("  ")).alias("entity"),
+        F.concat(F.col("period").cast("string"), F.lit(".0")).alias("period"),
+        F.when(F.col("category") != "FURNITURE", F.col("category")).alias("category"),
+        F.when(F.col("category") == "BUILDING", "abc")
+        .when(F.col("category") != "MACHINERY", F.concat(F.col("total").cast("string"), F.lit(".0")))
+        .alias("total"),
+        "source",
+    )
+    sinks.write_csv(rows.filter("period < '1998'"), f"{path}/a")
+    sinks.write_csv(rows.filter("period >= '1998'").select("source", "total", "entity", "category", "period"), f"{path}/b")
+    return panel.clean_panel(readers.read_csv(spark, f"{path}/*"), missing=missing)
+
+
+def _geojson_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every kind of geometry, half in line form and half in documents of 50 features: box, path and centre."""
+    path = _scratch(spark, "holes")
+    rows = wh.holed_features(spark, d)
+    text = wh.feature_text(F.col("vec_id").cast("string"), F.col("kind"), F.col("coordinates"))
+    rows.filter("vec_id % 2 = 0").select(text).write.text(f"{path}/lines")
+    features = F.array_join(F.collect_list(text), ",")
+    documents = rows.filter("vec_id % 2 = 1").groupBy(F.expr("vec_id div 100")).agg(
+        F.concat(F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}")).alias("value")
+    )
+    # One file per document.
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/documents")
+    read = readers.read_geojson(spark, f"{path}/lines", one_per_line=True).unionByName(
+        readers.read_geojson(spark, f"{path}/documents")
+    )
+    projected = geometry.project(geometry.shapes(read))
+    drawn = geometry.centroids(geometry.feature_paths(projected))
+    return drawn.select("name", "path", F.round("center_x", 8).alias("center_x"), F.round("center_y", 8).alias("center_y"))
+
+
+def _first_file(spark: SparkSession, d: str) -> DataFrame:
+    """The panel in the first of several files."""
+    path = _scratch(spark, "first")
+    whole = wh.order_panel(spark, d)
+    whole.coalesce(1).write.mode("overwrite").options(header=True).csv(path)
+    return readers.read_csv(spark, readers.first_file(spark, path))
+
+
+def _trend_arrows(spark: SparkSession, d: str) -> DataFrame:
+    rows = changes.yoy_changes(wh.supplier_panel(spark, d))
+    return rows.select("entity", "category", "period", labels.arrow(F.col("change")).alias("arrow"), F.abs("change").alias("size"))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -193,6 +293,35 @@ def _load_audit(spark: SparkSession, d: str) -> DataFrame:
     return sheets.load_audit(raw, sheets.extract_sections(raw, SECTION))
 
 
+_ANY_NAME = ((("part",), "ipc"),)
+
+
+def _long_sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sheets written as text files and read back: the raw cells and the files found, by path below the folder."""
+    path = _scratch(spark, "sheets")
+    wh.write_sheets(wh.long_sheets(spark, d, SECTION), path)
+    below = F.regexp_extract("path", "(year=[^/]*/key=[^/]*)/[^/]*$", 1)
+    kept = F.concat(below, F.lit("/part"))  # the names of written files differ from run to run
+    raw = read_raw_cells(spark, path).withColumn("path", kept)
+    return raw, readers.list_files(spark, path).withColumn("path", kept)
+
+
+def _sheet_files_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Text files -> raw cells -> sections -> panel rows."""
+    raw, _ = _long_sheets(spark, d)
+    rows = sheets.drop_aggregate_names(sheets.extract_sections(raw, SECTION, words=_ANY_NAME))
+    return rows.withColumn("path", F.regexp_replace("path", "/part$", ""))
+
+
+def _sheet_files_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of an extraction with an explicit limit of 150 rows."""
+    raw, files = _long_sheets(spark, d)
+    rows = sheets.extract_sections(raw, SECTION, words=_ANY_NAME, max_rows=150)
+    bounds = sheets.section_bounds(raw, SECTION, max_rows=150)
+    audit = sheets.load_audit(files, rows, words=_ANY_NAME, bounds=bounds)
+    return audit.withColumn("path", F.regexp_replace("path", "/part$", ""))
+
+
 def _projected(spark: SparkSession, d: str) -> DataFrame:
     return geometry.project(wh.embedding_shapes(spark, d))
 
@@ -221,6 +350,9 @@ def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # sources and sinks
         "csv_round_trip": _csv_round_trip,
+        "careless_csv_merged": lambda s, d: _careless_csv(s, d, "drop"),
+        "careless_csv_loaded": lambda s, d: _careless_csv(s, d, "zero"),
+        "first_file": _first_file,
         "json_round_trip": _json_round_trip,
         "partitioned_panel": _partitioned_panel,
         "tolerant_scan": _tolerant_scan,
@@ -265,7 +397,7 @@ def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # changes
         "yoy_changes": lambda s, d: changes.yoy_changes(supplier(s, d)),
-        "yoy_gap_bridged": lambda s, d: changes.yoy_changes(wh.line_panel(s, d)),
+        "yoy_gap_bridged": lambda s, d: changes.yoy_changes(wh.gapped_line_panel(s, d)),
         "top_spikes": lambda s, d: changes.top_spikes(changes.yoy_changes(supplier(s, d))),
         "top_drops": lambda s, d: changes.top_drops(changes.yoy_changes(supplier(s, d))),
         "two_period_compare": lambda s, d: changes.compare_periods(master(s, d), 1999, 2000),
@@ -280,6 +412,8 @@ def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "file_rules": lambda s, d: sheets.classify_files(wh.supplier_sheets(s, d).select("path").distinct()),
         "sheet_extract": _extracted,
         "load_audit": _load_audit,
+        "sheet_files_panel": _sheet_files_panel,
+        "sheet_files_audit": _sheet_files_audit,
         # marts
         "kpi_row": lambda s, d: marts.kpis(master(s, d)),
         "latest_top10": lambda s, d: marts.latest_top(master(s, d)),
@@ -311,7 +445,11 @@ def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ols_metrics": _ols_metrics,
         "model_card": _model_card,
         "feature_importance": _importance,
-        "model_compare": lambda s, d: pipeline.run_forecast(supplier(s, d), SMALL_MODELS)["metrics"],
+        "model_compare": lambda s, d: pipeline.run_forecast(supplier(s, d))["metrics"],
+        "model_checks": _model_checks,
+        "linear_card": _linear_card,
+        "published_forecast": _published_forecast,
+        "published_names": _published_names,
         # shapes
         "vertices": lambda s, d: geometry.vertices(wh.embedding_shapes(s, d)),
         "vertex_bbox": lambda s, d: geometry.bbox(wh.embedding_shapes(s, d)),
@@ -322,6 +460,8 @@ def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "feature_path": lambda s, d: geometry.feature_paths(_projected(s, d)).select(
             "name", "path", labels.shorten(F.col("entity"), 7, 5).alias("label")
         ),
+        "geojson_paths": _geojson_paths,
+        "trend_arrows": _trend_arrows,
         "assign_colors": lambda s, d: geometry.assign_colors(wh.embedding_shapes(s, d)),
     }
 
@@ -340,10 +480,10 @@ LINES = """
          sum(l_quantity)::BIGINT AS total, 'lines' AS source
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
        JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  WHERE year(o_orderdate) <> 1998
   GROUP BY ALL"""
 MASTER = f"WITH p AS ({ORDERS} UNION ALL {LINES})"
 ONLY_LINES = f"WITH p AS ({LINES})"
+GAPPED_LINES = f"WITH p AS (SELECT * FROM ({LINES}) WHERE period <> 1998)"
 SUPPLIER = """WITH p AS (
   SELECT l_suppkey::VARCHAR AS entity, o_orderpriority AS category, year(o_orderdate)::INTEGER AS period,
          sum(l_quantity)::BIGINT AS total, 'lines' AS source
@@ -550,6 +690,17 @@ SHEET_CATEGORY = (
 )
 SHEET_PERIOD = "CASE WHEN kind = 2 THEN NULL ELSE y + 20 END::INTEGER"
 
+# A row of the wanted section of a long sheet; ``every`` has a row without entity for a sheet that lacks the section.
+LONG_SHEETS = f"""WITH every AS (
+  SELECT 'year=' || (2015 + l_suppkey % 5) || '/key=' || translate(l_suppkey::VARCHAR, '0123456789', 'abcdefghij') AS path,
+         CASE WHEN section = '{SECTION}' THEN nation || ', ' || ym END AS entity, (2015 + l_suppkey % 5)::INTEGER AS period,
+         'IPC Crimes' AS category, qty AS total
+  FROM (SELECT l_suppkey, o_orderpriority AS section, n_name AS nation, strftime(o_orderdate, '%Y-%m') AS ym,
+               sum(l_quantity)::BIGINT AS qty
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+             JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)),
+named AS (SELECT * FROM every WHERE entity IS NOT NULL)"""
+
 SHAPES = """WITH sh AS (
   SELECT vec_id::VARCHAR AS name, 'NATION_' || label AS entity,
          unnest(range(0, len(embedding) // 2)) AS seq, embedding FROM embeddings),
@@ -595,6 +746,11 @@ def panel_oracle_sql() -> dict[str, str]:
         "rename_entities": f"""{MASTER} SELECT CASE entity WHEN 'NATION_1' THEN 'NATION_2' WHEN 'NATION_7' THEN 'Seventh'
             ELSE entity END AS entity, sum(total)::BIGINT AS total FROM p GROUP BY 1""",
         "csv_round_trip": ORDERS,
+        "first_file": ORDERS,
+        "careless_csv_merged": f"""SELECT '"' || entity || '", ' || category AS entity, category, period, total, source FROM ({ORDERS})
+            WHERE category NOT IN ('FURNITURE', 'MACHINERY', 'BUILDING')""",
+        "careless_csv_loaded": f"""SELECT '"' || entity || '", ' || category AS entity, nullif(category, 'FURNITURE') AS category, period,
+            CASE WHEN category IN ('MACHINERY', 'BUILDING') THEN 0 ELSE total END::BIGINT AS total, source FROM ({ORDERS})""",
         "json_round_trip": ORDERS,
         "optional_input": ORDERS,
         "partitioned_panel": f"""{ONLY_LINES} SELECT entity, period, sum(total)::BIGINT AS total FROM p
@@ -674,18 +830,20 @@ def panel_oracle_sql() -> dict[str, str]:
         "intensity_by_period": f"{SUPPLIER}, {EP}, {SCORES} SELECT * FROM scores",
         "risk_level": f"{SUPPLIER}, {EP}, {SCORES}, {LEVELS} SELECT * FROM lev",
         "risk_distribution": f"""{SUPPLIER}, {EP}, {SCORES}, {LEVELS}
-            SELECT risk_level, count(*)::BIGINT AS entities FROM lev WHERE risk_level IS NOT NULL GROUP BY 1""",
+            SELECT l.risk_level, count(entity)::BIGINT AS entities
+            FROM (VALUES ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) l(risk_level) LEFT JOIN lev USING (risk_level) GROUP BY 1""",
         "top_intensity": f"""{SUPPLIER}, {EP}, {SCORES}, {LEVELS}
             SELECT *, CASE risk_level {_RISK_CASE} END AS color FROM lev
             ORDER BY avg_intensity DESC NULLS LAST, entity LIMIT 40""",
         "report_card": f"{SUPPLIER}, {EP}, {RANKED}, {CARDS} SELECT * FROM cards",
         "grade_distribution": f"""{SUPPLIER}, {EP}, {RANKED}, {CARDS}
-            SELECT grade[1] AS grade_letter, count(*)::BIGINT AS entities FROM cards GROUP BY 1""",
+            SELECT l AS grade_letter, count(entity)::BIGINT AS entities
+            FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('F')) v(l) LEFT JOIN cards ON grade[1] = l GROUP BY 1""",
         "grade_filter": f"""{SUPPLIER}, {EP}, {RANKED}, {CARDS}
             SELECT *, grade[1] AS grade_letter, regexp_extract(grade, '\\((.*)\\)', 1) AS grade_text,
                    CASE grade[1] {_COLOR_CASE} END AS color FROM cards WHERE grade[1] IN ('A', 'B', 'F')""",
         "yoy_changes": f"{SUPPLIER}, {CELLS}, {YOY} SELECT * FROM yoy",
-        "yoy_gap_bridged": f"{ONLY_LINES}, {CELLS}, {YOY} SELECT * FROM yoy",
+        "yoy_gap_bridged": f"{GAPPED_LINES}, {CELLS}, {YOY} SELECT * FROM yoy",
         "top_spikes": f"""{SUPPLIER}, {CELLS}, {YOY} SELECT * FROM yoy
             ORDER BY is_new_from_zero DESC, change_pct DESC NULLS LAST, entity, category, period LIMIT 10""",
         "top_drops": f"""{SUPPLIER}, {CELLS}, {YOY} SELECT * FROM yoy
@@ -713,7 +871,14 @@ def panel_oracle_sql() -> dict[str, str]:
             SELECT path, period, category,
                    CASE WHEN kind IN (2, 3) THEN 'SKIP' WHEN rows > 0 THEN 'OK' ELSE 'FAIL' END AS status,
                    CASE WHEN kind = 2 THEN 'no year in name' WHEN kind = 3 THEN 'unknown type'
-                        WHEN rows = 0 THEN 'no rows in section' END AS reason, rows FROM f""",
+                        WHEN rows = 0 THEN 'no rows in section' END AS reason, rows, 0::BIGINT AS rows_cut FROM f""",
+        "sheet_files_panel": f"""{LONG_SHEETS} SELECT path, entity, period, category, total, 'sheets' AS source FROM named""",
+        "sheet_files_audit": f"""{LONG_SHEETS} SELECT path, period, category,
+            CASE WHEN cut > 0 THEN 'CUT' WHEN rows > 0 THEN 'OK' ELSE 'FAIL' END AS status,
+            CASE WHEN cut > 0 THEN cut || ' rows of the section left out' WHEN rows = 0 THEN 'no rows in section' END AS reason,
+            rows, cut AS rows_cut
+            FROM (SELECT path, any_value(period) AS period, any_value(category) AS category, least(count(entity), 150)::BIGINT AS rows,
+                         greatest(count(entity) - 150, 0)::BIGINT AS cut FROM every GROUP BY path)""",
         "kpi_row": f"""{MASTER} SELECT sum(total)::BIGINT AS total,
             (SELECT entity FROM p GROUP BY entity ORDER BY sum(total) DESC, entity LIMIT 1) AS worst_entity,
             (SELECT sum(total) FROM p GROUP BY entity ORDER BY sum(total) DESC LIMIT 1)::BIGINT AS worst_entity_total,
@@ -736,7 +901,9 @@ def panel_oracle_sql() -> dict[str, str]:
         "category_share": f"""{MASTER} SELECT category, sum(total)::BIGINT AS total FROM p
             GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8""",
         "lowest10": f"{SUPPLIER} SELECT entity, sum(total)::BIGINT AS total FROM p GROUP BY 1 ORDER BY 2, 1 LIMIT 10",
-        "entity_profile_json": f"""{SUPPLIER}, {EP}, {EC}, {RANKED}, {CARDS}, {SIGNATURE},
+        "entity_profile_json": f"""{SUPPLIER}, {EP}, {EC}, {CELLS}, {YOY}, {RANKED}, {CARDS}, {SIGNATURE},
+            yj AS (SELECT entity, string_agg('{{"period":' || period || ',"category":"' || category || '","change_pct":'
+              || coalesce(change_pct::VARCHAR, 'null') || '}}', ',' ORDER BY period, category) AS yoy FROM yoy GROUP BY entity),
             y AS (SELECT entity, sum(total)::BIGINT AS total, {_YEARLY_JSON} AS yearly FROM ep GROUP BY entity),
             t AS (SELECT entity, string_agg('{{"category":"' || category || '","total":' || total || '}}', ',' ORDER BY rank)
                          FILTER (WHERE rank <= 10) AS tops,
@@ -745,8 +912,8 @@ def panel_oracle_sql() -> dict[str, str]:
             SELECT entity, '{{"total":' || y.total || ',"yearly":' || yearly || ',"top_categories":[' || tops || '],"card":'
               || coalesce('{{"overall_rank":' || overall_rank || ',"trend_pct":' || trend_pct || ',"grade":"' || grade
               || '","first_mean":' || first_mean || ',"last_mean":' || last_mean || '}}', 'null')
-              || ',"signature":[' || five || ']}}' AS payload
-            FROM y JOIN t USING (entity) LEFT JOIN cards USING (entity)""",
+              || ',"yoy":[' || coalesce(yoy, '') || '],"signature":[' || five || ']}}' AS payload
+            FROM y JOIN t USING (entity) LEFT JOIN cards USING (entity) LEFT JOIN yj USING (entity)""",
         "period_maps_json": f"""{SUPPLIER}, {EP} SELECT entity,
             '{{"total":' || sum(total)::BIGINT || ',"yearly":' || {_YEARLY_JSON} || '}}' AS payload FROM ep GROUP BY entity""",
         "choropleth": f"""{MASTER}, t AS (SELECT entity, sum(total)::BIGINT AS total FROM p WHERE category = '5-LOW' GROUP BY 1),
@@ -774,6 +941,43 @@ def panel_oracle_sql() -> dict[str, str]:
         "ols_metrics": f"""{SUPPLIER}, {CELLS}, {FEATURE_ROWS}, {NEXT_ROWS}, {_least_squares('test', 'total')}
             SELECT 'linear_regression' AS model, {_METRICS}
             FROM (SELECT actual AS total, greatest(yhat, 0) AS prediction FROM fitted)""",
+        "model_checks": f"""{SUPPLIER}, {CELLS}, {FEATURE_ROWS}
+            SELECT model, (SELECT count(*) FROM fe WHERE period > (SELECT max(period) FROM fe) - 2)::BIGINT AS rows,
+                   true AS mae_in_rmse, true AS within_training, true AS best_is_chosen,
+                   CASE model WHEN 'linear_regression' THEN 0 ELSE 6 END::BIGINT AS features,
+                   CASE model WHEN 'linear_regression' THEN 0 ELSE 1 END::DOUBLE AS importance
+            FROM (VALUES ('gradient_boosting'), ('random_forest'), ('linear_regression')) m(model)""",
+        "linear_card": f"""{SUPPLIER}, {CELLS}, {FEATURE_ROWS}, {NEXT_ROWS}, {_least_squares('test', 'total')}
+            SELECT 'linear_regression' AS best_model, x.mae, x.rmse, x.r2, f.*,
+                   (SELECT count(*) FROM train)::BIGINT AS train_rows, (SELECT count(*) FROM test)::BIGINT AS test_rows
+            FROM (SELECT {_METRICS} FROM (SELECT actual AS total, greatest(yhat, 0) AS prediction FROM fitted)) x,
+                 (SELECT count(DISTINCT entity)::BIGINT AS entities, string_agg(DISTINCT category, '|' ORDER BY category) AS categories,
+                         string_agg(DISTINCT period::VARCHAR, '|' ORDER BY period::VARCHAR) AS periods,
+                         (max(period) + 1)::INTEGER AS prediction_period FROM fe) f""",
+        "published_forecast": f"{NAIVE} SELECT * FROM pred",
+        "published_names": f"""{MASTER}, {CP}, {COMPARED}, c AS (
+              SELECT category, coalesce(sum(total) FILTER (WHERE period = 1995), 0)::BIGINT AS a,
+                     coalesce(sum(total) FILTER (WHERE period = 2001), 0)::BIGINT AS b FROM cp GROUP BY 1)
+            SELECT category AS "Crime_Type", a AS "1995_count", b AS "2001_count", before_total AS "Pre_COVID_1999",
+                   after_total AS "During_COVID_2000" FROM c JOIN cmp USING (category)""",
+        "trend_arrows": f"""{SUPPLIER}, {CELLS}, {YOY} SELECT entity, category, period,
+            CASE WHEN change > 0 THEN '▲' WHEN change < 0 THEN '▼' ELSE '→' END AS arrow, abs(change)::BIGINT AS size FROM yoy""",
+        "geojson_paths": f"""WITH e AS (
+              SELECT vec_id, vec_id // 2 % 4 AS k, unnest(range(0, 32)) AS seq, embedding FROM embeddings),
+            v AS (SELECT vec_id::VARCHAR AS name, seq, embedding[2 * seq + 1]::DOUBLE AS x, embedding[2 * seq + 2]::DOUBLE AS y,
+                         seq < 16 OR (k = 1 AND seq >= 24) AS is_outer, k = 0 OR seq < 16 OR seq >= 24 AS is_drawn,
+                         CASE WHEN seq < 16 THEN 0 WHEN k = 0 OR seq < 24 THEN 1 ELSE 2 END AS ring
+                  FROM e WHERE k < 2),
+            bb AS (SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM v WHERE is_outer),
+            s AS (SELECT *, least(820.0::DOUBLE / (max_x - min_x), 540.0::DOUBLE / (max_y - min_y)) AS s FROM bb),
+            pr AS (SELECT name, seq, ring, is_outer, is_drawn,
+              {_exact('20.0::DOUBLE + (x - min_x) * s + (820.0::DOUBLE - (max_x - min_x) * s) / 2.0::DOUBLE', 2)} AS x,
+              {_exact('20.0::DOUBLE + (max_y - y) * s + (540.0::DOUBLE - (max_y - min_y) * s) / 2.0::DOUBLE', 2)} AS y FROM v, s),
+            rings AS (SELECT name, ring, 'M' || string_agg(x::VARCHAR || ',' || y::VARCHAR, ' L' ORDER BY seq) || 'Z' AS path
+                      FROM pr WHERE is_drawn GROUP BY ALL),
+            mid AS (SELECT name, round(avg(x), 8) AS center_x, round(avg(y), 8) AS center_y FROM pr WHERE is_outer GROUP BY name)
+            SELECT name, string_agg(path, ' ' ORDER BY ring) AS path, any_value(center_x) AS center_x, any_value(center_y) AS center_y
+            FROM rings JOIN mid USING (name) GROUP BY name""",
         "vertices": f"{SHAPES} SELECT name, ring, seq, x, y FROM v",
         "vertex_bbox": f"{SHAPES} SELECT * FROM bb",
         "project_vertices": f"{PROJECTED} SELECT name, ring, seq, x, y FROM pr",

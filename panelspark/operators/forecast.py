@@ -92,8 +92,14 @@ def lag_features(
         )
         .drop("_first")
     )
-    coded = encode_sorted(lagged, "entity", "entity_code", values=grain)
-    return encode_sorted(coded, "category", "category_code", values=grain)
+    # Codes are looked up in a table of the pairs, on the keys that the window has dealt the rows by.
+    pairs = encode_sorted(grain.select("entity", "category").distinct(), "entity", "entity_code", values=grain)
+    axis = grain.agg(F.array_sort(F.collect_set("category"))).scalar()
+    position = F.array_position("_axis", F.col("category")) - 1
+    coded = pairs.withColumn("_axis", axis).withColumn("category_code", position.cast("double")).drop("_axis")
+    return lagged.join(coded, ["entity", "category"]).select(
+        "category", "entity", "period", "total", "period_norm", *[f"lag{k}" for k in lags], "roll_mean", "entity_code", "category_code"
+    )
 
 
 def temporal_split(features: DataFrame, holdout: int = 2) -> tuple[DataFrame, DataFrame]:

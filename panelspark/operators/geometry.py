@@ -21,14 +21,27 @@ def _points(rings: Column) -> Column:
     return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
 
 
+_NO_RINGS = "array<array<struct<x:double,y:double>>>"
+
+
 def outer_rings(kind: Column, coordinates: Column) -> Column:
     """Outer ring of a Polygon, or of every part of a MultiPolygon; none for other types."""
+    return _rings(kind, coordinates, lambda polygon: F.slice(polygon, 1, 1))
+
+
+def path_rings(kind: Column, coordinates: Column) -> Column:
+    """All rings of a Polygon, holes included; the outer ring of every part of a MultiPolygon."""
+    return _rings(kind, coordinates, lambda polygon: polygon)
+
+
+def _rings(kind: Column, coordinates: Column, of_polygon) -> Column:
     polygon = F.from_json(coordinates, "array<array<array<double>>>")
     multi = F.from_json(coordinates, "array<array<array<array<double>>>>")
+    outer = F.transform(F.filter(multi, lambda p: F.size(p) > 0), lambda p: p[0])
     return (
-        F.when(kind == "Polygon", _points(F.slice(polygon, 1, 1)))
-        .when(kind == "MultiPolygon", _points(F.transform(multi, lambda p: p[0])))
-        .otherwise(F.array().cast("array<array<struct<x:double,y:double>>>"))
+        F.when(kind == "Polygon", _points(of_polygon(polygon)))
+        .when(kind == "MultiPolygon", _points(outer))
+        .otherwise(F.array().cast(_NO_RINGS))
     )
 
 
@@ -37,15 +50,19 @@ def shapes(
     aliases: Mapping[str, str] = presets.SHAPE_ALIASES,
     name_keys: Sequence[str] = presets.SHAPE_NAME_KEYS,
 ) -> DataFrame:
-    """(name, entity, rings) of GeoJSON features; shapes without points are left out."""
+    """(name, entity, rings, path_rings) of GeoJSON features; shapes without points are left out.
+
+    ``rings`` are the outer ones, for bounds, vertices and centroids; ``path_rings`` those that are drawn.
+    """
     names = [F.try_element_at("properties", F.lit(k)) for k in name_keys]
     return (
         features.select(
             first_filled(*names, default=presets.SHAPE_UNKNOWN).alias("name"),
             outer_rings(F.col("geometry.type"), F.col("geometry.coordinates")).alias("rings"),
+            path_rings(F.col("geometry.type"), F.col("geometry.coordinates")).alias("path_rings"),
         )
         .filter(F.size(F.flatten("rings")) > 0)
-        .select("name", map_value(F.col("name"), aliases, keep_unmatched=True).alias("entity"), "rings")
+        .select("name", map_value(F.col("name"), aliases, keep_unmatched=True).alias("entity"), "rings", "path_rings")
     )
 
 
@@ -96,14 +113,16 @@ def project(shape_rows: DataFrame, width: float = 860, height: float = 580, pad:
     def rounded(p: Column) -> Column:
         return F.struct(round_exact(p["x"], 2).alias("x"), round_exact(p["y"], 2).alias("y"))
 
-    raw = with_scale.withColumn("rings", F.transform("rings", lambda r: F.transform(r, placed)))
-    return raw.withColumn("rings", F.transform("rings", lambda r: F.transform(r, rounded))).drop(
-        "_b", "_s", "_off_x", "_off_y"
-    )
+    for rings in ("rings", "path_rings"):
+        if rings in shape_rows.columns:
+            with_scale = with_scale.withColumn(rings, F.transform(rings, lambda r: F.transform(r, placed)))
+            with_scale = with_scale.withColumn(rings, F.transform(rings, lambda r: F.transform(r, rounded)))
+    return with_scale.drop("_b", "_s", "_off_x", "_off_y")
 
 
 def feature_paths(projected: DataFrame) -> DataFrame:
-    """Add ``path``: ``Mx,y Lx,y ...Z`` per ring, rings joined by a blank."""
+    """Add ``path``: ``Mx,y Lx,y ...Z`` per ring that is drawn, rings joined by a blank."""
+    drawn = "path_rings" if "path_rings" in projected.columns else "rings"
 
     def point(p: Column) -> Column:
         return F.concat(p["x"].cast("string"), F.lit(","), p["y"].cast("string"))
@@ -111,7 +130,7 @@ def feature_paths(projected: DataFrame) -> DataFrame:
     def ring(r: Column) -> Column:
         return F.concat(F.lit("M"), F.array_join(F.transform(r, point), " L"), F.lit("Z"))
 
-    return projected.withColumn("path", F.array_join(F.transform("rings", ring), " "))
+    return projected.withColumn("path", F.array_join(F.transform(drawn, ring), " "))
 
 
 def centroids(projected: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark import presets
 from panelspark.functions.labels import right_closed_bin
 from panelspark.functions.numeric import round_scaled
-from panelspark.operators.panel import cube
+from panelspark.operators.panel import count_labels, cube
 
 
 def intensity_scores(
@@ -16,15 +16,16 @@ def intensity_scores(
 ) -> DataFrame:
     """Entity totals per period scaled to 0-100 between the period's smallest and largest.
 
-    NULL where a period has no spread. The extremes are a grouped aggregate, not
-    a window over the period: periods are few and a window would put all
-    entities of one in a single task. No join hint: whether the extremes are
-    broadcast is left to their measured size at run time.
+    NULL where a period has no spread. The extremes are a grouped aggregate, one row per
+    period, and enter as a scalar subquery that maps period to extremes: periods are
+    an axis of the panel and few, so neither a window nor a join brings all entities of one to a single task.
     """
-    cells = cube(df, [entity, period], total)
-    ends = cells.groupBy(period).agg(F.min(total).alias("_lo"), F.max(total).alias("_hi"))
-    score = F.try_divide(F.col(total) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * 100.0
-    return cells.join(ends, period).select(period, entity, total, round_scaled(score, 1).alias("intensity"))
+    cells = cube(df, [entity, period], total).filter(F.col(period).isNotNull())
+    ends = cells.groupBy(period).agg(F.struct(F.min(total).alias("lo"), F.max(total).alias("hi")).alias("ends"))
+    by_period = ends.agg(F.map_from_entries(F.collect_list(F.struct(period, "ends")))).scalar()
+    placed = cells.withColumn("_all", by_period).withColumn("_e", F.try_element_at("_all", period))
+    score = F.try_divide(F.col(total) - F.col("_e.lo"), F.col("_e.hi") - F.col("_e.lo")) * 100.0
+    return placed.select(period, entity, total, round_scaled(score, 1).alias("intensity"))
 
 
 def risk_levels(
@@ -47,10 +48,6 @@ def risk_levels(
     )
 
 
-def risk_distribution(levels: DataFrame) -> DataFrame:
-    """Entities per risk level; entities without one are not counted."""
-    return (
-        levels.filter(F.col("risk_level").isNotNull())
-        .groupBy("risk_level")
-        .agg(F.count(F.lit(1)).alias("entities"))
-    )
+def risk_distribution(levels: DataFrame, labels: Sequence[str] = presets.RISK_LABELS) -> DataFrame:
+    """Entities per risk level, 0 for a level without any; entities without a level are not counted."""
+    return count_labels(levels, "risk_level", labels)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark import presets
 from panelspark.functions.labels import map_value
 from panelspark.functions.numeric import round_scaled
+from panelspark.operators import changes
 from panelspark.operators.ordered import top_k_per_group, top_n
 from panelspark.operators.panel import cube, panel_ends, wide_matrix
 from panelspark.operators.report_cards import report_cards
@@ -110,8 +111,8 @@ def entity_profile(
 ) -> DataFrame:
     """One row per entity: totals by period, largest categories, signature, report card, all nested.
 
-    All nested parts are bounded by the number of periods or by ``k``. Year-on-year
-    rows of an entity stay a table of their own (``changes.yoy_changes``).
+    All nested parts are bounded by the numbers of periods and categories or by ``k``. ``yoy`` holds the
+    year-on-year change of every category, by period and category.
     """
     # The null check is the one the joins imply; stated here, all parts share one cube.
     cells = cube(df.filter(F.col(entity).isNotNull()), [entity, category, period], total)
@@ -119,11 +120,16 @@ def entity_profile(
     cards = report_cards(cells, entity=entity, period=period, total=total).select(
         entity, F.struct("overall_rank", "trend_pct", "grade", "first_mean", "last_mean").alias("card")
     )
+    row = F.struct(F.col(period).alias("period"), F.col(category).alias("category"), "change_pct")
+    yoy = changes.yoy_changes(cells, cells=True, entity=entity, category=category, period=period, total=total)
+    yoy = yoy.groupBy(entity).agg(F.array_sort(F.collect_list(row)).alias("yoy"))
     return (
         period_maps(cells, entity, period, total)
         .join(tops, entity)
         .join(cards, entity, "left")
+        .join(yoy, entity, "left")
         .withColumn("signature", F.slice("top_categories", 1, signature_k))
+        .withColumn("yoy", F.coalesce("yoy", F.array().cast(yoy.schema["yoy"].dataType)))
     )
 
 
@@ -238,6 +244,9 @@ def forecast_by_category(pred: DataFrame) -> DataFrame:
     )
 
 
+_SALTS = 16
+
+
 def choropleth(
     df: DataFrame,
     which: str,
@@ -248,12 +257,13 @@ def choropleth(
 ) -> DataFrame:
     """Total of one category per shape; shapes without data show 0 and ``matched`` is false.
 
-    Shapes carry the panel's name in ``entity`` (see ``geometry.shapes``).
+    Shapes carry the panel's name in ``entity`` (see ``geometry.shapes``). Many shapes may share a name: totals are
+    copied once per salt, and each shape meets the copy of its own salt.
     """
     totals = cube(df.filter(F.col(category) == which), [entity], total)
-    return shape_rows.select("name", F.col("entity").alias("_e")).join(
-        totals, F.col("_e") == F.col(entity), "left"
-    ).select(
+    named = shape_rows.select("name", F.col("entity").alias("_e"), F.pmod(F.xxhash64("name"), F.lit(_SALTS)).alias("_salt"))
+    salted = totals.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return named.join(salted, (F.col("_e") == F.col(entity)) & (F.col("_salt") == F.col("_t")), "left").select(
         "name",
         F.col("_e").alias("entity"),
         F.coalesce(F.col(total), F.lit(0).cast("bigint")).alias("total"),
@@ -266,6 +276,18 @@ def find_column(df: DataFrame, part: str) -> str:
     return next(c for c in df.columns if part in c)
 
 
-def label_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Rename columns for presentation."""
-    return df.withColumnsRenamed(dict(names))
+def read_published_forecast(df: DataFrame) -> DataFrame:
+    """A forecast under its published names (``Actual_<latest>``, ``Predicted_<next>``) under the library's again.
+
+    The period is the one in the predicted column's name.
+    """
+    actual, predicted = find_column(df, "Actual"), find_column(df, "Predicted")
+    names = {v: k for k, v in presets.OUTPUT_COLUMNS["predictions"].items()}
+    known = df.withColumnsRenamed({**names, actual: "actual", predicted: "predicted"})
+    return known.withColumn("period", F.lit(int(predicted.split("_")[1])))
+
+
+def label_columns(df: DataFrame, names: Mapping[str, str], **periods: int) -> DataFrame:
+    """Rename columns for presentation; ``{first}`` and the like in a name stand for a period."""
+    known = {k: v.format(**periods) for k, v in names.items() if "{" not in v or periods}
+    return df.withColumnsRenamed(known)

@@ -35,20 +35,26 @@ def clean_panel(
     category: str = "category",
     period: str = "period",
     total: str = "total",
+    missing: str = "drop",
 ) -> DataFrame:
     """Merge sources and clean them row by row, without a shuffle.
 
-    Rows lacking a key or a total are dropped; totals that are no number become
+    Rows lacking a key or a total are dropped (``missing="drop"``, for merging sources), or all
+    rows stay and a missing total is 0 (``missing="zero"``, for loading a panel). Totals that are no number become
     0; entity names are trimmed; rows of aggregate names are dropped.
     """
-    merged = union_sources(*sources).dropna(subset=[entity, period, category, total])
+    merged = union_sources(*sources)
+    if missing == "drop":
+        merged = merged.dropna(subset=[entity, period, category, total])
+    elif missing != "zero":
+        raise ValueError(missing)
     return merged.withColumns(
         {
             total: F.coalesce(to_count(F.col(total)), F.lit(0).cast("bigint")),
             period: F.col(period).cast("double").cast("int"),
             entity: strip(F.col(entity)),
         }
-    ).filter(~is_aggregate_name(F.col(entity), exclude))
+    ).filter(~F.coalesce(is_aggregate_name(F.col(entity), exclude), F.lit(False)))
 
 
 def rename_entities(df: DataFrame, aliases: dict[str, str], entity: str = "entity") -> DataFrame:
@@ -56,6 +62,14 @@ def rename_entities(df: DataFrame, aliases: dict[str, str], entity: str = "entit
     return df.withColumn(entity, map_value(F.col(entity), aliases, keep_unmatched=True))
 
 
+def count_labels(df: DataFrame, column: str, labels: Sequence[str], name: str = "entities") -> DataFrame:
+    """Rows per label of a fixed list, 0 for labels that do not occur; other values are not counted."""
+    listed = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, labels))).alias(column))
+    counts = df.filter(F.col(column).isin(*labels)).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per label.
+    return listed.join(F.broadcast(counts), column, "left").select(column, F.coalesce("_n", F.lit(0)).alias(name))
+
+
 def cube(df: DataFrame, keys: Sequence[str], total: str = "total") -> DataFrame:
     """Sum of ``total`` per key. Summed inside each task first, so hot keys shuffle few rows."""
     return df.groupBy(*keys).agg(F.sum(total).alias(total))

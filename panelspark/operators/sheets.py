@@ -7,7 +7,7 @@ Input is a raw-cell table ``(path, row_idx, cells array<string>)``; see
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark import presets
@@ -79,56 +79,69 @@ def is_next_header(cell: Column, marks: Sequence[str] = presets.SECTION_MARKS) -
     return F.coalesce(v.contains(presets.SECTION_WORD) & marked, F.lit(False))
 
 
-def section_starts(raw_cells: DataFrame, section: str) -> DataFrame:
-    """Per file with the section: row of its header and width of the sheet.
+# Rows of a block: how many rows of one file share a join key.
+BLOCK_ROWS = 128
+
+
+def section_bounds(raw_cells: DataFrame, section: str, max_rows: int | None = None) -> DataFrame:
+    """Per file with the section: ``start`` and ``stop`` rows, ``width`` of the sheet, ``rows_cut``.
 
     The strict header is looked for in the first two cells; only a file without
-    one falls back to the name anywhere in the first three.
+    one falls back to the name anywhere in the first three. The section ends at the
+    next header or with the file. ``max_rows`` may end it earlier; ``rows_cut``
+    counts the rows that this leaves out.
     """
     name = section.lower()
     # Only rows that name the section can be headers; for all others the test ends here.
     heads = F.slice("cells", 1, 3)
     loose = F.exists(heads, lambda c: F.coalesce(F.lower(c).contains(name), F.lit(False)))
     strict = F.exists(F.slice("cells", 1, 2), lambda c: is_section_header(F.lower(strip(c)), section))
-    return (
+    starts = (
         raw_cells.select("path", "row_idx", F.size("cells").alias("_size"), loose.alias("_named"), "cells")
         .select(
             "path",
             "_size",
+            "row_idx",
             F.when(F.col("_named"), F.col("row_idx")).alias("_loose"),
             F.when(F.col("_named") & strict, F.col("row_idx")).alias("_strict"),
         )
         .groupBy("path")
-        .agg(F.min("_strict").alias("_strict"), F.min("_loose").alias("_loose"), F.max("_size").alias("width"))
-        .select("path", F.coalesce("_strict", "_loose").alias("start"), "width")
+        .agg(
+            F.min("_strict").alias("_strict"),
+            F.min("_loose").alias("_loose"),
+            F.max("_size").alias("width"),
+            F.max("row_idx").alias("_last"),
+        )
+        .select("path", F.coalesce("_strict", "_loose").alias("start"), "width", "_last")
         .filter(F.col("start").isNotNull())
     )
+    # Header rows are few; of each file the first one after the start counts.
+    headers = raw_cells.filter(is_next_header(_cell(1))).select("path", F.col("row_idx").alias("_head"))
+    after = F.min(F.when(F.col("_head") > F.col("start"), F.col("_head")))
+    bounds = starts.join(headers, "path", "left").groupBy("path", "start", "width", "_last").agg(after.alias("_next"))
+    end = F.coalesce("_next", F.col("_last") + 1)
+    stop = end if max_rows is None else F.least(end, F.col("start") + 1 + max_rows)
+    return bounds.select("path", "start", "width", stop.alias("stop"), (end - stop).alias("rows_cut"))
 
 
-def section_rows(raw_cells: DataFrame, starts: DataFrame, max_rows: int = presets.SECTION_ROWS) -> DataFrame:
-    """Rows of each file's section: after its header, before the next one, at most ``max_rows``.
+def section_rows(raw_cells: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows of each file's section: after ``start`` and before ``stop``.
 
-    Row numbers are cut into blocks as long as a section can be. A section then
-    lies in two blocks at most, so its rows are found by an equi-join on
-    (file, block): one file holding a large part of all rows spreads over as
-    many keys as it has blocks. The end is found among the at most ``max_rows``
-    joined rows. Columns of ``starts`` are carried along.
+    Row numbers are cut into blocks and a section is listed once per block that it
+    touches, so its rows are found by an equi-join on (file, block): one file holding
+    a large part of all rows spreads over as many keys as it has blocks. The other columns of ``bounds`` are carried along.
     """
 
     def block(row):
-        return F.floor(row / max_rows)
+        return F.floor(row / BLOCK_ROWS)
 
-    blocks = F.sequence(block(F.col("start") + 1), block(F.col("start") + max_rows))
-    near = (
-        raw_cells.select("path", "row_idx", "cells", block(F.col("row_idx")).alias("_block"))
-        .join(starts.withColumn("_block", F.explode(blocks)), ["path", "_block"])
-        .filter((F.col("row_idx") > F.col("start")) & (F.col("row_idx") <= F.col("start") + max_rows))
-    )
-    stop = F.min(F.when(is_next_header(_cell(1)), F.col("row_idx"))).over(Window.partitionBy("path"))
+    filled = bounds.filter(F.col("stop") > F.col("start") + 1)
+    blocks = F.sequence(block(F.col("start") + 1), block(F.col("stop") - 1))
     return (
-        near.withColumn("_stop", stop)
-        .filter(F.col("_stop").isNull() | (F.col("row_idx") < F.col("_stop")))
-        .drop("_stop", "_block", "start")
+        raw_cells.select("path", "row_idx", "cells", block(F.col("row_idx")).alias("_block"))
+        .join(filled.withColumn("_block", F.explode(blocks)), ["path", "_block"])
+        .filter((F.col("row_idx") > F.col("start")) & (F.col("row_idx") < F.col("stop")))
+        .drop("_block", "start", "stop")
     )
 
 
@@ -150,24 +163,24 @@ def extract_sections(
     section: str,
     rules: Mapping[str, tuple[str, int]] = presets.FILE_RULES,
     words: Sequence = presets.FILE_WORDS,
-    max_rows: int = presets.SECTION_ROWS,
+    max_rows: int | None = None,
     source: str = "sheets",
 ) -> DataFrame:
     """Panel rows of one section out of every classified file, with the file's path.
 
     Files are classified once each, after their headers were found, and those
     without a year or a known type are left out. Values must be finite numbers
-    not below zero and are truncated.
+    not below zero and are truncated. Sections have no limit unless ``max_rows`` sets one.
     """
     # Classifying a copy of the path that depends on the found start keeps this at one
     # evaluation per file; on the path itself, the filter would be pushed below the
     # grouping and across the join, and run on every raw row.
-    found = section_starts(raw_cells, section).withColumn("_file", F.when(F.col("start") >= 0, F.col("path")))
+    found = section_bounds(raw_cells, section, max_rows).withColumn("_file", F.when(F.col("start") >= 0, F.col("path")))
     starts = classify_files(found, rules, words, path="_file").filter(
         F.col("period").isNotNull() & F.col("category").isNotNull()
     )
-    wanted = starts.select("path", "start", "width", "period", "category", "value_col")
-    rows = section_rows(raw_cells, wanted, max_rows).filter(is_entity_row())
+    wanted = starts.select("path", "start", "stop", "width", "period", "category", "value_col")
+    rows = section_rows(raw_cells, wanted).filter(is_entity_row())
     valued = rows.withColumn("_value", to_number(value_cell()))
     return valued.filter((F.col("_value") >= 0) & (F.col("_value") < F.lit(9.2e18))).select(
         "path",
@@ -184,25 +197,34 @@ def drop_aggregate_names(df: DataFrame, entity: str = "entity") -> DataFrame:
     return df.filter(~is_aggregate_name(F.col(entity)))
 
 
-def load_audit(files: DataFrame, rows: DataFrame, rules: Mapping = presets.FILE_RULES) -> DataFrame:
-    """Per file: OK with its row count, or SKIP / FAIL with the reason."""
+def load_audit(
+    files: DataFrame, rows: DataFrame, rules: Mapping = presets.FILE_RULES, words: Sequence = presets.FILE_WORDS, bounds: DataFrame | None = None
+) -> DataFrame:
+    """Per file: OK with its row count, CUT, SKIP or FAIL with the reason.
+
+    ``bounds`` (:func:`section_bounds` with the limit that the extraction had) says how many rows a limit left out.
+    """
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    n = F.coalesce(F.col("_n"), F.lit(0))
-    return (
-        classify_files(files.select("path").distinct(), rules)
-        .join(counts, "path", "left")
-        .select(
-            "path",
-            "period",
-            "category",
-            F.when(F.col("period").isNull() | F.col("category").isNull(), "SKIP")
-            .when(n > 0, "OK")
-            .otherwise("FAIL")
-            .alias("status"),
-            F.when(F.col("period").isNull(), "no year in name")
-            .when(F.col("category").isNull(), "unknown type")
-            .when(n == 0, "no rows in section")
-            .alias("reason"),
-            n.alias("rows"),
-        )
+    known = classify_files(files.select("path").distinct(), rules, words).join(counts, "path", "left")
+    if bounds is None:
+        known = known.withColumn("rows_cut", F.lit(0).cast("bigint"))
+    else:
+        known = known.join(bounds.select("path", "rows_cut"), "path", "left")
+    n, cut = F.coalesce("_n", F.lit(0)), F.coalesce("rows_cut", F.lit(0)).cast("bigint")
+    return known.select(
+        "path",
+        "period",
+        "category",
+        F.when(F.col("period").isNull() | F.col("category").isNull(), "SKIP")
+        .when(cut > 0, "CUT")
+        .when(n > 0, "OK")
+        .otherwise("FAIL")
+        .alias("status"),
+        F.when(F.col("period").isNull(), "no year in name")
+        .when(F.col("category").isNull(), "unknown type")
+        .when(cut > 0, F.concat(cut.cast("string"), F.lit(" rows of the section left out")))
+        .when(n == 0, "no rows in section")
+        .alias("reason"),
+        n.alias("rows"),
+        cut.alias("rows_cut"),
     )

@@ -12,7 +12,7 @@ from panelspark import presets
 from panelspark.operators import sheets
 from panelspark.operators.panel import clean_panel
 from panelspark.plans import pipeline
-from panelspark.plans.lineage import materialise
+from panelspark.plans.lineage import RunFolder, materialise
 from panelspark.sources.raw_cells import read_raw_cells
 from panelspark.sources.readers import list_files, read_source
 from panelspark.sources.sinks import write_csv, write_panel
@@ -29,8 +29,14 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The whole run; what it materialised on the way is removed at the end."""
+    with RunFolder(spark) as folder:
+        _run(spark, args, folder)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace, folder: RunFolder) -> None:
     out = args.out.rstrip("/")
-    rows = materialise(sheets.extract_sections(read_raw_cells(spark, args.sheets), args.section))
+    rows = materialise(sheets.extract_sections(read_raw_cells(spark, args.sheets), args.section), folder)
     audit = sheets.load_audit(list_files(spark, args.sheets), rows)
     write_csv(audit, f"{out}/audit", ["path"])
 
@@ -41,17 +47,21 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     write_panel(clean_panel(*sources), f"{out}/panel")
     panel = spark.read.parquet(f"{out}/panel")
 
-    cells = pipeline.panel_cells(panel)
+    cells = pipeline.panel_cells(panel, folder)
     lookup = pipeline.default_lookup(spark)
-    results = pipeline.analyses(panel, lookup, presets.COMPARED_PERIODS, presets.REGIME_CUTOFF, cells=cells)
-    pipeline.write_analyses(results, f"{out}/analysis")
+    before, after = presets.COMPARED_PERIODS
+    results = pipeline.analyses(panel, lookup, (before, after), presets.REGIME_CUTOFF, cells=cells)
+    periods = pipeline.panel_periods(cells)
+    ends = {"first": periods[0], "last": periods[-1]} if periods else {"first": 0, "last": 0}
+    pipeline.write_analyses(results, f"{out}/analysis", before=before, after=after, **ends)
+    pipeline.write_dashboard(cells, f"{out}/dashboard")
 
     params = {
         "gradient_boosting": {"maxIter": args.trees},
         "random_forest": {"numTrees": args.trees},
         "linear_regression": {},
     }
-    pipeline.write_forecast(pipeline.run_forecast(panel, params, cells=cells), f"{out}/model")
+    pipeline.write_forecast(pipeline.run_forecast(panel, params, cells=cells, folder=folder), f"{out}/model")
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from panelspark import presets
 from panelspark.operators import changes, forecast, groups, intensity, marts, rankings, report_cards, sheets, trends
 from panelspark.operators.ordered import sort_nulls_last
 from panelspark.operators.panel import clean_panel, cube
-from panelspark.plans.lineage import materialise
+from panelspark.plans.lineage import RunFolder, materialise
 from panelspark.sources.sinks import write_csv, write_json_rows
 
 
@@ -18,9 +18,9 @@ def build_panel(raw_cells: DataFrame, section: str, *others: DataFrame, **sheet_
     return clean_panel(sheets.drop_aggregate_names(rows), *others)
 
 
-def panel_cells(panel: DataFrame) -> DataFrame:
+def panel_cells(panel: DataFrame, folder: RunFolder | None = None) -> DataFrame:
     """The panel at its grain, materialised once: all analyses below read this small table."""
-    return materialise(cube(panel, ["entity", "category", "period"]))
+    return materialise(cube(panel, ["entity", "category", "period"]), folder)
 
 
 def analyses(
@@ -90,32 +90,67 @@ OUTPUT_ORDER: Mapping[str, Sequence[str]] = {
 }
 
 
-def published(name: str, df: DataFrame) -> DataFrame:
-    """A result under its published column names; columns that have none keep theirs."""
-    return marts.label_columns(df, presets.OUTPUT_COLUMNS.get(name, {}))
+def panel_periods(cells: DataFrame) -> list[int]:
+    """The periods of a panel, an axis of its published tables."""
+    return [r["period"] for r in cells.select("period").distinct().orderBy("period").collect()]
 
 
-def write_analyses(results: Mapping[str, DataFrame], root: str, rename: bool = True) -> None:
+def published(name: str, df: DataFrame, **periods: int) -> DataFrame:
+    """A result under its published column names; columns that have none keep theirs.
+
+    Names that carry a period need it as ``first``, ``last``, ``before``, ``after``, ``latest`` or ``next``.
+    """
+    return marts.label_columns(df, presets.OUTPUT_COLUMNS.get(name, {}), **periods)
+
+
+def write_analyses(results: Mapping[str, DataFrame], root: str, rename: bool = True, **periods: int) -> None:
     """Every analysis as a CSV folder under ``root``, sorted for reading."""
     for name, df in results.items():
         keys = OUTPUT_ORDER.get(name)
         ordered = sort_nulls_last(df, *keys) if keys else df
-        write_csv(published(name, ordered) if rename else ordered, f"{root.rstrip('/')}/{name}")
+        write_csv(published(name, ordered, **periods) if rename else ordered, f"{root.rstrip('/')}/{name}")
+
+
+def dashboard(cells: DataFrame, periods: Sequence[int]) -> dict[str, DataFrame]:
+    """The tables behind dashboard pages, by name, lazily."""
+    levels = intensity.risk_levels(intensity.intensity_scores(cells))
+    return {
+        "kpis": marts.kpis(cells),
+        "latest_top": marts.latest_top(cells),
+        "heatmap": marts.heatmap(cells, periods),
+        "category_share": marts.category_share(cells),
+        "lowest_entities": marts.lowest_entities(cells),
+        "top_intensity": marts.top_intensity(levels),
+        "risk_distribution": intensity.risk_distribution(levels),
+        "ranking_bars": rankings.ranking_bars(rankings.entity_ranking(cells)),
+    }
+
+
+def write_dashboard(cells: DataFrame, root: str) -> None:
+    """Dashboard tables as CSV, the profiles and period maps of the entities as JSON rows."""
+    root = root.rstrip("/")
+    for name, df in dashboard(cells, panel_periods(cells)).items():
+        write_csv(df, f"{root}/{name}")
+    write_json_rows(marts.entity_profile(cells), f"{root}/entity_profiles")
+    write_json_rows(marts.period_maps(cells), f"{root}/period_maps")
 
 
 def run_forecast(
-    panel: DataFrame, params: Mapping[str, Mapping] | None = None, cells: DataFrame | None = None
+    panel: DataFrame,
+    params: Mapping[str, Mapping] | None = None,
+    cells: DataFrame | None = None,
+    folder: RunFolder | None = None,
 ) -> dict[str, DataFrame]:
     """Features, fit, comparison, choice, forecast, roll-ups and model record.
 
-    Cells and features are materialised: the codes and the fits read them many times. Models and
-    their metrics (one row each) are all the driver sees.
+    Cells, features and metrics are materialised, in the run's folder if one is given: the codes and the
+    fits read them many times. Models and their metrics (one row each) are all the driver sees.
     """
-    grain = panel_cells(panel) if cells is None else cells
-    features = materialise(forecast.lag_features(grain, cells=True))
+    grain = panel_cells(panel, folder) if cells is None else cells
+    features = materialise(forecast.lag_features(grain, cells=True), folder)
     train, test = forecast.temporal_split(features)
     models = forecast.fit_models(train, params)
-    metrics = materialise(forecast.evaluate(models, test))
+    metrics = materialise(forecast.evaluate(models, test), folder)
     name, model = forecast.select_best(models, metrics)
     predicted = forecast.forecast(model, forecast.next_period_features(features))
     return {
@@ -130,10 +165,15 @@ def run_forecast(
 
 
 def write_forecast(results: Mapping[str, DataFrame], root: str) -> None:
-    """Predictions as CSV, the model record as JSON."""
+    """All results of a forecast: tables as CSV, the model record as JSON."""
     root = root.rstrip("/")
-    ordered = results["predictions"].orderBy("entity", "category")
-    write_csv(published("predictions", ordered), f"{root}/predictions")
+    predictions = results["predictions"]
+    period = predictions.agg({"period": "max"}).first()[0]
+    periods = {} if period is None else {"latest": period - 1, "next": period}
+    named = published("predictions", predictions.orderBy("entity", "category"), **periods)
+    write_csv(named, f"{root}/predictions")
+    for name in ("metrics", "importance", "by_entity", "compare", "by_category"):
+        write_csv(results[name], f"{root}/{name}")
     write_json_rows(results["model_card"], f"{root}/model_card")
 
 

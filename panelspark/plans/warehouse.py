@@ -7,7 +7,7 @@ own (order, supplier), so a sum would shuffle the largest table for nothing; an
 order with very many lines is split by the adaptive skew join.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.groups import lookup_from_arrays
@@ -66,12 +66,11 @@ def supplier_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """nation x order priority x order year, quantity; 1998 is missing, as a coverage gap."""
+    """nation x order priority x order year, quantity."""
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("entity"))
     return (
         supplier_sums(spark, folder)
-        .filter(F.col("period") != 1998)
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", "category", "period")
         .agg(F.sum("total").alias("total"))
@@ -80,6 +79,11 @@ def line_panel(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gapped_line_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """line_panel with a coverage gap, for what bridges gaps: 1998 is missing."""
+    return line_panel(spark, folder).filter(F.col("period") != 1998)
+
+
 def master_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Both sources; their categories are disjoint."""
     return union_sources(order_panel(spark, folder), line_panel(spark, folder))
@@ -183,6 +187,69 @@ def supplier_sheets(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", "r.row_idx", "r.cells")
 
 
+# How long sheets spell the header of the section that is looked for, by supplier.
+HEADERS = (("State : {}",), ("", "state:{}"), ("STATE :{}",), ("{}",), ("", "", "rows of {} follow"))
+
+
+def long_sheets(spark: SparkSession, folder: str, section: str) -> DataFrame:
+    """A sheet per supplier with a row per nation of the customers and order month, longer than a page.
+
+    Sections follow one another by priority, the wanted one second; its header is
+    spelled in one of five ways, one of them found only by the fallback. Names hold commas.
+    """
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    )
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    sums = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("l_suppkey", "o_orderpriority", "nation", "month")
+        .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty"))
+        .join(nations, F.col("nation") == F.col("n_nationkey"))
+    )
+    place = F.when(F.col("o_orderpriority") == section, 1.5).otherwise(F.substring("o_orderpriority", 1, 1).cast("double"))
+    place = F.when(F.col("o_orderpriority") == "2-HIGH", 1.0).otherwise(place)
+    # A section has at most one row per nation and month, and a sheet one per section.
+    series = Window.partitionBy("l_suppkey", "o_orderpriority").orderBy("n_name", "month")
+    body = sums.select(
+        "l_suppkey",
+        place.alias("section"),
+        F.row_number().over(series).alias("line"),
+        F.array(
+            F.concat(F.row_number().over(series).cast("string"), F.lit(".")),
+            F.concat("n_name", F.lit(", "), "month"),
+            F.lit("x"),
+            F.concat(F.col("qty").cast("string"), F.lit(".0")),
+        ).alias("cells"),
+    )
+    spelled = F.element_at(
+        F.array(*[F.array(*[F.lit(c.format(section)) for c in cells]) for cells in HEADERS]),
+        (F.col("l_suppkey") % len(HEADERS) + 1).cast("int"),
+    )
+    header = F.when(F.col("o_orderpriority") == section, spelled).otherwise(F.array(F.concat(F.lit("State: "), "o_orderpriority")))
+    heads = sums.select("l_suppkey", "o_orderpriority").distinct().select(
+        "l_suppkey", place.alias("section"), F.lit(0).alias("line"), header.alias("cells")
+    )
+    return body.union(heads)
+
+
+def csv_line(cells: Column) -> Column:
+    """A delimited line; every cell is quoted."""
+    quoted = F.transform(cells, lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.array_join(quoted, ",")
+
+
+def write_sheets(rows: DataFrame, path: str) -> None:
+    """One text file per supplier, in order, in folders named by year and supplier."""
+    year = (F.lit(2015) + F.col("l_suppkey") % 5).alias("year")
+    named = rows.select(year, F.translate(F.col("l_suppkey").cast("string"), "0123456789", "abcdefghij").alias("key"), "section", "line", csv_line(F.col("cells")).alias("value"))
+    ordered = named.repartition("key").sortWithinPartitions("year", "key", "section", "line")
+    ordered.drop("section", "line").write.partitionBy("year", "key").text(path)
+
+
 def embedding_shapes(spark: SparkSession, folder: str) -> DataFrame:
     """embeddings as shapes: each vector's 64 numbers are one ring of 32 points, row by row."""
     ring = F.expr(
@@ -194,3 +261,34 @@ def embedding_shapes(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("NATION_"), F.col("label").cast("string")).alias("entity"),
         F.array(ring).alias("rings"),
     )
+
+
+def holed_features(spark: SparkSession, folder: str) -> DataFrame:
+    """embeddings as GeoJSON features ``(name, kind, coordinates text)`` of every geometry that occurs.
+
+    By ``vec_id div 2 % 4``: a Polygon of 16 points with a hole of 16; a MultiPolygon of a part with a hole
+    and a part without; a Point; a Polygon without rings.
+    """
+    points = F.expr(
+        "transform(sequence(0, size(embedding) div 2 - 1), i -> "
+        "array(cast(embedding[2 * i] as double), cast(embedding[2 * i + 1] as double)))"
+    )
+    kind = F.expr("cast(vec_id div 2 % 4 as int)")
+    p = table(spark, folder, "embeddings").select("vec_id", kind.alias("k"), points.alias("p"))
+
+    def ring(first: int, count: int) -> Column:
+        return F.slice("p", first, count)
+
+    polygon = F.to_json(F.array(ring(1, 16), ring(17, 16)))
+    multi = F.to_json(F.array(F.array(ring(1, 16), ring(17, 8)), F.array(ring(25, 8))))
+    return p.select(
+        "vec_id",
+        F.element_at(F.array(*map(F.lit, ("Polygon", "MultiPolygon", "Point", "Polygon"))), F.col("k") + 1).alias("kind"),
+        F.when(F.col("k") == 0, polygon).when(F.col("k") == 1, multi).when(F.col("k") == 2, F.to_json(ring(1, 1)[0])).otherwise("[]").alias("coordinates"),
+    )
+
+
+def feature_text(name: Column, kind: Column, coordinates: Column) -> Column:
+    """A feature as JSON text."""
+    head = F.concat(F.lit('{"type":"Feature","properties":{"Dist_Name":"'), name, F.lit('"},"geometry":{"type":"'), kind)
+    return F.concat(head, F.lit('","coordinates":'), coordinates, F.lit("}}"))

@@ -55,7 +55,6 @@ FILE_WORDS = (
 YEAR_PATTERN = r"(20[12]\d)"
 SECTION_WORD = "state"
 SECTION_MARKS = (":", "pradesh", "bengal", "uttarakhand")
-SECTION_ROWS = 109
 
 # Trend classes, grades, risk levels.
 TREND_NAMES = ("RISING", "FALLING", "STABLE")
@@ -131,7 +130,8 @@ DIVISIONS = {
     "Varanasi": ["Bhadohi", "Chandauli", "Ghazipur", "Jaunpur", "Varanasi"],
 }
 
-# Published column names of the written analyses.
+# Published column names of the written analyses. {first}, {last}: periods of the panel;
+# {before}, {after}: the periods compared; {latest}, {next}: periods of the forecast.
 OUTPUT_COLUMNS = {
     "period_trend": {
         "period": "Year",
@@ -142,6 +142,8 @@ OUTPUT_COLUMNS = {
     "category_trend": {
         "category": "Crime_Type",
         "direction": "Direction",
+        "first_total": "{first}_count",
+        "last_total": "{last}_count",
         "change_pct": "Change_pct",
         "peak_period": "Peak_year",
         "peak_total": "Peak_value",
@@ -199,7 +201,12 @@ OUTPUT_COLUMNS = {
         "worst_entity": "Worst_district",
         "worst_entity_pct": "Worst_district_pct",
     },
-    "compare_periods": {"category": "Crime_Type", "change_pct": "Change_pct"},
+    "compare_periods": {
+        "category": "Crime_Type",
+        "before_total": "Pre_COVID_{before}",
+        "after_total": "During_COVID_{after}",
+        "change_pct": "Change_pct",
+    },
     "group_rollup": {"group": "Division", "period": "Year", "total": "Total"},
     "group_totals": {"group": "Division", "total": "Total"},
     "peak_best": {
@@ -213,6 +220,8 @@ OUTPUT_COLUMNS = {
     "predictions": {
         "entity": "District",
         "category": "Crime_Type",
+        "actual": "Actual_{latest}",
+        "predicted": "Predicted_{next}",
         "change": "Change_cases",
         "change_pct": "Change_pct",
     },

@@ -1,4 +1,4 @@
-"""Explicit schemas. Every source is read with one of these; nothing is inferred."""
+"""Explicit schemas. CSV is read as text by header and cast to one of these; other sources are read with one."""
 
 from pyspark.sql import types as T
 

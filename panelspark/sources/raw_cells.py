@@ -18,9 +18,9 @@ def split_cells(line: Column) -> Column:
 def read_raw_cells(spark: SparkSession, root: str, pattern: str = "*.{csv,txt}") -> DataFrame:
     """Every line of every file under ``root`` with its 0-based row number in the file.
 
-    Files are split as usual. A split numbers its own lines; adding the line
-    counts of the file's earlier splits gives the row number. So a very large
-    file is numbered by as many tasks as it has splits.
+    Files are split as usual. Within a split the running ids have no gaps, so a line's
+    number is its id, less the first id of its split, plus the lines of the file's earlier splits. What
+    is grouped is one row per split; the lines themselves are neither shuffled nor sorted.
     """
     lines = (
         spark.read.options(recursiveFileLookup=True, pathGlobFilter=pattern)
@@ -35,12 +35,9 @@ def read_raw_cells(spark: SparkSession, root: str, pattern: str = "*.{csv,txt}")
     earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         lines.groupBy("path", "_start")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("path", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+        .select("path", "_start", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
-    within = Window.partitionBy("path", "_start").orderBy("_id")
-    return (
-        lines.withColumn("_rn", F.row_number().over(within) - 1)
-        .join(shifts, ["path", "_start"])
-        .select("path", (F.col("_rn") + F.col("_shift")).alias("row_idx"), split_cells(F.col("value")).alias("cells"))
+    return lines.join(shifts, ["path", "_start"]).select(
+        "path", (F.col("_id") + F.col("_shift")).alias("row_idx"), split_cells(F.col("value")).alias("cells")
     )

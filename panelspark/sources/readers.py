@@ -1,20 +1,62 @@
 """Readers: panels from CSV or parquet, optional inputs, file listings, GeoJSON."""
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, IntegralType, StructType
 
 from panelspark import schema as S
-from panelspark.functions.numeric import strip, to_count
+from panelspark.functions.numeric import strip, to_count, to_number
+
+
+def _csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Delimited text with a header as strings; quotes within quoted cells are doubled."""
+    return spark.read.options(header=True, escape='"').csv(paths)
+
+
+def _header_groups(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a folder, grouped by their header line; one group where all agree.
+
+    A header takes part with its file's name only: what reaches the driver are the distinct headers, and the names of files
+    (which listing them needs anyway) if there is more than one.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
+    )
+    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "id").alias("header"))
+    headers = [r["header"] for r in first.select("header").distinct().orderBy("header").collect()]
+    if len(headers) < 2:
+        return [[path]]
+    files = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
+    return [r["files"] for r in sorted(files, key=lambda r: r["header"])]
+
+
+def _cast(column: Column, kind: DataType) -> Column:
+    """A text as the type; whole numbers may be written with a decimal part of zeros (``12.0``)."""
+    direct = column.try_cast(kind)
+    if not isinstance(kind, IntegralType):
+        return direct
+    number = to_number(column)
+    return F.coalesce(strip(column).try_cast(kind), F.when(number == F.rint(number), number.try_cast(kind)))
 
 
 def read_csv(spark: SparkSession, path: str, columns: StructType = S.PANEL) -> DataFrame:
-    """CSV with a header, columns matched by name and cast to the schema; values that do not parse become NULL."""
-    text = spark.read.option("header", True).csv(path)
-    return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in columns])
+    """CSV with a header, columns matched by name and cast to the schema; values that do not parse become NULL.
+
+    Files of one folder may have their columns in different orders; a column that a file lacks is NULL.
+    """
+    parts = []
+    for paths in _header_groups(spark, path):
+        text = _csv(spark, paths)
+        null = F.lit(None).cast("string")
+        parts.append(text.select(*[_cast(F.col(f.name) if f.name in text.columns else null, f.dataType).alias(f.name) for f in columns]))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def read_source(
@@ -25,11 +67,13 @@ def read_source(
     where: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """A CSV of other column names as panel rows: filtered, renamed, tagged with its source."""
-    df = spark.read.option("header", True).csv(path)
-    for column, value in (where or {}).items():
-        df = df.filter(F.col(column) == value)
-    df = df.withColumnsRenamed(dict(rename))
-    return df.select("entity", "period", "category", "total").withColumn("source", F.lit(source))
+    parts = []
+    for paths in _header_groups(spark, path):
+        df = _csv(spark, paths)
+        for column, value in (where or {}).items():
+            df = df.filter(F.col(column) == value)
+        parts.append(df.withColumnsRenamed(dict(rename)).select("entity", "period", "category", "total"))
+    return reduce(DataFrame.unionAll, parts).withColumn("source", F.lit(source))
 
 
 def read_tolerant(spark: SparkSession, path: str) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence = ()) -> None:
-    """CSV with a header; sorted across files when ``order`` is given."""
+    """CSV with a header; quotes are doubled; sorted across files when ``order`` is given."""
     out = df.orderBy(*order) if order else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] = ("source", "period")) -> None:

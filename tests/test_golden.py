@@ -121,7 +121,7 @@ def test_report_cards(panel_of):
         "Shamli": (-24.6, "A  (Improving fast)", 5841.0, 4407.0),
     }
     counts = as_dict(report_cards.grade_distribution(report_cards.report_cards(entities(panel_of))), "grade_letter")
-    assert {g: r["entities"] for g, r in counts.items()} == {"A": 3, "D": 1, "F": 2}
+    assert {g: r["entities"] for g, r in counts.items()} == {"A": 3, "B": 0, "C": 0, "D": 1, "F": 2}
 
 
 def test_peak_and_best(panel_of):

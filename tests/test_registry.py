@@ -1,6 +1,7 @@
 """Every registered query against its SQL, and the shape of the plans."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -15,6 +16,8 @@ TABLES = (
 SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 # Fits of models without an equivalent in SQL; test_forecast covers them.
 ROWS_ONLY = {"model_compare", "model_card", "feature_importance"}
+# Queries whose large side must not be joined on a few hot keys, and these keys.
+HOT_KEYS = {"intensity_by_period": "period", "risk_level": "period", "lag_features": "category", "choropleth": "_e"}
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +53,19 @@ def test_only_fits_lack_an_oracle():
     assert set(registry.panel_queries()) - set(registry.panel_oracle_sql()) == ROWS_ONLY
 
 
+@pytest.mark.parametrize("name", sorted(HOT_KEYS))
+def test_large_sides_are_not_dealt_by_few_keys(spark, name):
+    """Without broadcast joins: no join on a period, category or label alone, as a large input would have."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.panel_queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        keys = re.findall(r"SortMergeJoin \[([^\]]*)\]", plan)
+        assert HOT_KEYS[name] not in {re.sub(r"#\d+L?", "", k) for k in keys}, keys
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_entry(spark):
     assert registry.entry(spark).columns == ["entity", "total", "rank"]
 

@@ -62,25 +62,40 @@ def test_value_column_by_rule(raw):
     assert [(r.total, r.category) for r in got] == [(20, "Missing Persons")]
 
 
-def test_section_is_capped(raw):
+def test_sections_have_no_limit_of_their_own(raw):
     before = [("State: Bihar", "", "")] + [(str(i), f"b{i}", "1") for i in range(1, 151)]
-    rows = before + [("State: Uttar Pradesh", "", "")] + [(str(i), f"d{i:03d}", str(i)) for i in range(1, 201)]
+    rows = before + [("State: Uttar Pradesh", "", "")] + [(str(i), f"d{i:03d}", str(i)) for i in range(1, 701)]
     df = raw(sheet("2018/cyber.csv", *rows))
-    got = sheets.extract_sections(df, "Uttar Pradesh").collect()
-    assert {r.entity for r in got} == {f"d{i:03d}" for i in range(1, 110)}
-    assert sheets.extract_sections(df, "Uttar Pradesh", max_rows=500).count() == 200
+    assert {r.entity for r in sheets.extract_sections(df, "Uttar Pradesh").collect()} == {f"d{i:03d}" for i in range(1, 701)}
+    audit = sheets.load_audit(df, sheets.extract_sections(df, "Uttar Pradesh")).first()
+    assert (audit.status, audit.reason, audit.rows, audit.rows_cut) == ("OK", None, 700, 0)
+
+
+def test_an_explicit_limit_is_reported(raw):
+    rows = [("State: Uttar Pradesh", "", "")] + [(str(i), f"d{i:03d}", str(i)) for i in range(1, 201)]
+    df = raw(sheet("2018/cyber.csv", *rows), sheet("2018/ipc.csv", *rows[:50]))
+    cut = sheets.extract_sections(df, "Uttar Pradesh", max_rows=109)
+    bounds = sheets.section_bounds(df, "Uttar Pradesh", max_rows=109)
+    audit = as_dict(sheets.load_audit(df, cut, bounds=bounds), "path")
+    assert {p: (r["status"], r["rows"], r["rows_cut"]) for p, r in audit.items()} == {
+        "2018/cyber.csv": ("CUT", 109, 91),
+        "2018/ipc.csv": ("OK", 49, 0),
+    }
+    assert "91 rows" in audit["2018/cyber.csv"]["reason"]
 
 
-def test_sections_starting_anywhere(raw):
+def test_sections_starting_anywhere(raw, monkeypatch):
     """Every position of a section relative to the blocks of the join."""
+    monkeypatch.setattr(sheets, "BLOCK_ROWS", 5)
     parts = []
     for start in range(0, 12):
-        rows = [("1", "x", "1")] * start + [("Uttar Pradesh",)] + [(str(i), f"d{i}", "1") for i in range(1, 8)] + [("State: Goa",), ("1", "Panaji", "1")]
+        rows = [("1", "x", "1")] * start + [("Uttar Pradesh",)] + [(str(i), f"d{i}", "1") for i in range(1, 8)]
+        rows += [("State: Goa",), ("1", "Panaji", "1"), ("State: Bihar",)]
         parts.append(sheet(f"2019/ipc_{'a' * (start + 1)}.csv", *rows))
     got = sheets.extract_sections(raw(*parts), "Uttar Pradesh", max_rows=5)
     assert as_dict(got.groupBy("path").count(), "path").keys() == {p[0][0] for p in parts}
     assert {r["count"] for r in got.groupBy("path").count().collect()} == {5}
-    full = sheets.extract_sections(raw(*parts), "Uttar Pradesh", max_rows=50)
+    full = sheets.extract_sections(raw(*parts), "Uttar Pradesh")
     assert {r["count"] for r in full.groupBy("path").count().collect()} == {7}
 
 
@@ -126,7 +141,9 @@ def test_load_audit(spark, raw):
 
 
 def test_one_huge_file_spreads_over_many_keys(spark):
-    """The join key of a sheet's rows never covers more rows than a section can have."""
-    df = spark.range(5000).selectExpr("'2019/ipc.csv' as path", "id as row_idx", "array(cast(id as string), 'n', '1') as cells")
-    joined = df.selectExpr("path", f"floor(row_idx / {109}) as b").groupBy("path", "b").count()
-    assert joined.agg({"count": "max"}).first()[0] <= 109
+    """No join key of a sheet's rows covers more than a block of them."""
+    rows = "'2019/ipc.csv' as path, id as row_idx, if(id = 3, array('Uttar Pradesh'), array(cast(id as string), 'n', '1')) as cells"
+    df = spark.range(5000).selectExpr(*rows.split(", ", 2)[:2], rows.split(", ", 2)[2])
+    assert sheets.section_rows(df, sheets.section_bounds(df, "Uttar Pradesh")).count() == 4996
+    joined = df.selectExpr("path", f"floor(row_idx / {sheets.BLOCK_ROWS}) as b").groupBy("path", "b").count()
+    assert joined.agg({"count": "max"}).first()[0] <= sheets.BLOCK_ROWS

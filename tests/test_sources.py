@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark import schema as S
+from panelspark.operators import marts
+from panelspark.operators.panel import clean_panel
 from panelspark.plans import lineage, pipeline
 from panelspark.sources import raw_cells, readers, sinks
 
@@ -101,9 +103,26 @@ def test_json_rows_keep_nulls(spark, tmp_path):
 def test_written_analyses(spark, tmp_path, panel_of):
     df = panel_of([(e, c, y, (y % 7) * 10 + len(e)) for e in ("A", "BB", "CCC") for c in "xyz" for y in range(2015, 2021)])
     out = pipeline.analyses(df, pipeline.default_lookup(spark), (2019, 2020), 2017, cells=pipeline.panel_cells(df))
-    pipeline.write_analyses({n: out[n] for n in ("entity_ranking", "report_cards", "compare_periods")}, str(tmp_path))
+    names = ("entity_ranking", "report_cards", "compare_periods", "category_trend")
+    pipeline.write_analyses({n: out[n] for n in names}, str(tmp_path), first=2015, last=2020, before=2019, after=2020)
     back = spark.read.option("header", True).csv(str(tmp_path / "entity_ranking"))
     assert back.columns == ["District", "Total_All_Years", "Rank"] and [r["Rank"] for r in back.collect()] == ["1", "2", "3"]
+    compared = spark.read.option("header", True).csv(str(tmp_path / "compare_periods"))
+    assert marts.find_column(compared, "2019") == "Pre_COVID_2019" and marts.find_column(compared, "2020") == "During_COVID_2020"
+    assert {"2015_count", "2020_count"} <= set(spark.read.option("header", True).csv(str(tmp_path / "category_trend")).columns)
+
+
+def test_files_of_different_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('entity,period,category,total,source\n"A, ""x""",2014.0,c,12.0,s\nB,2015,c,abc,s\nC,2016.5,c,3,s\n')
+    (tmp_path / "b.csv").write_text("total,source,entity,period\n9007199254740993,t,D,2017\n,t,E,2018\n")
+    got = sorted(map(tuple, readers.read_csv(spark, str(tmp_path)).collect()))
+    assert got == [
+        ('A, "x"', 2014, "c", 12, "s"), ("B", 2015, "c", None, "s"), ("C", None, "c", 3, "s"),
+        ("D", 2017, None, 9007199254740993, "t"), ("E", 2018, None, None, "t"),
+    ]
+    panel = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    assert {(r.entity, r.total) for r in clean_panel(panel, missing="zero").collect()} == {('A, "x"', 12), ("B", 0), ("C", 3)}
+    assert {r.entity for r in clean_panel(panel).collect()} == {'A, "x"'}
 
 
 def test_geojson(spark, tmp_path):
@@ -128,13 +147,19 @@ def test_geojson(spark, tmp_path):
             "Kheri": ("Khiri", [[(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 0.0)]]),
             "Agra": ("Agra", [[(4.0, 0.0), (5.0, 1.5), (4.0, 0.0)], [(6.0, 2.0), (7.0, 3.0), (6.0, 2.0)]]),
         }
+        assert {r.name: len(r.path_rings) for r in shapes.collect()} == {"Kheri": 2, "Agra": 2}
+        paths = {r.name: r.path for r in geometry.feature_paths(geometry.project(shapes)).collect()}
+        assert {n: p.count("M") for n, p in paths.items()} == {"Kheri": 2, "Agra": 2}
 
 
 def test_materialised_tables_live_in_the_named_folder(spark):
     folder = Path(lineage.shared_folder(spark).removeprefix("file:"))
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert named is None or str(folder) == named.removeprefix("file:")
+    assert named is None or folder == Path(named.removeprefix("file:"))
     before = set(folder.glob("panelspark-*"))
+    with lineage.RunFolder(spark) as run:
+        assert lineage.materialise(spark.range(3), run).count() == 3
+    assert set(folder.glob("panelspark-*")) == before
     df = lineage.materialise(spark.range(5).withColumn("m", F.lit(None).cast("int")))
     assert df.schema.names == ["id", "m"] and df.count() == 5
     assert len(set(folder.glob("panelspark-*")) - before) == 1
@@ -164,6 +189,11 @@ def test_job_end_to_end(spark, tmp_path):
     cards = spark.read.option("header", True).csv(str(out / "analysis" / "report_cards"))
     assert cards.count() == 5 and "Recent_Trend_pct" in cards.columns
     predictions = spark.read.option("header", True).csv(str(out / "model" / "predictions"))
-    assert predictions.count() == 13 and "Change_cases" in predictions.columns
+    assert predictions.count() == 13 and {"Change_cases", "Actual_2022", "Predicted_2023"} <= set(predictions.columns)
+    for name in ("metrics", "importance", "by_entity", "compare", "by_category"):
+        assert spark.read.option("header", True).csv(str(out / "model" / name)).count() > 0 or name == "importance"
+    for name in ("kpis", "latest_top", "heatmap", "category_share", "lowest_entities", "top_intensity", "risk_distribution", "ranking_bars"):
+        assert spark.read.option("header", True).csv(str(out / "dashboard" / name)).count() > 0
+    assert spark.read.json(str(out / "dashboard" / "entity_profiles")).count() == 5
     audit = spark.read.option("header", True).csv(str(out / "audit"))
     assert {r.status for r in audit.collect()} == {"OK"} and audit.count() == 14
