@@ -29,7 +29,7 @@ _ODD_GAPS = re.compile("[\x1c-\x1f]")
 _LATIN_END = "\u0250"
 _WORD_END = "</w>"
 # Remembered strings of a worker, in two generations of this many; longer strings are not kept.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 _LONGEST = 64
 _PAIR_BITS = 20
 _ID = np.dtype("<u4")
@@ -45,23 +45,27 @@ def byte_letters() -> list[str]:
 
 
 class Memory(dict):
-    """A mapping of strings that keeps between one and two generations of ``REMEMBERED``."""
+    """A mapping of strings that keeps between one and two generations of ``size`` (``REMEMBERED``)."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], size: int | None = None):
         super().__init__()
         self.make = make
+        self.size = size or REMEMBERED
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: bytes) -> None:
         if len(key) <= _LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
-        return value
 
 
 def chunks(text: str | None) -> list[str]:
@@ -89,7 +93,6 @@ class Words:
         self.split = Split(Regex(pattern), "removed", invert=True)
         self.special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.words = Memory(self.encode_word)
         self.chunk_ids = Memory(self._encode_chunk)
 
     def encode_word(self, word: str) -> bytes:
@@ -98,20 +101,38 @@ class Words:
     def _pre_tokens(self, piece: str) -> list[str]:
         """The pre-tokens of a piece. Beyond the Latin letters, what counts as a letter depends on
         the Unicode version, so the library's own normalizer and pre-tokenizer say it."""
-        if piece.isascii() or max(piece) < _LATIN_END:
-            piece = unicodedata.normalize("NFC", piece).lower()
-            return [piece] if piece.isalpha() else self.pattern.findall(piece)
+        plain = piece.isascii()
+        if plain or max(piece) < _LATIN_END:
+            piece = (piece if plain else unicodedata.normalize("NFC", piece)).lower()
+            if piece.isalpha():
+                return [piece]
+            # One sign or digit after letters is a pre-token of its own.
+            return [piece[:-1], piece[-1]] if piece[:-1].isalpha() else self.pattern.findall(piece)
         piece = self.library.normalizer.normalize_str(piece)
         return [piece[a:b] for _, (a, b) in self.split.pre_tokenize_str(piece)]
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a pre-token. A pre-token that stands alone as a chunk becomes the same, so one memory serves both."""
+        known = self.chunk_ids.get(word)
+        if known is None:
+            known = self.chunk_ids.old.get(word)
+            if known is None:
+                known = self.encode_word(word)
+            self.chunk_ids.keep(word, known)
+        return known
+
     def _encode_chunk(self, chunk: str) -> bytes:
-        pieces = self.special_cut.split(chunk) if "<" in chunk else [chunk]
+        if "<" not in chunk:
+            words = self._pre_tokens(chunk)
+            if len(words) == 1:
+                return self.encode_word(chunk) if words[0] == chunk else self._word(words[0])
+            return b"".join(map(self._word, words))
         out = []
-        for i, piece in enumerate(pieces):
+        for i, piece in enumerate(self.special_cut.split(chunk)):
             if i % 2:
                 out.append(np.array([self.special[piece]], _ID).tobytes())
             elif piece:
-                out.extend(map(self.words.__getitem__, self._pre_tokens(piece)))
+                out.extend(map(self._word, self._pre_tokens(piece)))
         return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:

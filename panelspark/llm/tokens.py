@@ -1,5 +1,7 @@
 """Token ids in Parquet list columns that support selective reads."""
 
+import codecs
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +17,8 @@ from panelspark.llm.common import map_arrow, text_slices
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
+# Writers of a few ids as bytes.
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
 
 
@@ -23,12 +27,13 @@ class LibraryEncoder(Words):
 
     def __init__(self, spec: bytes):
         super().__init__(spec)
-        self._letters = dict(enumerate(byte_letters()))
+        self._letters = "".join(byte_letters())
         self._tokenize = self.library.model.tokenize
 
     def encode_word(self, word: str) -> bytes:
-        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._letters)
-        return np.array([t.id for t in self._tokenize(letters)], _ID).tobytes()
+        letters = word if word.isascii() and word.isprintable() else codecs.charmap_decode(word.encode(), "strict", self._letters)[0]
+        ids = self._tokenize(letters)
+        return _PACKERS[len(ids)](*[t.id for t in ids]) if len(ids) < len(_PACKERS) else np.array([t.id for t in ids], _ID).tobytes()
 
 
 def _encode_part(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,7 @@ def test_memory_forgets_without_changing_results(library, monkeypatch):
         own = bpe.WordBpe(file.read())
     for t in odd_texts()[:500]:
         assert own.encode(t).tolist() == library.encode(t or "", add_special_tokens=False).ids
-    assert len(own.words) <= 20 and len(own.words.old) <= 20
+    assert len(own.chunk_ids) <= 20 and len(own.chunk_ids.old) <= 20
 
 
 def test_real_texts_equal_the_library(spark, library):
