@@ -11,6 +11,8 @@ from panelspark.llm.shingles import mix
 _U = np.uint64
 _TOKENS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 _WORDS = re.compile(r"[^\W_]+")
+# Runs of text whose hashes a task remembers; hashing one anew is cheap.
+_REMEMBERED = 50_000
 _START = _U(0x5851F42D4C957F2D)
 
 
@@ -19,7 +21,7 @@ class TokenHashes:
 
     def __init__(self, words_only: bool = False):
         self.pattern = _WORDS if words_only else _TOKENS
-        self.memory = Memory(self._hash)
+        self.memory = Memory(self._hash, _REMEMBERED)
 
     def _hash(self, chunk: str) -> bytes:
         found = self.pattern.findall(chunk.lower())
