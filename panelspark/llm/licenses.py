@@ -54,6 +54,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 LICENCE_NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
+# Words of most English texts; a marker is one of these only where the others do not suffice.
+ORDINARY = frozenset("a all and any as at be by for free in is it may not of on or that the this to with you".split())
 _WORD = r"[^a-z0-9]+"
 
 
@@ -61,7 +63,8 @@ def template_vectors(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[
     """``(licence, template, word, weight / norm)`` rows, the words' idf, that of all other words, and the markers.
 
     A text without any marker word of a template is below the threshold: the weights of
-    the template's other words together are too small. Few words, of high idf, are enough.
+    the template's other words together are too small. Any words will do that leave so little; long ones
+    are taken first and ordinary ones last, as those occur in most texts of any kind.
     """
     texts = [(name, i, Counter(w for w in re.split(_WORD, t.lower()) if w)) for name, ts in sorted(templates.items()) for i, t in enumerate(ts)]
     seen = Counter(w for _, _, words in texts for w in words)
@@ -72,7 +75,7 @@ def template_vectors(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[
         norm = math.sqrt(sum(x * x for x in weights.values()))
         rows += [(name, i, w, x / norm) for w, x in sorted(weights.items())]
         rest = 1.0
-        for w in sorted(weights, key=lambda w: (-weights[w], w)):
+        for w in sorted(weights, key=lambda w: (w in ORDINARY, -len(w), -idf[w], w)):
             if rest < THRESHOLD * THRESHOLD - 1e-9:
                 break
             markers.add(w)
