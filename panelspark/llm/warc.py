@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import Scratch, map_arrow, small_side
 
 VERSION = b"WARC/1.1\r\n"
+_MARK = VERSION.rstrip()
 CHUNK_BYTES = 64 << 10
 # Equal payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -52,7 +53,10 @@ def revisits(facts: DataFrame) -> DataFrame:
 
 
 def chunk_ends(payload: memoryview, size: int) -> list[int]:
-    """Where the chunks of a payload end: every ``size`` bytes, and within whatever looks like a record's first line."""
+    """Where the chunks of a payload end: every ``size`` bytes, and within whatever looks like a record's first line.
+
+    A line end follows every chunk in the archive, so that line's text alone must not end one either.
+    """
     ends, start, seen = [], 0, 0
     data = payload.obj
     while start < len(payload):
@@ -61,6 +65,8 @@ def chunk_ends(payload: memoryview, size: int) -> list[int]:
         at = data.find(VERSION, seen, min(end + len(VERSION) - 1, len(payload)))
         if at >= 0 and at + 4 <= end:
             end, seen = at + 4, at + 4
+        elif data.endswith(_MARK, start, end):
+            end -= 4
         ends.append(end)
         start = end
     return ends or [0]
@@ -93,7 +99,8 @@ def _records(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa
                 if page is not None:
                     head.append(f"Page-ID: {page}")
                 if url is not None:
-                    head.append("WARC-Target-URI: " + urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=~"))
+                    quoted = urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=~")
+                    head.append("WARC-Target-URI: " + quoted.replace("WARC/1.1", "WARC%2F1.1"))
                 if revisit:
                     head.append(f"Refers-To-Page: {response}")
                     head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")

@@ -236,6 +236,19 @@ def _files(path):
     return sorted(glob.glob(path.removeprefix("file:").replace("//", "/") + "/part-*"))
 
 
+def test_marks_without_a_line_end_of_their_own(spark):
+    mark = "WARC/1.1"
+    payloads = [mark, "x" + mark, mark + "\r", mark * 3, "x" * 492 + mark + "tail", "x" * 492 + mark, "x" * 1492 + mark + "\r\n", "plain"]
+    pages = [(i, f"http://x/{i}/" + (mark if i % 2 else mark + "/y%2F"), p) for i, p in enumerate(payloads)]
+    path = Scratch(spark, "test").path("warc")
+    warc.write_warc(spark.createDataFrame(pages, "page_id bigint, url string, html string"), path, chunk_bytes=500)
+    got = {(r.page_id, r.payload_bytes, r.payload_digest) for r in warc.archive_index(spark, path).collect()}
+    assert got == {(i, len(p), hashlib.sha1(p.encode()).hexdigest()) for i, _, p in pages}
+    chunks = warc.read_warc(spark, path).collect()
+    assert max(len(r.data) for r in chunks) <= 500
+    assert {r.page_id: r.url for r in chunks} == {i: u for i, u, _ in pages}
+
+
 def test_no_pages(spark):
     table = spark.createDataFrame([], "page_id bigint, url string, html string")
     path = Scratch(spark, "test").path("warc")
