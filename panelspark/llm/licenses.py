@@ -74,24 +74,80 @@ def template_vectors(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[
         weights = {w: n * idf[w] for w, n in words.items()}
         norm = math.sqrt(sum(x * x for x in weights.values()))
         rows += [(name, i, w, x / norm) for w, x in sorted(weights.items())]
-        rest = 1.0
-        for w in sorted(weights, key=lambda w: (w in ORDINARY, -len(w), -idf[w], w)):
-            if rest < THRESHOLD * THRESHOLD - 1e-9:
-                break
-            markers.add(w)
-            rest -= (weights[w] / norm) ** 2
+        markers.update(_markers({w: x / norm for w, x in weights.items()}, idf))
     return rows, idf, math.log(1 + len(texts)) + 1, sorted(markers)
 
 
+def _markers(weights: dict[str, float], idf: dict[str, float]) -> list[str]:
+    """The marker words of one template, whose words have these parts of its norm."""
+    markers, rest = [], 1.0
+    for w in sorted(weights, key=lambda w: (w in ORDINARY, -len(w), -idf[w], w)):
+        if rest < THRESHOLD * THRESHOLD - 1e-9:
+            break
+        markers.append(w)
+        rest -= weights[w] ** 2
+    return markers
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORD), lambda w: w != "")
 
 
+def _windows(texts: DataFrame, templates: dict[str, list[str]], scratch: Scratch) -> DataFrame:
+    """``h, windows`` of texts ``h, words``: runs of as many words as a template that may reach the threshold for it.
+
+    Lines do not matter, so a notice may be wrapped, quoted or inside a sentence. A run starts at any word of the
+    template. Its cosine is at most its dot product over the root of its words' summed squares, as
+    a word of n occurrences counts n * n times; runs below the threshold even so are left out.
+    """
+    spark = texts.sparkSession
+    vectors, idf, other, _ = template_vectors(templates)
+    weights, by_template = {}, []
+    for name, i, word, t in vectors:
+        weights.setdefault((name, i), {})[word] = t
+    for number, (key, ts) in enumerate(weights.items()):
+        length = sum(1 for w in re.split(_WORD, templates[key[0]][key[1]].lower()) if w)
+        by_template.append((number, length, _markers(ts, idf)))
+    longest = max(length for _, length, _ in by_template)
+    present = F.filter(
+        F.array(
+            *[
+                F.when(F.arrays_overlap("words", F.array(*map(F.lit, markers))), F.struct(F.lit(n).alias("t"), F.lit(length).alias("len")))
+                for n, length, markers in by_template
+            ]
+        ),
+        lambda x: x.isNotNull(),
+    )
+    some = texts.select("h", F.size("words").alias("n"), present.alias("ts"), "words").filter(F.size("ts") > 0)
+    placed = some.select("h", "n", "ts", F.posexplode("words").alias("pos", "word"))
+    known = constant_table(spark, ["word", "idf"], sorted(idf.items()))
+    each = placed.join(known, "word").select("h", "n", "pos", "word", "idf", F.explode("ts").alias("t"))
+    each = each.select("h", "n", "pos", "word", "idf", "t.t", "t.len")
+    table = constant_table(spark, ["t", "word", "weight"], [(n, w, x) for n, ts in enumerate(weights.values()) for w, x in sorted(ts.items())])
+    # Words of no template all weigh alike, so only the others are rows; these count for what they weigh less.
+    rows = each.join(table, ["t", "word"], "left").select(
+        "h", "n", "pos", "t", "len", "weight",
+        (F.col("idf") * F.coalesce("weight", F.lit(0.0))).alias("dot"),
+        (F.col("idf") * F.col("idf") - F.lit(other * other)).alias("less"),
+        (F.col("pos") / F.col("len")).alias("q"),
+    )
+    # A template's length is 1 in q.
+    over = f"over (partition by h, t order by q range between current row and {1 - 0.5 / longest!r}D following)"
+    summed = rows.select(
+        "h", "pos", "len", "weight",
+        F.expr(f"sum(dot) {over}").alias("dot"),
+        (F.expr(f"sum(less) {over}") + F.least("len", F.col("n") - F.col("pos")) * F.lit(other * other)).alias("squares"),
+    )
+    likely = summed.filter("weight is not null").filter(F.col("dot") >= (THRESHOLD - 1e-6) * F.sqrt("squares"))
+    windows = likely.groupBy("h").agg(F.collect_set(F.struct("pos", "len")).alias("windows"))
+    return scratch.table(windows, "windows")
+
+
 def matches(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """``path, licence, score, whole`` of each file's best template, for files that reach the threshold.
 
-    Compared are every line and the whole text, as bags of words weighted by TF-IDF. ``whole`` says that the
-    whole text matches, as that of a licence file does. Ties go to the first name.
+    Compared are every line, every run of as many words as a template and the whole text, as bags of words
+    weighted by TF-IDF. ``whole`` says that the whole text matches, as that of a licence file does. Ties go to the first name.
     """
     vectors, idf, other, markers = template_vectors(templates)
     marked = F.arrays_overlap("words", F.array(*map(F.lit, markers)))
@@ -99,7 +155,12 @@ def matches(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> Da
     lines = F.transform(F.split("text", r"\r?\n"), lambda l: F.struct(l.alias("unit"), F.lit(False).alias("whole")))
     whole = F.array(F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole")))
     units = texts.select("path", F.explode(F.concat(lines, whole)).alias("u"))
-    units = units.select("path", "u.whole", _words(F.col("u.unit")).alias("words")).filter(marked).distinct()
+    units = units.select("path", "u.whole", _words(F.col("u.unit")).alias("words")).filter(marked)
+    hashed = texts.select("path", F.xxhash64("path", "text").alias("h"), "words")
+    runs = hashed.join(small_side(_windows(hashed, templates, Scratch(files.sparkSession, "notices"))), "h")
+    runs = runs.select("path", "words", F.explode("windows").alias("r"))
+    runs = runs.select("path", F.lit(False).alias("whole"), F.slice("words", F.col("r.pos") + 1, F.col("r.len")).alias("words"))
+    units = units.unionByName(runs).distinct()
     terms = (
         units.withColumn("unit", F.xxhash64("words"))
         .select("path", "whole", "unit", F.explode("words").alias("word"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -236,6 +237,27 @@ def _files(path):
     return sorted(glob.glob(path.removeprefix("file:").replace("//", "/") + "/part-*"))
 
 
+def test_notices_wrapped_over_lines_or_inside_sentences(spark):
+    rnd = random.Random(3)
+    code = "\n".join(f"    value_{k} = compute(alpha{rnd.randrange(99)}, {k})" for k in range(60))
+
+    def header(licence, width, mark):
+        found = textwrap.wrap(licenses.TEMPLATES[licence][1], width)
+        return "".join(f"{mark} {line}\n" for line in found)
+
+    files = [
+        ("a/mit.py", "# Copyright 2020 Some Body\n#\n" + header("MIT", 60, "#") + code, "MIT"),
+        ("a/gpl.c", "/* tool */\n" + header("GPL-3.0", 50, " *") + code, "GPL-3.0"),
+        ("a/apache.js", code + "\n" + header("Apache-2.0", 70, "//") + code, "Apache-2.0"),
+        ("a/line.md", "These notes describe the tool in short. Released under the MIT License. They were written by several people at home.", "MIT"),
+        ("a/code.py", code, None),
+        ("a/words.txt", "The public may use free software with any license that permits it, and people modify it at home.", None),
+    ]
+    rows = [(p, t) for p, t, _ in files]
+    got = {r.path: r.licence for r in licenses.scan(spark.createDataFrame(rows + rows[:1], "path string, text string")).collect()}
+    assert got == {p: licence for p, _, licence in files}
+
+
 def test_marks_without_a_line_end_of_their_own(spark):
     mark = "WARC/1.1"
     payloads = [mark, "x" + mark, mark + "\r", mark * 3, "x" * 492 + mark + "tail", "x" * 492 + mark, "x" * 1492 + mark + "\r\n", "plain"]
