@@ -53,9 +53,111 @@ TEMPLATES = {
     "MPL-2.0": ["This work is subject to the terms of the Mozilla Public License, version 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_DISCLAIMER_BSD = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_CLAUSES_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_THIRD_CLAUSE_BSD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. "
+)
+_NOTICE_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+    "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+    "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+    "Software. "
+)
+_DISCLAIMER_MIT = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+
+def _gnu_notice(work: str, licence: str, version: str, sign: str) -> str:
+    """The notice that the GNU licences ask for at the start of each file."""
+    return (
+        f"This {work} is free software{':' if version[0] == '3' else ';'} you can redistribute it and/or modify it under the "
+        f"terms of the GNU {licence} as published by the Free Software Foundation{sign} either version {version} of the License, "
+        f"or (at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        f"{licence} for more details."
+    )
+
+
+def _gnu_title(licence: str, version: str, date: str, years: str, place: str) -> str:
+    """How the text of a GNU licence begins."""
+    return (
+        f"GNU {licence} Version {version}, {date} Copyright (C) {years} Free Software Foundation, Inc. {place} Everyone is "
+        "permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    )
+
+
+_STREET = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_GPL, _LGPL = "General Public License", "Lesser General Public License"
+# Licence texts and the notices that they ask for, as published. Of long texts the title and the opening.
+PUBLISHED = {
+    "Apache-2.0": [
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND "
+        'DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as '
+        "defined by Sections 1 through 9 of this document."
+    ],
+    "BSD-2-Clause": [_CLAUSES_BSD + _DISCLAIMER_BSD],
+    "BSD-3-Clause": [_CLAUSES_BSD + _THIRD_CLAUSE_BSD + _DISCLAIMER_BSD],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "GPL-2.0": [_gnu_notice("program", _GPL, "2", ";"), _gnu_title(_GPL, "2", "June 1991", "1989, 1991", _STREET)],
+    "GPL-3.0": [_gnu_notice("program", _GPL, "3", ","), _gnu_title(_GPL, "3", "29 June 2007", "2007", "<https://fsf.org/>")],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
+        '"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ],
+    "LGPL-2.1": [_gnu_notice("library", _LGPL, "2.1", ";"), _gnu_title(_LGPL, "2.1", "February 1999", "1991, 1999", _STREET)],
+    "LGPL-3.0": [_gnu_notice("library", _LGPL, "3", ","), _gnu_title(_LGPL, "3", "29 June 2007", "2007", "<https://fsf.org/>")],
+    "MIT": ["MIT License Copyright (c) " + _NOTICE_MIT + _DISCLAIMER_MIT],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, '
+        "contributes to the creation of, or owns Covered Software.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ],
+}
+# Identifiers of the SPDX list besides the names themselves.
+SPDX = {f"{n}{end}": n for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for end in ("-only", "-or-later")}
+for _name in sorted(TEMPLATES.keys() | PUBLISHED.keys()):
+    _ids = [_name, *[i for i, n in SPDX.items() if n == _name]]
+    TEMPLATES[_name] = TEMPLATES.get(_name, []) + PUBLISHED.get(_name, []) + [f"SPDX-License-Identifier: {i}" for i in _ids]
 LICENCE_NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 # Words of most English texts; a marker is one of these only where the others do not suffice.
-ORDINARY = frozenset("a all and any as at be by for free in is it may not of on or that the this to with you".split())
+ORDINARY = frozenset(
+    "a all and any as at be by for free in is it may not of on or that the this to with you "
+    "an are but can do either even from however its must no one only other out so such use used was will your following name more data".split()
+)
 _WORD = r"[^a-z0-9]+"
 
 
@@ -118,21 +220,22 @@ def _windows(texts: DataFrame, templates: dict[str, list[str]], scratch: Scratch
         ),
         lambda x: x.isNotNull(),
     )
-    some = texts.select("h", F.size("words").alias("n"), present.alias("ts"), "words").filter(F.size("ts") > 0)
-    placed = some.select("h", "n", "ts", F.posexplode("words").alias("pos", "word"))
+    # Rows that repeat a path and its text are windowed one by one.
+    some = texts.select(F.monotonically_increasing_id().alias("row"), "h", F.size("words").alias("n"), present.alias("ts"), "words").filter(F.size("ts") > 0)
+    placed = some.select("row", "h", "n", "ts", F.posexplode("words").alias("pos", "word"))
     known = constant_table(spark, ["word", "idf"], sorted(idf.items()))
-    each = placed.join(known, "word").select("h", "n", "pos", "word", "idf", F.explode("ts").alias("t"))
-    each = each.select("h", "n", "pos", "word", "idf", "t.t", "t.len")
+    each = placed.join(known, "word").select("row", "h", "n", "pos", "word", "idf", F.explode("ts").alias("t"))
+    each = each.select("row", "h", "n", "pos", "word", "idf", "t.t", "t.len")
     table = constant_table(spark, ["t", "word", "weight"], [(n, w, x) for n, ts in enumerate(weights.values()) for w, x in sorted(ts.items())])
     # Words of no template all weigh alike, so only the others are rows; these count for what they weigh less.
     rows = each.join(table, ["t", "word"], "left").select(
-        "h", "n", "pos", "t", "len", "weight",
+        "row", "h", "n", "pos", "t", "len", "weight",
         (F.col("idf") * F.coalesce("weight", F.lit(0.0))).alias("dot"),
         (F.col("idf") * F.col("idf") - F.lit(other * other)).alias("less"),
         (F.col("pos") / F.col("len")).alias("q"),
     )
     # A template's length is 1 in q.
-    over = f"over (partition by h, t order by q range between current row and {1 - 0.5 / longest!r}D following)"
+    over = f"over (partition by row, t order by q range between current row and {1 - 0.5 / longest!r}D following)"
     summed = rows.select(
         "h", "pos", "len", "weight",
         F.expr(f"sum(dot) {over}").alias("dot"),

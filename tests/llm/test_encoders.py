@@ -258,6 +258,34 @@ def test_notices_wrapped_over_lines_or_inside_sentences(spark):
     assert got == {p: licence for p, _, licence in files}
 
 
+def test_published_licence_texts(spark):
+    folder = "/usr/share/common-licenses"
+    code = "\n".join(f"    value_{k} = compute(alpha{k}, {k})" for k in range(60))
+    bsd3 = open(f"{folder}/BSD").read()
+    mpl = open(f"{folder}/MPL-2.0").read()
+    notice = mpl[mpl.index("  This Source Code Form is subject") : mpl.index("If it is not possible")]
+    lgpl = open(f"{folder}/LGPL-2.1").read()
+    short = lgpl[lgpl.index("    This library is free") : lgpl.index("    You should have received a copy of the GNU Lesser General Public\n    License along")]
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + licenses._NOTICE_MIT + "\n\n" + licenses._DISCLAIMER_MIT
+    files = [
+        ("bsd/LICENSE", bsd3, "BSD-3-Clause"),
+        ("bsd2/LICENSE", "Copyright 2020\n" + licenses._CLAUSES_BSD + licenses._DISCLAIMER_BSD, "BSD-2-Clause"),
+        ("bsd/src/x.c", code, "BSD-3-Clause"),
+        ("mit/terms", mit, "MIT"),
+        ("mit/src/x.c", code, "MIT"),
+        ("x/mpl.js", notice + code, "MPL-2.0"),
+        ("x/lgpl.c", short + code, "LGPL-2.1"),
+        *[(f"x/spdx{k}.c", f"// SPDX-License-Identifier: {i}\n" + code, n) for k, (i, n) in enumerate([("MIT", "MIT"), ("GPL-2.0-only", "GPL-2.0"), ("BSD-3-Clause", "BSD-3-Clause")])],
+        *[(f"full{n}/COPYING", open(f"{folder}/{n}").read(), f"{n}.0") for n in ("GPL-2", "GPL-3", "LGPL-3")],
+        *[(f"full{n}/LICENSE", open(f"{folder}/{n}").read(), n) for n in ("Apache-2.0", "MPL-2.0", "LGPL-2.1")],
+        ("fullGPL-3/x.c", code, "GPL-3.0"),
+        ("x/code.c", code, None),
+    ]
+    rows = [(p, t) for p, t, _ in files]
+    got = {r.path: r.licence for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {p: licence for p, _, licence in files}
+
+
 def test_marks_without_a_line_end_of_their_own(spark):
     mark = "WARC/1.1"
     payloads = [mark, "x" + mark, mark + "\r", mark * 3, "x" * 492 + mark + "tail", "x" * 492 + mark, "x" * 1492 + mark + "\r\n", "plain"]
