@@ -205,6 +205,23 @@ def test_toxic_documents_are_found(spark, corpus):
     assert kept.count() == sum(r.predicted == 0 for r in rows)
 
 
+def test_a_fixed_phrase_repeated_in_many_documents_counts(spark):
+    rnd = random.Random(11)
+    rows = []
+    for d in range(1500):
+        text = words(rnd, rnd.randrange(30, 200))
+        if d % 7 == 0:
+            at = rnd.randrange(len(text))
+            text[at:at] = ["utter", "nitwit"]
+        elif d % 7 < 3:
+            at = rnd.randrange(len(text))
+            text[at:at] = ["utter", rnd.choice(["calm", "joy", "peace"])]
+        rows.append((d, " ".join(text)))
+    labels = spark.createDataFrame([(d, 1, int(d % 7 == 0)) for d, _ in rows if d % 2], "doc_id bigint, quality int, toxic int")
+    got = toxicity.toxicity(odd_documents(spark, rows), labels).filter("held_out").collect()
+    assert sum(r.predicted != int(r.doc_id % 7 == 0) for r in got) <= 3
+
+
 def test_held_out_labels_are_not_read(spark, corpus):
     docs, labels, _, _ = corpus
     from pyspark.sql import functions as F
