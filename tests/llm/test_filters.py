@@ -222,6 +222,16 @@ def test_a_fixed_phrase_repeated_in_many_documents_counts(spark):
     assert sum(r.predicted != int(r.doc_id % 7 == 0) for r in got) <= 3
 
 
+def test_all_labelled_documents_are_counted(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('some text ', id % 50) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 9 = 0 as int) as toxic")
+    counted = []
+    count_model = toxicity.count_model
+    monkeypatch.setattr(toxicity, "count_model", lambda train, scratch: counted.append(train.count()) or count_model(train, scratch))
+    toxicity.train_model(docs, labels)
+    assert counted == [labels.filter(toxicity.fold(labels.doc_id).isin(1, 2, 3)).count()] and counted[0] > 10_000
+
+
 def test_held_out_labels_are_not_read(spark, corpus):
     docs, labels, _, _ = corpus
     from pyspark.sql import functions as F
