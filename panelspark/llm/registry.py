@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, decontaminate, licenses, minhash, quality, sharding, tokens, topk, toxicity, warc
+from panelspark.llm import bpe, decontaminate, licenses, minhash, quality, repair, rules, sharding, spelling, tokens, topk, toxicity, warc
 from panelspark.llm.common import Scratch, read
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,6 +70,149 @@ SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest,
        CASE WHEN response IS DISTINCT FROM page_id THEN response END::BIGINT AS refers_to
 FROM p LEFT JOIN r ON r.d = p.d AND r.n = p.n"""
 
+_WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+_RULES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS_SQL} AS w FROM documents),
+win AS (SELECT r, i, w[i:i + 2] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM win QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+rep AS (SELECT r, count(DISTINCT pos) AS n FROM again GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN rep USING (r)),
+f AS (
+  SELECT * EXCLUDE (l), (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+         + 8 * (100 * n_dup_lines > 40 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
+         + 32 * (word_chars > 20 * n_words)::BIGINT AS failed FROM m)"""
+
+SQL_OP11 = f"""{_RULES_SQL}
+SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, 'prose-2' AS policy FROM f"""
+
+SQL_ABLATIONS = f"""{_RULES_SQL},
+r(rule, bit) AS (VALUES ('few_words', 0), ('repeated_words', 1), ('many_symbols', 2), ('repeated_lines', 3), ('short_words', 4), ('long_words', 5))
+SELECT rule, bit::INTEGER AS bit, count(*) FILTER (WHERE failed & (1 << bit) <> 0) AS failed,
+       count(*) FILTER (WHERE failed = 1 << bit) AS decisive,
+       coalesce(sum(n_words) FILTER (WHERE failed = 1 << bit), 0)::BIGINT AS decisive_words,
+       count(*) FILTER (WHERE failed & (63 - (1 << bit)) = 0) AS kept_without,
+       coalesce(bit_and(failed) FILTER (WHERE failed & (1 << bit) <> 0), 63)::BIGINT AS always_with,
+       (63 - coalesce(bit_or(failed) FILTER (WHERE failed & (1 << bit) <> 0), 0))::BIGINT AS never_with
+FROM r LEFT JOIN f ON true GROUP BY rule, bit"""
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text of code points below U+0100, a byte at a time."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    units = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)"
+    units = f"flatten(list_transform({units}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END))"
+    step = f"xor(a >> 8, ({table}::BIGINT[])[(xor(a, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {units}), lambda a, b: {step}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by going through each conversation row by row, with the cheapest and least edits up to each state."""
+
+    def least(options: list[tuple[str, int, str]]) -> str:
+        """Of ``(cost and edits so far, cost, edit)`` the cheapest, then least in ASCII."""
+        made = [f"CASE WHEN {c} IS NOT NULL THEN struct_pack(c := {c}.c + {n}, e := {c}.e || '{e}') END" for c, n, e in options]
+        return f"list_min(list_filter([{', '.join(made)}], lambda x: x IS NOT NULL))"
+
+    def edit(s: str) -> str:
+        """A row's step from the states after it may have had inserts before it."""
+        keep = {1: ("s", ["s0"]), 2: ("u", ["s0", "s1", "s3"]), 3: ("a", ["s2"])}
+        state = int(s[1])
+        stay = [(s, 3, "D")]
+        change = {2: [(x, "2 + t", "R") for x in ("s0", "s1", "s3")], 3: [("s2", "2 + t", "R")]}.get(state, [])
+        kept = [(x, "t", "K") for x in keep[state][1]] if state in keep else []
+        initial = keep[state][0] if state in keep else ""
+        return f"""CASE WHEN must THEN {least(stay)} WHEN initial = '{initial}' THEN {least(stay + change + kept)}
+                   ELSE {least(stay + change)} END"""
+
+    insert_u = least([("s2", 0, ""), ("s0", 2, "I"), ("s1", 2, "I"), ("s3", 2, "I")])
+    insert_a = least([("s3", 0, ""), ("s2", 2, "I")])
+    key = _crc32_sql("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {key} % 20 AS kind FROM conversations),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM k WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+  FROM dam WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again)),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup FROM o),
+f AS (
+  SELECT *, left(role, 1) AS initial, trimmed = '' OR dup AS must, trimmed = '' AS blank,
+         trimmed <> '' AND NOT dup AND right(trimmed, 1) NOT IN ('.', '!', '?') AS cut, CASE WHEN cut THEN 1 ELSE 0 END AS t FROM d),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE dup AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+         count(*) FILTER (WHERE i > 1 AND left(before, 1) || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+run AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, struct_pack(c := 0, e := '') AS s0, NULL::STRUCT(c INTEGER, e VARCHAR) AS s1,
+         NULL::STRUCT(c INTEGER, e VARCHAR) AS s2, NULL::STRUCT(c INTEGER, e VARCHAR) AS s3 FROM f
+  UNION ALL
+  SELECT conv_id, i, {edit('s0')}, {edit('s1')}, {edit('s2')}, {edit('s3')} FROM (
+    SELECT conv_id, f.i, initial, must, t, s0, s1, s2, {insert_a} AS s3 FROM (
+      SELECT conv_id, i, s0, s1, s3, {insert_u} AS s2 FROM run) r JOIN (SELECT conv_id AS conv, i, initial, must, t FROM f) f
+      ON conv IS NOT DISTINCT FROM conv_id AND f.i = r.i + 1)),
+ends AS (SELECT conv_id, s0, s1, s2, s3 FROM run QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+best AS (
+  SELECT conv_id, list_min(list_filter([s0, {insert_a}], lambda x: x IS NOT NULL)) AS b
+  FROM (SELECT conv_id, s0, s1, s3, {insert_u} AS s2 FROM ends)),
+edits AS (
+  SELECT conv_id, pos, substr(e, pos, 1) AS edit, count(*) FILTER (WHERE edit <> 'I') OVER p AS i,
+         count(*) FILTER (WHERE edit <> 'D') OVER p AS place
+  FROM (SELECT conv_id, b.e AS e, unnest(range(1, length(b.e) + 1)) AS pos FROM best)
+  WINDOW p AS (PARTITION BY conv_id ORDER BY pos)),
+made AS (
+  SELECT e.conv_id, pos, place, edit, role, text, initial, max(CASE WHEN edit = 'K' AND place = 1 AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+  FROM edits e LEFT JOIN (SELECT conv_id AS conv, i, role, text, initial FROM f) f ON conv IS NOT DISTINCT FROM e.conv_id AND f.i = e.i AND edit <> 'I'
+  WHERE edit <> 'D'),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role ELSE CASE WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+                             || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS text FROM made GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.e, '') AS audit, sha256(coalesce(lines.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+SQL_OP12 = _repair_sql()
+
+SQL_OP13 = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL)
+  WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {_crc32_sql("concat(coalesce(doc_id::VARCHAR, ''), ':', run)")} AS h FROM r),
+w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+one AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM one GROUP BY word),
+form AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (
+  SELECT word, word AS root FROM form
+  UNION ALL SELECT up.word, form.form FROM up JOIN form ON form.word = up.root WHERE form.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM form
+JOIN (SELECT word, root FROM up WHERE root IN (SELECT word FROM form WHERE form IS NULL)) USING (word)"""
+
 
 def _licence_sql() -> str:
     vectors, idf, other, _ = licenses.template_vectors()
@@ -127,6 +270,11 @@ def _token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.global_starts(tokens.checksums(rows), rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "conversations")
+    return repair.repair(repair.damage(rows), rows.select("conv_id"))[1]
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -145,6 +293,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kd_shards": lambda s, d: sharding.kd_shards(read(s, d, "documents")),
         "op9_warc_round_trip": _pages_round_trip,
         "op10_token_files": _token_files,
+        "op11_rule_ledger": lambda s, d: rules.judged(read(s, d, "documents")),
+        "op12_conversation_repair": _repaired,
+        "op13_spelling_variants": lambda s, d: spelling.spelling_variants(read(s, d, "documents")),
+        "rule_ablations": lambda s, d: rules.ablations(rules.ledger(read(s, d, "documents")), rules.POLICIES["prose"]),
     }
 
 
@@ -155,4 +307,8 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_top_k": SQL_OP5,
         "op7_licences": _licence_sql(),
         "op9_warc_round_trip": SQL_OP9,
+        "op11_rule_ledger": SQL_OP11,
+        "op12_conversation_repair": SQL_OP12,
+        "op13_spelling_variants": SQL_OP13,
+        "rule_ablations": SQL_ABLATIONS,
     }

@@ -31,21 +31,30 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of bytes other than 20 and 09 to 0D starts and ends; the last byte must be one of these."""
+    inside = np.concatenate(([False], ~_SPACE[buffer]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each span of the buffer, from two prefix sums of one rolling hash."""
+    up, down = _power_tables(len(buffer) + 1)
+    sums = np.zeros(len(buffer) + 1, _U)
+    np.cumsum(_BYTES[buffer] * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x2545F4914F6CDD1D))
+
+
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of every word of every text, and the index of its text.
 
     Texts are lower-cased in A-Z; words are runs of bytes other than 20 and 09 to 0D.
-    A word's hash comes from two prefix sums of a rolling hash over all texts at once.
     """
     texts = [t or b"" for t in texts]
     buffer = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
-    inside = np.concatenate(([False], ~_SPACE[buffer]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _power_tables(len(buffer) + 1)
-    sums = np.zeros(len(buffer) + 1, _U)
-    np.cumsum(_BYTES[buffer] * up[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x2545F4914F6CDD1D))
+    starts, ends = word_spans(buffer)
+    hashes = span_hashes(buffer, starts, ends)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return hashes, np.searchsorted(begins, starts, side="right") - 1
 

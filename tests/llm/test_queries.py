@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     return con
 
@@ -34,5 +34,5 @@ def test_native_plans_run_no_python(spark, name):
 
 
 def test_names():
-    names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    names = [n for n in registry.queries() if n.startswith("op")]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
