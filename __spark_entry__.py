@@ -7,8 +7,10 @@ plain SQL, written independently of how the library computes them.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,11 @@ from panelspark import presets
 from panelspark.functions import labels
 from panelspark.operators import (
     changes,
+    distinct,
     forecast,
     geometry,
     groups,
+    inference,
     intensity,
     marts,
     panel,
@@ -31,8 +35,9 @@ from panelspark.operators import (
 from panelspark.plans import pipeline
 from panelspark.plans import warehouse as wh
 from panelspark.plans.lineage import materialise, shared_folder
+from panelspark.plans.store import TableStore
 from panelspark.schema import PANEL
-from panelspark.sources import readers, sinks
+from panelspark.sources import files, readers, sinks
 from panelspark.sources.raw_cells import read_raw_cells
 
 try:
@@ -66,7 +71,16 @@ def _lagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return materialise(_lagged(spark, d))
+    """The feature rows, computed once and kept for as long as the tables are the same ones."""
+    store = TableStore(spark)
+    cells = store.load(panel.cube(wh.supplier_panel(spark, d), ["entity", "category", "period"]))
+    return store.load(forecast.lag_features(cells, cells=True))
+
+
+def _stored_features(spark: SparkSession, d: str) -> DataFrame:
+    """The feature rows as the second of two loads gives them."""
+    _features(spark, d)
+    return _features(spark, d)
 
 
 def _naive(spark: SparkSession, d: str) -> DataFrame:
@@ -192,11 +206,103 @@ def _geojson_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _first_file(spark: SparkSession, d: str) -> DataFrame:
-    """The panel in the first of several files."""
+    """The panel's first period, in the first by name of several files written in parallel, one for each period."""
     path = _scratch(spark, "first")
-    whole = wh.order_panel(spark, d)
-    whole.coalesce(1).write.mode("overwrite").options(header=True).csv(path)
-    return readers.read_csv(spark, readers.first_file(spark, path))
+    whole = wh.order_panel(spark, d).withColumn("named", F.col("period"))
+    whole.repartition("named").write.partitionBy("named").options(header=True).csv(f"{path}/parts")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = files.list_files(spark, path, "*.csv").collect()
+    for r in listed:  # one file of each period
+        year = r["path"].split("named=")[1][:4]
+        store.rename(spark._jvm.org.apache.hadoop.fs.Path(r["path"]), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/panel {year}.csv"))
+    return readers.read_csv(spark, files.first_file(spark, path))
+
+
+def _broken_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines with a note of one to four lines, that holds commas and quotes."""
+    note = F.concat(
+        F.lit("line "), "l_linenumber", F.when(F.col("l_quantity") % 3 == 0, F.concat(F.lit('\nof "order"\n, '), "l_orderkey")).otherwise(", plain"),
+        F.when(F.col("l_quantity") % 7 == 0, '\n\n"').otherwise(""),
+    )
+    return wh.table(spark, d, "lineitem").select(
+        F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("entity"),
+        F.year("l_shipdate").alias("period"),
+        note.alias("category"),
+        F.col("l_quantity").cast("bigint").alias("total"),
+        F.lit("lines").alias("source"),
+    )
+
+
+def _csv_line_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """CSV files whose quoted cells hold line breaks, written and read by many tasks."""
+    path = _scratch(spark, "breaks")
+    sinks.write_csv(_broken_lines(spark, d), path)
+    return readers.read_csv(spark, path)
+
+
+def _raw_line_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """The same files as raw cells: the cells of every record but the headers, and the numbers that are missing in each file."""
+    path = _scratch(spark, "breaks")
+    sinks.write_csv(_broken_lines(spark, d), path)
+    rows = read_raw_cells(spark, path)
+    per_file = rows.groupBy("path").agg((F.max("row_idx") + 1 - F.count_distinct("row_idx")).alias("gaps"))
+    cells = [F.element_at("cells", i + 1).alias(c) for i, c in enumerate(("entity", "period", "category"))]
+    return rows.filter("row_idx > 0").join(per_file, "path").select(*cells, "gaps")
+
+
+def _faulty_files(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of a load of sheets of which one year's are damaged: named as compressed files, they are none."""
+    path = _scratch(spark, "faulty")
+    wh.write_sheets(wh.long_sheets(spark, d, SECTION), path)
+    store_path = spark._jvm.org.apache.hadoop.fs.Path
+    store = store_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in files.list_files(spark, path).filter(F.col("path").contains("year=2016")).collect():
+        store.rename(store_path(r["path"]), store_path(r["path"][: -len(".txt")] + ".csv.gz"))
+    faults = files.file_faults(spark, path)
+    rows = sheets.extract_sections(read_raw_cells(spark, path, faults=faults), SECTION, words=_ANY_NAME)
+    audit = sheets.load_audit(files.list_files(spark, path), rows, words=_ANY_NAME, faults=faults)
+    below = F.regexp_extract("path", "(year=[^/]*/key=[^/]*)/[^/]*$", 1)
+    return audit.select(below.alias("path"), "period", "status", F.substring("reason", 1, 14).alias("reason"), "rows")
+
+
+def _inferred_types(spark: SparkSession, d: str) -> DataFrame:
+    """The type of every column of a file of orders with gaps, logical values, mixtures and numbers of all kinds."""
+    path = _scratch(spark, "types")
+    o = wh.table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    sinks.write_csv(
+        o.select(
+            key.alias("whole"),
+            F.when(key % 5 > 0, key).alias("gaps"),
+            F.when(key % 2 == 0, "true").otherwise("False").alias("logical"),
+            F.when(key % 9 == 0, "n/a").otherwise("TRUE").alias("logical_gaps"),
+            F.concat(F.lit(" "), "o_totalprice", F.lit(" ")).alias("decimal"),
+            F.when(key % 50 == 0, "-inf").otherwise(F.concat(key, F.lit("e-3"))).alias("scientific"),
+            F.concat(F.lit("9223372036854775"), F.lpad(F.pmod(key, F.lit(1000)).cast("string"), 3, "0"), F.lit("9")).alias("large"),
+            F.when(key % 100 == 0, "12,5").otherwise(key.cast("string")).alias("mixed"),
+            F.lit(None).cast("string").alias("nothing"),
+            F.col("o_orderpriority").alias("text"),
+        ),
+        path,
+    )
+    return inference.inferred_types(readers.read_text_columns(spark, path))
+
+
+def _read_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as text and read with inferred types."""
+    path = _scratch(spark, "inferred")
+    o = wh.table(spark, d, "orders")
+    odd = F.when(F.col("o_custkey") % 4 == 0, "NA").otherwise(F.col("o_custkey").cast("string"))
+    sinks.write_csv(o.select("o_orderkey", odd.alias("o_custkey"), (F.col("o_orderstatus") == "F").alias("is_f"), "o_orderpriority"), path)
+    return inference.read_inferred(spark, path)
+
+
+def _distinct_bitmaps(spark: SparkSession, d: str, running: bool) -> DataFrame:
+    """Distinct keys of each period, or of all periods up to it, from one set of bitmaps."""
+    keys = ["entity", "category"]
+    bitmaps = distinct.distinct_bitmaps(wh.master_panel(spark, d), keys, by=["period"])
+    return distinct.running_distinct(bitmaps, keys, "period") if running else distinct.count_distinct(bitmaps, keys, by=["period"])
 
 
 def _trend_arrows(spark: SparkSession, d: str) -> DataFrame:
@@ -204,6 +310,19 @@ def _trend_arrows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("entity", "category", "period", labels.arrow(F.col("change")).alias("arrow"), F.abs("change").alias("size"))
 
 
+def _with_folder(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query in a session that has a shared folder: a local one without ``spark.checkpoint.dir``, as in a smoke test, gets one."""
+
+    @wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        context = spark.sparkContext
+        if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) and context.master.startswith("local["):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
+        return query(spark, d)
+
+    return run
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/panelspark-{name}-{uuid.uuid4().hex}"
 
@@ -331,9 +450,10 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return panel_queries() | (llm.queries() if llm else {}) | (
+    all_ = panel_queries() | (llm.queries() if llm else {}) | (
         {"pipeline": corpus_pipeline.run} if llm and corpus_pipeline else {}
     )
+    return {name: _with_folder(query) for name, query in all_.items()}
 
 
 def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -359,6 +479,14 @@ def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "optional_input": _optional_input,
         "second_source": _second_source,
         "raw_text_cells": _raw_text_cells,
+        "csv_line_breaks": _csv_line_breaks,
+        "raw_line_breaks": _raw_line_breaks,
+        "faulty_files_audit": _faulty_files,
+        "inferred_types": _inferred_types,
+        "read_inferred": _read_inferred,
+        "distinct_by_period": lambda s, d: _distinct_bitmaps(s, d, running=False),
+        "distinct_so_far": lambda s, d: _distinct_bitmaps(s, d, running=True),
+        "stored_features": _stored_features,
         "geojson_vertices": _geojson_vertices,
         # trends
         "period_trend": lambda s, d: trends.period_trend(master(s, d)),
@@ -691,6 +819,11 @@ SHEET_CATEGORY = (
 SHEET_PERIOD = "CASE WHEN kind = 2 THEN NULL ELSE y + 20 END::INTEGER"
 
 # A row of the wanted section of a long sheet; ``every`` has a row without entity for a sheet that lacks the section.
+BROKEN_LINES = """
+  SELECT l_orderkey || '-' || l_linenumber AS entity, year(l_shipdate)::INTEGER AS period, l_quantity::BIGINT AS total,
+         'line ' || l_linenumber || CASE WHEN l_quantity % 3 = 0 THEN chr(10) || 'of "order"' || chr(10) || ', ' || l_orderkey ELSE ', plain' END
+         || CASE WHEN l_quantity % 7 = 0 THEN chr(10) || chr(10) || '"' ELSE '' END AS category
+  FROM lineitem"""
 LONG_SHEETS = f"""WITH every AS (
   SELECT 'year=' || (2015 + l_suppkey % 5) || '/key=' || translate(l_suppkey::VARCHAR, '0123456789', 'abcdefghij') AS path,
          CASE WHEN section = '{SECTION}' THEN nation || ', ' || ym END AS entity, (2015 + l_suppkey % 5)::INTEGER AS period,
@@ -746,7 +879,26 @@ def panel_oracle_sql() -> dict[str, str]:
         "rename_entities": f"""{MASTER} SELECT CASE entity WHEN 'NATION_1' THEN 'NATION_2' WHEN 'NATION_7' THEN 'Seventh'
             ELSE entity END AS entity, sum(total)::BIGINT AS total FROM p GROUP BY 1""",
         "csv_round_trip": ORDERS,
-        "first_file": ORDERS,
+        "first_file": f"SELECT * FROM ({ORDERS}) WHERE period = (SELECT min(year(o_orderdate)) FROM orders)",
+        "csv_line_breaks": f"SELECT entity, period, category, total, 'lines' AS source FROM ({BROKEN_LINES})",
+        "raw_line_breaks": f"SELECT entity, period::VARCHAR AS period, category, 0::BIGINT AS gaps FROM ({BROKEN_LINES})",
+        "inferred_types": """SELECT unnest(['whole', 'gaps', 'logical', 'logical_gaps', 'decimal', 'scientific', 'large', 'mixed', 'nothing', 'text']) AS "column",
+            count(*) AS rows,
+            unnest([0, count(*) FILTER (WHERE o_orderkey % 5 = 0), 0, count(*) FILTER (WHERE o_orderkey % 9 = 0), 0, 0, 0, 0, count(*), 0]) AS missing,
+            unnest(['bigint', CASE WHEN bool_or(o_orderkey % 5 = 0) THEN 'double' ELSE 'bigint' END, 'boolean',
+                    CASE WHEN bool_or(o_orderkey % 9 = 0) THEN 'string' ELSE 'boolean' END, 'double', 'double', 'string',
+                    CASE WHEN bool_or(o_orderkey % 100 = 0) THEN 'string' ELSE 'bigint' END, 'double', 'string']) AS type FROM orders""",
+        "read_inferred": """SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END::DOUBLE AS o_custkey,
+            o_orderstatus = 'F' AS is_f, o_orderpriority FROM orders""",
+        "distinct_by_period": f"{MASTER} SELECT period, count(DISTINCT entity) AS entity, count(DISTINCT category) AS category FROM p GROUP BY period",
+        "distinct_so_far": f"""{MASTER} SELECT a.period, count(DISTINCT p.entity) AS entity, count(DISTINCT p.category) AS category
+            FROM (SELECT DISTINCT period FROM p) a JOIN p ON p.period <= a.period GROUP BY a.period""",
+        "faulty_files_audit": f"""{LONG_SHEETS} SELECT path, period, CASE WHEN period <> 2016 AND n > 0 THEN 'OK' ELSE 'FAIL' END AS status,
+            CASE WHEN period = 2016 THEN 'cannot be read' WHEN n = 0 THEN 'no rows in sec' END AS reason,
+            CASE WHEN period = 2016 THEN 0 ELSE n END::BIGINT AS rows
+            FROM (SELECT path, any_value(period) AS period, count(entity) AS n FROM every GROUP BY path)""",
+        "stored_features": f"""{SUPPLIER}, {CELLS}, {FEATURE_ROWS} SELECT entity, category, period, total, entity_code,
+            category_code, period_norm, lag1, lag2, roll_mean FROM fe""",
         "careless_csv_merged": f"""SELECT '"' || entity || '", ' || category AS entity, category, period, total, source FROM ({ORDERS})
             WHERE category NOT IN ('FURNITURE', 'MACHINERY', 'BUILDING')""",
         "careless_csv_loaded": f"""SELECT '"' || entity || '", ' || category AS entity, nullif(category, 'FURNITURE') AS category, period,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelspark import presets
 from panelspark.functions.labels import is_aggregate_name, map_value
 from panelspark.functions.numeric import strip, to_count
+from panelspark.operators.distinct import count_distinct, distinct_bitmaps
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -121,16 +122,23 @@ def panel_overview(
     period: str = "period",
     total: str = "total",
 ) -> DataFrame:
-    """One row: rows, distinct keys, period range and grand total."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct(entity).alias("entities"),
-        F.countDistinct(category).alias("categories"),
-        F.countDistinct(period).alias("periods"),
+    """One row: rows, distinct keys, period range and grand total.
+
+    The panel is summed to its grain first, inside each task; distinct keys are counted by bitmaps over their codes, so no
+    row is expanded for each key that is counted.
+    """
+    grain = df.groupBy(entity, category, period).agg(F.count(F.lit(1)).alias("_n"), F.sum(total).alias(total))
+    keys = {entity: "entities", category: "categories", period: "periods"}
+    counts = count_distinct(distinct_bitmaps(grain, list(keys)), list(keys)).withColumnsRenamed(keys)
+    sums = grain.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.min(period).alias("first_period"),
         F.max(period).alias("last_period"),
         F.sum(total).alias("total"),
     )
+    # One row each.
+    both = sums.withColumn("_c", counts.select(F.struct(*keys.values()).alias("c")).scalar())
+    return both.select("rows", *[F.col(f"_c.{c}").alias(c) for c in keys.values()], "first_period", "last_period", "total")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -198,11 +198,17 @@ def drop_aggregate_names(df: DataFrame, entity: str = "entity") -> DataFrame:
 
 
 def load_audit(
-    files: DataFrame, rows: DataFrame, rules: Mapping = presets.FILE_RULES, words: Sequence = presets.FILE_WORDS, bounds: DataFrame | None = None
+    files: DataFrame,
+    rows: DataFrame,
+    rules: Mapping = presets.FILE_RULES,
+    words: Sequence = presets.FILE_WORDS,
+    bounds: DataFrame | None = None,
+    faults: DataFrame | None = None,
 ) -> DataFrame:
     """Per file: OK with its row count, CUT, SKIP or FAIL with the reason.
 
     ``bounds`` (:func:`section_bounds` with the limit that the extraction had) says how many rows a limit left out.
+    ``faults`` (``sources.files.file_faults``) are the files that could not be read, with what was wrong.
     """
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
     known = classify_files(files.select("path").distinct(), rules, words).join(counts, "path", "left")
@@ -210,18 +216,24 @@ def load_audit(
         known = known.withColumn("rows_cut", F.lit(0).cast("bigint"))
     else:
         known = known.join(bounds.select("path", "rows_cut"), "path", "left")
+    if faults is None:
+        known = known.withColumn("fault", F.lit(None).cast("string"))
+    else:
+        known = known.join(faults.select("path", "fault"), "path", "left")
     n, cut = F.coalesce("_n", F.lit(0)), F.coalesce("rows_cut", F.lit(0)).cast("bigint")
     return known.select(
         "path",
         "period",
         "category",
         F.when(F.col("period").isNull() | F.col("category").isNull(), "SKIP")
+        .when(F.col("fault").isNotNull(), "FAIL")
         .when(cut > 0, "CUT")
         .when(n > 0, "OK")
         .otherwise("FAIL")
         .alias("status"),
         F.when(F.col("period").isNull(), "no year in name")
         .when(F.col("category").isNull(), "unknown type")
+        .when(F.col("fault").isNotNull(), F.concat(F.lit("cannot be read: "), "fault"))
         .when(cut > 0, F.concat(cut.cast("string"), F.lit(" rows of the section left out")))
         .when(n == 0, "no rows in section")
         .alias("reason"),

@@ -13,8 +13,9 @@ from panelspark.operators import sheets
 from panelspark.operators.panel import clean_panel
 from panelspark.plans import pipeline
 from panelspark.plans.lineage import RunFolder, materialise
+from panelspark.sources.files import file_faults, list_files
 from panelspark.sources.raw_cells import read_raw_cells
-from panelspark.sources.readers import list_files, read_source
+from panelspark.sources.readers import read_source
 from panelspark.sources.sinks import write_csv, write_panel
 
 
@@ -36,8 +37,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def _run(spark: SparkSession, args: argparse.Namespace, folder: RunFolder) -> None:
     out = args.out.rstrip("/")
-    rows = materialise(sheets.extract_sections(read_raw_cells(spark, args.sheets), args.section), folder)
-    audit = sheets.load_audit(list_files(spark, args.sheets), rows)
+    faults = materialise(file_faults(spark, args.sheets), folder)
+    rows = materialise(sheets.extract_sections(read_raw_cells(spark, args.sheets, faults=faults), args.section), folder)
+    audit = sheets.load_audit(list_files(spark, args.sheets), rows, faults=faults)
     write_csv(audit, f"{out}/audit", ["path"])
 
     sources = [sheets.drop_aggregate_names(rows.drop("path"))]

@@ -1,27 +1,20 @@
 """Materialising intermediate tables that several jobs read, in a folder that a run can remove."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder that all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Only a local master without that setting, as in tests, gets a temporary one, the same for
-    the whole application. Asking changes nothing in the session or its context.
+    Asking changes nothing in the session or its context; without either there is no folder to write to.
     """
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        application = spark.sparkContext.applicationId
-        folder = _own.setdefault(application, "") or tempfile.mkdtemp(prefix="panelspark-")
-        _own[application] = folder
+        raise ValueError(f"set {_SETTING} to a folder that all executors share")
     return folder
 
 

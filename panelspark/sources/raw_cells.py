@@ -1,12 +1,16 @@
 """Delimited sheets as a raw-cell table: (path, row_idx, cells)."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.sources.files import SHEETS
+from panelspark.sources.records import read_pieces, read_records
 
-def split_cells(line: Column) -> Column:
-    """Cells of a comma-separated line; quoted cells may hold commas and doubled quotes."""
-    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+
+def split_cells(record: Column) -> Column:
+    """Cells of a comma-separated record; quoted cells may hold commas, line breaks and doubled quotes."""
+    # Possessive, so that a cell of any length costs no stack.
+    parts = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
 
     def unquote(c: Column) -> Column:
         inner = F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
@@ -15,29 +19,15 @@ def split_cells(line: Column) -> Column:
     return F.transform(parts, unquote)
 
 
-def read_raw_cells(spark: SparkSession, root: str, pattern: str = "*.{csv,txt}") -> DataFrame:
-    """Every line of every file under ``root`` with its 0-based row number in the file.
+def read_raw_cells(
+    spark: SparkSession, root: str, pattern: str = SHEETS, line_breaks: bool | None = None, faults: DataFrame | None = None
+) -> DataFrame:
+    """Every record of every file under ``root`` with its 0-based row number in the file.
 
-    Files are split as usual. Within a split the running ids have no gaps, so a line's
-    number is its id, less the first id of its split, plus the lines of the file's earlier splits. What
-    is grouped is one row per split; the lines themselves are neither shuffled nor sorted.
+    Files are split as usual, also those whose quoted cells hold line breaks (``records.cut_records``). ``line_breaks`` False spares
+    the look for such cells. With ``faults`` (``files.file_faults``) the files it lists
+    are left out whole and end no job; without, a file that cannot be read does.
     """
-    lines = (
-        spark.read.options(recursiveFileLookup=True, pathGlobFilter=pattern)
-        .text(root)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_id"),
-            "value",
-        )
-    )
-    earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        lines.groupBy("path", "_start")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-        .select("path", "_start", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    )
-    return lines.join(shifts, ["path", "_start"]).select(
-        "path", (F.col("_id") + F.col("_shift")).alias("row_idx"), split_cells(F.col("value")).alias("cells")
-    )
+    options = {} if faults is None else {"ignoreCorruptFiles": True, "ignoreMissingFiles": True}
+    lines = read_pieces(spark, root, pattern=pattern, recursive=True, **options)
+    return read_records(lines, line_breaks, faults).select("path", "row_idx", split_cells(F.col("value")).alias("cells"))

@@ -10,31 +10,51 @@ from pyspark.sql.types import DataType, IntegralType, StructType
 
 from panelspark import schema as S
 from panelspark.functions.numeric import strip, to_count, to_number
+from panelspark.sources.files import as_path, file_heads, first_file, list_files, listing, not_opened
+from panelspark.sources.raw_cells import split_cells
+from panelspark.sources.records import cut_records, has_line_breaks, read_collection, read_pieces
 
+__all__ = ["first_file", "list_files", "read_csv", "read_geojson", "read_optional", "read_source", "read_tolerant"]
 
-def _csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Delimited text with a header as strings; quotes within quoted cells are doubled."""
-    return spark.read.options(header=True, escape='"').csv(paths)
 
+_QUOTES = {"escape": '"'}  # quotes within quoted cells are doubled
 
-def _header_groups(spark: SparkSession, path: str) -> list[list[str]]:
-    """The files of a folder, grouped by their header line; one group where all agree.
 
-    A header takes part with its file's name only: what reaches the driver are the distinct headers, and the names of files
+def _header_groups(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """The distinct headers of a folder's files, each with its files, or the folder itself where all agree.
+
+    Of each file the first record is read, by tasks that share the files; from a store that only Spark's readers open, the
+    lines of the files' first splits. What reaches the driver are the distinct headers, and the names of files
     (which listing them needs anyway) if there is more than one.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"),
-        "value",
-    )
-    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "id").alias("header"))
-    headers = [r["header"] for r in first.select("header").distinct().orderBy("header").collect()]
+    heads = file_heads(listing(spark, path))
+    if heads.filter(not_opened(F.col("fault"))).limit(1).count():
+        lines = read_pieces(spark, path)
+        heads = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "id").alias("head"))
+    else:
+        heads = heads.withColumn("head", F.when(F.col("fault").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "fault"))).otherwise(F.col("head")))
+    heads = heads.filter(F.trim("head") != "")
+    headers = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]
     if len(headers) < 2:
-        return [[path]]
-    files = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
-    return [r["files"] for r in sorted(files, key=lambda r: r["header"])]
+        return [(h, [path]) for h in headers]
+    files = heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
+    return [(r["head"], [as_path(f) for f in r["files"]]) for r in sorted(files, key=lambda r: r["head"])]
+
+
+def _header_names(spark: SparkSession, header: str) -> list[str]:
+    """The column names of a header; a name that repeats gets its place, so that the first keeps it."""
+    names = spark.range(1).select(split_cells(F.lit(header))).first()[0]
+    return [n if n and n not in names[:i] else f"{n}_c{i}" for i, n in enumerate(names)]
+
+
+def _csv(spark: SparkSession, header: str, paths: list[str], line_breaks: bool | None) -> DataFrame:
+    """Delimited text with a header as strings. Cells may hold line breaks; files are split all the same."""
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in _header_names(spark, header))
+    lines = read_pieces(spark, paths)
+    if not (has_line_breaks(lines) if line_breaks is None else line_breaks):
+        return spark.read.options(header=True, **_QUOTES).schema(schema).csv(paths)
+    records = cut_records(lines).filter((F.col("row_idx") > 0) & F.col("value").rlike(r"[^\x00-\x20]"))
+    return records.select(F.from_csv("value", schema, _QUOTES).alias("r")).select("r.*")
 
 
 def _cast(column: Column, kind: DataType) -> Column:
@@ -46,17 +66,24 @@ def _cast(column: Column, kind: DataType) -> Column:
     return F.coalesce(strip(column).try_cast(kind), F.when(number == F.rint(number), number.try_cast(kind)))
 
 
-def read_csv(spark: SparkSession, path: str, columns: StructType = S.PANEL) -> DataFrame:
+def read_text_columns(spark: SparkSession, path: str, line_breaks: bool | None = None) -> DataFrame:
+    """CSV with a header as strings, by the name of the column; a column that a file lacks is NULL in its rows."""
+    parts = [_csv(spark, header, paths, line_breaks) for header, paths in _header_groups(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_csv(spark: SparkSession, path: str, columns: StructType = S.PANEL, line_breaks: bool | None = None) -> DataFrame:
     """CSV with a header, columns matched by name and cast to the schema; values that do not parse become NULL.
 
-    Files of one folder may have their columns in different orders; a column that a file lacks is NULL.
+    A file begins with its header. Files of one folder may have their columns in different orders; a column that a file lacks is NULL.
+    Quoted cells may hold line breaks, and files are split all the same (``records.cut_records``);
+    ``line_breaks`` False spares the look for such cells. Files without a line, and folders of them, have no rows.
     """
-    parts = []
-    for paths in _header_groups(spark, path):
-        text = _csv(spark, paths)
-        null = F.lit(None).cast("string")
-        parts.append(text.select(*[_cast(F.col(f.name) if f.name in text.columns else null, f.dataType).alias(f.name) for f in columns]))
-    return reduce(DataFrame.unionAll, parts)
+    text = read_text_columns(spark, path, line_breaks)
+    null = F.lit(None).cast("string")
+    return text.select(*[_cast(F.col(f.name) if f.name in text.columns else null, f.dataType).alias(f.name) for f in columns])
 
 
 def read_source(
@@ -67,13 +94,10 @@ def read_source(
     where: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """A CSV of other column names as panel rows: filtered, renamed, tagged with its source."""
-    parts = []
-    for paths in _header_groups(spark, path):
-        df = _csv(spark, paths)
-        for column, value in (where or {}).items():
-            df = df.filter(F.col(column) == value)
-        parts.append(df.withColumnsRenamed(dict(rename)).select("entity", "period", "category", "total"))
-    return reduce(DataFrame.unionAll, parts).withColumn("source", F.lit(source))
+    df = read_text_columns(spark, path)
+    for column, value in (where or {}).items():
+        df = df.filter(F.col(column) == value)
+    return df.withColumnsRenamed(dict(rename)).select("entity", "period", "category", "total", F.lit(source).alias("source"))
 
 
 def read_tolerant(spark: SparkSession, path: str) -> DataFrame:
@@ -102,30 +126,12 @@ def read_optional(
         return spark.createDataFrame([], columns)
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*.{csv,txt}") -> DataFrame:
-    """Distinct paths under ``root``, at any depth. Only the listing is read, not the contents."""
-    return (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter=pattern)
-        .load(root)
-        .select("path", "length")
-        .distinct()
-    )
-
-
-def first_file(spark: SparkSession, root: str, pattern: str = "*.csv") -> str | None:
-    """The first matching file directly in a directory, by name."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
-    return listed.agg(F.min("path")).first()[0]
-
-
 def read_geojson(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Features (properties, geometry) of a FeatureCollection document, or of files with a feature per line.
+    """Features (properties, geometry) of FeatureCollection documents, or of files with a feature per line.
 
-    A collection is one JSON document and is parsed by one task per file; large
-    sets of shapes belong in the line form, which splits.
+    Both forms split: a document, on one line or many, is cut into its features by as many tasks as it has
+    splits (``records.cut_features``). A NULL type counts as that of a feature.
     """
     if one_per_line:
         return spark.read.schema(S.GEO_FEATURE).json(path)
-    docs = spark.read.schema(S.GEO_COLLECTION).option("multiLine", True).json(path)
-    return docs.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+    return read_collection(spark, path)
