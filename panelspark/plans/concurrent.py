@@ -37,7 +37,8 @@ def run_together(spark: SparkSession, jobs: Mapping[str, Callable[[], object]],
         if failed:
             for f in left:
                 f.cancel()
-            context.cancelJobsWithTag(tag)
-            wait(left)
+            while left:  # a thread may be about to submit its next job
+                context.cancelJobsWithTag(tag)
+                _, left = wait(left, timeout=0.5)
             raise failed.exception()
         return {running[f]: f.result() for f in done}

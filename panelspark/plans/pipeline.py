@@ -1,6 +1,7 @@
 """The three end-to-end runs: build the panel, analyse it, forecast it."""
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -8,6 +9,7 @@ from panelspark import presets
 from panelspark.operators import changes, forecast, groups, intensity, marts, rankings, report_cards, sheets, trends
 from panelspark.operators.ordered import sort_nulls_last
 from panelspark.operators.panel import clean_panel, cube
+from panelspark.plans.concurrent import run_together
 from panelspark.plans.lineage import RunFolder, materialise
 from panelspark.sources.sinks import write_csv, write_json_rows
 
@@ -103,12 +105,25 @@ def published(name: str, df: DataFrame, **periods: int) -> DataFrame:
     return marts.label_columns(df, presets.OUTPUT_COLUMNS.get(name, {}), **periods)
 
 
-def write_analyses(results: Mapping[str, DataFrame], root: str, rename: bool = True, **periods: int) -> None:
-    """Every analysis as a CSV folder under ``root``, sorted for reading."""
+# Tables that are written at a time: each is a job of few tasks.
+AT_ONCE = 4
+
+
+def write_tables(tables: Mapping[str, DataFrame], root: str, at_once: int = AT_ONCE) -> None:
+    """Tables as CSV folders under ``root``, ``at_once`` at a time; if one fails the others are cancelled."""
+    jobs = {name: partial(write_csv, df, f"{root.rstrip('/')}/{name}") for name, df in tables.items()}
+    for df in list(tables.values())[:1]:
+        run_together(df.sparkSession, jobs, at_once)
+
+
+def write_analyses(results: Mapping[str, DataFrame], root: str, rename: bool = True, at_once: int = AT_ONCE, **periods: int) -> None:
+    """Every analysis as a CSV folder under ``root``, sorted for reading; several are written at once."""
+    tables = {}
     for name, df in results.items():
         keys = OUTPUT_ORDER.get(name)
         ordered = sort_nulls_last(df, *keys) if keys else df
-        write_csv(published(name, ordered, **periods) if rename else ordered, f"{root.rstrip('/')}/{name}")
+        tables[name] = published(name, ordered, **periods) if rename else ordered
+    write_tables(tables, root, at_once)
 
 
 def dashboard(cells: DataFrame, periods: Sequence[int]) -> dict[str, DataFrame]:
@@ -129,8 +144,7 @@ def dashboard(cells: DataFrame, periods: Sequence[int]) -> dict[str, DataFrame]:
 def write_dashboard(cells: DataFrame, root: str) -> None:
     """Dashboard tables as CSV, the profiles and period maps of the entities as JSON rows."""
     root = root.rstrip("/")
-    for name, df in dashboard(cells, panel_periods(cells)).items():
-        write_csv(df, f"{root}/{name}")
+    write_tables(dashboard(cells, panel_periods(cells)), root)
     write_json_rows(marts.entity_profile(cells), f"{root}/entity_profiles")
     write_json_rows(marts.period_maps(cells), f"{root}/period_maps")
 
@@ -171,9 +185,7 @@ def write_forecast(results: Mapping[str, DataFrame], root: str) -> None:
     period = predictions.agg({"period": "max"}).first()[0]
     periods = {} if period is None else {"latest": period - 1, "next": period}
     named = published("predictions", predictions.orderBy("entity", "category"), **periods)
-    write_csv(named, f"{root}/predictions")
-    for name in ("metrics", "importance", "by_entity", "compare", "by_category"):
-        write_csv(results[name], f"{root}/{name}")
+    write_tables({"predictions": named} | {n: results[n] for n in ("metrics", "importance", "by_entity", "compare", "by_category")}, root)
     write_json_rows(results["model_card"], f"{root}/model_card")
 
 
