@@ -81,6 +81,8 @@ def is_next_header(cell: Column, marks: Sequence[str] = presets.SECTION_MARKS) -
 
 # Rows of a block: how many rows of one file share a join key.
 BLOCK_ROWS = 128
+# Rows of a part of a file, whose headers meet in one group.
+PART_ROWS = 1 << 17
 
 
 def section_bounds(raw_cells: DataFrame, section: str, max_rows: int | None = None) -> DataFrame:
@@ -96,29 +98,43 @@ def section_bounds(raw_cells: DataFrame, section: str, max_rows: int | None = No
     heads = F.slice("cells", 1, 3)
     loose = F.exists(heads, lambda c: F.coalesce(F.lower(c).contains(name), F.lit(False)))
     strict = F.exists(F.slice("cells", 1, 2), lambda c: is_section_header(F.lower(strip(c)), section))
-    starts = (
-        raw_cells.select("path", "row_idx", F.size("cells").alias("_size"), loose.alias("_named"), "cells")
-        .select(
-            "path",
-            "_size",
-            "row_idx",
-            F.when(F.col("_named"), F.col("row_idx")).alias("_loose"),
-            F.when(F.col("_named") & strict, F.col("row_idx")).alias("_strict"),
-        )
-        .groupBy("path")
-        .agg(
-            F.min("_strict").alias("_strict"),
-            F.min("_loose").alias("_loose"),
-            F.max("_size").alias("width"),
-            F.max("row_idx").alias("_last"),
-        )
-        .select("path", F.coalesce("_strict", "_loose").alias("start"), "width", "_last")
-        .filter(F.col("start").isNotNull())
+    part = F.expr(f"row_idx div {PART_ROWS}")
+    marked = raw_cells.select("path", "row_idx", F.size("cells").alias("_size"), loose.alias("_named"), is_next_header(_cell(1)).alias("_heads"), "cells").select(
+        "path",
+        part.alias("_part"),
+        "_size",
+        "row_idx",
+        F.when(F.col("_named"), F.col("row_idx")).alias("_loose"),
+        F.when(F.col("_named") & strict, F.col("row_idx")).alias("_strict"),
+        F.when(F.col("_heads"), F.col("row_idx")).alias("_head"),
+    )
+    # One pass: a part of a file keeps its headers, which are as many as it has rows at most.
+    parts = marked.groupBy("path", "_part").agg(
+        F.min("_strict").alias("_strict"),
+        F.min("_loose").alias("_loose"),
+        F.max("_size").alias("_size"),
+        F.max("row_idx").alias("_last"),
+        F.array_sort(F.collect_list("_head")).alias("_heads"),
+    )
+
+    def heads_beside(found: str) -> Column:
+        """The headers of the first part in which the section's header was found."""
+        return F.min_by(F.when(F.col(found).isNotNull(), F.col("_heads")), F.when(F.col(found).isNotNull(), F.col("_part")))
+
+    files = parts.groupBy("path").agg(
+        F.min("_strict").alias("_strict"),
+        F.min("_loose").alias("_loose"),
+        F.max("_size").alias("width"),
+        F.max("_last").alias("_last"),
+        heads_beside("_strict").alias("_by_strict"),
+        heads_beside("_loose").alias("_by_loose"),
+        # Of all other parts the first header is enough.
+        F.collect_list(F.get("_heads", F.lit(0))).alias("_firsts"),
     )
-    # Header rows are few; of each file the first one after the start counts.
-    headers = raw_cells.filter(is_next_header(_cell(1))).select("path", F.col("row_idx").alias("_head"))
-    after = F.min(F.when(F.col("_head") > F.col("start"), F.col("_head")))
-    bounds = starts.join(headers, "path", "left").groupBy("path", "start", "width", "_last").agg(after.alias("_next"))
+    start = F.coalesce("_strict", "_loose")
+    near = F.when(F.col("_strict").isNotNull(), F.col("_by_strict")).otherwise(F.col("_by_loose"))
+    found = files.select("path", start.alias("start"), "width", "_last", F.concat(near, "_firsts").alias("_heads")).filter("start is not null")
+    bounds = found.withColumn("_next", F.array_min(F.filter("_heads", lambda h: h > F.col("start"))))
     end = F.coalesce("_next", F.col("_last") + 1)
     stop = end if max_rows is None else F.least(end, F.col("start") + 1 + max_rows)
     return bounds.select("path", "start", "width", stop.alias("stop"), (end - stop).alias("rows_cut"))
