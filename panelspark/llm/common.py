@@ -13,8 +13,13 @@ from pyspark.sql.types import StructType
 from panelspark.plans.lineage import shared_folder
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-# A side of at most this many rows (of a few numbers each) may be broadcast.
+# A side of at most this many rows, and bytes of its files' columns, may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+# Rows of an Arrow batch. Ten thousand texts, the default, take a buffer of up to a hundred megabytes in the JVM and another in the worker.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_DEFAULT_BATCH = "10000"
 # Texts are worked on in slices of about this many bytes, however many rows a batch has.
 SLICE_BYTES = 1 << 20
 
@@ -46,12 +51,13 @@ class Scratch:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a materialised table for broadcast if it is proven to have at most ``limit`` rows.
+    """Mark a materialised table for broadcast if it is proven to have at most ``limit`` rows and ``BROADCAST_BYTES`` bytes.
 
     A larger one is returned as it is and joins by shuffle, where the adaptive
     skew join splits hot keys.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(limit + 1).count() <= limit else df
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -85,15 +91,35 @@ def importable(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, make: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function of this package that turns an iterator of batches into batches."""
-    importable(df.sparkSession)
+    """``mapInArrow`` with a function of this package that turns an iterator of batches into batches.
+
+    The session's batches get ``BATCH_ROWS`` rows, unless they have been given another number than the default.
+    """
+    spark = df.sparkSession
+    importable(spark)
+    if spark.conf.get(_BATCH_SETTING) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     return df.mapInArrow(make, schema)
 
 
+def _literal(value) -> str:
+    """A value as SQL."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return f"{value}L" if isinstance(value, int) and abs(value) > 0x7FFFFFFF else str(value)
+
+
+def constant_array(values: list) -> Column:
+    """An array of given values."""
+    return F.expr(f"array({', '.join(map(_literal, values))})")
+
+
 def constant_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
     """A small table of given values, marked for broadcast."""
-    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
-    return F.broadcast(spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
+    values = ", ".join(f"({', '.join(map(_literal, row))})" for row in rows)
+    return F.broadcast(spark.sql(f"VALUES {values} AS t({', '.join(names)})"))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -116,6 +142,26 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield current, pa.Table.from_batches(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a run of rows with equal keys does; a run is held until it ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy() for c in keys])
+        last = np.flatnonzero((values != values[:, -1:]).any(axis=0))
+        start = int(last[-1]) + 1 if len(last) else 0
+        if start:  # a run begins within the batch, so what is held has ended
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        elif held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

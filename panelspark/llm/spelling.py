@@ -5,15 +5,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Scratch, map_arrow, runs, text_slices
-from panelspark.llm.shingles import mix
+from panelspark.llm.common import Scratch, map_arrow, text_slices, whole_runs
 
 LENGTH = 6
 OCCURRENCES = 5
@@ -22,11 +21,8 @@ RATIO = 5
 # One occurrence in so many loses a letter.
 DAMAGED = 199
 _RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LENGTH)
-# One edit changes a letter multiset in at most two elements, so of these parts all but two agree.
-PARTS = 5
-DISTANCE = 2
-# Code points at the start, or at the end, that words one edit apart share.
-ANCHOR = LENGTH // 2
+# A replaced letter changes a letter multiset in two elements, one more or less in one: of so many parts one agrees.
+PARTS = {"replaced": 3, "inserted": 2}
 # Words that one unit compares; a larger bucket is cut into blocks.
 BUCKET = 512
 # Distinct words that a task counts before it passes the counts on.
@@ -78,34 +74,36 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 @lru_cache(4096)
-def _element(letter: str, times: int) -> tuple[int, int]:
-    """The part that the ``times``-th of a letter belongs to, and its hash."""
-    h = int(mix(np.array([ord(letter) << 20 | times], _U))[0])
-    return (ord(letter) + times) % PARTS, h
+def _element(letter: str, times: int) -> int:
+    """The hash of the ``times``-th of a letter in a word."""
+    return xxhash.xxh64_intdigest(f"{letter}{times}")
+
+
+def _parts(word: str, parts: int) -> list[int]:
+    """A word's letters, and how often each occurs, as a set dealt into parts: the hash of each part."""
+    out, times = [0] * parts, {}
+    for letter in word:
+        n = times[letter] = times.get(letter, 0) + 1
+        out[(ord(letter) + n) % parts] ^= _element(letter, n)
+    return out
 
 
 def signatures(word: str) -> list[int]:
-    """PartEnum signatures of a word: a hash for every choice of parts that leaves ``DISTANCE`` out, at either anchor.
+    """PartEnum signatures of a word: a hash for each part of its letter multiset, at either half, for each kind of edit.
 
-    The letters and how often each occurs are a binary vector; its elements are dealt into ``PARTS`` parts. Two
-    vectors that differ in at most ``DISTANCE`` elements agree in all other parts, so in at least one signature.
-    Words one edit apart also agree in their first or last ``ANCHOR`` letters, which keeps anagrams of
-    other words out of a bucket.
+    Multisets are binary vectors, dealt into one part more than the edit changes elements, so that two words one edit apart
+    agree in a part. They also agree in the half of the shorter one that the edit is not in; with its length in
+    the signature this keeps anagrams of other words out of a bucket. A word may be the shorter or the longer one of an insertion.
     """
-    parts = [0] * PARTS
-    for letter, n in Counter(word).items():
-        for times in range(n):
-            part, h = _element(letter, times)
-            parts[part] ^= h
-    anchors = [zlib.crc32(word[:ANCHOR].encode()), zlib.crc32(word[-ANCHOR:].encode(), 1) | 1 << 32]
+    n = len(word)
     keys = []
-    for i, chosen in enumerate(combinations(range(PARTS), PARTS - DISTANCE)):
-        for anchor in anchors:
-            key = i << 40 | anchor
-            for p in chosen:
-                key = (key * 0x9E3779B97F4A7C15 + parts[p] + 1) & 0xFFFFFFFFFFFFFFFF
-                key ^= key >> 29
-            keys.append(key)
+    for kind, lengths in (("replaced", (n,)), ("inserted", (n, n - 1))):
+        parts = list(enumerate(_parts(word, PARTS[kind])))
+        for length in lengths:
+            half = length // 2
+            for anchor in (word[:half], "\x00" + word[half - length :]):
+                head = f"{kind}{length}{anchor}"
+                keys += [xxhash.xxh64_intdigest(f"{head}{i} {part}") for i, part in parts]
     return keys
 
 
@@ -129,27 +127,25 @@ def near(a: str, b: str) -> bool:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The near words of each unit, both ways; members of its left block meet those of its right one.
-
-    A word meets only words of its own length and the next, that have its letters at the unit's anchor.
-    """
-    for _, table in runs(batches, ["key", "left", "right"]):
-        words, ns = table.column("word").to_pylist(), table.column("n").to_pylist()
-        blocks, (left, right) = table.column("block").to_pylist(), (table.column(c)[0].as_py() for c in ("left", "right"))
-        by_length: dict[int, list[int]] = {}
-        for i, block in enumerate(blocks):
-            if block == right:
-                by_length.setdefault(len(words[i]), []).append(i)
-        out = []
-        for i, block in enumerate(blocks):
-            if block != left:
-                continue
-            word = words[i]
-            for length in (len(word) - 1, len(word), len(word) + 1):
-                for j in by_length.get(length, ()):
-                    if (left != right or j > i) and near(word, words[j]):
-                        out += [(word, words[j], ns[j]), (words[j], word, ns[i])]
-        a, b, n = zip(*out) if out else ((), (), ())
+    """The near words of each unit, both ways; members of its left block meet those of its right one."""
+    for table in whole_runs(batches, ["key", "left", "right"]):
+        words, ns, blocks = (table.column(c).to_pylist() for c in ("word", "n", "block"))
+        left, right = (table.column(c).to_pylist() for c in ("left", "right"))
+        keys = np.stack([table.column(c).to_numpy() for c in ("key", "left", "right")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(words)]
+        a, b, n = [], [], []
+        for start, stop in zip(cuts, cuts[1:]):
+            whole = left[start] == right[start]
+            columns = range(start, stop) if whole else [i for i in range(start, stop) if blocks[i] == right[start]]
+            for i in range(start, stop):
+                if not whole and blocks[i] != left[start]:
+                    continue
+                word = words[i]
+                for j in range(i + 1, stop) if whole else columns:
+                    if near(word, words[j]):
+                        a += (word, words[j])
+                        b += (words[j], word)
+                        n += (ns[j], ns[i])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["word", "other", "n"])
 
 
@@ -159,7 +155,8 @@ def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     Words meet in buckets of equal signatures. Buckets of one word are left out; of a large one, each pair of
     blocks is a unit of bounded size. No bucket is capped.
     """
-    keyed = scratch.table(map_arrow(words, _signed, "word string, n bigint, keys array<bigint>").select("word", "n", F.explode("keys").alias("key")), "signatures")
+    signed = map_arrow(words, _signed, "word string, n bigint, keys array<bigint>")
+    keyed = scratch.table(signed.select("word", "n", F.explode("keys").alias("key")), "signatures")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = shared.select("key", F.ceil(F.col("m") / BUCKET).cast("int").alias("blocks"))
     placed = (
