@@ -2,7 +2,8 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from panelspark.functions.numeric import clamp_count, pct_change_guarded, round_
 from panelspark.operators.ordered import ordered_index
 from panelspark.operators.panel import cube
 
+# Bytes of training rows that one partition holds, about.
+FIT_BYTES = 32 << 20
 FEATURES = ("entity_code", "category_code", "period_norm", "lag1", "lag2", "roll_mean")
 
 # Settings the published figures were made with.
@@ -116,16 +119,25 @@ def fit_models(
     features: Sequence[str] = FEATURES,
     label: str = "total",
 ) -> dict[str, PipelineModel]:
-    """Fit the three regressors; ``params`` selects some of them or changes their settings."""
+    """Fit the three regressors; ``params`` selects some of them or changes their settings.
+
+    The features are assembled once and kept while all learners read them, in no more partitions than their bytes ask for: a
+    boosted model of a small panel is hundreds of jobs, of which each task costs more than its rows.
+    What an executor loses is read from the training rows again.
+    """
     chosen = DEFAULT_PARAMS if params is None else params
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    size = int(str(train._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    dealt = assembler.transform(train).select("features", label)
+    dealt = dealt.coalesce(min(max(1, -(-size // FIT_BYTES)), 1 << 30))  # never more than there are
+    dealt.persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
-    for name, changes in chosen.items():
-        learner = _LEARNERS[name](
-            featuresCol="features", labelCol=label, **{**DEFAULT_PARAMS[name], **changes}
-        )
-        out[name] = Pipeline(
-            stages=[VectorAssembler(inputCols=list(features), outputCol="features"), learner]
-        ).fit(train)
+    try:
+        for name, changes in chosen.items():
+            learner = _LEARNERS[name](featuresCol="features", labelCol=label, **{**DEFAULT_PARAMS[name], **changes})
+            out[name] = PipelineModel(stages=[assembler, learner.fit(dealt)])
+    finally:
+        dealt.unpersist()
     return out
 
 
