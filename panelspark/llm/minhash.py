@@ -141,34 +141,47 @@ def _sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs of a table whose full sets have 100 * intersection >= 75 * union, as a table."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, scratch)
-    a = sets.withColumnsRenamed({"doc_id": "a", "shingles": "s_a"})
-    b = sets.withColumnsRenamed({"doc_id": "b", "shingles": "s_b"})
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    links = pairs.join(a, "a").join(b, "b").withColumn("common", common)
-    links = links.filter(F.col("common") * 100 >= (F.size("s_a") + F.size("s_b") - F.col("common")) * 75)
-    out = scratch.table(links.select("a", "b").distinct(), "links")
-    scratch.drop(sets)
+    """The pairs of a table whose full sets have 100 * intersection >= 75 * union, as a table.
+
+    ``b`` is a pair's home: a unit holds one home with at most ``UNIT`` of its ``a``. So the set of a hub
+    is sent once per unit, not once per pair, however many near copies it has.
+    """
+    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("blocks"))
+    counts = scratch.table(counts, "homes")
+    block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    guests = pairs.join(counts, "b").select(F.col("b").alias("home"), block.alias("guest_block"), F.col("a").alias("rep"), F.lit(True).alias("is_guest"))
+    hosts = counts.select(F.col("b").alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("guest_block"), F.col("b").alias("rep"), F.lit(False).alias("is_guest"))
+    units = guests.union(hosts).select("home", F.lit(0).alias("host_block"), "guest_block", F.col("rep").alias("label"), "rep", "is_guest")
+    return _linked(scratch.table(units, "units"), docs, scratch)
+
+
+def _linked(units: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links between the hosts and the guests of units ``home, host_block, guest_block, label, rep, is_guest``, as a table."""
+    sets = _sets_of(units.select(F.col("rep").alias("doc_id")).distinct(), docs, scratch)
+    key = ["home", "host_block", "guest_block"]
+    rows = units.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(*key).sortWithinPartitions(*key)
+    out = scratch.table(map_arrow(rows, _links_within, "a bigint, b bigint").distinct(), "links")
+    scratch.drop(sets, units)
     return out
 
 
 def _near_members(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
-    """What members of different groups may be similar, within runs of one (key, left, right).
+    """What guests of a unit may be similar to hosts of other groups, within runs of one (key, host_block, guest_block).
 
-    With ``best_only``, each member with the partner whose signature agrees most; else the
+    Guests are the rows that came as such, and hosts whose own guest block it is.
+    With ``best_only``, each guest with the partner whose signature agrees most; else the
     pairs of groups that have any such members.
     """
-    for (_, left, right), table in runs(batches, ["key", "left", "right"]):
-        rep, label, n, block = (table.column(c).to_numpy() for c in ("rep", "label", "n", "block"))
+    for (_, _, guest_block), table in runs(batches, ["key", "host_block", "guest_block"]):
+        rep, label, n, own = (table.column(c).to_numpy() for c in ("rep", "label", "n", "own_block"))
+        visiting = np.asarray(table.column("visiting"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
-        columns = np.flatnonzero(block == right)
+        hosts = np.flatnonzero(~visiting)
         found: list[tuple[int, int, int]] = []
         groups: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(block == left).tolist():
-            others = columns if left != right else columns[columns > i]
-            low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-            others = others[(label[others] != label[i]) & (high * 75 <= low * 100)]
+        for i in np.flatnonzero(visiting | (own == guest_block)).tolist():
+            low, high = np.minimum(n[hosts], n[i]), np.maximum(n[hosts], n[i])
+            others = hosts[(label[hosts] != label[i]) & (high * 75 <= low * 100)]
             agree = (sig[others] == sig[i]).sum(axis=1)
             near = agree >= MIN_AGREE
             if not near.any():
@@ -185,32 +198,46 @@ def _near_members(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterato
 
 
 def _near(named: DataFrame, classes: DataFrame, scratch: Scratch, best_only: bool) -> DataFrame:
-    """Pairs of members of one bucket that do not yet share a group: each member's best, or their groups.
+    """Pairs of members of one bucket that do not yet share a group: each one's best partner (``b``), or their groups.
 
     ``named`` has the buckets' members with the label of their group. Buckets that hold one group only,
-    as those of many copies of a text do, are left out. The rest are compared
-    by signature, block by block, so that a large bucket is shared by many tasks.
+    as those of many copies of a text do, are left out. In the rest the members of the largest group need no comparing among themselves:
+    the others are guests, and meet all members as hosts, by signature, block by block. So a large bucket is
+    shared by many tasks, and one stray member costs it one pass.
     """
     mixed = (
-        named.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
-        .filter("low < high")
-        .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        named.groupBy("key", "label")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("key")
+        .agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
+        .filter("m > top.c")
+        .select(
+            "key",
+            F.col("top.label").alias("major"),
+            F.ceil(F.col("m") / BLOCK).cast("int").alias("host_blocks"),
+            F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("guest_blocks"),
+        )
     )
-    placed = (
-        named.join(scratch.table(mixed, "mixed"), "key")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("left", F.least("block", "other"))
-        .withColumn("right", F.greatest("block", "other"))
-        .select("key", "left", "right", "block", "label", "rep")
-        .join(classes.select("rep", "n", "sig"), "rep")
+    place = F.xxhash64("rep")
+    placed = named.join(scratch.table(mixed, "mixed"), "key").withColumns(
+        {
+            "home": F.pmod(place, F.col("host_blocks")).cast("int"),
+            "own_block": F.when(F.col("label") == F.col("major"), -1).otherwise(F.pmod(place, F.col("guest_blocks")).cast("int")),
+        }
     )
-    dealt = placed.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    hosts = placed.withColumns({"host_block": F.col("home"), "guest_block": F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1)), "visiting": F.lit(False)})
+    # A guest is in the unit of its own host block already.
+    guests = placed.filter("own_block >= 0 and host_blocks > 1")
+    guests = guests.withColumns({"host_block": F.explode(F.sequence(F.lit(0), F.col("host_blocks") - 1)), "guest_block": F.col("own_block"), "visiting": F.lit(True)})
+    columns = ["key", "host_block", "guest_block", "own_block", "visiting", "label", "rep"]
+    both = hosts.select(*columns).union(guests.filter("host_block <> home").select(*columns))
+    units = both.join(classes.select("rep", "n", "sig"), "rep")
+    key = ["key", "host_block", "guest_block"]
+    dealt = units.repartition(*key).sortWithinPartitions(*key)
     pairs = map_arrow(dealt, lambda it: _near_members(it, best_only), "a bigint, b bigint, agree int")
     if best_only:
         pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    return scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    return scratch.table(pairs.select("a", "b").distinct(), "near")
 
 
 def _links_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +294,8 @@ def _links_between(groups: DataFrame, members: DataFrame, docs: DataFrame, scrat
     hosted = members.withColumn("home", F.col("label")).join(homes, "home")
     visiting = guests.drop("hosts").join(homes, "home")
     units = scratch.table(dealt(hosted, "host", "guest", False).union(dealt(visiting, "guest", "host", True)), "units")
-    sets = _sets_of(units.select(F.col("rep").alias("doc_id")).distinct(), docs, scratch)
-    key = ["home", "host_block", "guest_block"]
-    rows = units.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(*key).sortWithinPartitions(*key)
-    out = scratch.table(map_arrow(rows, _links_within, "a bigint, b bigint").distinct(), "links")
-    scratch.drop(sets, guests, units)
-    return out
+    scratch.drop(guests)
+    return _linked(units, docs, scratch)
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -326,8 +349,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("bands"))
         .groupBy("rep")
         .agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("hub"))
-        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        .distinct()
+        .select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     )
     first = verify(scratch.table(screen(spokes, classes), "spokes"), docs, scratch)
     labels = components(first, scratch)
