@@ -27,10 +27,15 @@ from panelspark.llm.common import map_arrow, text_slices
 _GAPS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _ODD_GAPS = re.compile("[\x1c-\x1f]")
 _LATIN_END = "\u0250"
+# What keeps a text from being lower-cased as a whole: other letters, and what may be a special token.
+_NOT_PLAIN = re.compile("[^\x00-\u024f]|<")
 _WORD_END = "</w>"
-# Remembered strings of a worker, in two generations of this many; longer strings are not kept.
-REMEMBERED = 200_000
+# Bytes that a memory's younger generation may take; the older one is as large. Longer strings are not kept.
+MEMORY_BYTES = 20 << 20
+_ENTRY_BYTES = 200  # of a dictionary's slot and the heads of two strings
 _LONGEST = 64
+# Pairs of tokens whose compatibility a worker remembers.
+_PAIRS = 100_000
 _PAIR_BITS = 20
 _ID = np.dtype("<u4")
 
@@ -45,12 +50,13 @@ def byte_letters() -> list[str]:
 
 
 class Memory(dict):
-    """A mapping of strings that keeps between one and two generations of ``size`` (``REMEMBERED``)."""
+    """A mapping of strings to bytes that keeps between one and two generations of ``limit`` bytes."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int | None = None):
+    def __init__(self, make: Callable[[str], bytes], limit: int = MEMORY_BYTES):
         super().__init__()
         self.make = make
-        self.size = size or REMEMBERED
+        self.limit = limit
+        self.held = 0
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
@@ -62,10 +68,12 @@ class Memory(dict):
 
     def keep(self, key: str, value: bytes) -> None:
         if len(key) <= _LONGEST:
-            if len(self) >= self.size:
+            if self.held >= self.limit:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = value
+            self.held += _ENTRY_BYTES + len(key) + len(value)
 
 
 def chunks(text: str | None) -> list[str]:
@@ -81,19 +89,26 @@ class Words:
     The file must lower-case, use word ends over byte letters and have no decoder.
     """
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, memory: int = MEMORY_BYTES):
         self.file = json.loads(spec)
         steps = [n["type"] for n in self.file["normalizer"]["normalizers"]]
         with_ends = self.file["model"].get("end_of_word_suffix") == _WORD_END
         if steps != ["NFC", "Replace", "Lowercase"] or not with_ends or self.file["decoder"]:
             raise ValueError("not a lower-casing BPE file with word ends and without a decoder")
-        self.library = Tokenizer.from_str(spec.decode())
         pattern = self.file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
         self.split = Split(Regex(pattern), "removed", invert=True)
         self.special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.chunk_ids = Memory(self._encode_chunk)
+        # Chunks of plain texts in lower case and pre-tokens share one memory; other chunks have another.
+        self.plain_ids = Memory(self._encode_plain, memory)
+        self.chunk_ids = Memory(self._encode_chunk, memory // 4)
+        self._normalizer = None
+
+    def library(self, with_model: bool) -> Tokenizer:
+        """The library's tokenizer, or its normalizer and splitter alone, which take little memory."""
+        model = {} if with_model else {"model": {**self.file["model"], "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        return Tokenizer.from_str(json.dumps({**self.file, **model}))
 
     def encode_word(self, word: str) -> bytes:
         raise NotImplementedError
@@ -108,48 +123,64 @@ class Words:
                 return [piece]
             # One sign or digit after letters is a pre-token of its own.
             return [piece[:-1], piece[-1]] if piece[:-1].isalpha() else self.pattern.findall(piece)
-        piece = self.library.normalizer.normalize_str(piece)
+        if self._normalizer is None:
+            self._normalizer = self.library(False).normalizer
+        piece = self._normalizer.normalize_str(piece)
         return [piece[a:b] for _, (a, b) in self.split.pre_tokenize_str(piece)]
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a pre-token. A pre-token that stands alone as a chunk becomes the same, so one memory serves both."""
-        known = self.chunk_ids.get(word)
-        if known is None:
-            known = self.chunk_ids.old.get(word)
-            if known is None:
-                known = self.encode_word(word)
-            self.chunk_ids.keep(word, known)
-        return known
+    def _encode_plain(self, chunk: str) -> bytes:
+        """A lower-case chunk of a plain text. One that is a pre-token as a whole stands for itself in the memory."""
+        if chunk.isalpha():
+            return self.encode_word(chunk)
+        known = self.plain_ids
+        if chunk[:-1].isalpha():  # one sign or digit after letters is a pre-token of its own
+            return known[chunk[:-1]] + known[chunk[-1]]
+        words = self.pattern.findall(chunk)
+        if len(words) == 1 and words[0] == chunk:
+            return self.encode_word(chunk)
+        return b"".join(map(known.__getitem__, words))
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        if "<" not in chunk:
-            words = self._pre_tokens(chunk)
-            if len(words) == 1:
-                return self.encode_word(chunk) if words[0] == chunk else self._word(words[0])
-            return b"".join(map(self._word, words))
         out = []
-        for i, piece in enumerate(self.special_cut.split(chunk)):
+        for i, piece in enumerate(self.special_cut.split(chunk) if "<" in chunk else [chunk]):
             if i % 2:
                 out.append(np.array([self.special[piece]], _ID).tobytes())
             elif piece:
                 out.extend(map(self._word, self._pre_tokens(piece)))
         return b"".join(out)
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a pre-token, which is encoded alike where it is a chunk of a plain text."""
+        known = self.plain_ids.get(word) or self.plain_ids.old.get(word)
+        if known is None:
+            known = self.encode_word(word)
+            self.plain_ids.keep(word, known)
+        return known
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The ids of a whole text, as ``tokenizers`` gives them without special tokens added, four bytes each.
+
+        Letters below U+0250 have no other normal form than their own, so a text of these is lower-cased at once.
+        """
+        if text and not _NOT_PLAIN.search(text):
+            return b"".join(map(self.plain_ids.__getitem__, chunks(text.lower())))
+        return b"".join(map(self.chunk_ids.__getitem__, chunks(text)))
+
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text, as ``tokenizers`` gives them without special tokens added."""
-        return np.frombuffer(b"".join(map(self.chunk_ids.__getitem__, chunks(text))), _ID)
+        return np.frombuffer(self.encode_bytes(text), _ID)
 
 
 class WordBpe(Words):
     """Encoder by prefix tables, and decoder."""
 
-    def __init__(self, spec: bytes):
-        super().__init__(spec)
+    def __init__(self, spec: bytes, memory: int = MEMORY_BYTES):
+        super().__init__(spec, memory)
         vocabulary = self.file["model"]["vocab"]
         self.names = [""] * (max([*vocabulary.values(), *self.special.values()]) + 1)
         for name, number in [*vocabulary.items(), *self.special.items()]:
             self.names[number] = name
         self._build(self.file["model"])
+        self.file["model"] = {**self.file["model"], "vocab": {}, "merges": []}  # not needed any more
 
     def _build(self, model: dict) -> None:
         """Number the tokens by the rank of their merge, single letters first."""
@@ -205,7 +236,7 @@ class WordBpe(Words):
                 limit, b = b + 1, self.left[b]
 
     def compatible(self, a: int, b: int) -> bool:
-        if len(self._compatible) >= 2 * REMEMBERED:
+        if len(self._compatible) >= _PAIRS:
             self._compatible.clear()
         known = self._compatible[a << _PAIR_BITS | b] = self._test(a, b, len(self.packed))
         return known
@@ -250,10 +281,11 @@ def once_per_worker(spec, make: Callable):
     return _loaded[make, spec.value]
 
 
-def id_lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    values = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(ends, values)
+def id_lists(parts: list[bytes]) -> pa.ListArray:
+    """The ids of some texts as lists, over one buffer."""
+    ends = np.cumsum([0, *map(len, parts)]) // _ID.itemsize
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
+    return pa.ListArray.from_arrays(ends.astype(np.int32), values)
 
 
 def _spec(df: DataFrame, path: str):
@@ -265,7 +297,7 @@ def _spec(df: DataFrame, path: str):
 def encode_batches(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
     bpe = once_per_worker(spec, WordBpe)
     for batch in text_slices(batches):
-        parts = [bpe.encode(t) for t in batch.column("text").to_pylist()]
+        parts = [bpe.encode_bytes(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(parts)], names=["doc_id", "ids"])
 
 

@@ -11,8 +11,8 @@ from panelspark.llm.shingles import mix
 _U = np.uint64
 _TOKENS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 _WORDS = re.compile(r"[^\W_]+")
-# Runs of text whose hashes a task remembers; hashing one anew is cheap.
-_REMEMBERED = 50_000
+# Bytes of runs of text whose hashes a task remembers, in each of two generations; hashing one anew is cheap.
+_REMEMBERED = 10 << 20
 _START = _U(0x5851F42D4C957F2D)
 
 
@@ -31,13 +31,17 @@ class TokenHashes:
         return np.frombuffer(b"".join(map(self.memory.__getitem__, chunks(text))), np.dtype("<u8"))
 
 
+def pair_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return mix(before * _U(0xD6E8FEB86659FD93) ^ tokens)
+
+
 def bigram_hashes(tokens: np.ndarray) -> np.ndarray:
     """The hash of each token with the one before it; the first follows a start mark."""
-    before = np.concatenate(([_START], tokens[:-1])) if len(tokens) else tokens
-    return mix(before * _U(0xD6E8FEB86659FD93) ^ tokens)
+    return pair_hashes(contexts(tokens), tokens)
 
 
 def contexts(tokens: np.ndarray) -> np.ndarray:
+    """The token before each, a start mark before the first."""
     return np.concatenate(([_START], tokens[:-1])) if len(tokens) else tokens
 
 
