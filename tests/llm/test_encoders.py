@@ -25,7 +25,8 @@ ODD = [
 def odd_texts():
     rnd = random.Random(1)
     ranges = [(32, 127), (0, 0x250), (0, 0x3000), (0, 0xD800), (0x10000, 0x1FFFF)]
-    return ODD + ["".join(chr(rnd.randrange(*rnd.choice(ranges))) for _ in range(rnd.randrange(1, 12))) for _ in range(1500)]
+    plain = ["".join(chr(rnd.choice([rnd.randrange(0x250), rnd.randrange(97, 123), 32, 39])) for _ in range(rnd.randrange(1, 16))) for _ in range(1500)]
+    return ODD + plain + ["".join(chr(rnd.randrange(*rnd.choice(ranges))) for _ in range(rnd.randrange(1, 12))) for _ in range(1500)]
 
 
 def documents(spark, texts):
@@ -56,12 +57,13 @@ def test_round_trip_equals_the_library(spark, library):
 
 
 def test_memory_forgets_without_changing_results(library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "_PAIRS", 50)
     with open(registry.tokenizer(), "rb") as file:
-        own = bpe.WordBpe(file.read())
+        own = bpe.WordBpe(file.read(), memory=4000)
     for t in odd_texts()[:500]:
         assert own.encode(t).tolist() == library.encode(t or "", add_special_tokens=False).ids
-    assert len(own.chunk_ids) <= 20 and len(own.chunk_ids.old) <= 20
+    for memory in (own.plain_ids, own.chunk_ids):
+        assert 0 < len(memory) <= 30 and 0 < len(memory.old) <= 30 and memory.held <= memory.limit + 1000
 
 
 def test_real_texts_equal_the_library(spark, library):
@@ -196,6 +198,17 @@ def test_shards_have_near_equal_bytes(spark):
     assert spark.read.parquet(path).count() == len(rows) and spark.read.parquet(path).select("shard").distinct().count() == 4
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    """Rows of one doc_id and text may differ in source, and repeat."""
+    rows = [(i % 50, f"text {i % 50} " * (i % 7), f"s{i % 10}", "en", i, "c") for i in range(500)]
+    docs = spark.createDataFrame(rows * 2, "doc_id bigint, text string, source string, lang string, size bigint, k_source string")
+    sharding.write_shards(docs, str(tmp_path / "out"), 8)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, back.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    sums = [r[0] for r in back.groupBy("shard").agg({"text": "count"}).select("count(text)").collect()]
+    assert len(sums) == 8
+
+
 def test_slots_in_several_buckets(spark, monkeypatch):
     monkeypatch.setattr(sharding, "_SLOT_ROWS", 10)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
