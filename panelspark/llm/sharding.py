@@ -46,7 +46,7 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + OVERHEAD
 
 
-def metadata(docs: DataFrame) -> DataFrame:
+def _metadata(docs: DataFrame) -> list[Column]:
     """Size, text checksum and raw coordinates of every row; missing columns and NULLs have coordinate 0."""
     columns = dict(docs.dtypes)
     raw = {
@@ -58,16 +58,16 @@ def metadata(docs: DataFrame) -> DataFrame:
     }
     size = text_size(F.col("text"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return docs.select(
+    return [
         F.col("doc_id").cast("bigint").alias("doc_id"),
         size.alias("size"),
         crc.alias("text_crc32"),
         F.log2(size.cast("double")).alias("c_size"),
         *[c.alias(f"c_{name}") for name, c in raw.items()],
-    )
+    ]
 
 
-def _keys(rows: DataFrame) -> DataFrame:
+def _keys(rows: DataFrame) -> list[Column]:
     """A long key per dimension: the coordinate's place in its range, then bits that tell equal ones apart."""
     ends = rows.agg(*[f(f"c_{d}").alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]).first()
     other = F.xxhash64("doc_id", "text_crc32").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -77,7 +77,7 @@ def _keys(rows: DataFrame) -> DataFrame:
         span = (high - low) if low is not None and high > low else 1.0
         place = F.floor((F.col(f"c_{d}") - F.lit(low or 0.0)) / F.lit(span) * F.lit(float((1 << _BITS) - 1)))
         keys[f"k_{d}"] = place.cast("bigint") * F.lit(1 << 32) + other
-    return rows.select("doc_id", "size", "text_crc32", *[k.alias(name) for name, k in keys.items()])
+    return [F.col("doc_id"), F.col("size"), F.col("text_crc32"), *[k.alias(name) for name, k in keys.items()]]
 
 
 def _split(rows: DataFrame, root: Node, nodes: list[Node], shard_bytes: float) -> None:
@@ -152,12 +152,13 @@ def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None
     follows from ``target_bytes``. The law is ``bytes``: shards have nearly equal sums of ``size``,
     the bytes of the text (NULL: none) plus 16. Rows of one coordinate, such as a hot source or many equal
     texts, are told apart by a hash of doc_id and text, so that a group of any size is split. Rows
-    equal in doc_id and text share a shard. A NULL doc_id, lang or source has coordinate 0. ``slot`` numbers the
+    equal in doc_id, text, source and lang share a shard. A NULL doc_id, lang or source has coordinate 0. ``slot`` numbers the
     rows of a shard from 0 without gaps; ``grown_shard`` is NULL under this law. Further
     columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "shards")
-    rows = scratch.table(_keys(scratch.table(metadata(docs), "metadata")), "keys")
+    narrow = scratch.table(docs.select(*_metadata(docs)), "metadata")
+    rows = scratch.table(narrow.select(*_keys(narrow)), "keys")
     if target_bytes:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     tree = build_tree(rows, shards)
@@ -190,10 +191,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
     """Write the documents, with all their columns, into one folder per shard; a column of that name gives way."""
     docs = docs.drop("shard")
     scratch = Scratch(docs.sparkSession, "shards")
-    narrow = scratch.table(metadata(docs), "metadata")
-    keyed = scratch.table(_keys(narrow), "keys")
-    shard = build_tree(keyed, shards).shard()
-    places = keyed.select("doc_id", "text_crc32", shard.alias("shard")).distinct()
-    crc = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    placed = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"]) & (crc == places["text_crc32"]))
-    placed.select(*[docs[c] for c in docs.columns], places["shard"]).write.partitionBy("shard").parquet(path)
+    narrow = scratch.table(docs.select(*_metadata(docs)), "metadata")
+    keys = _keys(narrow)
+    tree = build_tree(scratch.table(narrow.select(*keys), "keys"), shards)
+    # A row's shard follows from the row itself, so rows that repeat stay as many as they are.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_metadata(docs)).select("row", *keys)
+    whole.select("row.*", tree.shard().alias("shard")).write.partitionBy("shard").parquet(path)
