@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Scratch, constant_table, small_side
+from panelspark.llm.common import Scratch, constant_array, constant_table, small_side
 
 THRESHOLD = 0.75
 
@@ -195,38 +195,84 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORD), lambda w: w != "")
 
 
+def _by_template(templates: dict[str, list[str]]) -> dict[tuple[str, int], tuple[int, dict[str, float]]]:
+    """Per template its number of words and the words' weights, in the order that numbers templates."""
+    weights: dict[tuple[str, int], dict[str, float]] = {}
+    for name, i, word, t in template_vectors(templates)[0]:
+        weights.setdefault((name, i), {})[word] = t
+    return {k: (sum(1 for w in re.split(_WORD, templates[k[0]][k[1]].lower()) if w), ts) for k, ts in weights.items()}
+
+
+def _possible(words: str, templates: dict[str, list[str]]) -> Column:
+    """The templates, as ``t, len``, that the words of a text may reach the threshold for, in whatever unit.
+
+    By the inequality of Cauchy and Schwarz no line, run or whole text has a cosine above the root of the summed squared
+    weights of the template's words that the text has at all. Only texts with a marker of the template are looked at so.
+    """
+    _, idf, _, _ = template_vectors(templates)
+    by_template = _by_template(templates)
+    every = constant_array(sorted({w for _, ts in by_template.values() for w in ts}))
+    least = THRESHOLD * THRESHOLD - 1e-6
+
+    def option(present: Column, number: int, length: int, ts: dict[str, float]) -> Column:
+        own, squares = constant_array(list(ts)), constant_array([x * x for x in ts.values()])
+        reach = F.aggregate(F.array_intersect(present, own), F.lit(0.0), lambda total, w: total + F.get(squares, (F.array_position(own, w) - 1).cast("int")))
+        marked = F.arrays_overlap(present, constant_array(_markers(ts, idf)))
+        return F.when(marked & (reach >= least), F.struct(F.lit(number).alias("t"), F.lit(length).alias("len")))
+
+    def options(present: Column) -> Column:
+        all_ = [option(present, n, length, ts) for n, (length, ts) in enumerate(by_template.values())]
+        return F.filter(F.array(*all_), lambda x: x.isNotNull())
+
+    # The one-element transform finds the templates' words among the text's once.
+    return F.get(F.transform(F.array(F.array_intersect(words, every)), options), F.lit(0))
+
+
+def _concentrated(words: Column, templates: dict[str, list[str]]) -> Column:
+    """Whether enough of the weight of a unit lies on words of templates for any cosine to reach the threshold.
+
+    A cosine is at most the root of the part that the template's words have of the unit's squared weights; of
+    the words of no template, each occurrence adds at least the square of one such word's weight to the whole.
+    """
+    _, idf, other, _ = template_vectors(templates)
+    names = sorted(idf)
+    every, squares = constant_array(names), constant_array([idf[w] ** 2 for w in names])
+    least = THRESHOLD * THRESHOLD - 1e-6
+
+    def share(ws: Column) -> Column:
+        def add(total: Column, word: Column) -> Column:
+            times = F.size(ws) - F.size(F.array_remove(ws, word))
+            square = F.get(squares, (F.array_position(every, word) - 1).cast("int"))
+            return F.struct((total["c"] + times * times * square).alias("c"), (total["n"] + times).alias("n"))
+
+        def enough(total: Column) -> Column:
+            return total["c"] >= least * (total["c"] + other * other * (F.size(ws) - total["n"]))
+
+        total = F.aggregate(F.array_intersect(ws, every), F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("n")), add)
+        return F.get(F.transform(F.array(total), enough), F.lit(0))
+
+    # The one-element transforms evaluate the words, and their sums, once.
+    return F.get(F.transform(F.array(words), share), F.lit(0))
+
+
 def _windows(texts: DataFrame, templates: dict[str, list[str]], scratch: Scratch) -> DataFrame:
-    """``h, windows`` of texts ``h, words``: runs of as many words as a template that may reach the threshold for it.
+    """``h, windows`` of texts ``h, words, ts``: runs of as many words as a template of ``ts`` that may reach the threshold for it.
 
     Lines do not matter, so a notice may be wrapped, quoted or inside a sentence. A run starts at any word of the
     template. Its cosine is at most its dot product over the root of its words' summed squares, as
     a word of n occurrences counts n * n times; runs below the threshold even so are left out.
     """
     spark = texts.sparkSession
-    vectors, idf, other, _ = template_vectors(templates)
-    weights, by_template = {}, []
-    for name, i, word, t in vectors:
-        weights.setdefault((name, i), {})[word] = t
-    for number, (key, ts) in enumerate(weights.items()):
-        length = sum(1 for w in re.split(_WORD, templates[key[0]][key[1]].lower()) if w)
-        by_template.append((number, length, _markers(ts, idf)))
-    longest = max(length for _, length, _ in by_template)
-    present = F.filter(
-        F.array(
-            *[
-                F.when(F.arrays_overlap("words", F.array(*map(F.lit, markers))), F.struct(F.lit(n).alias("t"), F.lit(length).alias("len")))
-                for n, length, markers in by_template
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
+    _, idf, other, _ = template_vectors(templates)
+    by_template = _by_template(templates)
+    longest = max(length for length, _ in by_template.values())
     # Rows that repeat a path and its text are windowed one by one.
-    some = texts.select(F.monotonically_increasing_id().alias("row"), "h", F.size("words").alias("n"), present.alias("ts"), "words").filter(F.size("ts") > 0)
+    some = texts.select(F.monotonically_increasing_id().alias("row"), "h", F.size("words").alias("n"), "ts", "words")
     placed = some.select("row", "h", "n", "ts", F.posexplode("words").alias("pos", "word"))
     known = constant_table(spark, ["word", "idf"], sorted(idf.items()))
     each = placed.join(known, "word").select("row", "h", "n", "pos", "word", "idf", F.explode("ts").alias("t"))
     each = each.select("row", "h", "n", "pos", "word", "idf", "t.t", "t.len")
-    table = constant_table(spark, ["t", "word", "weight"], [(n, w, x) for n, ts in enumerate(weights.values()) for w, x in sorted(ts.items())])
+    table = constant_table(spark, ["t", "word", "weight"], [(n, w, x) for n, (_, ts) in enumerate(by_template.values()) for w, x in sorted(ts.items())])
     # Words of no template all weigh alike, so only the others are rows; these count for what they weigh less.
     rows = each.join(table, ["t", "word"], "left").select(
         "row", "h", "n", "pos", "t", "len", "weight",
@@ -253,14 +299,19 @@ def matches(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> Da
     weighted by TF-IDF. ``whole`` says that the whole text matches, as that of a licence file does. Ties go to the first name.
     """
     vectors, idf, other, markers = template_vectors(templates)
-    marked = F.arrays_overlap("words", F.array(*map(F.lit, markers)))
+    marked = F.arrays_overlap("words", constant_array(markers))
     texts = files.filter("text is not null").select("path", "text", _words(F.col("text")).alias("words")).filter(marked)
+    scratch = Scratch(files.sparkSession, "notices")
+    texts = texts.withColumn("ts", _possible("words", templates)).filter(F.size("ts") > 0)
+    texts = scratch.table(texts, "likely")
     lines = F.transform(F.split("text", r"\r?\n"), lambda l: F.struct(l.alias("unit"), F.lit(False).alias("whole")))
     whole = F.array(F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole")))
     units = texts.select("path", F.explode(F.concat(lines, whole)).alias("u"))
     units = units.select("path", "u.whole", _words(F.col("u.unit")).alias("words")).filter(marked)
-    hashed = texts.select("path", F.xxhash64("path", "text").alias("h"), "words")
-    runs = hashed.join(small_side(_windows(hashed, templates, Scratch(files.sparkSession, "notices"))), "h")
+    # Most lines and long texts cannot match: they are left out before any of their words is a row.
+    units = units.filter(_concentrated(F.col("words"), templates) & (F.size(_possible("words", templates)) > 0))
+    hashed = texts.select("path", F.xxhash64("path", "text").alias("h"), "words", "ts")
+    runs = hashed.join(small_side(_windows(hashed, templates, scratch)), "h")
     runs = runs.select("path", "words", F.explode("windows").alias("r"))
     runs = runs.select("path", F.lit(False).alias("whole"), F.slice("words", F.col("r.pos") + 1, F.col("r.len")).alias("words"))
     units = units.unionByName(runs).distinct()

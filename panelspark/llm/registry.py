@@ -215,7 +215,13 @@ JOIN (SELECT word, root FROM up WHERE root IN (SELECT word FROM form WHERE form
 
 
 def _licence_sql() -> str:
+    """Lines, whole texts and runs of as many words as a template, against every template.
+
+    Runs are listed for the pairs of text and template that any run can reach the threshold for, which is exact.
+    """
     vectors, idf, other, _ = licenses.template_vectors()
+    lengths = [(name, number, length) for (name, number), (length, _) in licenses._by_template(licenses.TEMPLATES).items()]
+    least = licenses.THRESHOLD
 
     def rows(values: list[tuple]) -> str:
         return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in row) + ")" for row in values)
@@ -223,12 +229,26 @@ def _licence_sql() -> str:
     words = "list_filter(regexp_split_to_array(lower(unit), '[^a-z0-9]+'), lambda w: w <> '')"
     return f"""
 WITH t(licence, template, word, t) AS (VALUES {rows(vectors)}),
+lengths(licence, template, n) AS (VALUES {rows(lengths)}),
 idf(word, idf) AS (VALUES {rows(sorted(idf.items()))}),
 f AS (SELECT doc_id, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), doc_id::VARCHAR) AS path, text FROM documents),
+fw AS (SELECT path, {words.replace('unit', 'text')} AS ws FROM f WHERE text IS NOT NULL),
+likely AS (
+  SELECT path, licence, template FROM (SELECT DISTINCT path, unnest(ws) AS word FROM fw) JOIN t USING (word)
+  GROUP BY ALL HAVING sum(t * t) >= {least * least - 1e-6!r}::DOUBLE),
+starts AS (
+  SELECT path, s.licence, s.template, pos, list_slice(ws, pos, pos + n - 1) AS ws
+  FROM (SELECT path, licence, template, n, ws, unnest(range(1, len(ws) + 1)) AS pos FROM likely JOIN fw USING (path) JOIN lengths USING (licence, template)) s
+  JOIN t ON t.licence = s.licence AND t.template = s.template AND t.word = ws[pos]),
+run AS (
+  SELECT path, licence, template, pos FROM (SELECT path, licence, template, pos, unnest(ws) AS word FROM starts)
+  LEFT JOIN idf USING (word) LEFT JOIN t USING (licence, template, word)
+  GROUP BY ALL HAVING sum(coalesce(idf * t, 0)) >= {least - 1e-6!r}::DOUBLE * sqrt(sum(coalesce(idf, {other!r}::DOUBLE) * coalesce(idf, {other!r}::DOUBLE)))),
 u AS (
   SELECT DISTINCT path, whole, {words} AS ws FROM (
     SELECT path, false AS whole, unnest(regexp_split_to_array(text, '\r?\n')) AS unit FROM f
-    UNION ALL SELECT path, true, text FROM f)),
+    UNION ALL SELECT path, true, text FROM f)
+  UNION SELECT path, false, ws FROM starts JOIN run USING (path, licence, template, pos)),
 tf AS (SELECT path, whole, ws, word, count(*) AS tf FROM (SELECT path, whole, ws, unnest(ws) AS word FROM u) GROUP BY ALL),
 w AS (SELECT path, whole, ws, tf.word, tf * coalesce(idf, {other!r}::DOUBLE) AS w FROM tf LEFT JOIN idf ON idf.word = tf.word),
 norms AS (SELECT path, whole, ws, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
@@ -241,7 +261,7 @@ own AS (
 dir AS (
   SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_min(licence, (-score, path)) AS from_dir,
          arg_min(path, (-score, path)) AS licence_path
-  FROM own WHERE whole GROUP BY 1),
+  FROM own WHERE whole OR regexp_matches(path, '{licenses.LICENCE_NAMES}') GROUP BY 1),
 near AS (
   SELECT path, from_dir, licence_path FROM f JOIN dir ON starts_with(path, CASE WHEN dir = '' THEN '' ELSE dir || '/' END)
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(dir) DESC) = 1)
