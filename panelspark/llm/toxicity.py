@@ -9,18 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import Scratch, map_arrow, small_side, text_slices
-from panelspark.llm.language import TokenHashes, bigram_hashes, contexts, fit_logistic, logits
+from panelspark.llm.language import TokenHashes, bigram_hashes, contexts, fit_logistic, logits, pair_hashes
 
 FOLDS = 5
 # Labelled documents, at most, that the score is calibrated on; the models are counted on all.
 CALIBRATED = 5_000
-# Absolute discount of a count. An expression of which no count is left in either class is looked up as an unseen one.
+# Absolute discount of a count.
 DISCOUNT = 2.0
-# Entries, at most, of each table that tasks hold: those that say most.
-HELD = 1_000_000
+# Ratios nearer than this to what the backoff gives are left to the backoff.
+TELLING = 0.1
+# Entries of the model up to which tasks hold it, some 24 bytes each; a larger one is joined to the words of the texts.
+HELD = 1_500_000
 # Lengths of the passages whose log-likelihood ratio per word is compared; the whole text is another.
 PASSAGES = (1, 3, 10)
 FEATURES = 1 + 2 * len(PASSAGES)
+_ENTRY = "h bigint, pair boolean, r double, g double"
 _U = np.uint64
 
 
@@ -30,10 +33,15 @@ def fold(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios of words and pairs by hash, sorted, and the fit of the score."""
+    """Log-likelihood ratios less that of an unseen word, by hash, sorted; and the fit of the score.
+
+    A pair that is not among ``pairs`` has its second word's ratio plus the ratio of the weights with
+    which the first word backs off.
+    """
 
     words: np.ndarray
     word_ratios: np.ndarray
+    backoffs: np.ndarray
     pairs: np.ndarray
     pair_ratios: np.ndarray
     fit: tuple | None = None
@@ -43,8 +51,9 @@ class Model:
         if not len(tokens):
             return [0.0] * FEATURES
         single = _look_up(self.words, self.word_ratios, tokens, 0.0)
+        backed = single + _look_up(self.words, self.backoffs, contexts(tokens), 0.0)
         double = _look_up(self.pairs, self.pair_ratios, bigram_hashes(tokens), np.nan)
-        both = np.where(np.isnan(double), single, double)
+        both = np.where(np.isnan(double), backed, double)
         peaks = []
         for ratios in (single, both):
             sums = np.concatenate(([0.0], np.cumsum(ratios)))
@@ -52,6 +61,15 @@ class Model:
         return [float(both.mean()), *map(float, peaks)]
 
 
+@dataclass
+class Trained:
+    """A model that tasks hold, or the table ``h, pair, r, g`` of one that is too large for that; and the fit."""
+
+    model: Model | None
+    table: DataFrame
+    fit: tuple | None = None
+
+
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), other)
@@ -89,24 +107,15 @@ def _discount(count: Column | str) -> Column:
     return F.least(F.col(count) if isinstance(count, str) else count, F.lit(DISCOUNT))
 
 
-def _evidence(count: str) -> Column:
-    """Whether the discount leaves anything of a count in either class."""
-    return (F.col(f"{count}0") > DISCOUNT) | (F.col(f"{count}1") > DISCOUNT)
-
-
-def _most_telling(rows: DataFrame) -> DataFrame:
-    """About ``HELD`` rows of a table at most, those whose ratios differ most from what they are looked up as otherwise."""
-    n = rows.count()
-    return rows if n <= HELD else rows.filter(F.col("says") > rows.approxQuantile("says", [1 - HELD / n], 0.001)[0])
-
-
-def count_model(train: DataFrame, scratch: Scratch) -> Model:
-    """Two Kneser-Ney models of order two, kept as the ratios of their probabilities.
+def count_model(train: DataFrame, scratch: Scratch) -> DataFrame:
+    """Two Kneser-Ney models of order two, as a table ``h, pair, r, g`` of the ratios of their probabilities.
 
     A word's probability comes from the number of different words it follows, not from how
     often it occurs, so copies of a text add nothing. The class's discounted count backs off to the
     distribution of both classes together; a pair backs off to the pair's shared count,
-    and that to the class's word.
+    and that to the class's word. ``r`` is the logarithm of a word's or pair's ratio less that of an unseen word, ``g`` that of the weights
+    with which the pairs that a word begins back off. What differs by less than ``TELLING`` from what
+    is looked up otherwise is left out, whatever the size of the table.
     """
     pairs = map_arrow(train.select("text", "toxic"), _pairs, "v bigint, w bigint, toxic tinyint")
     ones = [F.count_if(F.col("toxic") == c).alias(f"n{c}") for c in (0, 1)]
@@ -116,70 +125,116 @@ def count_model(train: DataFrame, scratch: Scratch) -> Model:
     total = words.agg(F.count(F.lit(1)), *[x for k in ("k", "k0", "k1") for x in (F.sum(k), F.sum(_discount(k)))]).first()
     types, (all_pairs, all_off), *by_class = total[0], total[1:3], total[3:5], total[5:7]
     if not all_pairs or not by_class[0][0] or not by_class[1][0]:  # nothing to compare
-        return Model(*[np.empty(0, t) for t in (_U, float, _U, float)])
+        return scratch.table(train.sparkSession.createDataFrame([], _ENTRY), "ratios")
 
     def word_probability(c: int) -> Column:
         pairs_c, off_c = by_class[c]
         shared = (F.col("k") - _discount("k")) / all_pairs + all_off / all_pairs / (types + 1)
         return (F.col(f"k{c}") - _discount(f"k{c}")) / pairs_c + off_c / pairs_c * shared
 
-    scored = words.select("w", word_probability(0).alias("p0"), word_probability(1).alias("p1"), _evidence("k").alias("seen"))
-    before = pairs.groupBy("v").agg(
-        F.sum(F.col("n0") + F.col("n1")).alias("sum"),
-        F.sum(_discount(F.col("n0") + F.col("n1"))).alias("off"),
-        *[x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"sum{c}"), F.sum(_discount(f"n{c}")).alias(f"off{c}"))],
-    )
-    told = pairs.filter(_evidence("n")).join(before, "v").join(scored, "w", "left")
+    # An unseen word's probabilities are the backoff's alone.
+    unseen = float(np.log(by_class[1][1] / by_class[1][0]) - np.log(by_class[0][1] / by_class[0][0]))
+    scored = words.select("w", word_probability(0).alias("p0"), word_probability(1).alias("p1"))
+    scored = scored.withColumn("r", F.ln(F.col("p1") / F.col("p0")) - unseen)
+    sums = [x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"sum{c}"), F.sum(_discount(f"n{c}")).alias(f"off{c}"))]
+    n = F.col("n0") + F.col("n1")
+    before = pairs.groupBy("v").agg(F.sum(n).alias("sum"), F.sum(_discount(n)).alias("off"), *sums)
+    weight = [F.when(F.col(f"sum{c}") > 0, F.col(f"off{c}") / F.col(f"sum{c}")).otherwise(1.0) for c in (0, 1)]
+    before = before.withColumns({"u0": weight[0], "u1": weight[1], "g": F.ln(weight[1] / weight[0])})
+    # Of a pair that the discount takes whole, in both classes together, the backoff is all that is left.
+    told = pairs.filter(n > DISCOUNT).join(before, "v").join(scored, "w")
 
     def pair_probability(c: int) -> Column:
-        n = F.col("n0") + F.col("n1")
         shared = (n - _discount(n)) / F.col("sum") + F.col("off") / F.col("sum") * F.col(f"p{c}")
-        own = (F.col(f"n{c}") - _discount(f"n{c}")) / F.col(f"sum{c}") + F.col(f"off{c}") / F.col(f"sum{c}") * shared
-        return F.when(F.col(f"sum{c}") > 0, own).otherwise(shared)
-
-    alone = F.ln(F.col("p1") / F.col("p0"))
-    word_rows = scored.filter("seen").select("w", alone.alias("r"), F.abs(alone).alias("says"))
-    ratio = F.ln(pair_probability(1) / pair_probability(0))
-    pair_rows = told.select("v", "w", ratio.alias("r"), F.abs(ratio - F.when(F.col("seen"), alone).otherwise(0.0)).alias("says"))
-    w, p = (_most_telling(scratch.table(rows, name)).toArrow() for rows, name in ((word_rows, "word-ratios"), (pair_rows, "pair-ratios")))
-    words_, ratios = _sorted(w.column("w").to_numpy().view(_U), w.column("r").to_numpy())
-    follow = p.column("w").to_numpy().view(_U)
-    keys = _pair_keys(p.column("v").to_numpy().view(_U), follow)
-    pairs_, pair_ratios = _sorted(keys, p.column("r").to_numpy())
-    return Model(words_, ratios, pairs_, pair_ratios)
+        own = F.when(F.col(f"sum{c}") > 0, (F.col(f"n{c}") - _discount(f"n{c}")) / F.col(f"sum{c}")).otherwise(0.0)
+        return own + F.col(f"u{c}") * shared
 
+    whole = told.withColumn("ratio", F.ln(pair_probability(1) / pair_probability(0)) - unseen)
+    telling = whole.filter(F.abs(F.col("ratio") - F.col("r") - F.col("g")) >= TELLING)
+    single = scored.select(F.col("w").alias("h"), "r").join(before.select(F.col("v").alias("h"), "g"), "h", "full")
+    single = single.select("h", F.lit(False).alias("pair"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("r", "g")])
+    single = single.filter(F.greatest(F.abs("r"), F.abs("g")) >= TELLING)
+    rows = telling.select("v", "w", F.lit(True).alias("pair"), F.col("ratio").alias("r"), F.lit(0.0).alias("g"))
+    return scratch.table(single.unionAll(map_arrow(rows, _with_pair_keys, _ENTRY)), "ratios")
 
-def _pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    from panelspark.llm.shingles import mix
 
-    return mix(v * _U(0xD6E8FEB86659FD93) ^ w)
+def _with_pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v, w = (batch.column(c).to_numpy().view(_U) for c in ("v", "w"))
+        columns = [pa.array(pair_hashes(v, w).view(np.int64)), *map(batch.column, ("pair", "r", "g"))]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "pair", "r", "g"])
 
 
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    return keys[order], values[order]
+def _held(rows: list[tuple] | pa.Table) -> Model:
+    """The model of rows ``h, pair, r, g``."""
+    if isinstance(rows, pa.Table):
+        columns = [rows.column(c).to_numpy() for c in ("h", "pair", "r", "g")]
+    else:
+        columns = [np.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (np.int64, bool, float, float))]
+    h, pair, r, g = columns
+    h, pair = h.astype(np.int64).view(_U), pair.astype(bool)
+    order = np.argsort(h)
+    h, pair, r, g = h[order], pair[order], r[order], g[order]
+    return Model(h[~pair], r[~pair], g[~pair], h[pair], r[pair])
 
 
 def _features(texts: pa.Array, model: Model, hashes: TokenHashes) -> np.ndarray:
     return np.array([model.features(hashes(t)) for t in texts.to_pylist()], float).reshape(len(texts), FEATURES)
 
 
-def _featured(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _probability(x: np.ndarray, fit: tuple) -> np.ndarray:
+    return 1 / (1 + np.exp(-logits(x, fit)))
+
+
+def _keep(batch: pa.RecordBatch, names: list[str], x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*names, "x"])
+
+
+# A text's own key: 128 bits of it.
+_TEXT_KEY = ("t1", "t2")
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words and pairs of each text, by its key."""
     hashes = TokenHashes(words_only=True)
     for batch in text_slices(batches):
-        lists = pa.array(_features(batch.column("text"), model.value, hashes).tolist(), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], names=["toxic", "x"])
+        found = []
+        for text in batch.column("text").to_pylist():
+            tokens = hashes(text)
+            found.append(np.unique(np.concatenate((tokens, contexts(tokens), bigram_hashes(tokens)))))
+        sizes = [len(f) for f in found]
+        keys = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in _TEXT_KEY]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(found).view(np.int64))], names=[*_TEXT_KEY, "h"])
 
 
-def _with_scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Slices of the batches with the score of each row's text."""
+def _found_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = TokenHashes(words_only=True)
     for batch in text_slices(batches):
-        x = _features(batch.column("text"), model.value, hashes)
-        yield batch, 1 / (1 + np.exp(-logits(x, model.value.fit)))
+        x = []
+        for text, entries in zip(batch.column("text").to_pylist(), batch.column("entries").to_pylist()):
+            model = _held([(e["h"], e["pair"], e["r"], e["g"]) for e in entries or ()])
+            x.append(model.features(hashes(text)))
+        yield _keep(batch, list(_TEXT_KEY), np.array(x, float).reshape(len(x), FEATURES))
+
+
+def _joined_features(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """``t1, t2, x``: the features of each different text, whose words and pairs are joined to a table that no task could hold.
+
+    What meets in one task is one text's words; copies of a text count as one.
+    """
+    keyed = docs.select(*_text_key(F.col("text")), "text")
+    wanted = map_arrow(keyed, _wanted, "t1 bigint, t2 bigint, h bigint").distinct()
+    entries = F.collect_list(F.struct("h", "pair", "r", "g")).alias("entries")
+    found = wanted.join(table, "h").groupBy(*_TEXT_KEY).agg(entries)
+    once = keyed.groupBy(*_TEXT_KEY).agg(F.first("text").alias("text"))
+    return map_arrow(once.join(found, list(_TEXT_KEY), "left"), _found_features, "t1 bigint, t2 bigint, x array<double>")
 
 
-def train_model(docs: DataFrame, labels: DataFrame) -> Model:
+def train_model(docs: DataFrame, labels: DataFrame) -> Trained:
     """The models of both classes, from folds 1 to 3 of the labels, and the score's fit, from fold 4.
 
     Fold 0 is never read. The score is a logistic regression of the log-likelihood ratio per word over
@@ -187,33 +242,71 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model:
     without a document are left out. With one class alone, or none, every text scores the
     smoothed share of toxic labels in fold 4, 0.05 without any.
     """
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    model = count_model(labelled(docs, labels, [1, 2, 3], None, scratch, "counted"), scratch)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    table = count_model(labelled(docs, labels, [1, 2, 3], None, scratch, "counted"), scratch)
+    small = table.limit(HELD + 1).count() <= HELD
+    trained = Trained(_held(table.toArrow()) if small else None, table)
     sample = labelled(docs, labels, [4], CALIBRATED, scratch, "calibrated").select("text", F.col("toxic").cast("int").alias("toxic"))
-    # At most CALIBRATED rows of a few numbers.
-    rows = map_arrow(sample, lambda it: _featured(it, held), "toxic int, x array<double>").toArrow()
+    if small:
+        held = spark.sparkContext.broadcast(trained.model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = TokenHashes(words_only=True)
+            for batch in text_slices(batches):
+                yield _keep(batch, ["toxic"], _features(batch.column("text"), held.value, hashes))
+
+        featured = map_arrow(sample, run, "toxic int, x array<double>")
+    else:
+        sample = scratch.table(sample, "sample")
+        keyed = sample.select(*_text_key(F.col("text")), "toxic")
+        featured = keyed.join(_joined_features(sample, table), list(_TEXT_KEY)).select("toxic", "x")
+    rows = featured.toArrow()  # at most CALIBRATED rows of a few numbers
+    if small:
+        held.unpersist(blocking=True)
     x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, FEATURES)
     y = rows.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        model.fit = fit_logistic(x, y)
+        trained.fit = fit_logistic(x, y)
     else:
         share = (y.sum() + 0.05) / (len(y) + 1)
-        model.fit = (np.zeros(x.shape[1]), np.ones(x.shape[1]), np.array([0.0] * x.shape[1] + [np.log(share / (1 - share))]))
-    return model
+        trained.fit = (np.zeros(x.shape[1]), np.ones(x.shape[1]), np.array([0.0] * x.shape[1] + [np.log(share / (1 - share))]))
+    return trained
+
+
+def _text_scores(docs: DataFrame, trained: Trained) -> DataFrame:
+    """``t1, t2, score`` of each different text under a model that no task holds."""
+    fit = trained.fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, FEATURES)
+            columns = [*map(batch.column, _TEXT_KEY), pa.array(_probability(x, fit))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_TEXT_KEY, "score"])
+
+    return map_arrow(_joined_features(docs, trained.table), run, "t1 bigint, t2 bigint, score double")
+
+
+def _with_scores(batches: Iterator[pa.RecordBatch], held, fit: tuple) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches with the score of each row's text."""
+    hashes = TokenHashes(words_only=True)
+    for batch in text_slices(batches):
+        yield batch, _probability(_features(batch.column("text"), held.value, hashes), fit)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, trained: Trained) -> DataFrame:
     """``doc_id, score`` of every row: how likely its whole text is toxic, from 0 to 1.
 
     Only the text is looked at. NULL, empty and wordless texts get the score of a text without any evidence.
     Repeated rows score alike; further columns are left out.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if trained.model is None:
+        return rows.select("doc_id", *_text_key(F.col("text"))).join(_text_scores(rows, trained), list(_TEXT_KEY)).select("doc_id", "score")
+    held, fit = docs.sparkSession.sparkContext.broadcast(trained.model), trained.fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, scores in _with_scores(batches, held):
+        for batch, scores in _with_scores(batches, held, fit):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
     return map_arrow(rows, run, "doc_id bigint, score double")
@@ -230,10 +323,18 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted to be ordinary, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(train_model(docs, labels))
+    trained = train_model(docs, labels)
+    if trained.model is None:
+        toxic = _text_scores(docs, trained).filter("score >= 0.5")
+        keys = {c: F.col(c) for c in _TEXT_KEY}
+        names = {c: c + "_" * (1 + max([len(x) for x in docs.columns], default=0)) for c in keys}  # that docs does not have
+        marked = toxic.select(*[keys[c].alias(names[c]) for c in keys])
+        same = [key == F.col(names[c]) for c, key in zip(keys, [F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])])]
+        return docs.join(marked, same[0] & same[1], "left_anti")
+    held, fit = docs.sparkSession.sparkContext.broadcast(trained.model), trained.fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, scores in _with_scores(batches, held):
+        for batch, scores in _with_scores(batches, held, fit):
             yield batch.filter(pa.array(scores < 0.5))
 
     return map_arrow(docs, run, docs.schema)
