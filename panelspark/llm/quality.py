@@ -18,8 +18,8 @@ FITTED = 5_000
 SMOOTHING = 1.0
 # Features without evidence that every text has besides its own, so that few features decide little.
 NEUTRAL = 8
-# How many times the log odds count against the Gumbel noise of one draw.
-SHARPNESS = 8.0
+# Features of the text that every log weight is tempered to before the draw, so that a long text is not drawn for its length.
+TEMPERED = 512
 _U = np.uint64
 _REPEAT = _U(0x9FB21C651E98DF25)
 _BINS = 4096
@@ -117,7 +117,7 @@ def train_model(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
 
 
 def weigh(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, log_weight, log_odds, draw`` of every row, where draw tells repeated doc_ids apart."""
+    """``doc_id, log_weight, per_feature, log_odds, draw`` of every row, where draw tells repeated doc_ids apart."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("draw"))
 
@@ -125,11 +125,11 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
         for batch, weights in _weigh(batches, held):
             odds = logits(weights[:, 1:], held.value.fit)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(weights[:, 0]), pa.array(odds), batch.column("draw")],
-                names=["doc_id", "log_weight", "log_odds", "draw"],
+                [batch.column("doc_id"), pa.array(weights[:, 0]), pa.array(weights[:, 1]), pa.array(odds), batch.column("draw")],
+                names=["doc_id", "log_weight", "per_feature", "log_odds", "draw"],
             )
 
-    schema = "doc_id bigint, log_weight double, log_odds double, draw bigint"
+    schema = "doc_id bigint, log_weight double, per_feature double, log_odds double, draw bigint"
     return map_arrow(rows, run, schema)
 
 
@@ -166,16 +166,15 @@ def quality(docs: DataFrame, labels: DataFrame, keep: int | None = None) -> Data
     """``doc_id, log_weight, log_odds, key, kept`` of every row: a sample of the documents by importance.
 
     The importance weight of a text is the ratio of its probabilities under the hashed n-gram models of good
-    and of all text. A logistic regression on the log weight per feature turns it into
-    log odds of being good; each row's key is ``SHARPNESS`` times these plus Gumbel noise, and the ``keep`` rows
-    of the largest keys are the sample (equal keys share their fate). Where ``keep`` is not
-    given it is the number of rows more likely good than not.
+    and of all text. Each row's key is the logarithm of its weight, tempered to a text of ``TEMPERED`` features, plus Gumbel noise, and
+    the ``keep`` rows of the largest keys are the sample (equal keys share their fate). Where ``keep`` is not
+    given it is the number of rows that a logistic regression on the log weight per feature calls more likely good than not.
 
     NULL and empty texts have weight 1 and the odds of a text without evidence. Rows without a doc_id are sampled like others.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     weighed = weigh(docs, train_model(docs, labels, scratch))
-    keyed = scratch.table(weighed.withColumn("key", F.col("log_odds") * SHARPNESS + gumbel(F.col("draw"))), "keyed")
+    keyed = scratch.table(weighed.withColumn("key", F.col("per_feature") * TEMPERED + gumbel(F.col("draw"))).drop("per_feature"), "keyed")
     if keep is None:
         keep = keyed.filter("log_odds >= 0").count()
     least = kth_largest(keyed, "key", keep)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -238,7 +239,83 @@ def test_held_out_labels_are_not_read(spark, corpus):
 
     flipped = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.train_model(docs, x) for x in (labels, flipped))
-    assert (a.words == b.words).all() and (a.word_ratios == b.word_ratios).all() and all((x == y).all() for x, y in zip(a.fit, b.fit))
+    assert all((getattr(a.model, n) == getattr(b.model, n)).all() for n in ("words", "word_ratios", "backoffs", "pairs", "pair_ratios"))
+    assert all((x == y).all() for x, y in zip(a.fit, b.fit))
+
+
+def kneser_ney(texts):
+    """P(word | word before) of each class by the formulas, on ``(words, class)``; None stands for an unseen word."""
+    d = toxicity.DISCOUNT
+    pairs = Counter((v, w, c) for words_, c in texts for v, w in set(zip([None, *words_], words_)))
+    seen = {(v, w) for v, w, _ in pairs}
+    types = {w for _, w in seen}
+
+    def single(w, c):
+        after = {x: len({v for v, y in seen if y == x}) for x in types}
+        mine = {x: len({v for v, y, k in pairs if y == x and k == c}) for x in types}
+        every, own = sum(after.values()), sum(mine.values())
+        spare = sum(min(n, d) for n in after.values()) / every / (len(types) + 1)
+        shared = max(after.get(w, 0) - d, 0) / every + spare
+        return max(mine.get(w, 0) - d, 0) / own + sum(min(n, d) for n in mine.values()) / own * shared
+
+    def double(v, w, c):
+        n = {x: pairs[v, x, 0] + pairs[v, x, 1] for x in types}
+        total, own = sum(n.values()), sum(pairs[v, x, c] for x in types)
+        if not total:
+            return single(w, c)
+        shared = max(n.get(w, 0) - d, 0) / total + sum(min(x, d) for x in n.values()) / total * single(w, c)
+        if not own:
+            return shared
+        return max(pairs[v, w, c] - d, 0) / own + sum(min(pairs[v, x, c], d) for x in types) / own * shared
+
+    return single, double
+
+
+def test_ratios_equal_kneser_ney_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TELLING", 1e-9)
+    rnd = random.Random(12)
+    names = ["a", "b", "c", "d", "rude", "once"]
+    texts = [([rnd.choice(names[:5]) for _ in range(rnd.randrange(3, 30))], i % 3 == 0) for i in range(24)]
+    texts += [(["once", "rude", "a"], True), (["a", "once"], False), ([], True)]
+    train = spark.createDataFrame([(i, " ".join(t), int(c)) for i, (t, c) in enumerate(texts)], "doc_id bigint, text string, toxic int")
+    model = toxicity._held(toxicity.count_model(train, Scratch(spark, "test")).toArrow())
+    single, double = kneser_ney(texts)
+    unseen = np.log(single(None, 1) / single(None, 0))
+    hashes = toxicity.TokenHashes(words_only=True)
+    for text in [["a", "b"], ["once", "rude", "new", "a", "rude"], ["new", "other"], *[[v, w] for v in names for w in names]]:
+        tokens = hashes(" ".join(text))
+        got = model.features(tokens)
+        known = lambda w: w if w in names else None
+        want = [np.log(double(v, known(w), 1) / double(v, known(w), 0)) - unseen for v, w in zip([None, *text], text)]
+        assert abs(got[0] - np.mean(want)) < 1e-9, text
+        alone = [np.log(single(known(w), 1) / single(known(w), 0)) - unseen for w in text]
+        assert abs(got[1] - max(alone)) < 1e-9 and abs(got[4] - max(want)) < 1e-9
+
+
+def test_a_model_that_no_task_holds_scores_alike(spark, corpus, monkeypatch):
+    docs, labels, _, _ = corpus
+    docs = docs.unionByName(docs.limit(3))
+    held = sorted(map(tuple, toxicity.toxicity(docs, labels).collect()), key=repr)
+    kept = sorted(map(repr, toxicity.drop_toxic(docs, labels).collect()))
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    joined = sorted(map(tuple, toxicity.toxicity(docs, labels).collect()), key=repr)
+    assert [(a, b, d) for a, b, _, d in held] == [(a, b, d) for a, b, _, d in joined]
+    assert max(abs(a[2] - b[2]) for a, b in zip(held, joined)) < 1e-12
+    out = toxicity.drop_toxic(docs, labels)
+    assert out.columns == docs.columns and sorted(map(repr, out.collect())) == kept
+    assert toxicity.toxicity(docs.limit(0), labels).collect() == [] == toxicity.drop_toxic(docs.limit(0), labels).collect()
+
+
+def test_stages_without_rows(spark, corpus):
+    docs, labels, _, _ = corpus
+    for some in (labels, labels.limit(0)):
+        assert toxicity.toxicity(docs.limit(0), some).collect() == []
+        assert toxicity.drop_toxic(docs.limit(0), some).collect() == []
+        assert quality.keep_good(docs.limit(0), some).collect() == []
+    assert minhash.drop_near_duplicates(docs.limit(0)).collect() == []
+    items = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.drop_contaminated(docs.limit(0), items).collect() == []
+    assert decontaminate.drop_contaminated(docs, items).count() == docs.count()
 
 
 def test_scores_without_labels(spark, corpus):
@@ -264,6 +341,44 @@ def test_gumbel_top_k_equals_brute_force(spark, corpus):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+def test_weights_and_draw_equal_brute_force(spark, corpus):
+    """The importance weights by the two models' counts, and the sample by sorting the noisy weights."""
+    from pyspark.sql import functions as F
+
+    docs, labels, _, _ = corpus
+    docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("text", F.coalesce("text", F.lit("")))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id in texts}
+    chosen = spark.createDataFrame([(d,) for d in sorted(good)], "d bigint").filter(F.pmod(F.xxhash64("d", F.lit(7)), F.lit(4)) != 0)
+    target = {r.d for r in chosen.collect()}
+    hashes = quality.TokenHashes()
+    found = {d: Counter(quality.features(hashes(t)).tolist()) for d, t in texts.items()}
+    raw, wanted = Counter(), Counter()
+    for d, counts in found.items():
+        raw.update(counts)
+        wanted.update(counts if d in target else {})
+    n, every, some = quality.BUCKETS, raw.total(), wanted.total()
+    base = {b: (raw[b] + 1) / (every + n) for b in raw}
+    ratio = {b: np.log((wanted[b] + n * base[b]) / (some + n) / base[b]) for b in raw}
+    rows = quality.quality(docs, labels, keep=150).collect()
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(F.xxhash64("doc_id", "text")).alias("g")).collect()}
+    keys = {}
+    for r in rows:
+        weight = sum(ratio[b] * times for b, times in found[r.doc_id].items())
+        assert abs(r.log_weight - weight) < 1e-6 * (1 + abs(weight))
+        keys[r.doc_id] = quality.TEMPERED * weight / (found[r.doc_id].total() + quality.NEUTRAL) + noise[r.doc_id]
+        assert abs(r.key - keys[r.doc_id]) < 1e-6 * (1 + abs(r.key))
+    best = sorted(keys, key=keys.get, reverse=True)[:150]
+    assert {r.doc_id for r in rows if r.kept} == set(best)
+
+
+def test_equal_keys_share_their_fate(spark, corpus):
+    docs, labels, _, _ = corpus
+    rows = quality.quality(docs.unionByName(docs), labels, keep=101).collect()
+    kept = Counter(r.doc_id for r in rows if r.kept)
+    assert all(n % 2 == 0 for n in kept.values()) and 101 < sum(kept.values()) < 106
+
+
 def test_kth_largest(spark):
     rnd = random.Random(8)
     values = [rnd.choice([0.0, 1.0, rnd.gauss(0, 1e6), rnd.random()]) for _ in range(3000)]

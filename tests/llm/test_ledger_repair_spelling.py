@@ -195,8 +195,9 @@ def test_repair_equals_search(spark, monkeypatch, segment):
     want = {c: repaired_by_search([r for r in left if r[0] == c]) for c in {r[0] for r in rows}}
     columns = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     assert {r["conv_id"]: tuple(r[c] for c in columns) for r in found.collect()} == want
+    pieces = sorted(segments.collect(), key=lambda r: r["seg"])
     for conv in want:  # the segments hold the lines themselves
-        mine = sorted((r for r in segments.collect() if r["conv_id"] == conv), key=lambda r: r["seg"])
+        mine = [r for r in pieces if r["conv_id"] == conv]
         assert "".join(r["edits"] for r in mine) == want[conv][6]
         assert hashlib.sha256("\n".join(x for r in mine for x in r["lines"]).encode()).hexdigest() == want[conv][7]
 
