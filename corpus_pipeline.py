@@ -46,7 +46,8 @@ STAGES = [
     ("bpe", encode),
 ]
 
-# Fitted models and signatures have no equivalent in SQL; tests compare every stage with brute force.
+# Fitted models and signatures have no equivalent in SQL; tests hold the models of the first two stages against counts by hand,
+# and the other stages against brute force.
 ORACLE_SQL = None
 
 
