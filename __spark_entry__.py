@@ -316,7 +316,7 @@ def _with_folder(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
     @wraps(query)
     def run(spark: SparkSession, d: str) -> DataFrame:
         context = spark.sparkContext
-        if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) and context.master.startswith("local["):
+        if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) and context.master.split("[")[0] == "local":
             context.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
         return query(spark, d)
 
