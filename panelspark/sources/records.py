@@ -5,8 +5,11 @@ state, the splits' answers are composed in order, one row per split, and each th
 cuts its records knowing its start. Nothing is read by one task but what one record or one split holds.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -82,33 +85,73 @@ def has_line_breaks(lines: DataFrame) -> bool:
     return bool(lines.filter(opens).limit(1).count())
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+    """The splits that a batch holds lines of, in order: ``(path, start)`` and the rows from, to."""
+    if not batch.num_rows:
+        return
+    path, start = batch.column("path"), batch.column("start")
+    other = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(start[1:], start[:-1]))
+    cuts = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+    for at, to in zip(cuts, cuts[1:]):
+        yield (path[at].as_py(), start[at].as_py()), at, to
+
+
+def _states(a: np.ndarray, b: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray]:
+    """The states before and after each line, given the one before the first: a line leaves the state, swaps it or sets it."""
+    swaps = np.cumsum(a > b)
+    last = np.maximum.accumulate(np.where(a == b, np.arange(len(a)), -1))
+    after = np.where(last >= 0, a[last] + swaps - swaps[last], state + swaps) % 2
+    return np.concatenate(([state], after[:-1])), after
+
+
+_FIGURES = "path string, start long, first long, n long, opens int, " + ", ".join(f"inside{s} long, end{s} int, open{s} long" for s in (0, 1))
+
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per split from its lines in order: lines, those that begin inside quotes, the state after them and the line
+    that last opened a quote, for either state before them."""
+
+    def row(key, f):
+        return {"path": key[0], "start": key[1], **f}
+
+    schema = pa.schema(
+        [("path", pa.string()), ("start", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("opens", pa.int32())]
+        + [(f"{name}{s}", kind) for s in (0, 1) for name, kind in (("inside", pa.int64()), ("end", pa.int32()), ("open", pa.int64()))]
+    )
+    known, found = None, {}
+    for batch in batches:
+        done = []
+        ids, a, b = (batch.column(c).to_numpy() for c in ("id", "a", "b"))
+        for key, at, to in _runs(batch):
+            if key != known:
+                if known is not None:
+                    done.append(row(known, found))
+                known, found = key, {"first": int(ids[at]), "n": 0, "opens": 0, "inside0": 0, "end0": 0, "open0": None, "inside1": 0, "end1": 1, "open1": None}
+            found["n"] += to - at
+            found["opens"] = max(found["opens"], int(a[at:to].max()))
+            for s in (0, 1):
+                before, after = _states(a[at:to], b[at:to], found[f"end{s}"])
+                found[f"inside{s}"] += int(before.sum())
+                found[f"end{s}"] = int(after[-1])
+                opened = np.flatnonzero(before < after)
+                if len(opened):
+                    found[f"open{s}"] = int(ids[at + opened[-1]])
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema)
+    if known is not None:
+        yield pa.RecordBatch.from_pylist([row(known, found)], schema)
+
+
 def _splits(lines: DataFrame) -> DataFrame:
     """A row per split with its lines and what precedes it in the file: state, lines and records."""
-    quoted = _quoting(lines)
-    counts = quoted.groupBy(*_SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("a").alias("opens"))
-    marks = quoted.filter("a <> 0 or b <> 1").select(*_SPLIT, "id", "a", "b")
-    following = Window.partitionBy(*_SPLIT).orderBy("id")
-    states = _composed(marks, _upto()).withColumn("_next", F.lead("id").over(following))
-    states = states.withColumns({f"s{s}": _after(F.lit(s)) for s in (0, 1)})
-    states = states.withColumns({f"was{s}": F.coalesce(F.lag(f"s{s}").over(following), F.lit(s)) for s in (0, 1)})
-    figures = [F.min("id").alias("mark")]
-    for s in (0, 1):
-        # Lines that begin inside quotes: those after a mark that leaves them open, up to the next mark.
-        spans = F.sum(F.when(F.col(f"s{s}") == 1, F.col("_next") - F.col("id")))
-        last = F.max_by(F.struct(f"s{s}", "id"), "id")
-        opened = F.max(F.when((F.col(f"was{s}") == 0) & (F.col(f"s{s}") == 1), F.col("id")))
-        figures += [spans.alias(f"spans{s}"), last.alias(f"last{s}"), opened.alias(f"open{s}")]
-    known = counts.join(states.groupBy(*_SPLIT).agg(*figures), list(_SPLIT), "left")
-    end = F.col("first") + F.col("n") - 1
-    for s in (0, 1):
-        inside = F.coalesce(f"spans{s}", F.lit(0)) + F.when(F.col(f"last{s}.s{s}") == 1, end - F.col(f"last{s}.id")).otherwise(0)
-        if s:  # up to the first mark; without one, all lines
-            inside = inside + F.coalesce(F.col("mark") - F.col("first") + 1, F.col("n"))
-        known = known.withColumns({f"inside{s}": inside, f"end{s}": F.coalesce(F.col(f"last{s}.s{s}"), F.lit(s))})
+    known = _quoting(lines).select(*_SPLIT, "id", "a", "b").mapInArrow(_figures, _FIGURES)
     ordered = _composed(known.withColumnsRenamed({"end0": "a", "end1": "b"}), Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
     in_order = Window.partitionBy("path").orderBy("start")
     ordered = ordered.withColumn("_state", _after(F.lit(0))).withColumn("state", F.coalesce(F.lag("_state").over(in_order), F.lit(0)))
-    pick = lambda name: F.when(F.col("state") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+
+    def pick(name: str) -> Column:
+        return F.when(F.col("state") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+
     ordered = ordered.withColumn("records", F.col("n") - pick("inside"))
     before = _before_split()
     shifts = {"lines_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "records_before": F.coalesce(F.sum("records").over(before), F.lit(0))}
@@ -117,20 +160,21 @@ def _splits(lines: DataFrame) -> DataFrame:
     whole = Window.partitionBy("path")
     ends_inside = F.max_by("_state", "start").over(whole) == 1
     return ordered.select(
-        *_SPLIT, "first", "state", "lines_before", "records_before",
-        F.when(ends_inside, F.max("_open").over(whole)).alias("unclosed"),
-        (F.max("opens").over(whole) == 1).alias("broken"),
-    )
+        *_SPLIT, "first", "state", "lines_before", "records_before", F.when(ends_inside, F.max("_open").over(whole)).alias("unclosed")
+    )
 
 
 # Rows, at most, of a table of splits that is broadcast; each has a path and a few numbers.
 _BROADCAST_SPLITS = 500_000
 
 
+def _few_splits(lines: DataFrame) -> bool:
+    return len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= _BROADCAST_SPLITS
+
+
 def _beside(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """The table of splits, for a join to their lines: broadcast if its rows, of which a file has one and each full task one more, are few."""
-    few = len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= _BROADCAST_SPLITS
-    return F.broadcast(splits) if few else splits
+    return F.broadcast(splits) if _few_splits(lines) else splits
 
 
 def number_lines(lines: DataFrame, without: DataFrame | None = None) -> DataFrame:
@@ -144,33 +188,86 @@ def number_lines(lines: DataFrame, without: DataFrame | None = None) -> DataFram
     return lines.join(_beside(lines, shifts), list(_SPLIT)).select("path", (F.col("id") + F.col("_shift")).alias("row_idx"), "value")
 
 
+_RECORDS = "path string, row_idx long, line long, value string, whole boolean"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from the lines of splits in order; of a record over split borders the lines of each split, as not whole.
+
+    No more is held than a batch and the lines of the record that is open at its end.
+    """
+    known, state = None, 0
+    held = None  # the record that is open: path, number, first line, whether it began in its split, and its lines
+
+    def rows(path, number, line, value, whole):
+        columns = [pa.array(path, pa.string()), pa.array(number, pa.int64()), pa.array(line, pa.int64()), value, pa.array(whole, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "row_idx", "line", "value", "whole"])
+
+    def ended(whole):
+        path, number, line, began, parts = held
+        values = pa.concat_arrays(parts)
+        value = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), "\n")
+        return rows([path], [number], [line], value, [began and whole])
+
+    for batch in batches:
+        value = batch.column("value")
+        ids, a, b = (batch.column(c).to_numpy() for c in ("id", "a", "b"))
+        for key, at, to in _runs(batch):
+            first, began, lines_before, records_before, unclosed = (batch.column(c)[at].as_py() for c in ("first", "state", "lines_before", "records_before", "unclosed"))
+            if key != known:
+                if held:
+                    yield ended(False)
+                known, state, held, number = key, began, None, records_before
+            before, after = _states(a[at:to], b[at:to], state)
+            state = int(after[-1])
+            line = ids[at:to] - first + lines_before
+            beyond = np.zeros(len(line), bool) if unclosed is None else line >= unclosed
+            numbers = number + np.cumsum(1 - before) - 1
+            number = int(numbers[-1]) + 1
+            if unclosed is not None:
+                numbers = numbers + np.where(beyond, line - unclosed, 0)
+            begins = np.flatnonzero((before == 0) | beyond)
+            n = to - at
+            head = int(begins[0]) if len(begins) else n
+            if head:  # lines of a record that began before them
+                if held is None:
+                    held = (key[0], int(numbers[0]), int(line[0]), False, [])
+                held[-1].append(value.slice(at, head))
+                if head < n or not after[-1]:
+                    yield ended(True)
+                    held = None
+            if head == n:
+                continue
+            stops = np.append(begins[1:], n)
+            if after[-1] and not beyond[-1]:  # the last record is open
+                held = (key[0], int(numbers[begins[-1]]), int(line[begins[-1]]), True, [value.slice(at + int(begins[-1]), n - int(begins[-1]))])
+                begins, stops = begins[:-1], stops[:-1]
+            if len(begins):
+                offsets = pa.array(np.append(begins, stops[-1]) - begins[0], pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, value.slice(at + int(begins[0]), int(stops[-1] - begins[0])))
+                joined = pc.binary_join(lists, "\n")
+                yield rows(pa.repeat(pa.scalar(key[0], pa.string()), len(begins)), numbers[begins], line[begins], joined, np.ones(len(begins), bool))
+    if held:
+        yield ended(False)
+
+
 def cut_records(lines: DataFrame, without: DataFrame | None = None) -> DataFrame:
     """``path, row_idx, value``: the records of delimited files with their 0-based number in the file.
 
     A record goes on over line breaks within quotes, over as many splits as it takes; these breaks are read as
-    line feeds. Lines of files without any such break are not shuffled. Of the others each split's lines meet once,
-    and then the lines of records that have several. A quote that its file never closes opens no record.
-    Files whose ``path`` is in ``without`` are left out.
+    line feeds. ``lines`` come as :func:`read_pieces` reads them: a split's lines in order in one task, which cuts them;
+    they are neither shuffled nor sorted. Only the lines of records over split borders are, a record per border.
+    A quote that its file never closes opens no record. Files whose ``path`` is in ``without`` are left out.
     """
     splits = _splits(lines)
     splits = splits if without is None else splits.join(without.select("path"), "path", "left_anti")
-    plain = lines.join(_beside(lines, splits.filter("not broken")), list(_SPLIT)).select(
-        "path", (F.col("id") - F.col("first") + F.col("lines_before")).alias("row_idx"), "value"
-    )
-    placed = _quoting(lines.join(_beside(lines, splits.filter("broken")), list(_SPLIT)))
-    states = _composed(placed, _upto()).withColumn("_ends", _after(F.col("state")))
-    begins = F.coalesce(F.lag("_ends").over(Window.partitionBy(*_SPLIT).orderBy("id")), F.col("state"))
-    line = F.col("id") - F.col("first") + F.col("lines_before")
-    rows = states.withColumns({"_begins": begins, "_line": line})
-    number = F.col("records_before") + F.sum(1 - F.col("_begins")).over(_upto()) - 1
-    beyond = F.coalesce(F.col("_line") >= F.col("unclosed"), F.lit(False))
-    rows = rows.withColumn("row_idx", number + F.when(beyond, F.col("_line") - F.col("unclosed")).otherwise(0))
-    rows = rows.select("path", "row_idx", "_line", "value", (beyond | (F.col("_begins") + F.col("_ends") == 0)).alias("_whole"))
-    several = rows.filter("not _whole").groupBy("path", "row_idx").agg(F.array_sort(F.collect_list(F.struct("_line", "value"))).alias("_lines"))
+    placed = _quoting(lines.join(_beside(lines, splits), list(_SPLIT)))
+    if not _few_splits(lines):  # the join has dealt the lines anew
+        placed = placed.repartition(*_SPLIT).sortWithinPartitions(*_SPLIT, "id")
+    cut = placed.select(*_SPLIT, "id", "value", "a", "b", "first", "state", "lines_before", "records_before", "unclosed").mapInArrow(_cut, _RECORDS)
+    several = cut.filter("not whole").groupBy("path", "row_idx").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("_lines"))
     joined = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
-    return plain.unionByName(rows.filter("_whole").select("path", "row_idx", "value")).unionByName(
-        several.select("path", "row_idx", joined.alias("value"))
-    )
+    return cut.filter("whole").select("path", "row_idx", "value").unionByName(several.select("path", "row_idx", joined.alias("value")))
 
 
 def read_records(lines: DataFrame, line_breaks: bool | None = None, without: DataFrame | None = None) -> DataFrame:

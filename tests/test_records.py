@@ -113,6 +113,36 @@ def test_csv_with_line_breaks(spark, tmp_path, small_splits):
     assert sorted((r.entity, r.total) for r in unasked.collect()) != [("New\nTown", 7)]
 
 
+@pytest.mark.parametrize(("batch", "broadcast"), [(7, 500_000), (1, 500_000), (50, 0)])
+def test_records_over_batches_and_splits(spark, tmp_path, small_splits, monkeypatch, batch, broadcast):
+    """Records that end in later batches of their task, and splits that are too many for a broadcast."""
+    monkeypatch.setattr(records, "_BROADCAST_SPLITS", broadcast)
+    files_ = {f"b{i}.csv": broken_rows(10 + i, 60) for i in range(3)} | {"long.csv": [["1", "x\n" * 3000, "y", "z"], ["2", "", "", ""]]}
+    for name, rows in files_.items():
+        (tmp_path / name).write_text(written(rows))
+    tail = [[str(i), "t"] for i in range(20)]
+    (tmp_path / "open.csv").write_text(written(files_["b1.csv"]) + '9,"open\n' + written(tail))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = cells(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for name, rows in files_.items():
+        assert got[name] == list(enumerate(rows)), name
+    assert got["open.csv"] == list(enumerate([*files_["b1.csv"], ["9", '"open'], *tail]))
+
+
+def test_lines_of_broken_files_are_not_shuffled(spark, tmp_path):
+    """Lines go to records in the task that reads them: no window, sort or exchange of lines but those on split borders."""
+    (tmp_path / "a.csv").write_text(written(broken_rows(3, 200)))
+    df = records.cut_records(records.read_pieces(spark, str(tmp_path)))
+    df.collect()
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Window" in x and "value#" in x] and not [x for x in plan if "Window" in x and ", id#" in x]
+    assert sum("MapInArrow" in x for x in plan) >= 2
+
+
 def test_lines_without_breaks_are_not_shuffled(spark, tmp_path):
     (tmp_path / "a.csv").write_text('1,"a, b"\n2,"c"\n')
     plan = read_raw_cells(spark, str(tmp_path))
