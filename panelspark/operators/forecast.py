@@ -13,7 +13,8 @@ from panelspark.functions.numeric import clamp_count, pct_change_guarded, round_
 from panelspark.operators.ordered import ordered_index
 from panelspark.operators.panel import cube
 
-# Bytes of training rows that one partition holds, about.
+# Bytes of training rows, as stored, that are worth a core of their own, and that one partition holds at most, about.
+CORE_BYTES = 1 << 20
 FIT_BYTES = 32 << 20
 FEATURES = ("entity_code", "category_code", "period_norm", "lag1", "lag2", "roll_mean")
 
@@ -121,15 +122,19 @@ def fit_models(
 ) -> dict[str, PipelineModel]:
     """Fit the three regressors; ``params`` selects some of them or changes their settings.
 
-    The features are assembled once and kept while all learners read them, in no more partitions than their bytes ask for: a
-    boosted model of a small panel is hundreds of jobs, of which each task costs more than its rows.
+    The features are assembled once and kept while all learners read them. A small panel is a single partition: a
+    boosted model is hundreds of jobs, of which each task would cost more than its rows. A larger one is dealt to all cores,
+    but to no more partitions: of each a forest's statistics are shuffled, whose size does not depend on its rows.
     What an executor loses is read from the training rows again.
     """
     chosen = DEFAULT_PARAMS if params is None else params
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     size = int(str(train._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    dealt = assembler.transform(train).select("features", label)
-    dealt = dealt.coalesce(min(max(1, -(-size // FIT_BYTES)), 1 << 30))  # never more than there are
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    parts = min(max(1, -(-size // FIT_BYTES), min(-(-size // CORE_BYTES), cores)), 1 << 30)
+    # Files of few row groups would leave most tasks without rows, so a larger panel's rows are dealt anew.
+    rows = train.select(*features, label)
+    dealt = assembler.transform(rows.repartition(parts) if parts > 1 else rows.coalesce(1)).select("features", label)
     dealt.persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     try:

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.operators import forecast, marts
 from panelspark.plans import pipeline
@@ -154,3 +155,22 @@ def test_scores_are_clamped(spark):
     got = {r.entity: (r.actual, r.predicted, r.change, r.change_pct) for r in forecast.score_next(df).collect()}
     assert got == {"a": (10, 0, -10, -100.0), "b": (0, 2, 2, 0.0), "c": (8, 10, 2, 25.0)}
     assert marts.forecast_by_category(forecast.score_next(df)).first().avg_change == -25.0
+
+
+def test_fits_use_the_cores_that_a_panel_fills(spark, monkeypatch):
+    """A panel of many rows in few bytes is no single task; a small one is."""
+
+    class Learner:
+        def __init__(self, **settings):
+            pass
+
+        def fit(self, df):
+            seen.append(df.rdd.glom().map(len).collect())
+
+    monkeypatch.setattr(forecast, "_LEARNERS", {"linear_regression": Learner})
+    seen = []
+    for n in (1000, 400_000):
+        rows = spark.range(0, n, 1, 1).select(*[F.col("id").cast("double").alias(f) for f in forecast.FEATURES], F.col("id").alias("total"))
+        forecast.fit_models(rows, {"linear_regression": {}})
+    assert len(seen[0]) == 1 and len(seen[1]) == spark.sparkContext.defaultParallelism
+    assert sum(seen[1]) == 400_000 and max(seen[1]) < 2 * min(seen[1])
