@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from panelspark import schema as S
-from panelspark.sources.files import file_path
+from panelspark.sources.files import few_listing_tasks, file_path
 
 _SPLIT = ("path", "start")
 # Possessive, so that no length of a line costs stack or backtracking. Quotes count at the start of a cell only.
@@ -36,7 +36,9 @@ def read_pieces(spark: SparkSession, paths: str | Sequence[str], separator: str
         reader = reader.option("lineSep", separator)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(paths if isinstance(paths, str) else list(paths)).select(
+    with few_listing_tasks(spark):
+        lines = reader.text(paths if isinstance(paths, str) else list(paths))
+    return lines.select(
         file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),

@@ -8,7 +8,8 @@ from panelspark import schema as S
 from panelspark.operators import marts
 from panelspark.operators.panel import clean_panel
 from panelspark.plans import lineage, pipeline
-from panelspark.sources import raw_cells, readers, sinks
+from panelspark.sources import files, raw_cells, readers, sinks
+from panelspark.sources.records import read_pieces
 
 
 def test_csv_by_name_and_schema(spark, tmp_path):
@@ -197,3 +198,22 @@ def test_job_end_to_end(spark, tmp_path):
     assert spark.read.json(str(out / "dashboard" / "entity_profiles")).count() == 5
     audit = spark.read.option("header", True).csv(str(out / "audit"))
     assert {r.status for r in audit.collect()} == {"OK"} and audit.count() == 14
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """A task for each folder would send the driver more about itself than about files."""
+    for i in range(200):
+        (tmp_path / f"k={i}").mkdir()
+        (tmp_path / f"k={i}" / "a.csv").write_text("x\n")
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting, None)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        listed = files.list_files(spark, str(tmp_path))
+        read_pieces(spark, str(tmp_path), recursive=True)
+        tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tasks) == 2 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert listed.count() == 200 and spark.conf.get(setting, None) == before
