@@ -259,9 +259,10 @@ def _faulty_files(spark: SparkSession, d: str) -> DataFrame:
     store = store_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for r in files.list_files(spark, path).filter(F.col("path").contains("year=2016")).collect():
         store.rename(store_path(r["path"]), store_path(r["path"][: -len(".txt")] + ".csv.gz"))
-    faults = materialise(files.file_faults(spark, path))  # read three times
+    found = files.listing(spark, path, files.SHEETS, recursive=True)  # serves the faults and the audit
+    faults = materialise(files.file_faults(spark, path, found=found))  # read three times
     rows = sheets.extract_sections(read_raw_cells(spark, path, faults=faults), SECTION, words=_ANY_NAME)
-    audit = sheets.load_audit(files.list_files(spark, path), rows, words=_ANY_NAME, faults=faults)
+    audit = sheets.load_audit(found, rows, words=_ANY_NAME, faults=faults)
     below = F.regexp_extract("path", "(year=[^/]*/key=[^/]*)/[^/]*$", 1)
     return audit.select(below.alias("path"), "period", "status", F.substring("reason", 1, 14).alias("reason"), "rows")
 
