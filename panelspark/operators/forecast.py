@@ -131,10 +131,13 @@ def fit_models(
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     size = int(str(train._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = train.sparkSession.sparkContext.defaultParallelism
-    parts = min(max(1, -(-size // FIT_BYTES), min(-(-size // CORE_BYTES), cores)), 1 << 30)
-    # Files of few row groups would leave most tasks without rows, so a larger panel's rows are dealt anew.
+    many, parts = -(-size // FIT_BYTES), min(-(-size // CORE_BYTES), cores)
     rows = train.select(*features, label)
-    dealt = assembler.transform(rows.repartition(parts) if parts > 1 else rows.coalesce(1)).select("features", label)
+    if 1 < parts and many <= cores:
+        rows = rows.repartition(parts)  # files of few row groups would leave most tasks without rows
+    else:  # never more than there are: the size of a plan that is not stored may be estimated without bounds
+        rows = rows.coalesce(min(max(1, many), 1 << 30))
+    dealt = assembler.transform(rows).select("features", label)
     dealt.persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     try:
