@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark import presets
@@ -416,29 +416,36 @@ def _load_audit(spark: SparkSession, d: str) -> DataFrame:
 _ANY_NAME = ((("part",), "ipc"),)
 
 
-def _long_sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Sheets written as text files and read back: the raw cells and the files found, by path below the folder."""
+def _sheet_name(path: Column) -> Column:
+    """A sheet's path below its folder; the names of written files differ from run to run."""
+    return F.concat(F.regexp_extract(path, "(year=[^/]*/key=[^/]*)/[^/]*$", 1), F.lit("/part"))
+
+
+def _long_sheets(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """Sheets written as text files and read back: their raw cells, kept as a table that is read several times, and their folder."""
     path = _scratch(spark, "sheets")
     wh.write_sheets(wh.long_sheets(spark, d, SECTION), path)
-    below = F.regexp_extract("path", "(year=[^/]*/key=[^/]*)/[^/]*$", 1)
-    kept = F.concat(below, F.lit("/part"))  # the names of written files differ from run to run
-    raw = read_raw_cells(spark, path).withColumn("path", kept)
-    return raw, readers.list_files(spark, path).withColumn("path", kept)
+    raw = read_raw_cells(spark, path, named=_sheet_name)
+    # Tasks that read a few small files each would write as many small tables; a task takes several.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, raw.rdd.getNumPartitions() // 16)
+    return materialise(raw.coalesce(tasks)), path
 
 
 def _sheet_files_panel(spark: SparkSession, d: str) -> DataFrame:
     """Text files -> raw cells -> sections -> panel rows."""
     raw, _ = _long_sheets(spark, d)
-    rows = sheets.drop_aggregate_names(sheets.extract_sections(raw, SECTION, words=_ANY_NAME))
+    bounds = materialise(sheets.section_bounds(raw, SECTION))
+    rows = sheets.drop_aggregate_names(sheets.extract_sections(raw, SECTION, words=_ANY_NAME, bounds=bounds))
     return rows.withColumn("path", F.regexp_replace("path", "/part$", ""))
 
 
 def _sheet_files_audit(spark: SparkSession, d: str) -> DataFrame:
     """The audit of an extraction with an explicit limit of 150 rows."""
-    raw, files = _long_sheets(spark, d)
-    rows = sheets.extract_sections(raw, SECTION, words=_ANY_NAME, max_rows=150)
-    bounds = sheets.section_bounds(raw, SECTION, max_rows=150)
-    audit = sheets.load_audit(files, rows, words=_ANY_NAME, bounds=bounds)
+    raw, path = _long_sheets(spark, d)
+    bounds = materialise(sheets.section_bounds(raw, SECTION, max_rows=150))
+    rows = sheets.extract_sections(raw, SECTION, words=_ANY_NAME, bounds=bounds)
+    found = readers.list_files(spark, path).withColumn("path", _sheet_name(F.col("path")))
+    audit = sheets.load_audit(found, rows, words=_ANY_NAME, bounds=bounds)
     return audit.withColumn("path", F.regexp_replace("path", "/part$", ""))
 
 

@@ -83,6 +83,8 @@ def is_next_header(cell: Column, marks: Sequence[str] = presets.SECTION_MARKS) -
 BLOCK_ROWS = 128
 # Rows of a part of a file, whose headers meet in one group.
 PART_ROWS = 1 << 17
+# Rows of a strip, whose headers are the bits of one number.
+STRIP_ROWS = 64
 
 
 def section_bounds(raw_cells: DataFrame, section: str, max_rows: int | None = None) -> DataFrame:
@@ -95,26 +97,37 @@ def section_bounds(raw_cells: DataFrame, section: str, max_rows: int | None = No
     """
     name = section.lower()
     # Only rows that name the section can be headers; for all others the test ends here.
-    heads = F.slice("cells", 1, 3)
-    loose = F.exists(heads, lambda c: F.coalesce(F.lower(c).contains(name), F.lit(False)))
+    loose = reduce(
+        lambda a, b: a | b, [F.coalesce(F.lower(F.get("cells", F.lit(i))).contains(name), F.lit(False)) for i in range(3)]
+    )
     strict = F.exists(F.slice("cells", 1, 2), lambda c: is_section_header(F.lower(strip(c)), section))
-    part = F.expr(f"row_idx div {PART_ROWS}")
+    bit = F.expr(f"shiftleft(1L, cast(row_idx % {STRIP_ROWS} as int))")
     marked = raw_cells.select("path", "row_idx", F.size("cells").alias("_size"), loose.alias("_named"), is_next_header(_cell(1)).alias("_heads"), "cells").select(
         "path",
-        part.alias("_part"),
+        F.expr(f"row_idx div {STRIP_ROWS}").alias("_strip"),
         "_size",
         "row_idx",
         F.when(F.col("_named"), F.col("row_idx")).alias("_loose"),
         F.when(F.col("_named") & strict, F.col("row_idx")).alias("_strict"),
-        F.when(F.col("_heads"), F.col("row_idx")).alias("_head"),
+        F.when(F.col("_heads"), bit).alias("_bit"),
     )
-    # One pass: a part of a file keeps its headers, which are as many as it has rows at most.
-    parts = marked.groupBy("path", "_part").agg(
+    # One pass: the rows go to numbers per strip, which tasks sum up before the shuffle and without a sort.
+    strips = marked.groupBy("path", "_strip").agg(
         F.min("_strict").alias("_strict"),
         F.min("_loose").alias("_loose"),
         F.max("_size").alias("_size"),
         F.max("row_idx").alias("_last"),
-        F.array_sort(F.collect_list("_head")).alias("_heads"),
+        F.bit_or("_bit").alias("_bits"),
+    )
+    places = F.filter(F.sequence(F.lit(0), F.lit(STRIP_ROWS - 1)), lambda i: F.getbit("_bits", i) == 1)
+    listed = F.when(F.col("_bits").isNotNull(), F.transform(places, lambda i: F.col("_strip") * STRIP_ROWS + i))
+    # A part of a file keeps its headers, which are as many as it has rows at most.
+    parts = strips.groupBy("path", F.expr(f"_strip div {PART_ROWS // STRIP_ROWS}").alias("_part")).agg(
+        F.min("_strict").alias("_strict"),
+        F.min("_loose").alias("_loose"),
+        F.max("_size").alias("_size"),
+        F.max("_last").alias("_last"),
+        F.array_sort(F.flatten(F.collect_list(listed))).alias("_heads"),
     )
 
     def heads_beside(found: str) -> Column:
@@ -157,6 +170,8 @@ def section_rows(raw_cells: DataFrame, bounds: DataFrame) -> DataFrame:
         raw_cells.select("path", "row_idx", "cells", block(F.col("row_idx")).alias("_block"))
         .join(filled.withColumn("_block", F.explode(blocks)), ["path", "_block"])
         .filter((F.col("row_idx") > F.col("start")) & (F.col("row_idx") < F.col("stop")))
+        # As cells of a section, so that no filter on them is moved before the join, to all rows of the files.
+        .withColumn("cells", F.when(F.col("row_idx") > F.col("start"), F.col("cells")))
         .drop("_block", "start", "stop")
     )
 
@@ -181,17 +196,21 @@ def extract_sections(
     words: Sequence = presets.FILE_WORDS,
     max_rows: int | None = None,
     source: str = "sheets",
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Panel rows of one section out of every classified file, with the file's path.
 
     Files are classified once each, after their headers were found, and those
     without a year or a known type are left out. Values must be finite numbers
     not below zero and are truncated. Sections have no limit unless ``max_rows`` sets one.
+    ``bounds`` are the sections' (:func:`section_bounds`), where they are known. Kept as a table, Spark knows their size,
+    and if they are few no row of the files is shuffled.
     """
     # Classifying a copy of the path that depends on the found start keeps this at one
     # evaluation per file; on the path itself, the filter would be pushed below the
     # grouping and across the join, and run on every raw row.
-    found = section_bounds(raw_cells, section, max_rows).withColumn("_file", F.when(F.col("start") >= 0, F.col("path")))
+    bounds = section_bounds(raw_cells, section, max_rows) if bounds is None else bounds
+    found = bounds.withColumn("_file", F.when(F.col("start") >= 0, F.col("path")))
     starts = classify_files(found, rules, words, path="_file").filter(
         F.col("period").isNotNull() & F.col("category").isNotNull()
     )

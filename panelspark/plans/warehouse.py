@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.groups import lookup_from_arrays
 from panelspark.operators.panel import union_sources
+from panelspark.sources import sinks
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -209,45 +210,50 @@ def long_sheets(spark: SparkSession, folder: str, section: str) -> DataFrame:
         .groupBy("l_suppkey", "o_orderpriority", "nation", "month")
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty"))
         .join(nations, F.col("nation") == F.col("n_nationkey"))
+        # A sheet's rows meet in one task once, for the numbers of their lines and for their file.
+        .repartition("l_suppkey")
     )
     place = F.when(F.col("o_orderpriority") == section, 1.5).otherwise(F.substring("o_orderpriority", 1, 1).cast("double"))
     place = F.when(F.col("o_orderpriority") == "2-HIGH", 1.0).otherwise(place)
     # A section has at most one row per nation and month, and a sheet one per section.
     series = Window.partitionBy("l_suppkey", "o_orderpriority").orderBy("n_name", "month")
-    body = sums.select(
-        "l_suppkey",
-        place.alias("section"),
-        F.row_number().over(series).alias("line"),
-        F.array(
-            F.concat(F.row_number().over(series).cast("string"), F.lit(".")),
-            F.concat("n_name", F.lit(", "), "month"),
-            F.lit("x"),
-            F.concat(F.col("qty").cast("string"), F.lit(".0")),
-        ).alias("cells"),
+    numbered = sums.withColumn("_line", F.row_number().over(series))
+    # A section's first row is preceded by its header, which is line 0.
+    own = F.when(F.col("_line") == 1, F.array(F.lit(0), "_line")).otherwise(F.array("_line"))
+    body = F.array(
+        F.concat(F.col("line").cast("string"), F.lit(".")),
+        F.concat("n_name", F.lit(", "), "month"),
+        F.lit("x"),
+        F.concat(F.col("qty").cast("string"), F.lit(".0")),
     )
     spelled = F.element_at(
         F.array(*[F.array(*[F.lit(c.format(section)) for c in cells]) for cells in HEADERS]),
         (F.col("l_suppkey") % len(HEADERS) + 1).cast("int"),
     )
     header = F.when(F.col("o_orderpriority") == section, spelled).otherwise(F.array(F.concat(F.lit("State: "), "o_orderpriority")))
-    heads = sums.select("l_suppkey", "o_orderpriority").distinct().select(
-        "l_suppkey", place.alias("section"), F.lit(0).alias("line"), header.alias("cells")
+    return numbered.withColumn("line", F.explode(own)).select(
+        "l_suppkey", place.alias("section"), "line", F.when(F.col("line") == 0, header).otherwise(body).alias("cells")
     )
-    return body.union(heads)
 
 
 def csv_line(cells: Column) -> Column:
     """A delimited line; every cell is quoted."""
+    joined = F.array_join(cells, '","')
+    # Cells without quotes are joined at once; a single empty cell looks like none.
+    plain = (joined != "") & ~F.array_join(cells, "").contains('"')
     quoted = F.transform(cells, lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
-    return F.array_join(quoted, ",")
+    return F.when(plain, F.concat(F.lit('"'), joined, F.lit('"'))).otherwise(F.array_join(quoted, ","))
 
 
 def write_sheets(rows: DataFrame, path: str) -> None:
-    """One text file per supplier, in order, in folders named by year and supplier."""
+    """One text file per supplier, in order, in folders named by year and supplier.
+
+    A supplier's rows are in one task, as :func:`long_sheets` leaves them.
+    """
     year = (F.lit(2015) + F.col("l_suppkey") % 5).alias("year")
-    named = rows.select(year, F.translate(F.col("l_suppkey").cast("string"), "0123456789", "abcdefghij").alias("key"), "section", "line", csv_line(F.col("cells")).alias("value"))
-    ordered = named.repartition("key").sortWithinPartitions("year", "key", "section", "line")
-    ordered.drop("section", "line").write.partitionBy("year", "key").text(path)
+    key = F.translate(F.col("l_suppkey").cast("string"), "0123456789", "abcdefghij").alias("key")
+    named = rows.select(year, key, "l_suppkey", "section", "line", csv_line(F.col("cells")).alias("value"))
+    sinks.write_texts(named, path, partition_by=("year", "key"), order=("l_suppkey", "section", "line"))
 
 
 def embedding_shapes(spark: SparkSession, folder: str) -> DataFrame:

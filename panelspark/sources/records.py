@@ -5,7 +5,7 @@ state, the splits' answers are composed in order, one row per split, and each th
 cuts its records knowing its start. Nothing is read by one task but what one record or one split holds.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from panelspark import schema as S
+from panelspark.plans.lineage import has_shared_folder, materialise
 from panelspark.sources.files import few_listing_tasks, file_path
 
 _SPLIT = ("path", "start")
@@ -27,9 +28,9 @@ _FROM_INSIDE = rf'\A{_INSIDE}(?:\z|"[^,]*+,{_OPENS})'
 
 
 def read_pieces(spark: SparkSession, paths: str | Sequence[str], separator: str | None = None, pattern: str | None = None, recursive: bool = False, **options) -> DataFrame:
-    """``path, start, id, value``: files cut at line breaks, or at ``separator``, by as many tasks as they have splits.
+    """``path, uri, start, id, value``: files cut at line breaks, or at ``separator``, by as many tasks as they have splits.
 
-    ``start`` is the split's place in its file. Within a split the ids have no gaps, and order its pieces.
+    ``uri`` is the path as Spark encodes it; ``start`` is the split's place in its file. Within a split the ids have no gaps, and order its pieces.
     """
     reader = spark.read.options(recursiveFileLookup=recursive, **options)
     if separator:
@@ -40,6 +41,7 @@ def read_pieces(spark: SparkSession, paths: str | Sequence[str], separator: str
         lines = reader.text(paths if isinstance(paths, str) else list(paths))
     return lines.select(
         file_path().alias("path"),
+        F.col("_metadata.file_path").alias("uri"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
         "value",
@@ -81,10 +83,14 @@ def _quoting(lines: DataFrame) -> DataFrame:
     )
 
 
+def _opens() -> Column:
+    """Whether a line, begun outside quotes, ends inside."""
+    return F.col("value").contains('"') & F.col("value").rlike(_FROM_OUTSIDE)
+
+
 def has_line_breaks(lines: DataFrame) -> bool:
     """Whether a cell of any line holds a line break: only then does some line, begun outside quotes, end inside."""
-    opens = F.col("value").contains('"') & F.col("value").rlike(_FROM_OUTSIDE)
-    return bool(lines.filter(opens).limit(1).count())
+    return bool(lines.filter(_opens()).limit(1).count())
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
@@ -171,7 +177,7 @@ _BROADCAST_SPLITS = 500_000
 
 
 def _few_splits(lines: DataFrame) -> bool:
-    return len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= _BROADCAST_SPLITS
+    return len(lines._jdf.inputFiles()) + lines.rdd.getNumPartitions() <= _BROADCAST_SPLITS
 
 
 def _beside(lines: DataFrame, splits: DataFrame) -> DataFrame:
@@ -179,15 +185,28 @@ def _beside(lines: DataFrame, splits: DataFrame) -> DataFrame:
     return F.broadcast(splits) if _few_splits(lines) else splits
 
 
-def number_lines(lines: DataFrame, without: DataFrame | None = None) -> DataFrame:
+def _line_counts(lines: DataFrame, *more: Column) -> DataFrame:
+    """Per split its lines and the first one's id; paths are decoded once a split, not once a line."""
+    counts = lines.groupBy("uri", "start").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first"), *more)
+    return counts.withColumn("path", file_path("uri"))
+
+
+def number_lines(lines: DataFrame, without: DataFrame | None = None, counts: DataFrame | None = None, named: Callable[[Column], Column] | None = None) -> DataFrame:
     """``path, row_idx, value``: every line with its 0-based number in its file; lines are neither shuffled nor sorted.
 
-    Files whose ``path`` is in ``without`` are left out.
+    Files whose ``path`` is in ``without`` are left out. ``counts`` are the lines' counts per split, where they are known;
+    ``named`` makes the path that is shown out of a file's.
     """
-    counts = lines.groupBy(*_SPLIT).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first"))
-    shifts = counts.select(*_SPLIT, (F.coalesce(F.sum("_n").over(_before_split()), F.lit(0)) - F.col("_first")).alias("_shift"))
+    counts = _line_counts(lines) if counts is None else counts
+    shifts = counts.select("uri", *_SPLIT, (F.coalesce(F.sum("_n").over(_before_split()), F.lit(0)) - F.col("_first")).alias("_shift"))
     shifts = shifts if without is None else shifts.join(without.select("path"), "path", "left_anti")
-    return lines.join(_beside(lines, shifts), list(_SPLIT)).select("path", (F.col("id") + F.col("_shift")).alias("row_idx"), "value")
+    shifts = shifts.select("uri", "start", "_shift", (named or _same)(F.col("path")).alias("path"))
+    placed = lines.drop("path").join(_beside(lines, shifts), ["uri", "start"])
+    return placed.select("path", (F.col("id") + F.col("_shift")).alias("row_idx"), "value")
+
+
+def _same(path: Column) -> Column:
+    return path
 
 
 _RECORDS = "path string, row_idx long, line long, value string, whole boolean"
@@ -272,12 +291,18 @@ def cut_records(lines: DataFrame, without: DataFrame | None = None) -> DataFrame
     return cut.filter("whole").select("path", "row_idx", "value").unionByName(several.select("path", "row_idx", joined.alias("value")))
 
 
-def read_records(lines: DataFrame, line_breaks: bool | None = None, without: DataFrame | None = None) -> DataFrame:
+def read_records(lines: DataFrame, line_breaks: bool | None = None, without: DataFrame | None = None, named: Callable[[Column], Column] | None = None) -> DataFrame:
     """``path, row_idx, value`` of delimited lines. ``line_breaks`` says whether quoted cells may hold line breaks;
-    by default the lines are looked through for one first. Files whose ``path`` is in ``without`` are left out."""
+    by default the lines are looked through for one first, and counted with it. Files whose ``path`` is in ``without`` are left out;
+    ``named`` makes the path that is shown out of a file's."""
+    counts = None
+    if line_breaks is None and has_shared_folder(lines.sparkSession):
+        counts = materialise(_line_counts(lines, F.max(_opens()).alias("_opens")))
+        line_breaks = bool(counts.filter("_opens").limit(1).count())
     if has_line_breaks(lines) if line_breaks is None else line_breaks:
-        return cut_records(lines, without)
-    return number_lines(lines, without)
+        cut = cut_records(lines, without)
+        return cut.withColumn("path", named(F.col("path"))) if named else cut
+    return number_lines(lines, without, counts, named)
 
 
 # JSON documents

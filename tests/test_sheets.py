@@ -147,3 +147,26 @@ def test_one_huge_file_spreads_over_many_keys(spark):
     assert sheets.section_rows(df, sheets.section_bounds(df, "Uttar Pradesh")).count() == 4996
     joined = df.selectExpr("path", f"floor(row_idx / {sheets.BLOCK_ROWS}) as b").groupBy("path", "b").count()
     assert joined.agg({"count": "max"}).first()[0] <= sheets.BLOCK_ROWS
+
+
+def test_headers_anywhere_in_strips_and_parts(raw, monkeypatch):
+    """The next header is found at every place of a strip, and over parts that have none."""
+    monkeypatch.setattr(sheets, "PART_ROWS", 2 * sheets.STRIP_ROWS)
+    wanted, parts = {}, []
+    for gap in (1, 2, 61, 62, 63, 64, 65, 127, 128, 129, 400):
+        path = f"2019/ipc_{gap}.csv"
+        before = [("State: Goa",), ("1", "Panaji", "1")] * (gap % 3)
+        rows = [*before, ("Uttar Pradesh",), *[(str(i), "d", "1") for i in range(1, gap)], ("State: Bihar",), ("State: Goa",), ("1", "x", "1")]
+        parts.append(sheet(path, *rows))
+        wanted[path] = (len(before), len(before) + gap)
+    bounds = sheets.section_bounds(raw(*parts), "Uttar Pradesh")
+    assert {r.path: (r.start, r.stop) for r in bounds.collect()} == wanted
+    # Rows are summed up as numbers, so that tasks of many files do not sort them.
+    plan = bounds._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "collect_list(_head#" not in plan
+
+
+def test_bounds_that_are_known(spark, raw):
+    df = raw(sheet("a/2019/IPC.csv", ("State: Bihar",), ("1", "Patna", "9"), ("Uttar Pradesh",), ("1", "Agra", "10"), ("2", "Etah", "4")))
+    bounds = spark.createDataFrame([("a/2019/IPC.csv", 2, 3, 4, 1)], "path string, start long, width int, stop long, rows_cut long")
+    assert [r.entity for r in sheets.extract_sections(df, "Uttar Pradesh", bounds=bounds).collect()] == ["Agra"]

@@ -1,4 +1,6 @@
+import itertools
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -217,3 +219,47 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(tasks) == 2 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
     assert listed.count() == 200 and spark.conf.get(setting, None) == before
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_a_text_file_for_each_sheet(spark, tmp_path, monkeypatch, local):
+    """Both writers give the same files; the tasks' own leaves no drafts, and no file is written twice."""
+    if not local:
+        monkeypatch.setattr(sinks, "_local_path", lambda spark, path: None)
+    sheets_ = {(2015 + k % 2, f"k{k}" if k else None): [f"{k},{i}" for i in range(1 + 40 * (k % 3))] for k in range(30)}
+    rows = [(y, k, i, v) for (y, k), lines in sheets_.items() for i, v in enumerate(lines)]
+    df = spark.createDataFrame(rows[::-1], "year int, key string, line int, value string").repartition(3, "key")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        sinks.write_texts(df, f"file://{tmp_path}/out", ("year", "key"), ("key", "line"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = [p for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
+    got = {(p.parent.parent.name, p.parent.name): p.read_text().splitlines() for p in found}
+    assert len(found) == len(got) == 30
+    assert got == {(f"year={y}", f"key={k or '__HIVE_DEFAULT_PARTITION__'}"): lines for (y, k), lines in sheets_.items()}
+    if local:
+        assert not [p for p in (tmp_path / "out").rglob(".*")]
+
+
+def test_lines_are_counted_and_looked_through_at_once(spark, tmp_path):
+    """Raw cells take one more scan of the text than reading it: the counts are a table."""
+    (tmp_path / "a.csv").write_text('1,"a, b"\n2,"c"\n')
+    plan = raw_cells.read_raw_cells(spark, str(tmp_path), named=lambda p: F.substring_index(p, "/", -1))
+    assert [(r.path, r.row_idx, r.cells) for r in plan.orderBy("row_idx").collect()] == [("a.csv", 0, ["1", "a, b"]), ("a.csv", 1, ["2", "c"])]
+    scans = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count(" text") == 1 and scans.count(" parquet") == 1
+
+
+def test_cells_with_and_without_a_pattern(spark):
+    """Records of all forms up to five signs: those that need no pattern give the pattern's cells."""
+    lines = ["".join(x) for n in range(6) for x in itertools.product('",a\0', repeat=n)]
+    df = spark.createDataFrame([(x,) for x in lines], "l string")
+    got = {r.l: r.c for r in df.select("l", raw_cells.split_cells(F.col("l")).alias("c")).collect()}
+
+    def cells(line):
+        parts = re.findall(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)', "," + line)
+        return [p[1:-1].replace('""', '"') if len(p) > 1 and p[0] == p[-1] == '"' else p for p in parts]
+
+    assert got == {x: cells(x) for x in lines}
