@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import Scratch, map_arrow, small_side, text_slices
-from panelspark.llm.language import TokenHashes, bigram_hashes, contexts, fit_logistic, logits, pair_hashes
+from panelspark.llm.language import START, TokenHashes, contexts, fit_logistic, logits, pair_hashes, word_hashes
 
 FOLDS = 5
 # Labelled documents, at most, that the score is calibrated on; the models are counted on all.
@@ -31,6 +32,31 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
+class Places:
+    """Where hashes stand among sorted ones, looked for among those of the same leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(len(keys), 1).bit_length()
+        self.shift = _U(64 - bits)
+        counts = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each, -1 where there is none."""
+        slots = (wanted >> self.shift).astype(np.int64)
+        at, stop = self.first[slots], self.first[slots + 1]
+        found = np.full(len(wanted), -1, np.int64)
+        left = np.flatnonzero(at < stop)
+        at, stop = at[left], stop[left]
+        while len(left):
+            same = self.keys[at] == wanted[left]
+            found[left[same]] = at[same]
+            on = ~same & (at + 1 < stop)
+            left, at, stop = left[on], at[on] + 1, stop[on]
+        return found
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios less that of an unseen word, by hash, sorted; and the fit of the score.
@@ -46,19 +72,40 @@ class Model:
     pair_ratios: np.ndarray
     fit: tuple | None = None
 
+    @cached_property
+    def _places(self) -> tuple[Places, Places]:
+        return Places(self.words), Places(self.pairs)
+
+    def __getstate__(self) -> dict:
+        """Without the places, which each worker finds by itself."""
+        return {k: v for k, v in self.__dict__.items() if k != "_places"}
+
     def features(self, tokens: np.ndarray) -> list[float]:
         """Per word: the ratio over the whole text, and the highest one of any passage of each length, by words and by pairs."""
-        if not len(tokens):
-            return [0.0] * FEATURES
-        single = _look_up(self.words, self.word_ratios, tokens, 0.0)
-        backed = single + _look_up(self.words, self.backoffs, contexts(tokens), 0.0)
-        double = _look_up(self.pairs, self.pair_ratios, bigram_hashes(tokens), np.nan)
-        both = np.where(np.isnan(double), backed, double)
-        peaks = []
-        for ratios in (single, both):
-            sums = np.concatenate(([0.0], np.cumsum(ratios)))
-            peaks += [(sums[n:] - sums[:-n]).max() / n for n in (min(p, len(tokens)) for p in PASSAGES)]
-        return [float(both.mean()), *map(float, peaks)]
+        return self.features_of(tokens, np.array([len(tokens)]))[0].tolist()
+
+    def features_of(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The features of many texts, whose tokens follow each other and end at ``ends``."""
+        words, pairs = self._places
+        at, start = words(tokens), words(np.array([START]))[0]
+        single = _values(self.word_ratios, at, 0.0)
+        backed = single + _values(self.backoffs, contexts(at, ends, start), 0.0)
+        both = _values(self.pair_ratios, pairs(pair_hashes(contexts(tokens, ends), tokens)), backed)
+        out = np.zeros((len(ends), FEATURES))
+        for i, (start, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+            if end > start:
+                out[i] = [both[start:end].mean(), *_peaks(single[start:end]), *_peaks(both[start:end])]
+        return out
+
+
+def _peaks(ratios: np.ndarray) -> list[float]:
+    """The highest mean of any passage of each length."""
+    sums = np.concatenate(([0.0], np.cumsum(ratios)))
+    return [(sums[n:] - sums[:-n]).max() / n for n in (min(p, len(ratios)) for p in PASSAGES)]
+
+
+def _values(values: np.ndarray, at: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+    return np.where(at >= 0, values[at], other) if len(values) else np.broadcast_to(other, at.shape)
 
 
 @dataclass
@@ -70,25 +117,16 @@ class Trained:
     fit: tuple | None = None
 
 
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), other)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], other)
-
-
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct word pairs of each document, with its class."""
-    hashes = TokenHashes(words_only=True)
     for batch in text_slices(batches):
-        befores, words, classes = [], [], []
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            tokens = hashes(text)
-            _, first = np.unique(bigram_hashes(tokens), return_index=True)
-            befores.append(contexts(tokens)[first])
-            words.append(tokens[first])
-            classes.append(np.full(len(first), toxic, np.int8))
-        columns = [np.concatenate(befores).view(np.int64), np.concatenate(words).view(np.int64), np.concatenate(classes)]
+        tokens, ends = word_hashes(batch.column("text").to_pylist())
+        before = contexts(tokens, ends)
+        hashes, starts = pair_hashes(before, tokens), [0, *ends.tolist()]
+        firsts = [np.unique(hashes[a:b], return_index=True)[1] + a for a, b in zip(starts, starts[1:])]
+        classes = np.repeat(np.array(batch.column("toxic").to_pylist(), np.int8), list(map(len, firsts)))
+        first = np.concatenate(firsts)
+        columns = [before[first].view(np.int64), tokens[first].view(np.int64), classes]
         yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["v", "w", "toxic"])
 
 
@@ -178,8 +216,8 @@ def _held(rows: list[tuple] | pa.Table) -> Model:
     return Model(h[~pair], r[~pair], g[~pair], h[pair], r[pair])
 
 
-def _features(texts: pa.Array, model: Model, hashes: TokenHashes) -> np.ndarray:
-    return np.array([model.features(hashes(t)) for t in texts.to_pylist()], float).reshape(len(texts), FEATURES)
+def _features(texts: pa.Array, model: Model) -> np.ndarray:
+    return model.features_of(*word_hashes(texts.to_pylist()))
 
 
 def _probability(x: np.ndarray, fit: tuple) -> np.ndarray:
@@ -200,12 +238,11 @@ def _text_key(text: Column) -> list[Column]:
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words and pairs of each text, by its key."""
-    hashes = TokenHashes(words_only=True)
     for batch in text_slices(batches):
-        found = []
-        for text in batch.column("text").to_pylist():
-            tokens = hashes(text)
-            found.append(np.unique(np.concatenate((tokens, contexts(tokens), bigram_hashes(tokens)))))
+        tokens, ends = word_hashes(batch.column("text").to_pylist())
+        before = contexts(tokens, ends)
+        kinds, starts = (tokens, before, pair_hashes(before, tokens)), [0, *ends.tolist()]
+        found = [np.unique(np.concatenate([k[a:b] for k in kinds])) for a, b in zip(starts, starts[1:])]
         sizes = [len(f) for f in found]
         keys = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in _TEXT_KEY]
         yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(found).view(np.int64))], names=[*_TEXT_KEY, "h"])
@@ -252,9 +289,8 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Trained:
         held = spark.sparkContext.broadcast(trained.model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = TokenHashes(words_only=True)
             for batch in text_slices(batches):
-                yield _keep(batch, ["toxic"], _features(batch.column("text"), held.value, hashes))
+                yield _keep(batch, ["toxic"], _features(batch.column("text"), held.value))
 
         featured = map_arrow(sample, run, "toxic int, x array<double>")
     else:
@@ -289,9 +325,8 @@ def _text_scores(docs: DataFrame, trained: Trained) -> DataFrame:
 
 def _with_scores(batches: Iterator[pa.RecordBatch], held, fit: tuple) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Slices of the batches with the score of each row's text."""
-    hashes = TokenHashes(words_only=True)
     for batch in text_slices(batches):
-        yield batch, _probability(_features(batch.column("text"), held.value, hashes), fit)
+        yield batch, _probability(_features(batch.column("text"), held.value), fit)
 
 
 def score(docs: DataFrame, trained: Trained) -> DataFrame:

@@ -1,14 +1,17 @@
 """Near duplicates, decontamination, toxicity, quality and the pipeline against brute force."""
 
 import random
+import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from panelspark.llm import decontaminate, minhash, quality, registry, toxicity
+from panelspark.llm import decontaminate, language, minhash, quality, registry, toxicity
 from panelspark.llm.components import components
 from panelspark.llm.common import Scratch
 from panelspark.llm.shingles import shingle_sets
@@ -292,6 +295,29 @@ def test_ratios_equal_kneser_ney_by_hand(spark, monkeypatch):
         assert abs(got[1] - max(alone)) < 1e-9 and abs(got[4] - max(want)) < 1e-9
 
 
+def test_texts_are_hashed_and_looked_up_together(monkeypatch):
+    texts = [None, "", "__ !", "ab AB a_b", "ΑΣ ΌΣΟΣ", "İ i̇", "a\x1cb\x85c", "x" * 300 + " " + "x" * 299 + "y", "ß½① \U0001d400é"]
+    texts += ["nine_letter ninelette", "a" * 8 + " " + "a" * 16, "\u2003", ""]
+    hashes, ends = language.word_hashes(texts)
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    assert ends.tolist() == np.cumsum([len(w) for w in words]).tolist()
+    of_word = dict(zip([w for ws in words for w in ws], hashes.tolist()))
+    assert [of_word[w] for ws in words for w in ws] == hashes.tolist() and len(set(of_word.values())) == len(of_word)
+    rnd = np.random.default_rng(5)
+    keys = np.unique(np.concatenate((hashes, rnd.integers(0, 1 << 64, 3000, np.uint64), np.arange(9, dtype=np.uint64))))
+    wanted = np.concatenate((keys, keys + np.uint64(1), rnd.integers(0, 1 << 64, 99, np.uint64)))
+    places = {k: i for i, k in enumerate(keys.tolist())}
+    assert toxicity.Places(keys)(wanted).tolist() == [places.get(w, -1) for w in wanted.tolist()]
+    assert toxicity.Places(keys[:0])(wanted).tolist() == [-1] * len(wanted)
+    model = toxicity.Model(keys, rnd.normal(size=len(keys)), rnd.normal(size=len(keys)), keys[:0], np.empty(0))
+    assert model.features_of(hashes, ends).tolist() == [model.features(language.word_hashes([t])[0]) for t in texts]
+    calls = []
+    batch = pa.RecordBatch.from_pydict({"text": [f"some words {i}" for i in range(500)]})
+    monkeypatch.setattr(toxicity, "word_hashes", lambda t: calls.append(len(t)) or language.word_hashes(t))
+    ((_, scores),) = toxicity._with_scores(iter([batch]), SimpleNamespace(value=model), (np.zeros(7), np.ones(7), np.ones(8)))
+    assert calls == [500] == [len(scores)]
+
+
 def test_a_model_that_no_task_holds_scores_alike(spark, corpus, monkeypatch):
     docs, labels, _, _ = corpus
     docs = docs.unionByName(docs.limit(3))
