@@ -29,6 +29,8 @@ _ODD_GAPS = re.compile("[\x1c-\x1f]")
 _LATIN_END = "\u0250"
 # What keeps a text from being lower-cased as a whole: other letters, and what may be a special token.
 _NOT_PLAIN = re.compile("[^\x00-\u024f]|<")
+# The usual pattern of pre-tokens, all of whose properties stand in brackets.
+_USUAL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_END = "</w>"
 # Bytes that a memory's younger generation may take; the older one is as large. Longer strings are not kept.
 MEMORY_BYTES = 20 << 20
@@ -83,6 +85,26 @@ def chunks(text: str | None) -> list[str]:
     return _GAPS.split(text) if _ODD_GAPS.search(text) else text.split()
 
 
+def _is_plain(text: str) -> bool:
+    """Whether a text has none of ``_NOT_PLAIN``; of ASCII and Latin-1 it is seen faster than by the pattern."""
+    if "<" in text:
+        return False
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return not _NOT_PLAIN.search(text)
+
+
+def _plain_pattern(pattern: str) -> re.Pattern | regex.Pattern:
+    """The pattern for lower-case plain texts. The usual one is spelled out for their few letters, digits and spaces, which ``re`` finds faster."""
+    if pattern != _USUAL:
+        return regex.compile(pattern)
+    known = sorted({c for i in range(ord(_LATIN_END)) for c in chr(i).lower()})
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(kind, "".join(re.escape(c) for c in known if regex.match(kind, c)))
+    return re.compile(pattern)
+
+
 class Words:
     """Cuts texts into pre-tokens as a ``tokenizers`` file does, and remembers what each becomes.
 
@@ -97,11 +119,12 @@ class Words:
             raise ValueError("not a lower-casing BPE file with word ends and without a decoder")
         pattern = self.file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
+        self.plain_pattern = _plain_pattern(pattern)
         self.split = Split(Regex(pattern), "removed", invert=True)
         self.special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        # Chunks of plain texts in lower case and pre-tokens share one memory; other chunks have another.
-        self.plain_ids = Memory(self._encode_plain, memory)
+        # Pre-tokens have one memory, and chunks of texts that are not plain another.
+        self.plain_ids = Memory(self.encode_word, memory)
         self.chunk_ids = Memory(self._encode_chunk, memory // 4)
         self._normalizer = None
 
@@ -128,42 +151,22 @@ class Words:
         piece = self._normalizer.normalize_str(piece)
         return [piece[a:b] for _, (a, b) in self.split.pre_tokenize_str(piece)]
 
-    def _encode_plain(self, chunk: str) -> bytes:
-        """A lower-case chunk of a plain text. One that is a pre-token as a whole stands for itself in the memory."""
-        if chunk.isalpha():
-            return self.encode_word(chunk)
-        known = self.plain_ids
-        if chunk[:-1].isalpha():  # one sign or digit after letters is a pre-token of its own
-            return known[chunk[:-1]] + known[chunk[-1]]
-        words = self.pattern.findall(chunk)
-        if len(words) == 1 and words[0] == chunk:
-            return self.encode_word(chunk)
-        return b"".join(map(known.__getitem__, words))
-
     def _encode_chunk(self, chunk: str) -> bytes:
         out = []
         for i, piece in enumerate(self.special_cut.split(chunk) if "<" in chunk else [chunk]):
             if i % 2:
                 out.append(np.array([self.special[piece]], _ID).tobytes())
             elif piece:
-                out.extend(map(self._word, self._pre_tokens(piece)))
+                out.extend(map(self.plain_ids.__getitem__, self._pre_tokens(piece)))
         return b"".join(out)
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a pre-token, which is encoded alike where it is a chunk of a plain text."""
-        known = self.plain_ids.get(word) or self.plain_ids.old.get(word)
-        if known is None:
-            known = self.encode_word(word)
-            self.plain_ids.keep(word, known)
-        return known
-
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids of a whole text, as ``tokenizers`` gives them without special tokens added, four bytes each.
 
-        Letters below U+0250 have no other normal form than their own, so a text of these is lower-cased at once.
+        Letters below U+0250 have no other normal form than their own, so a text of these is lower-cased and cut at once.
         """
-        if text and not _NOT_PLAIN.search(text):
-            return b"".join(map(self.plain_ids.__getitem__, chunks(text.lower())))
+        if text and _is_plain(text):
+            return b"".join(map(self.plain_ids.__getitem__, self.plain_pattern.findall(text.lower())))
         return b"".join(map(self.chunk_ids.__getitem__, chunks(text)))
 
     def encode(self, text: str | None) -> np.ndarray:

@@ -66,6 +66,25 @@ def test_memory_forgets_without_changing_results(library, monkeypatch):
         assert 0 < len(memory) <= 30 and 0 < len(memory.old) <= 30 and memory.held <= memory.limit + 1000
 
 
+def test_plain_texts_are_cut_into_pre_tokens_at_once(library):
+    with open(registry.tokenizer(), "rb") as file:
+        own = tokens.LibraryEncoder(file.read())
+    asked, encode_word = [], own.encode_word
+    own.plain_ids.make = lambda word: asked.append(word) or encode_word(word)
+    text = "Word, (word) word. It's wordé!\x1cword7 WORD...\x85word"
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    words = ["word", ",", "(", ")", ".", "it", "'s", "wordé", "!\x1c", "7", "..."]
+    assert asked == list(own.plain_ids) == words and not own.chunk_ids
+    rnd = random.Random(4)
+    for letters in ([chr(i) for i in range(0x250)], list("stdremlv' .,1ÀÞ") + ["\x1c", "\xa0"]):
+        for _ in range(2000):
+            plain = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 12))).lower()
+            assert own.plain_pattern.findall(plain) == [w for c in bpe.chunks(plain) for w in own.pattern.findall(c)]
+    usual = own.pattern.pattern
+    assert [bpe._is_plain(t) for t in ("a", "é\xff", "ēɏ", "a<", "é<", "ē<", "ɐ", "aé日")] == [True] * 3 + [False] * 5
+    assert bpe._plain_pattern("[a-z]+|\\p{N}").findall("ab ½7") == ["ab", "½", "7"] and bpe._USUAL == usual
+
+
 def test_real_texts_equal_the_library(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
