@@ -6,6 +6,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,13 +204,12 @@ def _with_pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays(columns, names=["h", "pair", "r", "g"])
 
 
-def _held(rows: list[tuple] | pa.Table) -> Model:
+def _held(rows: pa.Table) -> Model:
     """The model of rows ``h, pair, r, g``."""
-    if isinstance(rows, pa.Table):
-        columns = [rows.column(c).to_numpy() for c in ("h", "pair", "r", "g")]
-    else:
-        columns = [np.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (np.int64, bool, float, float))]
-    h, pair, r, g = columns
+    return _model(*(rows.column(c).to_numpy() for c in ("h", "pair", "r", "g")))
+
+
+def _model(h: np.ndarray, pair: np.ndarray, r: np.ndarray, g: np.ndarray) -> Model:
     h, pair = h.astype(np.int64).view(_U), pair.astype(bool)
     order = np.argsort(h)
     h, pair, r, g = h[order], pair[order], r[order], g[order]
@@ -251,23 +251,24 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _found_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = TokenHashes(words_only=True)
     for batch in text_slices(batches):
-        x = []
-        for text, entries in zip(batch.column("text").to_pylist(), batch.column("entries").to_pylist()):
-            model = _held([(e["h"], e["pair"], e["r"], e["g"]) for e in entries or ()])
-            x.append(model.features(hashes(text)))
+        x, entries = [], batch.column("entries")
+        columns = [c.to_numpy(zero_copy_only=False) for c in entries.flatten().flatten()]
+        ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(entries).to_pylist())]).tolist()
+        for text, start, end in zip(batch.column("text").to_pylist(), ends, ends[1:]):
+            x.append(_model(*(c[start:end] for c in columns)).features(hashes(text)))
         yield _keep(batch, list(_TEXT_KEY), np.array(x, float).reshape(len(x), FEATURES))
 
 
 def _joined_features(docs: DataFrame, table: DataFrame) -> DataFrame:
     """``t1, t2, x``: the features of each different text, whose words and pairs are joined to a table that no task could hold.
 
-    What meets in one task is one text's words; copies of a text count as one.
+    What meets in one task is one text's words; copies of a text count as one, and are dropped before their words are rows.
     """
     keyed = docs.select(*_text_key(F.col("text")), "text")
-    wanted = map_arrow(keyed, _wanted, "t1 bigint, t2 bigint, h bigint").distinct()
+    once = keyed.groupBy(*_TEXT_KEY).agg(F.first("text").alias("text"))
+    wanted = map_arrow(once, _wanted, "t1 bigint, t2 bigint, h bigint")
     entries = F.collect_list(F.struct("h", "pair", "r", "g")).alias("entries")
     found = wanted.join(table, "h").groupBy(*_TEXT_KEY).agg(entries)
-    once = keyed.groupBy(*_TEXT_KEY).agg(F.first("text").alias("text"))
     return map_arrow(once.join(found, list(_TEXT_KEY), "left"), _found_features, "t1 bigint, t2 bigint, x array<double>")
 
 

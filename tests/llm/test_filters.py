@@ -332,6 +332,15 @@ def test_a_model_that_no_task_holds_scores_alike(spark, corpus, monkeypatch):
     assert toxicity.toxicity(docs.limit(0), labels).collect() == [] == toxicity.drop_toxic(docs.limit(0), labels).collect()
 
 
+def test_copies_are_dropped_before_their_words_are_rows(spark):
+    table = spark.createDataFrame([(1, True, 0.5, 0.0)], "h bigint, pair boolean, r double, g double")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "a b c", None, None, ""])], "doc_id bigint, text string")
+    joined = toxicity._joined_features(docs, table)
+    assert joined.count() == 3
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^\]]*\bh#", plan), plan
+
+
 def test_stages_without_rows(spark, corpus):
     docs, labels, _, _ = corpus
     for some in (labels, labels.limit(0)):
