@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,17 @@ _LATIN_END = "\u0250"
 _NOT_PLAIN = re.compile("[^\x00-\u024f]|<")
 # The usual pattern of pre-tokens, all of whose properties stand in brackets.
 _USUAL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Kinds of characters. Those after an apostrophe that are a pre-token with it, where it begins one.
+_LETTER, _NUMBER, _SPACE, _SIGN = range(4)
+_KINDS = {_LETTER: r"\p{L}", _NUMBER: r"\p{N}", _SPACE: r"\s"}
+_ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 _WORD_END = "</w>"
 # Bytes that a memory's younger generation may take; the older one is as large. Longer strings are not kept.
 MEMORY_BYTES = 20 << 20
 _ENTRY_BYTES = 200  # of a dictionary's slot and the heads of two strings
 _LONGEST = 64
+# Texts are cut into pre-tokens in slices of about this many bytes: the more, the fewer different pre-tokens to look up.
+_CUT_BYTES = 2 << 20
 # Pairs of tokens whose compatibility a worker remembers.
 _PAIRS = 100_000
 _PAIR_BITS = 20
@@ -78,6 +85,34 @@ class Memory(dict):
             self.held += _ENTRY_BYTES + len(key) + len(value)
 
 
+class WordTable:
+    """What strings become, as Arrow arrays in which many are looked up at once.
+
+    Beyond ``limit`` bytes only those looked up last are kept, and none if these alone take more.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        self.make = make
+        self.limit = limit
+        self.words, self.values = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def find(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The bytes of some different strings."""
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null()
+        missing = words.filter(new)
+        places = at.fill_null(0).to_numpy().copy()
+        places[new.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(missing))
+        made = pa.array([self.make(w) for w in missing.to_pylist()], pa.large_binary())
+        every = pa.concat_arrays([self.values, made])
+        found = every.take(pa.array(places))
+        for kept in (pa.concat_arrays([self.words, missing]), every), (words, found), (words[:0], found[:0]):
+            if kept[0].nbytes + kept[1].nbytes <= self.limit:
+                self.words, self.values = kept
+                break
+        return found
+
+
 def chunks(text: str | None) -> list[str]:
     """The runs of a text between white space. No pre-token and no special token spans white space."""
     if not text:
@@ -99,12 +134,57 @@ def _plain_pattern(pattern: str) -> re.Pattern | regex.Pattern:
     """The pattern for lower-case plain texts. The usual one is spelled out for their few letters, digits and spaces, which ``re`` finds faster."""
     if pattern != _USUAL:
         return regex.compile(pattern)
-    known = sorted({c for i in range(ord(_LATIN_END)) for c in chr(i).lower()})
-    for kind in (r"\p{L}", r"\p{N}", r"\s"):
-        pattern = pattern.replace(kind, "".join(re.escape(c) for c in known if regex.match(kind, c)))
+    for kind in _KINDS.values():
+        pattern = pattern.replace(kind, "".join(re.escape(c) for c in _plain_letters() if regex.match(kind, c)))
     return re.compile(pattern)
 
 
+def _plain_letters() -> list[str]:
+    """The characters of lower-case plain texts."""
+    return sorted({c for i in range(ord(_LATIN_END)) for c in chr(i).lower()})
+
+
+def _kind_table() -> np.ndarray:
+    """The kind of each code point below U+10000, as far as lower-case plain texts have it."""
+    table = np.full(1 << 16, _SIGN, np.uint8)
+    for c in _plain_letters():
+        for kind, name in _KINDS.items():
+            if regex.match(name, c):
+                table[ord(c)] = kind
+    return table
+
+
+def cut(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pre-tokens and runs of spaces of lower-case plain UTF-8 texts start and the last one ends, and which are no spaces.
+
+    It cuts as ``_USUAL`` does: a new kind of character starts a run, every number is one by itself, and an apostrophe that
+    starts a run of signs is one with an ending after it. The texts must end in a space, which must stand between any two.
+    """
+    kinds = table[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    for low, length in (0xC0, 2), (0xE0, 3):
+        at = lead[(data[lead] >= low) & (data[lead] < low + 0x20)]
+        points = data[at].astype(np.uint16) & (0xFF >> length + 1)
+        for i in range(1, length):
+            points = points << 6 | data[at + i] & 0x3F
+        for i in range(length):
+            kinds[at + i] = table[points]
+    first = np.ones(len(data) + 1, bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=first[1:-1])
+    numbers = np.flatnonzero(kinds == _NUMBER)
+    first[numbers[data[numbers] & 0xC0 != 0x80]] = True
+    marks = np.flatnonzero(data == ord("'"))
+    marks = marks[first[marks]]
+    for ending in _ENDINGS:
+        at = marks
+        for i, letter in enumerate(ending, 1):
+            at = at[data[at + i] == letter]  # only the last byte, a space, has none after it
+        first[at + 1] = False
+        first[at + 1 + len(ending)] = True
+    starts = np.flatnonzero(first).astype(np.int32)
+    return starts, kinds[starts[:-1]] != _SPACE
+
+
 class Words:
     """Cuts texts into pre-tokens as a ``tokenizers`` file does, and remembers what each becomes.
 
@@ -126,6 +206,9 @@ class Words:
         # Pre-tokens have one memory, and chunks of texts that are not plain another.
         self.plain_ids = Memory(self.encode_word, memory)
         self.chunk_ids = Memory(self._encode_chunk, memory // 4)
+        # Pre-tokens of plain texts that are encoded together have a table.
+        self.table = WordTable(self.encode_word, memory // 4)
+        self.kinds = _kind_table() if pattern == _USUAL else None
         self._normalizer = None
 
     def library(self, with_model: bool) -> Tokenizer:
@@ -169,6 +252,26 @@ class Words:
             return b"".join(map(self.plain_ids.__getitem__, self.plain_pattern.findall(text.lower())))
         return b"".join(map(self.chunk_ids.__getitem__, chunks(text)))
 
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of some texts. Plain ones are cut together, and each of their different pre-tokens is looked up once."""
+        plain = [i for i, t in enumerate(texts) if t and self.kinds is not None and _is_plain(t)]
+        found = dict(zip(plain, self._encode_plain([texts[i].lower().encode() for i in plain]))) if plain else {}
+        return [found[i] if i in found else self.encode_bytes(t) for i, t in enumerate(texts)]
+
+    def _encode_plain(self, texts: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        starts, is_word = cut(data, self.kinds)
+        runs = pa.Array.from_buffers(pa.string(), len(is_word), [None, pa.py_buffer(starts), pa.py_buffer(data)])
+        words = runs.filter(pa.array(is_word)).dictionary_encode()
+        if not len(words):
+            return [b""] * len(texts)
+        ids = self.table.find(words.dictionary).take(words.indices)
+        words_before = np.cumsum(np.append(False, is_word), dtype=np.int32)
+        text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int32) - 1
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[words_before[np.searchsorted(starts, text_ends)]].tolist()
+        view = memoryview(ids.buffers()[2])
+        return [view[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), _ID)
 
@@ -299,8 +402,8 @@ def _spec(df: DataFrame, path: str):
 
 def encode_batches(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
     bpe = once_per_worker(spec, WordBpe)
-    for batch in text_slices(batches):
-        parts = [bpe.encode_bytes(t) for t in batch.column("text").to_pylist()]
+    for batch in text_slices(batches, limit=_CUT_BYTES):
+        parts = bpe.encode_texts(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(parts)], names=["doc_id", "ids"])
 
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.bpe import _ID, MEMORY_BYTES, Words, _spec, byte_letters, id_lists, once_per_worker
+from panelspark.llm.bpe import _CUT_BYTES, _ID, MEMORY_BYTES, Words, _spec, byte_letters, id_lists, once_per_worker
 from panelspark.llm.common import map_arrow, text_slices
 
 END_ID = 1
@@ -45,8 +45,8 @@ class LibraryEncoder(Words):
 def _encode_part(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
     encoder = once_per_worker(spec, LibraryEncoder)
     part, done, end = TaskContext.get().partitionId(), 0, END_ID.to_bytes(_ID.itemsize, "little")
-    for batch in text_slices(batches):
-        parts = [encoder.encode_bytes(t) + end for t in batch.column("text").to_pylist()]
+    for batch in text_slices(batches, limit=_CUT_BYTES):
+        parts = [ids + end for ids in encoder.encode_texts(batch.column("text").to_pylist())]
         sizes = np.array([len(p) for p in parts], np.int64) // _ID.itemsize
         starts = done + np.cumsum(sizes) - sizes
         done += int(sizes.sum())

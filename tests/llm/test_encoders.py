@@ -85,6 +85,28 @@ def test_plain_texts_are_cut_into_pre_tokens_at_once(library):
     assert bpe._plain_pattern("[a-z]+|\\p{N}").findall("ab ½7") == ["ab", "½", "7"] and bpe._USUAL == usual
 
 
+def test_texts_of_a_slice_look_up_each_pre_token_once(library):
+    with open(registry.tokenizer(), "rb") as file:
+        spec = file.read()
+    own, small = tokens.LibraryEncoder(spec), bpe.WordBpe(spec, memory=16_000)
+    found, find = [], own.table.find
+    own.table.find = lambda words: found.extend(words.to_pylist()) or find(words)
+    texts = ["Word word's", None, "WORD'S ''s 'Tis", "", "日 word", " \n", "'ll'llama 12² it's"]
+    same = lambda got, texts: [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert same(own.encode_texts(texts), texts)
+    assert found == ["word", "'s", "''", "s", "'t", "is", "'ll", "ama", "1", "2", "²", "it"] == own.table.words.to_pylist()
+    assert own.encode_texts([]) == [] and own.encode_texts([None, "", " "]) == [b""] * 3
+    rnd, odd = random.Random(5), odd_texts()
+    for letters in ([chr(i) for i in range(0x250)], list("stdremlv' .,1ÀÞ") + ["\x1c", "\xa0"], list("' srevltȺȾİ²1")):
+        odd += ["".join(rnd.choice(letters) for _ in range(rnd.randrange(14))) for _ in range(2000)]
+    rnd.shuffle(odd)
+    for at in range(0, len(odd), 50):
+        some = odd[at : at + 50]
+        assert same(own.encode_texts(some), some) and same(small.encode_texts(some), some)
+        assert small.table.words.nbytes + small.table.values.nbytes <= small.table.limit == 4000
+    assert 0 < len(small.table.words) < len(own.table.words)
+
+
 def test_real_texts_equal_the_library(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
