@@ -1,6 +1,8 @@
 """Toxicity from class-conditional Kneser-Ney models over words and word pairs."""
 
-from collections.abc import Iterator
+import os
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Scratch, map_arrow, small_side, text_slices
+from panelspark.llm.common import Scratch, map_arrow, runs, small_side, text_slices
 from panelspark.llm.language import START, TokenHashes, contexts, fit_logistic, logits, pair_hashes, word_hashes
 
 FOLDS = 5
@@ -20,8 +22,10 @@ CALIBRATED = 5_000
 DISCOUNT = 2.0
 # Ratios nearer than this to what the backoff gives are left to the backoff.
 TELLING = 0.1
-# Entries of the model up to which tasks hold it, some 24 bytes each; a larger one is joined to the words of the texts.
+# Entries of the model up to which tasks hold it, some 24 bytes each; a larger one is files that tasks map.
 HELD = 1_500_000
+# Entries, about, of such a file; a task that writes one holds them.
+PIECE = 1 << 20
 # Lengths of the passages whose log-likelihood ratio per word is compared; the whole text is another.
 PASSAGES = (1, 3, 10)
 FEATURES = 1 + 2 * len(PASSAGES)
@@ -109,11 +113,58 @@ def _values(values: np.ndarray, at: np.ndarray, other: np.ndarray | float) -> np
     return np.where(at >= 0, values[at], other) if len(values) else np.broadcast_to(other, at.shape)
 
 
+@dataclass
+class Pieces:
+    """Entries that no task holds, as files of the shared folder: a file for each value of the hashes' leading bits.
+
+    Tasks map the files, so that memory holds what is read of them, once for all tasks of a machine.
+    """
+
+    folder: str
+    bits: int
+    written: set[int]
+
+    @cached_property
+    def _mapped(self) -> dict[int, list[tuple[np.ndarray, ...]]]:
+        return {}
+
+    def __getstate__(self) -> dict:
+        """Without the mapped files, which each worker maps by itself."""
+        return {k: v for k, v in self.__dict__.items() if k != "_mapped"}
+
+    def _piece(self, number: int) -> list[tuple[np.ndarray, ...]]:
+        """The words and the pairs of a piece: their hashes, sorted, and values."""
+        if number not in self._mapped:
+            file = pa.ipc.open_file(pa.memory_map(f"{self.folder}/{number}"))
+            self._mapped[number] = [tuple(c.to_numpy() for c in file.get_batch(i).columns) for i in range(file.num_record_batches)]
+        return self._mapped[number]
+
+    def found(self, wanted: np.ndarray, pair: bool) -> list[np.ndarray]:
+        """The hashes and values of the entries of these hashes, sorted ones; what has no entry is left out."""
+        numbers = (wanted >> _U(64 - self.bits)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(wanted)]
+        found = [(wanted[:0], np.empty(0), np.empty(0))]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start < stop and (number := int(numbers[start])) in self.written:
+                h, r, g = self._piece(number)[pair]
+                at = np.searchsorted(h, wanted[start:stop])
+                at = at[at < len(h)]
+                at = at[h[at] == wanted[start : start + len(at)]]
+                found.append((h[at], r[at], g[at]))
+        return list(map(np.concatenate, zip(*found)))
+
+    def features_of(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The features of many texts, under the part of the model that they ask for."""
+        words = self.found(np.unique(np.append(tokens, START)), False)
+        pairs, ratios, _ = self.found(np.unique(pair_hashes(contexts(tokens, ends), tokens)), True)
+        return Model(*words, pairs, ratios).features_of(tokens, ends)
+
+
 @dataclass
 class Trained:
-    """A model that tasks hold, or the table ``h, pair, r, g`` of one that is too large for that; and the fit."""
+    """A model that tasks hold or map, or the table ``h, pair, r, g`` of one where they can do neither; and the fit."""
 
-    model: Model | None
+    model: Model | Pieces | None
     table: DataFrame
     fit: tuple | None = None
 
@@ -194,7 +245,9 @@ def count_model(train: DataFrame, scratch: Scratch) -> DataFrame:
     single = single.select("h", F.lit(False).alias("pair"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("r", "g")])
     single = single.filter(F.greatest(F.abs("r"), F.abs("g")) >= TELLING)
     rows = telling.select("v", "w", F.lit(True).alias("pair"), F.col("ratio").alias("r"), F.lit(0.0).alias("g"))
-    return scratch.table(single.unionAll(map_arrow(rows, _with_pair_keys, _ENTRY)), "ratios")
+    ratios = scratch.table(single.unionAll(map_arrow(rows, _with_pair_keys, _ENTRY)), "ratios")
+    scratch.drop(pairs, words)
+    return ratios
 
 
 def _with_pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +269,37 @@ def _model(h: np.ndarray, pair: np.ndarray, r: np.ndarray, g: np.ndarray) -> Mod
     return Model(h[~pair], r[~pair], g[~pair], h[pair], r[pair])
 
 
-def _features(texts: pa.Array, model: Model) -> np.ndarray:
+def _piece_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the rows of each piece as a file, which gets its name when it is whole."""
+    schema = pa.schema({"h": pa.uint64(), "r": pa.float64(), "g": pa.float64()})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for (number,), rows in runs(batches, ["piece"]):
+            model, draft = _held(rows), f"{folder}/.{uuid.uuid4().hex}"
+            words, pairs = (model.words, model.word_ratios, model.backoffs), (model.pairs, model.pair_ratios, np.zeros(len(model.pairs)))
+            with pa.OSFile(draft, "wb") as file, pa.ipc.new_file(file, schema) as out:
+                for columns in (words, pairs):
+                    out.write_batch(pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=schema))
+            os.replace(draft, f"{folder}/{number}")
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["piece"])
+
+    return write
+
+
+def _in_pieces(table: DataFrame, entries: int, scratch: Scratch, name: str) -> Pieces | None:
+    """A table ``h, pair, r, g`` as files that tasks map, if the shared folder is in the machines' own file system."""
+    folder = scratch.local_path(name)
+    if folder is None:
+        return None
+    bits = max(1, (entries // PIECE).bit_length())
+    numbered = table.withColumn("piece", F.shiftrightunsigned("h", 64 - bits))
+    dealt = numbered.repartition(1 << bits, "piece").sortWithinPartitions("piece")
+    written = scratch.table(map_arrow(dealt, _piece_writer(folder), "piece bigint"), f"{name}-pieces")
+    return Pieces(folder, bits, {row.piece for row in written.collect()})
+
+
+def _features(texts: pa.Array, model: Model | Pieces) -> np.ndarray:
     return model.features_of(*word_hashes(texts.to_pylist()))
 
 
@@ -283,10 +366,10 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Trained:
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     table = count_model(labelled(docs, labels, [1, 2, 3], None, scratch, "counted"), scratch)
-    small = table.limit(HELD + 1).count() <= HELD
-    trained = Trained(_held(table.toArrow()) if small else None, table)
+    entries = table.count()
+    trained = Trained(_held(table.toArrow()) if entries <= HELD else _in_pieces(table, entries, scratch, "model"), table)
     sample = labelled(docs, labels, [4], CALIBRATED, scratch, "calibrated").select("text", F.col("toxic").cast("int").alias("toxic"))
-    if small:
+    if trained.model is not None:
         held = spark.sparkContext.broadcast(trained.model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +382,7 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Trained:
         keyed = sample.select(*_text_key(F.col("text")), "toxic")
         featured = keyed.join(_joined_features(sample, table), list(_TEXT_KEY)).select("toxic", "x")
     rows = featured.toArrow()  # at most CALIBRATED rows of a few numbers
-    if small:
+    if trained.model is not None:
         held.unpersist(blocking=True)
     x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, FEATURES)
     y = rows.column("toxic").to_numpy().astype(float)
@@ -312,7 +395,7 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Trained:
 
 
 def _text_scores(docs: DataFrame, trained: Trained) -> DataFrame:
-    """``t1, t2, score`` of each different text under a model that no task holds."""
+    """``t1, t2, score`` of each different text under a model that tasks neither hold nor map."""
     fit = trained.fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -332,6 +332,53 @@ def test_a_model_that_no_task_holds_scores_alike(spark, corpus, monkeypatch):
     assert toxicity.toxicity(docs.limit(0), labels).collect() == [] == toxicity.drop_toxic(docs.limit(0), labels).collect()
 
 
+def test_a_model_that_no_task_holds_is_mapped_without_a_shuffle(spark, corpus, monkeypatch):
+    docs, labels, _, _ = corpus
+    docs = Scratch(spark, "test").table(docs.unionByName(docs.limit(3)), "docs")
+    held = sorted(map(tuple, toxicity.toxicity(docs, labels).collect()), key=repr)
+    kept = sorted(map(repr, toxicity.drop_toxic(docs, labels).collect()))
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    monkeypatch.setattr(toxicity, "PIECE", 100)
+    mapped = toxicity.toxicity(docs, labels)
+    out = toxicity.drop_toxic(docs, labels)
+    for df in (mapped, out):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    assert sorted(map(tuple, mapped.collect()), key=repr) == held
+    assert out.columns == docs.columns and sorted(map(repr, out.collect())) == kept
+    model = toxicity.train_model(docs, labels).model
+    assert len(model.written) > 8 and not {k for k in vars(model) if k[0] == "_"} & set(model.__getstate__())
+
+
+def test_a_model_is_joined_where_tasks_cannot_map_it(spark, corpus, monkeypatch):
+    docs, labels, _, _ = corpus
+    docs = docs.unionByName(docs.limit(3))
+    held = sorted(map(tuple, toxicity.toxicity(docs, labels).collect()), key=repr)
+    kept = sorted(map(repr, toxicity.drop_toxic(docs, labels).collect()))
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    monkeypatch.setattr(Scratch, "local_path", lambda self, name: None)
+    joined = sorted(map(tuple, toxicity.toxicity(docs, labels).collect()), key=repr)
+    assert [(a, b, d) for a, b, _, d in held] == [(a, b, d) for a, b, _, d in joined]
+    assert max(abs(a[2] - b[2]) for a, b in zip(held, joined)) < 1e-12
+    assert sorted(map(repr, toxicity.drop_toxic(docs, labels).collect())) == kept
+
+
+def test_pieces_are_found_as_in_one(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 40)
+    rnd = np.random.default_rng(3)
+    h = rnd.integers(-(1 << 63), 1 << 63, 600)
+    h = np.concatenate((h, [0, -1, 1, 1 << 62, -(1 << 62)]))
+    rows = [(int(k), bool(i % 3), float(i), float(i % 3 == 0)) for i, k in enumerate(h)]
+    table = spark.createDataFrame(rows + [(rows[0][0], True, 7.5, 0.0)], "h bigint, pair boolean, r double, g double")
+    pieces = toxicity._in_pieces(table, len(rows), Scratch(spark, "test"), "model")
+    wanted = np.unique(np.concatenate((h, h + 1, rnd.integers(-(1 << 63), 1 << 63, 300))).astype(np.int64).view(np.uint64))
+    for pair in (False, True):
+        want = {k % (1 << 64): (r, g) for k, p, r, g in [*rows, (rows[0][0], True, 7.5, 0.0)] if p == pair}
+        found, r, g = pieces.found(wanted, pair)
+        assert dict(zip(found.tolist(), zip(r.tolist(), g.tolist()))) == want and len(found) == len(want)
+        assert [len(x) for x in pieces.found(wanted[:0], pair)] == [0, 0, 0]
+
+
 def test_copies_are_dropped_before_their_words_are_rows(spark):
     table = spark.createDataFrame([(1, True, 0.5, 0.0)], "h bigint, pair boolean, r double, g double")
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "a b c", None, None, ""])], "doc_id bigint, text string")
