@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Scratch, map_arrow, runs, small_side, text_slices
+from panelspark.llm.common import Scratch, map_arrow, runs, shuffles_freed, small_side, text_slices
 from panelspark.llm.language import START, TokenHashes, contexts, fit_logistic, logits, pair_hashes, word_hashes
 
 FOLDS = 5
@@ -189,7 +189,34 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: list[int], bound: int |
     present = usable.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "doc_id", "left_semi")
     some = present if bound is None else present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     chosen = scratch.table(some, name)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(small_side(chosen), "doc_id")
+    texts, side = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), small_side(chosen)
+    if side is chosen:  # a join would shuffle the texts of all documents
+        entries = chosen.select(_id_key().alias("h"), F.lit(False).alias("pair"), F.col("toxic").cast("double").alias("r"), F.lit(0.0).alias("g"))
+        classes = _in_pieces(entries, entries.count(), scratch, f"{name}-classes")
+        if classes is not None:
+            keyed = texts.filter("doc_id is not null").withColumn("h", _id_key())
+            return map_arrow(keyed, _with_classes(classes), "doc_id bigint, text string, toxic int")
+    return texts.join(side, "doc_id")
+
+
+def _id_key() -> Column:
+    """Another number for each doc_id, with all leading bits; no two have the same."""
+    return F.xxhash64("doc_id")
+
+
+def _with_classes(classes: "Pieces") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The documents that have a class, with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(_U)
+            known, values, _ = classes.found(np.unique(h), False)
+            rows = np.flatnonzero(np.isin(h, known))
+            kept = batch.take(pa.array(rows))
+            toxic = values[np.searchsorted(known, h[rows])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("text"), pa.array(toxic)], names=["doc_id", "text", "toxic"])
+
+    return run
 
 
 def _discount(count: Column | str) -> Column:
@@ -365,9 +392,10 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Trained:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    table = count_model(labelled(docs, labels, [1, 2, 3], None, scratch, "counted"), scratch)
-    entries = table.count()
-    trained = Trained(_held(table.toArrow()) if entries <= HELD else _in_pieces(table, entries, scratch, "model"), table)
+    with shuffles_freed(spark):
+        table = count_model(labelled(docs, labels, [1, 2, 3], None, scratch, "counted"), scratch)
+        entries = table.count()
+        trained = Trained(_held(table.toArrow()) if entries <= HELD else _in_pieces(table, entries, scratch, "model"), table)
     sample = labelled(docs, labels, [4], CALIBRATED, scratch, "calibrated").select("text", F.col("toxic").cast("int").alias("toxic"))
     if trained.model is not None:
         held = spark.sparkContext.broadcast(trained.model)

@@ -1,5 +1,6 @@
 """Near duplicates, decontamination, toxicity, quality and the pipeline against brute force."""
 
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from panelspark.llm import decontaminate, language, minhash, quality, registry, toxicity
+from panelspark.llm import common, decontaminate, language, minhash, quality, registry, toxicity
 from panelspark.llm.components import components
 from panelspark.llm.common import Scratch
 from panelspark.llm.shingles import shingle_sets
@@ -388,6 +389,34 @@ def test_copies_are_dropped_before_their_words_are_rows(spark):
     assert not re.search(r"Aggregate \[[^\]]*\bh#", plan), plan
 
 
+def test_many_labels_shuffle_no_texts(spark, corpus, monkeypatch):
+    docs, labels, _, _ = corpus
+    scratch, folds = Scratch(spark, "test"), [1, 2, 3]
+    docs = scratch.table(docs.unionByName(docs.limit(3)), "docs")
+    want = sorted(map(tuple, toxicity.labelled(docs, labels, folds, None, scratch, "few").select("doc_id", "text", "toxic").collect()))
+    monkeypatch.setattr(toxicity, "small_side", lambda df: df)  # as if they were too many for a broadcast
+    got = toxicity.labelled(docs, labels, folds, None, scratch, "many")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 400
+    assert toxicity.labelled(docs, labels.limit(0), folds, None, scratch, "none").collect() == []
+
+
+def test_counting_leaves_neither_pairs_nor_shuffles(spark, corpus):
+    docs, labels, _, _ = corpus
+    setting, dropped, freed = common._FREEING, [], []
+    drop, table = Scratch.drop, Scratch.table
+    before = spark.conf.get(setting, None)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Scratch, "drop", lambda self, *tables: dropped.extend(t._scratch_path for t in tables) or drop(self, *tables))
+        patch.setattr(Scratch, "table", lambda self, df, name: freed.append((name, spark.conf.get(setting, None))) or table(self, df, name))
+        toxicity.train_model(docs, labels)
+    assert {"pairs", "words"} == {p.rpartition("/")[2].partition("-")[0] for p in dropped}
+    assert not [p for p in dropped if os.path.exists(p.removeprefix("file:"))]
+    assert {"counted", "pairs", "words", "ratios"} == {name for name, on in freed if on == "true"}
+    assert spark.conf.get(setting, None) == before
+
+
 def test_stages_without_rows(spark, corpus):
     docs, labels, _, _ = corpus
     for some in (labels, labels.limit(0)):
